@@ -8,6 +8,7 @@ is rejected (``und``) if the runner-up is too close.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -21,6 +22,13 @@ DICTIONARY_BYTES = 131_072
 LEVEL = 3
 #: Least relative margin between the two smallest sizes; below it the language is rejected.
 MARGIN = 0.002
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str | None) -> bytes:
+    """What is compressed: the text in lower case, each run without letters as one space; empty without a letter."""
+    found = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return f" {found} ".encode() if found else b""
 
 
 def train_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -34,9 +42,9 @@ def train_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: st
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE_ROWS)
     made: dict[str, list[bytes]] = {}
     for r in ranked.select("lang", "h", "text").orderBy("lang", "h", "text").collect():
-        raw, held = r["text"].encode(), made.setdefault(r["lang"], [])
+        raw, held = letters(r["text"]), made.setdefault(r["lang"], [])
         if sum(map(len, held)) + len(raw) <= DICTIONARY_BYTES:
-            held.append(raw + b"\n")
+            held.append(raw)
     return {lang: b"".join(texts) for lang, texts in sorted(made.items())}
 
 
@@ -58,9 +66,9 @@ def classify(text: str | None, dictionaries: tuple, level: int = LEVEL) -> tuple
     A text that is null or has no letter gives ``und`` and 0. Equal sizes go to the language that is first
     in alphabetical order.
     """
-    if text is None or not any(map(str.isalpha, text)):
+    raw = letters(text)
+    if not raw:
         return "und", 0.0
-    raw = text.encode()
     sizes = sorted((len(c.compress(raw)), lang) for lang, c in _compressors(dictionaries, level))
     if not sizes:
         return "und", 0.0
