@@ -5,11 +5,13 @@ from __future__ import annotations
 from tapeloom.llm.bpe import op9_byte_bpe
 from tapeloom.llm.langid import op4_language_id
 from tapeloom.llm.pii import op10_pii
+from tapeloom.llm.simhash import op3_simhash_dedup
 from tapeloom.llm.tokens import op5_token_counts
 from tapeloom.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
