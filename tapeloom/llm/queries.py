@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.llm.bpe import op9_byte_bpe
+from tapeloom.llm.decontaminate import op1_decontaminate
 from tapeloom.llm.langid import op4_language_id
 from tapeloom.llm.pii import op10_pii
 from tapeloom.llm.simhash import op3_simhash_dedup
@@ -10,6 +11,7 @@ from tapeloom.llm.tokens import op5_token_counts
 from tapeloom.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
