@@ -6,6 +6,7 @@ from tapeloom.llm.bpe import op9_byte_bpe
 from tapeloom.llm.decontaminate import op1_decontaminate
 from tapeloom.llm.langid import op4_language_id
 from tapeloom.llm.pii import op10_pii
+from tapeloom.llm.quality import op8_quality_rules
 from tapeloom.llm.simhash import op3_simhash_dedup
 from tapeloom.llm.tokens import op5_token_counts
 from tapeloom.llm.toxicity import op2_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
 }
