@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.llm.bpe import op9_byte_bpe
 from tapeloom.llm.decontaminate import op1_decontaminate
+from tapeloom.llm.html import op7_html_text
 from tapeloom.llm.langid import op4_language_id
 from tapeloom.llm.pii import op10_pii
 from tapeloom.llm.quality import op8_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
