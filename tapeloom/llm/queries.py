@@ -9,6 +9,7 @@ from tapeloom.llm.langid import op4_language_id
 from tapeloom.llm.pii import op10_pii
 from tapeloom.llm.quality import op8_quality_rules
 from tapeloom.llm.simhash import op3_simhash_dedup
+from tapeloom.llm.substrings import op6_substring_dedup
 from tapeloom.llm.tokens import op5_token_counts
 from tapeloom.llm.toxicity import op2_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
