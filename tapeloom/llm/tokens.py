@@ -89,9 +89,8 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for t in texts:
             found, special = split(t)
             counts = Counter(found)
-            rare = counts.keys() - known.keys()
-            n_hot.append(special + sum([known[p] * n for p, n in counts.items() if p not in rare]))
-            cold.append(list(rare))
+            cold.append([p for p in counts if p not in known])
+            n_hot.append(special + sum([known[p] * n for p, n in counts.items() if p in known]))
             freq.append([counts[p] for p in cold[-1]])
         return {"n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_hot": n_hot, "cold": cold, "freq": freq}
 
