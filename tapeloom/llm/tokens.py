@@ -17,8 +17,8 @@ from tapeloom.llm.batches import map_texts
 from tapeloom.sources import read_table, written
 
 #: Documents whose pre-tokens are handed to every task, and the most pre-tokens handed out.
-HOT_DOCUMENTS = 4_000
-HOT_PRETOKENS = 150_000
+HOT_DOCUMENTS = 8_000
+HOT_PRETOKENS = 300_000
 #: Longer pre-tokens always take the shuffled way.
 HOT_CHARS = 32
 LIMIT = 512
