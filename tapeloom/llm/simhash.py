@@ -26,6 +26,8 @@ SEED = 42
 PIVOTS = 24
 #: Groups with more fingerprints are split by the blocks that their key leaves out.
 GROUP_ROWS = 4_000
+#: Hashes whose bits are unpacked at a time.
+BITS_ROWS = 65_536
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -38,18 +40,29 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return [digest(g, SEED) for g in grams]
 
 
+def bit_sums(flat: np.ndarray, counts: np.ndarray, words: int, widen) -> np.ndarray:
+    """How many hashes of each text have each bit set, [texts, 64 * words].
+
+    ``flat`` holds the hashes of all texts one after another, ``counts`` how many each has, ``widen`` makes
+    [n, words] of [n] hashes. BITS_ROWS hashes are unpacked at a time, so a very long text takes no more memory.
+    """
+    out = np.zeros((len(counts), 64 * words), np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for at in range(0, len(flat), BITS_ROWS):
+        own = owner[at : at + BITS_ROWS]
+        bits = np.unpackbits(np.ascontiguousarray(widen(flat[at : at + BITS_ROWS])).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return out
+
+
 def fingerprints_of(texts: list, shingle: int) -> np.ndarray:
     """Signed 64-bit fingerprint of each text: a bit is 1 if it is 1 in over half the shingle hashes."""
     hashes = [shingle_hashes(t, shingle) for t in texts]
-    n = np.array([len(h) for h in hashes])
-    out = np.zeros(len(texts), np.uint64)
-    held = np.flatnonzero(n)
-    if len(held):
-        flat = np.array([h for hs in hashes for h in hs], np.uint64)
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.r_[0, np.cumsum(n[held])[:-1]], axis=0, dtype=np.int32)
-        out[held] = np.packbits((2 * ones > n[held, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out.view(np.int64)
+    n = np.array([len(h) for h in hashes], np.int64)
+    flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, n.sum())
+    ones = bit_sums(flat, n, 1, lambda h: h[:, None])
+    return np.packbits((2 * ones > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def fingerprints(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +84,7 @@ def _key(fp: Column, blocks: list[tuple[int, int]], n: int) -> Column:
     return F.struct(F.lit(n).alias("n"), value.alias("bits"))
 
 
-def _forest(pairs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_forest(pairs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its tree) for the nodes of a graph over 0..n-1 that are not smallest."""
     parent = np.arange(n)
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -110,9 +123,9 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
             found.append(np.stack([near, near + d]))
             held += len(near)
             if held > 4 * len(fp) + 1000:
-                found = [np.stack(_forest(found, len(fp)))]
+                found = [np.stack(spanning_forest(found, len(fp)))]
                 held = found[0].shape[1]
-    return _forest(found, len(fp)) if found else (at[:0], at[:0])
+    return spanning_forest(found, len(fp)) if found else (at[:0], at[:0])
 
 
 def links(classes: DataFrame, distance: int = 2, agree: int = 2) -> DataFrame:
