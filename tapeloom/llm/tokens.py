@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeloom.llm.batches import map_texts
 from tapeloom.sources import read_table, written
 
-#: Documents whose pre-tokens are handed to every task, and the most pre-tokens handed out.
+#: About so many documents, drawn at random, show which pre-tokens are frequent; the most pre-tokens handed out.
 HOT_DOCUMENTS = 8_000
 HOT_PRETOKENS = 300_000
 #: Longer pre-tokens always take the shuffled way.
@@ -77,7 +77,8 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         split = pretokens(path, pattern)
         return {"found": [list({p for p in split(t)[0] if len(p) <= HOT_CHARS}) for t in texts]}
 
-    sampled = map_texts(source.limit(HOT_DOCUMENTS), [], "__text", sample_split, "found array<string>")
+    share = min(1.0, HOT_DOCUMENTS / max(1, source.count()))  # limit() would shuffle that many whole texts of every task
+    sampled = map_texts(source.sample(share, seed=7), [], "__text", sample_split, "found array<string>")
     hot_rows = _counted(
         sampled.select(F.explode("found").alias("pretoken")).groupBy("pretoken").count().orderBy(F.desc("count"), "pretoken").limit(HOT_PRETOKENS), path
     ).collect()
