@@ -1,13 +1,14 @@
 """Exact substring dedup: bytes covered by a LENGTH-byte string that also starts in a document with a smaller id.
 
+0. Of equal texts only the first is looked at further: the others are covered whole.
 1. Every LENGTH-byte window is named by its anchor, the GRAM-byte string in it with the smallest hash. Equal windows
-   have equal anchors. Spark brings the anchor hashes together in buckets; those of two documents or more are
+   have equal anchors. Spark brings the anchor hashes together in buckets; those of two texts or more are
    shared, and only windows with shared anchors go on.
 2. Neighbouring windows with one anchor form a segment of at most 2 * LENGTH - GRAM bytes. Segments are shuffled by
    anchor, so everything that can match meets in one place.
 3. There a collection of segments gets its Burrows-Wheeler transform and common prefixes column by column: each round
-   puts one more symbol of every segment in front and inserts the longer suffixes into the order so far; the transform, the
-   prefix lengths and the suffix origins are read from and written to sequential files. Runs of suffixes whose common
+   puts one more symbol of every segment in front and inserts the longer suffixes into the order so far; the transform and
+   the prefix lengths are read from and written to sequential files. Runs of suffixes whose common
    prefixes reach LENGTH are equal windows; the smallest document id of a run decides.
 
 Documents themselves meet only the anchors and the spans found for them, compressed and by id.
@@ -37,17 +38,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place, by doubling (GRAM is 16 + 4)."""
+    """A 64-bit hash of the GRAM bytes (16 to 32) from each place: 16 bytes by doubling, then the first and the last 16."""
     with np.errstate(over="ignore"):
         level = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        kept, factor, width = None, _ODD, 1
+        factor, width = _ODD, 1
         while width < 16:
             level = level[:-width] * factor + level[width:]
             factor, width = factor * factor, width * 2
-            if width == 4:
-                kept = level
         n = len(raw) - GRAM + 1
-        h = level[:n] * (factor ^ _ODD) + kept[16 : 16 + n]
+        h = level[:n] * (factor ^ _ODD) + level[GRAM - 16 :]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         return h ^ h >> np.uint64(32)
@@ -101,7 +100,11 @@ _PACKED = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(),
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of whole buckets to rows (id, version, hashes) with the anchors that other ids have too."""
+    """Sorted rows of whole buckets to rows (id, version, hashes) with the anchors that other texts under other ids have too.
+
+    Of equal texts only the one with the smallest id goes on; all of them have the same anchors, so every bucket
+    chooses the same one.
+    """
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -111,6 +114,10 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
         ids, versions = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2))
         doc = own + base[block]
+        one_of = np.lexsort((ids, versions))
+        lead = np.zeros(len(ids), bool)
+        lead[one_of[np.r_[True, versions[one_of][1:] != versions[one_of][:-1]]]] = True
+        h, doc = h[lead[doc]], doc[lead[doc]]
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -166,7 +173,7 @@ _SEGMENT = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
 class _Files:
-    """Three sequential files that hold a transform between rounds."""
+    """Two sequential files that hold the transform and the common prefixes between rounds."""
 
     def __init__(self, folder: str):
         self.folder, self.round = folder, 0
@@ -177,7 +184,7 @@ class _Files:
             a.tofile(os.path.join(self.folder, f"{k}-{self.round % 2}"))
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, f"{k}-{self.round % 2}"), t) for k, t in enumerate((np.uint8, np.uint8, np.int32))]
+        return [np.fromfile(os.path.join(self.folder, f"{k}-{self.round % 2}"), np.uint8) for k in range(2)]
 
 
 def column_wise_transform(strings: list[bytes], files: _Files) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -196,34 +203,34 @@ def column_wise_transform(strings: list[bytes], files: _Files) -> tuple[np.ndarr
         at = end[string] - length - 1
         return np.where(sizes[string] > length, flat[np.maximum(at, 0)], 0).astype(np.uint8)
 
-    everyone = np.arange(m, dtype=np.int32)
-    files.write(before(everyone, 0), np.zeros(m, np.uint8), everyone)
+    origin, age = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    files.write(before(origin, 0), np.zeros(m, np.uint8))
     fresh = np.ones(m, bool)  # the suffixes inserted last
-    age = np.zeros(m, np.uint8)
     for length in range(1, int(sizes.max()) + 1):
-        bwt, lcp, origin = files.read()
+        bwt, lcp = files.read()
         order = np.argsort(bwt, kind="stable")
         order = order[np.count_nonzero(bwt == 0) :]  # in front of each stands a symbol: the suffixes but the empty ones
         symbol, new = bwt[order], fresh[order]
         n = m + len(order)
-        old_at, new_at = m + np.flatnonzero(~new), m + np.flatnonzero(new)
-        bwt2, lcp2, origin2, age2 = np.empty(n, np.uint8), np.zeros(n, np.uint8), np.empty(n, np.int32), np.empty(n, np.uint8)
+        fresh = np.concatenate([np.zeros(m, bool), new])
+        old_at, new_at = np.flatnonzero(~fresh), np.flatnonzero(new) + m
+        bwt2, lcp2, origin2, age2 = np.empty(n, np.uint8), np.zeros(n + 1, np.uint8), np.empty(n, np.int32), np.empty(n, np.uint8)
         string = origin[order[new]]
         for target, source, added in ((bwt2, bwt, before(string, length)), (origin2, origin, string), (age2, age, length), (lcp2, lcp, 0)):
-            target[:m], target[old_at], target[new_at] = source[:m], source[m:], added
-        touched = np.unique(np.r_[new_at, new_at + 1]) - m
-        touched = touched[(touched > 0) & (touched < n - m)]
-        lcp2[m + touched] = 0
+            target[old_at], target[new_at] = source, added
+        # a common prefix changes where a new suffix stands and just after it
+        lcp2[new_at + 1] = 0
+        mark = np.zeros(n + 1, bool)
+        mark[new_at] = mark[new_at + 1] = True
+        touched = np.flatnonzero(mark[m + 1 : n]) + 1
         touched = touched[symbol[touched] == symbol[touched - 1]]
         if len(touched):
             bounds = np.stack([order[touched - 1] + 1, order[touched] + 1], axis=1).ravel()
             least = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], bounds)[::2]
             lcp2[m + touched] = np.minimum(least, 254) + 1
-        files.write(bwt2, lcp2, origin2)
-        fresh, age = np.zeros(n, bool), age2
-        fresh[new_at] = True
-    bwt, lcp, origin = files.read()
-    return bwt, lcp, origin, age
+        files.write(bwt2, lcp2[:n])
+        origin, age = origin2, age2
+    return *files.read(), origin, age
 
 
 def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,12 +250,22 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: pa.Table | None = None
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, ids, start = (table.column(n).to_numpy() for n in ("anchor", "id", "start"))
+        anchor, ids, version, start = (table.column(n).to_numpy() for n in ("anchor", "id", "version", "start"))
         strings = table.column("segment").to_pylist()
         change = np.r_[True, np.fromiter((a != b for a, b in zip(strings, strings[1:], strict=False)), bool, len(strings) - 1) | (anchor[1:] != anchor[:-1])]
         first = np.flatnonzero(change)
         owner, which = np.minimum.reduceat(ids, first), np.cumsum(change) - 1
-        distinct = [strings[i] for i in first]
+        group = anchor[first]
+        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]  # a string that has its anchor to itself has no others to be ordered among
+        copies = np.flatnonzero(alone[which] & (owner[which] < ids))
+        if len(copies):
+            stop = start[copies] + np.array([len(strings[i]) for i in copies])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[copies]), pa.array(version[copies]), pa.array(start[copies]), pa.array(stop)], names=["id", "version", "start", "stop"])
+        if alone.all():
+            return
+        rows = np.flatnonzero(~alone[which])
+        ids, version, start, which = ids[rows], version[rows], start[rows], (np.cumsum(~alone) - 1)[which[rows]]
+        owner, distinct = owner[~alone], [strings[i] for i in first[~alone]]
         with tempfile.TemporaryDirectory() as folder:
             string, offset, least = least_owner(distinct, owner, folder)
         order = np.lexsort((offset, string))
@@ -264,7 +281,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail = np.r_[head[1:], True]
             some = row[head]
             yield pa.RecordBatch.from_arrays(
-                [table.column("id").combine_chunks().take(pa.array(some)), table.column("version").combine_chunks().take(pa.array(some)), pa.array(place[head]), pa.array(place[tail] + LENGTH)],
+                [pa.array(ids[some]), pa.array(version[some]), pa.array(place[head]), pa.array(place[tail] + LENGTH)],
                 names=["id", "version", "start", "stop"],
             )
 
@@ -308,7 +325,10 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(``id``, ``version``, ``start``, ``stop``) of bytes that start LENGTH-byte strings seen under a smaller id, for (id, version, text)."""
+    """(``id``, ``version``, ``start``, ``stop``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
+
+    ``docs`` has (id, version, text). Of equal texts only the one with the smallest id gets spans.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
@@ -326,12 +346,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row.
 
     A null text counts as empty. Rows with a null id keep all their bytes and take none from others. Repeated rows
-    are kept and get equal results; rows that share an id don't take bytes from each other. Further columns are left
+    are kept and get equal results; rows that share an id don't take bytes from each other. Texts count as equal if
+    their 64-bit hashes are; an equal text under a smaller id covers all of a text of LENGTH bytes or more. Further columns are left
     out, an empty table gives an empty result. Ids are whole numbers.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("version"), "text")
-    spans = written(repeated_spans(docs), "repeats").groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    light = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull()).select("id", "version", F.octet_length("text").cast("long").alias("stop"))
+    earliest = light.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("version", "first")
+    copies = light.join(earliest, "version").where("id > first").select("id", "version", F.lit(0).cast("long").alias("start"), "stop")
+    spans = written(repeated_spans(docs).unionByName(copies), "repeats").groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     packed = docs.mapInArrow(_packed_texts, "id long, version long, packed binary")
     joined = packed.join(spans, ["id", "version"], "left").select("id", "packed", "spans")
     return joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
