@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm.batches import map_texts
+from tapeloom.llm.draws import drawn_labels
 from tapeloom.sources import read_table
 
 #: Bounds of the training sample: texts of each quality label and bytes of a text (longer ones are not used).
@@ -210,5 +211,5 @@ def judge_texts(df: DataFrame, model: LineModel, id_col: str = "doc_id", text_co
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality")
-    return judge_texts(docs, train_on(docs.select("doc_id", "text").join(labels, "doc_id")))
+    labels = drawn_labels(read_table(spark, sf_dir, "labels"), 2 * SAMPLE_ROWS, "quality")
+    return judge_texts(docs, train_on(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")))

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm.batches import map_texts
+from tapeloom.llm.draws import drawn_labels
 from tapeloom.sources import read_table
 
 #: Bounds of the training sample: rows of each label and bytes of a row (longer rows are not used).
@@ -358,21 +359,9 @@ def held_out_rows(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def drawn_labels(labels: DataFrame, key: str = "doc_id", label_col: str = "toxic", rows: int = 2 * SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` rows of each label (0 and 1), drawn by a hash of the key; all of them where there are fewer.
-
-    The number of rows is in the parameter, not in the size of the table, so the result may be broadcast.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(key).isNotNull()).select(key, label_col).distinct()
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    drawn = [(F.col(label_col) == y) & (place <= int(min(1.0, rows / n) * (1 << 30))) for y, n in counts.items()]
-    return known.where(functools.reduce(lambda a, b: a | b, drawn, F.lit(False)))
-
-
 def trained_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Network:
     """The network learned from labelled rows of ``docs`` that are not held out, on a bounded draw of labels."""
-    labels = drawn_labels(read_table(spark, sf_dir, "labels").where(~held_out_rows()))
+    labels = drawn_labels(read_table(spark, sf_dir, "labels").where(~held_out_rows()), 2 * SAMPLE_ROWS, "toxic")
     return train_on(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
 
 
