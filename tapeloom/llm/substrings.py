@@ -32,7 +32,7 @@ from tapeloom.sources import read_table, written
 LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and documents' bytes whose anchors are packed together.
 COLLECTION = 20_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,8 +74,8 @@ def _pack_anchors(buckets: int):
         for batch in batches:
             for part in slices(batch, 2, BLOCK_BYTES):
                 hashes, owners = [], []
-                for n, text in enumerate(part.column(2).to_pylist()):
-                    at, h = anchors(np.frombuffer(text.encode(), np.uint8))
+                for n, text in enumerate(part.column(2)):
+                    at, h = anchors(np.frombuffer(text.as_py().encode(), np.uint8))
                     if len(at):
                         hashes.append(np.unique(h[at[np.r_[True, at[1:] != at[:-1]]]]))
                         owners.append(np.full(len(hashes[-1]), n, np.int32))
@@ -321,7 +321,8 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "version", "packed"])
+        for part in slices(batch, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.as_py().encode()) for t in part.column(2)], pa.binary())], names=["id", "version", "packed"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -335,7 +336,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     packed = long_enough.mapInArrow(_pack_anchors(buckets), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
     shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, version long, hashes binary")
     lists = shared.groupBy("id", "version").agg(F.collect_list("hashes").alias("shared"))
-    texts = long_enough.mapInArrow(_packed_texts, "id long, version long, packed binary").dropDuplicates(["id", "version"])
+    texts = long_enough.mapInArrow(_packed_texts, "id long, version long, packed binary")
     met = texts.join(lists, ["id", "version"]).select("id", "version", "packed", "shared")
     segments = met.mapInArrow(_segments, "anchor long, segment binary, id long, version long, start long")
     together = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "id")
