@@ -67,8 +67,15 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return (least & _PLACE).astype(np.int64), h
 
 
-def _pack_anchors(buckets: int):
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers of which ``repartition(n, number)`` puts one into each partition."""
+    numbers = spark.range(40 * n).select(F.col("id").cast("int").alias("label"))
+    return [r[1] for r in numbers.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("p")).agg(F.min("label")).orderBy("p").collect()]
+
+
+def _pack_anchors(labels: list[int]):
     """Arrow function: documents to rows (bucket, ids, hashes) with the anchors of a block of documents."""
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +97,7 @@ def _pack_anchors(buckets: int):
                 for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if x < y:
                         local, inverse = np.unique(own[x:y], return_inverse=True)
-                        rows.append((b, ids[local].tolist(), texts[local].tolist(), h[x:y].tobytes(), inverse.astype(np.uint32).tobytes()))
+                        rows.append((labels[b], ids[local].tolist(), texts[local].tolist(), h[x:y].tobytes(), inverse.astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], names=["bucket", "ids", "versions", "hashes", "owners"])
 
     return run
@@ -110,10 +117,11 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def flush() -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(x[3], np.uint64) for x in held])
         block = np.repeat(np.arange(len(held)), [len(x[3]) // 8 for x in held])
-        own = np.concatenate([np.frombuffer(x[4], np.uint32) for x in held]).astype(np.int64)
         base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
         ids, versions = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2))
-        doc = own + base[block]
+        doc = base[block]
+        doc += np.concatenate([np.frombuffer(x[4], np.uint32) for x in held])
+        held.clear()
         one_of = np.lexsort((ids, versions))
         lead = np.zeros(len(ids), bool)
         lead[one_of[np.r_[True, versions[one_of][1:] != versions[one_of][:-1]]]] = True
@@ -134,10 +142,10 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc[some]]), pa.array(versions[doc[some]]), pa.array(out, pa.binary())], names=["id", "version", "hashes"])
 
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for at in range(batch.num_rows):
+            row = tuple(c[at].as_py() for c in batch.columns)
             if held and row[0] != held[0][0]:
                 yield from flush()
-                held = []
             held.append(row)
     if held:
         yield from flush()
@@ -333,7 +341,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
-    packed = long_enough.mapInArrow(_pack_anchors(buckets), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
+    packed = long_enough.mapInArrow(_pack_anchors(even_labels(spark, buckets)), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
     shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, version long, hashes binary")
     lists = shared.groupBy("id", "version").agg(F.collect_list("hashes").alias("shared"))
     texts = long_enough.mapInArrow(_packed_texts, "id long, version long, packed binary")
