@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm.batches import slices
-from tapeloom.sources import read_table, written
+from tapeloom.sources import read_table
 
 LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and documents' bytes whose anchors are packed together.
@@ -35,6 +35,7 @@ COLLECTION = 20_000
 BLOCK_BYTES = 3_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_CUT = np.uint64(16)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -67,6 +68,18 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return (least & _PLACE).astype(np.int64), h
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, one after another; a chance agreement only lets a text be looked at further."""
+    return np.ascontiguousarray((h >> _CUT).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """Numbers from six bytes each."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def even_labels(spark: SparkSession, n: int) -> list[int]:
     """``n`` numbers of which ``repartition(n, number)`` puts one into each partition."""
     numbers = spark.range(40 * n).select(F.col("id").cast("int").alias("label"))
@@ -91,13 +104,13 @@ def _pack_anchors(labels: list[int]):
                 h, own = np.concatenate(hashes), np.concatenate(owners)
                 order = np.argsort(h)
                 h, own = h[order], own[order]
-                cuts = np.searchsorted(h, [(b << 64) // buckets for b in range(buckets)]).tolist() + [len(h)]
+                cuts = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(h)]
                 ids, texts = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
                 rows = []
                 for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if x < y:
                         local, inverse = np.unique(own[x:y], return_inverse=True)
-                        rows.append((labels[b], ids[local].tolist(), texts[local].tolist(), h[x:y].tobytes(), inverse.astype(np.uint32).tobytes()))
+                        rows.append((labels[b], ids[local].tolist(), texts[local].tolist(), _short(h[x:y]), inverse.astype(np.uint16).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], names=["bucket", "ids", "versions", "hashes", "owners"])
 
     return run
@@ -115,12 +128,12 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(x[3], np.uint64) for x in held])
-        block = np.repeat(np.arange(len(held)), [len(x[3]) // 8 for x in held])
+        h = _long(b"".join([x[3] for x in held]))
+        block = np.repeat(np.arange(len(held)), [len(x[4]) // 2 for x in held])
         base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
         ids, versions = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2))
         doc = base[block]
-        doc += np.concatenate([np.frombuffer(x[4], np.uint32) for x in held])
+        doc += np.concatenate([np.frombuffer(x[4], np.uint16) for x in held])
         held.clear()
         one_of = np.lexsort((ids, versions))
         lead = np.zeros(len(ids), bool)
@@ -135,13 +148,14 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        flat, bounds = h.tobytes(), (np.r_[cuts, len(h)] * 8).tolist()
+        flat, bounds = _short(h << _CUT), (np.r_[cuts, len(h)] * 6).tolist()
         for at in range(0, len(cuts), 10_000):
             some = cuts[at : at + 10_000]
             out = [flat[bounds[i] : bounds[i + 1]] for i in range(at, at + len(some))]
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc[some]]), pa.array(versions[doc[some]]), pa.array(out, pa.binary())], names=["id", "version", "hashes"])
 
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         for at in range(batch.num_rows):
             row = tuple(c[at].as_py() for c in batch.columns)
             if held and row[0] != held[0][0]:
@@ -163,8 +177,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[first[1:], len(at)] - 1
             names_of = h[at[first]]
-            known = np.sort(np.frombuffer(b"".join(shared), np.uint64))
-            found = known[np.minimum(np.searchsorted(known, names_of), len(known) - 1)] == names_of
+            known = np.sort(_long(b"".join(shared)))
+            short = names_of >> _CUT
+            found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
             out[0] += names_of[found].view(np.int64).tolist()
             out[1] += [raw[a : b + LENGTH] for a, b in zip(first[found].tolist(), last[found].tolist(), strict=True)]
             out[2] += [id_] * int(found.sum())
@@ -294,6 +309,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         table = pa.Table.from_batches([batch])
         rest = table if rest is None else pa.concat_tables([rest, table])
         if rest.num_rows >= COLLECTION:
@@ -333,19 +349,18 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.as_py().encode()) for t in part.column(2)], pa.binary())], names=["id", "version", "packed"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, packed_texts: DataFrame) -> DataFrame:
     """(``id``, ``version``, ``start``, ``stop``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
 
-    ``docs`` has (id, version, text). Of equal texts only the one with the smallest id gets spans.
+    ``docs`` has (id, version, text), ``packed_texts`` the texts compressed. Of equal texts only the one with the smallest id gets spans.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
     packed = long_enough.mapInArrow(_pack_anchors(even_labels(spark, buckets)), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
     shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, version long, hashes binary")
     lists = shared.groupBy("id", "version").agg(F.collect_list("hashes").alias("shared"))
-    texts = long_enough.mapInArrow(_packed_texts, "id long, version long, packed binary")
-    met = texts.join(lists, ["id", "version"]).select("id", "version", "packed", "shared")
+    met = packed_texts.join(lists, ["id", "version"]).select("id", "version", "packed", "shared")
     segments = met.mapInArrow(_segments, "anchor long, segment binary, id long, version long, start long")
     together = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "id")
     return together.mapInArrow(_repeats, "id long, version long, start long, stop long")
@@ -364,8 +379,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     light = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull()).select("id", "version", F.octet_length("text").cast("long").alias("stop"))
     earliest = light.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("version", "first")
     copies = light.join(earliest, "version").where("id > first").select("id", "version", F.lit(0).cast("long").alias("start"), "stop")
-    spans = written(repeated_spans(docs).unionByName(copies), "repeats").groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    packed = docs.mapInArrow(_packed_texts, "id long, version long, packed binary")
+    packed = docs.mapInArrow(_packed_texts, "id long, version long, packed binary")  # shuffled by id and version once, for both joins
+    spans = repeated_spans(docs, packed).unionByName(copies).groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = packed.join(spans, ["id", "version"], "left").select("id", "packed", "spans")
     return joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
