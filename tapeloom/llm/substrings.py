@@ -16,6 +16,7 @@ Documents themselves meet only the anchors and the spans found for them, compres
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import tempfile
@@ -33,6 +34,8 @@ LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and documents' bytes whose anchors are packed together.
 COLLECTION = 20_000
 BLOCK_BYTES = 3_000_000
+#: Ranges of a bucket that are sorted one after another.
+RANGES = 8
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CUT = np.uint64(16)
@@ -119,7 +122,7 @@ def _pack_anchors(labels: list[int]):
 _PACKED = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of whole buckets to rows (id, version, hashes) with the anchors that other texts under other ids have too.
 
     Of equal texts only the one with the smallest id goes on; all of them have the same anchors, so every bucket
@@ -129,22 +132,28 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def flush() -> Iterator[pa.RecordBatch]:
         h = _long(b"".join([x[3] for x in held]))
-        block = np.repeat(np.arange(len(held)), [len(x[4]) // 2 for x in held])
         base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
         ids, versions = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2))
-        doc = base[block]
-        doc += np.concatenate([np.frombuffer(x[4], np.uint16) for x in held])
+        doc = np.concatenate([np.frombuffer(x[4], np.uint16) + np.int32(n) for x, n in zip(held, base, strict=True)])
         held.clear()
         one_of = np.lexsort((ids, versions))
         lead = np.zeros(len(ids), bool)
         lead[one_of[np.r_[True, versions[one_of][1:] != versions[one_of][:-1]]]] = True
         h, doc = h[lead[doc]], doc[lead[doc]]
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        low, high = np.minimum.reduceat(ids[doc], first), np.maximum.reduceat(ids[doc], first)
-        keep = np.repeat(low != high, np.diff(np.r_[first, len(h)]))
-        h, doc = h[keep], doc[keep]
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        bounds = np.linspace(0, 1 << 48, RANGES * buckets + 1).astype(np.uint64)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True) if len(h) else ():
+            if high < h.min() or low > h.max():
+                continue
+            some = np.flatnonzero((h >= low) & (h < high))
+            some = some[np.argsort(h[some], kind="stable")]
+            if len(some):
+                own = doc[some]
+                first = np.flatnonzero(np.r_[True, h[some][1:] != h[some][:-1]])
+                least, most = np.minimum.reduceat(ids[own], first), np.maximum.reduceat(ids[own], first)
+                keep = np.repeat(least != most, np.diff(np.r_[first, len(some)]))
+                found.append((h[some[keep]], own[keep]))
+        h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
@@ -330,7 +339,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for id_, packed, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = unpack(packed)
             merged: list[list[int]] = []
-            for s in sorted((x["start"], x["stop"]) for x in spans or ()):
+            for s in sorted((x["start"], x["stop"]) for x in spans or () if x["stop"] > x["start"]):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -358,7 +367,7 @@ def repeated_spans(docs: DataFrame, packed_texts: DataFrame) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
     packed = long_enough.mapInArrow(_pack_anchors(even_labels(spark, buckets)), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
-    shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, version long, hashes binary")
+    shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_shared_anchors, buckets), "id long, version long, hashes binary")
     lists = shared.groupBy("id", "version").agg(F.collect_list("hashes").alias("shared"))
     met = packed_texts.join(lists, ["id", "version"]).select("id", "version", "packed", "shared")
     segments = met.mapInArrow(_segments, "anchor long, segment binary, id long, version long, start long")
@@ -376,12 +385,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("version"), "text")
-    light = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull()).select("id", "version", F.octet_length("text").cast("long").alias("stop"))
-    earliest = light.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("version", "first")
-    copies = light.join(earliest, "version").where("id > first").select("id", "version", F.lit(0).cast("long").alias("start"), "stop")
-    packed = docs.mapInArrow(_packed_texts, "id long, version long, packed binary")  # shuffled by id and version once, for both joins
-    spans = repeated_spans(docs, packed).unionByName(copies).groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = packed.join(spans, ["id", "version"], "left").select("id", "packed", "spans")
+    named = docs.where("id is not null")
+    light = named.select("id", "version", F.octet_length("text").cast("long").alias("stop"))
+    long_enough = light.where(F.col("stop") >= LENGTH)
+    earliest = long_enough.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("version", "first")
+    nowhere, start = F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("start")
+    copies = long_enough.join(earliest, "version").where("id > first").select("id", "version", start, "stop")
+    # with an empty span for every text both joins with the packed texts are inner ones, over one and the same shuffle
+    packed = named.mapInArrow(_packed_texts, "id long, version long, packed binary").where("id is not null and version is not null")
+    spans = repeated_spans(docs, packed).unionByName(copies).unionByName(light.select("id", "version", start, nowhere))
+    spans = spans.groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    whole = docs.where("id is null").mapInArrow(_packed_texts, "id long, version long, packed binary").select("id", "packed", F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    joined = packed.join(spans, ["id", "version"]).select("id", "packed", "spans").unionByName(whole)
     return joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
