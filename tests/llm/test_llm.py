@@ -1,0 +1,190 @@
+"""The corpus operators against brute force on small tables, with nulls, ties, repeats, clashing columns and empty tables."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers as vocab
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tapeloom.llm import bpe, decontaminate, html, langid, pii, quality, similar, simhash, substrings, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(1, 120)
+    return [None, "", " \n\t", "one", base, base, base.upper(), base + " end", prose(2, 60) + " " + base[:200], prose(3, 3000), "é ü 漢字 \U0001f600 <|endoftext|> don't  stop", "a\nb\na\nb\n", base]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Repeated and null ids, and columns whose names clash with the operators' own."""
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3) for i, t in enumerate(texts)] + [(4, texts[4], "en", "s", 0, 1, 2, 3), (None, "null id", None, None, 0, 1, 2, 3)]
+    return spark.createDataFrame(rows, SCHEMA + ", fp int, id int, __text int")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_substrings_equal_brute_force(spark, docs):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    first = {}
+    for i, b in rows:
+        for k in range(len(b) - 49 if i is not None else 0):
+            first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
+    want = []
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49 if i is not None else 0):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want.append((i, len(b), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.astype(int)]) == 1)), hashlib.sha256(kept).hexdigest()))
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=repr) == sorted(want, key=repr)
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def test_transform_orders_suffixes(tmp_path):
+    rng = random.Random(5)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    bwt, lcp, origin, age = substrings.column_wise_transform(strings, substrings._Files(str(tmp_path)))
+    suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(origin, age, strict=True)]
+    assert len(suffixes) == sum(len(s) + 1 for s in strings)
+    for k in range(1, len(suffixes)):
+        a, b = suffixes[k - 1], suffixes[k]
+        common = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert lcp[k] == common and (a[common:] == b"" or (b[common:] != b"" and a[common] < b[common]))
+
+
+def test_simhash_equals_brute_force(docs, texts):
+    def fingerprint(t):
+        w = (t or "").encode().lower().split()
+        grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = [(r.doc_id, fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if bin(rows[i][1] ^ rows[j][1]).count("1") <= 2:
+                    group[i] = group[j] = min(group[i], group[j])
+    named = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None) if any(rows[i][0] is not None for i in range(len(rows)) if group[i] == g) else None for g in set(group)}
+    want = sorted([(r[0], r[1] if r[1] < 1 << 63 else r[1] - (1 << 64), named[g]) for r, g in zip(rows, group, strict=True)], key=repr)
+    assert sorted(map(tuple, simhash.near_duplicates(docs, shingle=3).collect()), key=repr) == want
+
+
+def test_similar_documents_finds_near_copies_and_leaves_others(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        words = prose(100 + g, 400).split()
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 4):
+            near = list(words)
+            for _ in range(4):
+                near[rng.randrange(len(near))] = "changed"
+            rows.append((10 * g + k, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in similar.similar_documents(df).collect()} == {(i, i // 10 * 10) for i, _ in rows}
+    assert similar.similar_documents(empty(spark)).count() == 0
+
+
+def test_links_of_a_large_group_stay_connected():
+    rng = np.random.default_rng(1)
+    fp = np.repeat(rng.integers(0, 1 << 63, (1, similar.WORDS), dtype=np.uint64), 300, axis=0)
+    fp[:, 0] ^= np.uint64(1) << rng.integers(0, 60, 300).astype(np.uint64)
+    far = rng.integers(0, 1 << 63, (5, similar.WORDS), dtype=np.uint64)
+    a, b = similar.linked(np.concatenate([fp, far]), np.zeros(305, int), 10)
+    assert sorted(a) == list(range(1, 300)) and set(b) == {0}
+
+
+def test_tokens_and_bpe_equal_their_libraries(spark, docs):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    t = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    want = sorted([(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for i, x in rows], key=repr)
+    assert sorted(map(tuple, tokens.count_tokens(docs, vocab.path("byte_bpe_50k.json"), vocab.PATTERN).collect()), key=repr) == want
+    assert tokens.count_tokens(empty(spark), vocab.path("byte_bpe_50k.json"), vocab.PATTERN).count() == 0
+
+    path = vocab.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    e = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted([(r.doc_id, r.ids, bytes(r.decoded)) for r in bpe.encode_texts(docs, path, vocab.PATTERN).collect()], key=repr)
+    assert got == sorted([(i, e.encode_ordinary(x or ""), (x or "").encode()) for i, x in rows], key=repr)
+
+
+def test_pii_validators_and_base_spans(spark):
+    text = "mail a.b@c-d.org ip 10.0.0.256 10.0.0.25 card 4111 1111 1111 1111 no 4111 1111 1111 1112 tel +49 (30) 1234567 iban DE89 3704 0044 0532 0130 00"
+    spans = pii.find_spans(text)
+    assert [text[a:b] for k, a, b, _ in spans if k in ("email", "ip", "card", "phone")] == ["a.b@c-d.org", "10.0.0.25", "4111 1111 1111 1111", "+49 (30) 1234567"]
+    assert [text[a:b] for k, a, b, _ in spans if k == "iban"] == ["DE89 3704 0044 0532 0130 00"]
+    df = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, found int")
+    out = {r.doc_id: r for r in pii.digest_spans(pii.find_pii(df)).collect()}
+    assert (out[1].n_email, out[1].n_ip, out[1].n_card, out[1].n_phone) == (1, 1, 1, 1) and out[2].spans == out[3].spans == ""
+    assert [r.text for r in pii.mask_texts(df).orderBy("doc_id").collect()][1:] == [None, ""]
+
+
+def test_decontamination_tolerates_exchanged_words(spark):
+    item = prose(50, 40)
+    changed = item.split()
+    changed[13] = changed[27] = "other"
+    rows = [(1, prose(51, 80) + " " + " ".join(changed) + " " + prose(52, 50)), (2, prose(53, 200)), (3, None), (4, ""), (1, item)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "short one"), (7, item)], "item_id long, text string")
+    found = decontaminate.find_overlaps(df, bench).collect()
+    assert [(r.doc_id, r.item_id, r.words_equal) for r in found] == [(1, 7, 40)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [2, 3, 4]
+
+
+def test_quality_counts_equal_brute_force(spark, docs):
+    model = quality.train([prose(1, 50), "menu login cookie"] * 6, [1, 0] * 6)
+    import re
+
+    for r, t in zip(sorted(quality.judge_texts(docs.where("doc_id is not null"), model).collect(), key=lambda r: r.doc_id), sorted((x.doc_id, x.text or "") for x in docs.where("doc_id is not null").collect()), strict=True):
+        text = t[1]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)} if len(words) < 500 else set()
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert not (r.kept and r.base_failed)
+
+
+def test_toxicity_gradients_and_scores():
+    texts = [prose(i, 40) + (" vile scum" if i % 2 else " kind words") + " " + prose(i + 500, 10) for i in range(60)]
+    net = toxicity.train(texts, [i % 2 for i in range(60)])
+    fresh = [prose(900 + i, 30) + (" vile scum" if i % 2 else " kind words") for i in range(20)]
+    score = toxicity.Scorer(net)([*fresh, None, "", "  "])
+    assert ((score[:20] >= 0.5) == (np.arange(20) % 2 == 1)).mean() >= 0.9 and (score[20:] == 0).all()
+
+
+def test_language_of_held_out_texts(spark):
+    rows = [(f"{lang}-{i}", lang, " ".join(random.Random(f"{lang}{i}").choices(words, k=60))) for lang, words in (("xx", ["alpha", "beta", "gamma", "delta"]), ("yy", ["uno", "dos", "tres", "cuatro"])) for i in range(20)]
+    held = langid.train_dictionaries(spark.createDataFrame([r for r in rows if not r[0].endswith("5")], "id string, lang string, text string"))
+    out = langid.identify_languages(spark.createDataFrame([*rows, ("n", None, None), ("d", None, "12 34")], "doc_id string, lang string, text string"), held).collect()
+    assert all(r.lang_best == r.doc_id[:2] for r in out if "-" in r.doc_id) and {r.lang_best for r in out if "-" not in r.doc_id} == {"und"}
+
+
+def test_site_templates_are_removed(spark):
+    page = "<html><body><div class='x'><p>Home &amp; more</p></div><article><p>{}</p><p>Second  {}\n part</p></article><footer>All rights</footer><script>x()</script></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.format(prose(i, 30), i)) for i in range(12)] + [(99, "https://h.example/z", None)]
+    found = {r[0]: r for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert found[i]["text"] == f"{prose(i, 30)}\nSecond {i} part"
+    assert found[99]["text"] == "" and len(found) == 13
