@@ -34,6 +34,8 @@ LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and documents' bytes whose anchors are packed together.
 COLLECTION = 20_000
 BLOCK_BYTES = 3_000_000
+#: Bytes of text whose anchors make a bucket; a document gets a row from each bucket that has a shared anchor of it.
+BUCKET_BYTES = 26_000_000
 #: Ranges of a bucket that are sorted one after another.
 RANGES = 8
 _PLACE = np.uint64((1 << 30) - 1)
@@ -364,7 +366,7 @@ def repeated_spans(docs: DataFrame, packed_texts: DataFrame) -> DataFrame:
     ``docs`` has (id, version, text), ``packed_texts`` the texts compressed. Of equal texts only the one with the smallest id gets spans.
     """
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
     long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
     packed = long_enough.mapInArrow(_pack_anchors(even_labels(spark, buckets)), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
     shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_shared_anchors, buckets), "id long, version long, hashes binary")
