@@ -1,12 +1,13 @@
 """Main text of web pages, with the templates of a site removed.
 
-Pages are parsed into element trees; every element outside the article gets a hash of its subtree (tag, class, text
-and the hashes below it). Spark counts, for each host, on how many pages a hash occurs; subtrees that recur
-on many pages of their host are templates and are deleted. Elements that are never main text (menus,
+Pages are parsed into element trees; every element that is not around an article gets a hash of its subtree (tag,
+class, text and the hashes below it). Spark counts, for each host, on how many pages a hash occurs; subtrees
+that recur on many pages of their host are templates and are deleted. Elements that are never main text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are deleted by tag
 or class. What is left is given out block by block.
 
-Inside an article (or main) element nothing is taken for a template: passages that many articles quote are text.
+Inside an article (or main) element only small blocks that a large share of the host's pages holds are templates:
+passages that some articles quote are text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from tapeloom.sources import read_table, written
 #: bounds the templates of a host by the subtrees of a page, whatever the number of pages.
 LEAST_PAGES = 4
 LEAST_SHARE = 0.01
+#: Inside an article a block is a template from this number and this share of the host's pages, up to so many characters.
+INSIDE_PAGES = 8
+INSIDE_SHARE = 0.5
+INSIDE_CHARS = 400
 #: Template hashes (8 bytes) up to this number in all are broadcast; more are shuffled by host.
 BROADCAST_HASHES = 1_000_000
 
@@ -36,6 +41,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that are text of an article however often they recur there: headings, items and cells.
+NEVER_INSIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup header li dt dd td th tr tbody thead tfoot caption article main".split())
 #: An open element that the start of an equal or listed element closes.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
@@ -43,9 +50,10 @@ CLOSED_BY = {
 }
 #: Elements that are never main text.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe button select option menu dialog svg object audio video canvas textarea".split())
+# Whole class names, also those of a site's own frame (site-header); entry-header and the like are text.
 _DROPPED_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|comments?|respond|disqus"
-    r"|cookies?|consent|notices?|alerts?|popups?|modals?|newsletter|subscribe|share|sharing|social|related|recommended|pagination|pager|widgets?|skip)(?:$|[\s_-])", re.I
+    r"(?:^|\s)(?:(?:site|page|global|cookie)[_-])?(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|comments?|respond|disqus"
+    r"|cookies?|consent|notices?|alerts?|popups?|modals?|newsletter|subscribe|share|sharing|social|related|recommended|pagination|pager|widgets?|skip)(?=$|\s)", re.I
 )
 _ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|dialog|alert|menu", re.I)
 _TOKEN = re.compile(
@@ -56,22 +64,24 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class _Node:
-    __slots__ = ("dropped", "main", "parts", "tag")
+    __slots__ = ("chars", "dropped", "hard", "holds", "main", "own", "parts", "tag")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, mark: str):
+    def __init__(self, tag: str, dropped: bool, main: bool, mark: str, hard: bool = False, own: bool = False):
         self.tag, self.dropped, self.main, self.parts = tag, dropped, main, [mark]
+        #: Dropped by a tag; dropped by more than the class of an element around the article; around an article.
+        self.hard, self.own, self.holds, self.chars = hard, own, False, 0
 
 
 class Page:
     """The blocks of a page and the subtree hashes of its elements.
 
-    ``blocks`` holds (text, hashes of the elements around it, outermost first, whether one of them is dropped).
+    ``blocks`` holds (text, numbers of the elements around it, outermost first).
     """
 
     def __init__(self, source: str):
         self.nodes: list[_Node] = [_Node("#", False, False, "")]
         self.hashes: list[int] = [0]
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
+        self.blocks: list[tuple[str, tuple[int, ...]]] = []
         self.open: list[int] = [0]
         self.text: list[str] = []
         at = 0
@@ -106,7 +116,8 @@ class Page:
             self.text = []
             if text:
                 self.nodes[self.open[-1]].parts.append(text)
-                self.blocks.append((text, tuple(self.open), self.nodes[self.open[-1]].dropped))
+                self.nodes[self.open[-1]].chars += len(text)
+                self.blocks.append((text, tuple(self.open)))
 
     def _end(self) -> None:
         """Close the innermost element and hash it into the one around it."""
@@ -118,6 +129,7 @@ class Page:
         if len(node.parts) > 1:
             self.hashes[i] = xxhash.xxh64_intdigest("\x00".join(node.parts)) - (1 << 63)
             self.nodes[self.open[-1]].parts.append(str(self.hashes[i]))
+            self.nodes[self.open[-1]].chars += node.chars
 
     def _tag(self, tag: str, closing: bool, rest: str) -> None:
         if tag in ("br", "hr") or closing and tag == "p" and not self._is_open("p"):
@@ -148,11 +160,15 @@ class Page:
         around = self.nodes[self.open[-1]]
         main = around.main or tag in ("article", "main")
         mark = f"{names.get('class', '')} {names.get('id', '')}"
-        dropped = around.dropped or tag in DROPPED or (tag == "header" and not around.main) or (
-            tag not in ("html", "body", "article", "main") and bool(names) and bool(_DROPPED_CLASS.search(mark) or _ROLE.search(names.get("role", "")))
-        )
+        by_tag = tag in DROPPED or (tag == "header" and not around.main)
+        by_class = tag not in ("html", "body", "article", "main") and bool(names) and bool(_DROPPED_CLASS.search(mark) or _ROLE.search(names.get("role", "")))
+        hard = around.hard or by_tag
+        own = hard if main and not around.main else around.own or by_tag or by_class
+        if main and not around.main:
+            for i in self.open:
+                self.nodes[i].holds = True
         self.open.append(len(self.nodes))
-        self.nodes.append(_Node(tag, dropped, main, f"<{tag} {mark}>"))
+        self.nodes.append(_Node(tag, around.dropped or by_tag or by_class, main, f"<{tag} {mark}>", hard, own))
         self.hashes.append(0)
         if rest.endswith("/") and tag not in BLOCK:
             self._end()
@@ -160,18 +176,30 @@ class Page:
     def _is_open(self, tag: str) -> bool:
         return any(self.nodes[i].tag == tag for i in self.open)
 
+    def key(self, i: int) -> int:
+        """Hash of element ``i`` as a template, odd inside an article, even elsewhere; 0 if it can be none."""
+        node, h = self.nodes[i], self.hashes[i]
+        if not h or node.holds or node.tag in ("html", "body"):
+            return 0
+        if not node.main:
+            return h & ~1
+        return h | 1 if node.tag in BLOCK and node.tag not in NEVER_INSIDE and node.chars <= INSIDE_CHARS else 0
+
     def subtrees(self) -> set[int]:
-        """Hashes of the elements with text that are neither an article nor inside or around one."""
-        around = {0}
-        for i, node in enumerate(self.nodes):
-            if node.tag in ("html", "body"):
-                around.add(i)
-        return {h for i, (h, n) in enumerate(zip(self.hashes, self.nodes, strict=True)) if h and not n.main and i not in around}
+        """Keys of the elements with text that are neither an article nor around one; inside one, of its small blocks."""
+        return {self.key(i) for i in range(1, len(self.nodes))} - {0}
 
     def main_text(self, templates: set[int]) -> str:
-        """Blocks that are not dropped and not in a template, joined by line ends; with an article, only what is in one."""
-        held = [(text, inside) for text, inside, dropped in self.blocks if not dropped and not any(self.hashes[i] in templates and not self.nodes[i].main for i in inside)]
-        if any(n.main and not n.dropped for n in self.nodes):
+        """Blocks that are not dropped and not in a template, joined by line ends; with an article, only what is in one.
+
+        The class of an element around articles drops them only where another article is left.
+        """
+        whole = any(n.main and not n.dropped for n in self.nodes)
+        inner = not whole and any(n.main and not n.own for n in self.nodes)
+        held = [(text, inside) for text, inside in self.blocks if not (self.nodes[inside[-1]].own if inner else self.nodes[inside[-1]].dropped)]
+        if templates:
+            held = [(text, inside) for text, inside in held if not any(self.key(i) in templates for i in inside)]
+        if whole or inner:
             held = [(text, inside) for text, inside in held if self.nodes[inside[-1]].main]
         return "\n".join([text for text, _ in held])
 
@@ -198,7 +226,9 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     counts = seen.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), "found")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = written(counts.where(F.col("n") >= LEAST_PAGES), "subtrees")
     pages_of = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash <> 0").join(pages_of, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+    inside = (F.col("hash").bitwiseAND(1) == 1) & (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))
+    outside = (F.col("hash").bitwiseAND(1) == 0) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
+    often = counts.where("hash <> 0").join(pages_of, "host").where(inside | outside)
     return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 

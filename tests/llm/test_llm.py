@@ -188,3 +188,17 @@ def test_site_templates_are_removed(spark):
     for i in range(12):
         assert found[i]["text"] == f"{prose(i, 30)}\nSecond {i} part"
     assert found[99]["text"] == "" and len(found) == 13
+
+
+def test_notices_inside_articles_are_templates_and_quotes_stay(spark):
+    quote = "<p>Nobody expects it.</p>"
+    page = "<html><body><article><header class='entry-header'><h1>{}</h1></header><p>{}</p>{}<div class='x1'><p>Buy our paper</p></div></article></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.format(f"Title {i}", prose(i, 30), quote if i < 5 else "")) for i in range(12)]
+    found = {r[0]: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Title {i}\n{prose(i, 30)}" + ("\nNobody expects it." if i < 5 else "") for i in range(12)}
+
+
+def test_class_names_count_whole_and_not_around_an_article():
+    assert html.Page("<div class='widget'><article><p>Text</p><div class='share'>x</div></article></div>").main_text(set()) == "Text"
+    assert html.Page("<article><p class='lead no-comments'>Text</p></article><div class='comments'><article>reply</article></div>").main_text(set()) == "Text"
+    assert html.Page("<div class='site-header'>Home</div><div class='cookie-notice'>OK?</div><p class='page-wide'>Text</p>").main_text(set()) == "Text"
