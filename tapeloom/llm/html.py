@@ -18,20 +18,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeloom.llm.batches import slices
 from tapeloom.sources import read_table, written
 
-#: A subtree is a template of its host from this number of pages and this share of the host's pages. The share
-#: bounds the templates of a host by the subtrees of a page, whatever the number of pages.
+#: A subtree is a template of its host from this number of distinct pages, whatever the number of pages.
 LEAST_PAGES = 4
-LEAST_SHARE = 0.01
 #: Inside an article a block is a template from this number and this share of the host's pages, up to so many characters.
 INSIDE_PAGES = 8
 INSIDE_SHARE = 0.5
 INSIDE_CHARS = 400
-#: Template hashes (8 bytes) up to this number in all are broadcast; more are shuffled by host.
+#: Templates (8 bytes) up to this number in all are broadcast; with more, each page is joined to its own.
 BROADCAST_HASHES = 1_000_000
 
 # Fixed values of HTML: elements without an end tag, with raw content, and that break a line of text.
@@ -189,7 +187,7 @@ class Page:
         """Keys of the elements with text that are neither an article nor around one; inside one, of its small blocks."""
         return {self.key(i) for i in range(1, len(self.nodes))} - {0}
 
-    def main_text(self, templates: set[int]) -> str:
+    def main_text(self, templates: set[int] | frozenset[int]) -> str:
         """Blocks that are not dropped and not in a template, joined by line ends; with an article, only what is in one.
 
         The class of an element around articles drops them only where another article is left.
@@ -210,26 +208,34 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and ``templates``, the hashes of its recurring subtrees. Pages without a host have none."""
+def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host``, ``page`` (a hash of the source) and ``found``, the keys of its subtrees, once for each distinct page of a host."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                hosts = [host_of(u) for u in part.column(0).to_pylist()]
-                found = [list(Page(h or "").subtrees()) if host else [] for host, h in zip(hosts, part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["host", "found"])
+            for part in slices(batch, 2):
+                found = [list(Page(h or "").subtrees()) for h in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "found"])
+
+    rows = pages.select(_host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("h")).where("host is not null")
+    seen = rows.select("host", F.xxhash64("h").alias("page"), "h").mapInArrow(parsed, "host string, page long, found array<long>")
+    return seen.dropDuplicates(["host", "page"])
+
 
-    urls = pages.select(F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{html_col}`").cast("string").alias("h"))
-    seen = urls.mapInArrow(parsed, "host string, found array<long>").where("host is not null")
+def site_templates(subtrees: DataFrame) -> DataFrame:
+    """``host`` and ``hash`` of the recurring subtrees, from one row for each distinct page. Pages without a host have none."""
     # 0 counts the pages of the host themselves, in the same shuffle
-    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), "found")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = written(counts.where(F.col("n") >= LEAST_PAGES), "subtrees")
+    counts = subtrees.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), "found")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = written(counts.where(F.col("n") >= LEAST_PAGES), "counts")
     pages_of = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    inside = (F.col("hash").bitwiseAND(1) == 1) & (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))
-    outside = (F.col("hash").bitwiseAND(1) == 0) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
-    often = counts.where("hash <> 0").join(pages_of, "host").where(inside | outside)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    inside = (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))
+    return counts.where("hash <> 0").join(pages_of, "host").where((F.col("hash").bitwiseAND(1) == 0) | inside).select("host", "hash")
+
+
+def _host(url: Column) -> Column:
+    """:func:`host_of` as a column."""
+    host = F.lower(F.regexp_extract(url.cast("string"), _HOST.pattern, 1))
+    return F.when(host != "", host)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -238,25 +244,30 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null and empty pages give an empty text; a null or relative URL has no host, so no templates are removed.
     Repeated rows are kept, further columns are left out, an empty table gives an empty result.
     """
-    templates = written(site_templates(pages, url_col, html_col), "templates")
-    total = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
+    subtrees = written(page_subtrees(pages, url_col, html_col), "subtrees")
+    templates = written(site_templates(subtrees), "templates")
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("__html"))
-    host = F.lower(F.regexp_extract(F.col("__url").cast("string"), _HOST.pattern, 1))
-    joined = rows.withColumn("host", F.when(host != "", host)).join(F.broadcast(templates) if total <= BROADCAST_HASHES else templates, "host", "left")
+    rows = rows.withColumn("host", _host(F.col("__url")))
+    if templates.count() <= BROADCAST_HASHES:
+        held = {host: frozenset(found) for host, found in templates.groupBy("host").agg(F.collect_list("hash")).collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(held)
+        joined = rows.select("__id", F.col("__url").cast("string"), "__html", "host", F.lit(None).cast("array<long>").alias("own"))
+    else:
+        shared = None
+        own = subtrees.select("host", "page", F.explode("found").alias("hash")).join(templates, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("own"))
+        joined = rows.withColumn("page", F.xxhash64("__html")).join(own, ["host", "page"], "left").select("__id", F.col("__url").cast("string"), "__html", "host", "own")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value if shared else {}
         for batch in batches:
             for part in slices(batch, 2):
-                known: dict[str, set[int]] = {}  # the templates of a host are unpacked once a slice
                 texts = []
-                for h, host, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), strict=True):
-                    if host not in known:
-                        known[host] = set(found.as_py() or ())
-                    texts.append(Page(h or "").main_text(known[host]))
+                for h, host, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    texts.append(Page(h or "").main_text(known.get(host, frozenset()) if shared else frozenset(own or ())))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"
-    return joined.select("__id", F.col("__url").cast("string"), "__html", "host", "templates").mapInArrow(fn, schema)
+    return joined.mapInArrow(fn, schema)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,19 @@ def test_class_names_count_whole_and_not_around_an_article():
     assert html.Page("<div class='widget'><article><p>Text</p><div class='share'>x</div></article></div>").main_text(set()) == "Text"
     assert html.Page("<article><p class='lead no-comments'>Text</p></article><div class='comments'><article>reply</article></div>").main_text(set()) == "Text"
     assert html.Page("<div class='site-header'>Home</div><div class='cookie-notice'>OK?</div><p class='page-wide'>Text</p>").main_text(set()) == "Text"
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_templates_count_distinct_pages_of_any_host_size(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST_HASHES", most)
+    page = "<html><body>{}<div><p>{}</p></div></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.format("<p>Deals of the week</p>" if i < 5 else "", prose(i, 12))) for i in range(600)]
+    rows += [(1000 + k, f"https://h.example/copy{k}", page.format("", prose(9999, 12))) for k in range(12)]
+    found = {r[0]: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: prose(i, 12) for i in range(600)} | {1000 + k: prose(9999, 12) for k in range(12)}
+
+
+def test_no_element_around_an_article_is_a_template():
+    page = html.Page("<html><body><div class='wrap'><div>Menu</div><main><p>Text</p></main></div></body></html>")
+    assert not any(page.key(i) for i, n in enumerate(page.nodes) if n.tag == "div" and n.holds)
+    assert page.main_text(page.subtrees() - {k for k in page.subtrees() if k & 1}) == "Text"
