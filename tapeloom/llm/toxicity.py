@@ -2,11 +2,12 @@
 
 A word enters as the concatenation of its word vector (words of the training sample; unknown words share
 the zero vector) and the scaled mean of its hashed character n-gram vectors. Forward and backward gated recurrent
-layers read a window of words, attention pools their states, a logistic unit scores the window. Every
-window of WINDOW words at every STRIDE is scored, so neighbours overlap; a document's score is its largest.
+layers read a window of words, attention pools their states, a logistic unit scores the window. All
+overlapping windows of WINDOW words are scored, one from every word on; a document's score is its largest.
 
 Training is numpy on the driver, from a bounded balanced sample of labelled rows. Only documents are
-labelled, so each epoch takes the highest-scoring windows of a document as its examples.
+labelled, so each epoch takes the highest-scoring windows of a document as its examples, out of one at every
+STRIDE; the cut is then set on the scores over all windows.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ LEAST_LEANING = 4.0
 EPOCHS, STEP, BATCH, DECAY = 12, 0.015, 256, 0.001
 #: Share of the rows labelled toxic that training may set aside.
 MISLABELLED = 0.05
-#: Words whose projections a worker remembers, and windows handled at a time.
+#: Words whose projections a worker remembers, and windows handled at a time in training and in scoring.
 MEMO_WORDS = 300_000
 CHUNK = 2048
+STARTS = 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -87,7 +89,7 @@ def leaning(count: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def windows(ids: list[int]) -> np.ndarray:
-    """Matrix of word ids, a row a window: one at every STRIDE and one that ends with the last word.
+    """Matrix of word ids for training, a row a window: one at every STRIDE and one that ends with the last word.
 
     Fewer than WINDOW words give one row, in which -1 stands past the end.
     """
@@ -175,6 +177,65 @@ class Network:
             out[at : at + CHUNK] = np.einsum("tb,tb->b", weight, states @ self.p["out"]) + self.p["bias"]
         return out
 
+    def best_logits(self, projected: np.ndarray, docs: list[list[int]]) -> np.ndarray:
+        """The largest logit of each text of word ids over the windows from every word on; ``projected`` as in :meth:`logits`.
+
+        Texts lie one behind another, those of fewer than WINDOW words filled up with -1; windows over a border do not count.
+        """
+        lengths = np.array([max(len(d), WINDOW) for d in docs], np.int64)
+        ends = np.cumsum(lengths)
+        ids = np.full(ends[-1] + WINDOW - 1, -1, np.int64)
+        for d, at in zip(docs, ends - lengths, strict=True):
+            ids[at : at + len(d)] = d
+        out = np.empty(ends[-1], np.float32)
+        for at in range(0, len(out), STARTS):
+            out[at : at + STARTS] = self._starts(projected, ids[at : at + STARTS + WINDOW - 1])
+        out[np.arange(len(out)) > np.repeat(ends - WINDOW, lengths)] = -np.inf
+        return np.maximum.reduceat(out, ends - lengths)
+
+    def _starts(self, projected: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A logit for each window of ``ids``; the windows at one step are a slice of the words, so nothing is copied."""
+        n, h_dim = len(ids) - WINDOW + 1, HIDDEN
+        x = np.ascontiguousarray(projected[ids].T)
+        raw, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        # sigmoid(a) is 1 / (1 + exp(-a)) and tanh(a) is 1 - 2 / (1 + exp(2 a)); the factors go into the inputs
+        factor = np.repeat(np.array([-1, 2], np.float32), [2 * h_dim, h_dim])[:, None]
+        one, two = np.float32(1), np.float32(2)
+        made = np.empty((3 * h_dim + 2, n), np.float32)
+        gates, new = made[: 2 * h_dim], made[2 * h_dim : 3 * h_dim]
+        with np.errstate(over="ignore"):
+            for side, k in (("f", 0), ("b", 1)):
+                part = x[k * 3 * h_dim : (k + 1) * 3 * h_dim]
+                part *= factor
+                heads = [self.p[name][k * h_dim : (k + 1) * h_dim] for name in ("att", "out")]
+                u = np.concatenate([self.p[f"u{side}"].T * factor, heads])
+                h, before = np.zeros((h_dim, n), np.float32), None
+                for t in [*(reversed(range(WINDOW)) if side == "b" else range(WINDOW)), None]:
+                    np.matmul(u, h, out=made)
+                    if before is not None:  # what the state of the step before gives to the attention
+                        raw[before] += made[-2]
+                        value[before] += made[-1]
+                    before = t
+                    if t is None:
+                        break
+                    gates += part[: 2 * h_dim, t : t + n]
+                    np.exp(gates, out=gates)
+                    gates += one
+                    np.divide(one, gates, out=gates)
+                    new *= gates[h_dim:]
+                    new += part[2 * h_dim :, t : t + n]
+                    np.exp(new, out=new)
+                    new += one
+                    np.divide(two, new, out=new)
+                    np.subtract(one, new, out=new)
+                    h -= new
+                    h *= gates[:h_dim]
+                    h += new
+        e = np.exp(4 * np.tanh(raw))
+        if (ids < 0).any():
+            e *= np.lib.stride_tricks.sliding_window_view(ids >= 0, WINDOW).T
+        return (e * value).sum(0) / np.maximum(e.sum(0), 1e-9) + self.p["bias"]
+
     def _attention(self, states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = np.tanh(states @ self.p["att"])
         e = np.where(ids >= 0, np.exp(4 * raw), 0)
@@ -228,16 +289,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     if len(set(y[docs_at].tolist())) < 2:
         return net
     index: dict[str, int] = {}
-    rows = [windows([index.setdefault(w, len(index)) for w in docs[i]]) for i in docs_at]
+    ids = [[index.setdefault(w, len(index)) for w in docs[i]] for i in docs_at]
+    rows = [windows(d) for d in ids]
     words, doc_of = list(index), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     rows, y = np.concatenate(rows), y[docs_at]
     rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
-    for epoch in range(EPOCHS + 1):
+    for epoch in range(EPOCHS):
         logit = net.logits(np.concatenate([net.project(words), np.zeros((1, 6 * HIDDEN), np.float32)]), rows)
         order = np.lexsort((-logit, doc_of))
         first = np.flatnonzero(np.r_[True, doc_of[order][1:] != doc_of[order][:-1]])
-        if epoch == EPOCHS:
-            break
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
         if epoch == 0:  # no opinion yet: the windows whose words stand out most in toxic rows
             x = net.inputs(words)[0]
@@ -262,7 +322,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * d
                 v[k] = 0.98 * v.get(k, 0) + 0.02 * d * d
                 net.p[k] -= (STEP * (0.97**epoch) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
-    best = logit[order][first]
+    best = net.best_logits(np.concatenate([net.project(words), np.zeros((1, 6 * HIDDEN), np.float32)]), ids)
     net.p["bias"] = net.p["bias"] - np.float32(_cut(best, y))
     return net
 
@@ -311,13 +371,9 @@ class Scorer:
 
     def _score(self, docs: list[list[str]]) -> np.ndarray:
         find, out = self.index.__getitem__, np.zeros(len(docs))
-        held, rows = [i for i, d in enumerate(docs) if d], []
-        for i in held:
-            rows.append(windows(list(map(find, docs[i]))))
-        if rows:
-            logit = self.net.logits(self.table, np.concatenate(rows))
-            starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
-            out[held] = _sigmoid(np.maximum.reduceat(logit, starts).astype(float))
+        held = [i for i, d in enumerate(docs) if d]
+        if held:
+            out[held] = _sigmoid(self.net.best_logits(self.table, [list(map(find, docs[i])) for i in held]).astype(float))
         return out
 
 

@@ -218,3 +218,12 @@ def test_no_element_around_an_article_is_a_template():
     page = html.Page("<html><body><div class='wrap'><div>Menu</div><main><p>Text</p></main></div></body></html>")
     assert not any(page.key(i) for i, n in enumerate(page.nodes) if n.tag == "div" and n.holds)
     assert page.main_text(page.subtrees() - {k for k in page.subtrees() if k & 1}) == "Text"
+
+
+def test_toxicity_scores_the_windows_from_every_word_on():
+    texts = [prose(i, 40) + (" vile scum" if i % 2 else " kind words") + " " + prose(i + 500, 10) for i in range(60)]
+    score = toxicity.Scorer(toxicity.train(texts, [i % 2 for i in range(60)]))
+    for n in (1, 31, 32, 33, 75, 1500):
+        words = (prose(700 + n, n // 2) + " vile scum " + prose(800 + n, n)).split()[:n]
+        each = [" ".join(words[k : k + toxicity.WINDOW]) for k in range(max(1, n - toxicity.WINDOW + 1))]
+        assert np.allclose(score([prose(5, 9), " ".join(words), "one"])[1], score(each).max(), atol=1e-5)
