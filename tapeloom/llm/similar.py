@@ -1,11 +1,13 @@
 """SimHash near-duplicates by similarity: wide fingerprints of word shingles, probed block keys, pivot tables.
 
-A fingerprint has WORDS * 64 bits. Two texts whose shingle multisets have cosine c differ in about
+A fingerprint has WORDS * 64 bits, of the distinct shingles. Two texts whose shingle sets have cosine c differ in about
 acos(c) / pi of the bits, so a least similarity becomes a largest Hamming distance. The fingerprint is cut
 into TABLES blocks. The bits of a block that are closest to a tie are the ones that near copies differ in, so
 each text is filed under every setting of the WEAK weakest bits of each block, and near copies meet in some
 block. Pairs that meet are discarded by the largest difference of their distances to reference fingerprints and
-verified on all bits. A group gives out a spanning forest of its links, never all its pairs.
+compared on all bits. A group gives out a spanning forest of its links; these candidates are verified on the
+shingle sets of both texts. Where one fails, all candidates between the parts left are given out and verified,
+so that no link is left out because of one that does not hold.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.batches import map_texts
@@ -25,8 +28,8 @@ from tapeloom.sources import written
 WORDS = 4
 TABLES, WEAK = 12, 3
 BLOCK_BITS = WORDS * 64 // TABLES
-#: The share of links at exactly the least similarity that the distance bound should let through lies above one half.
-SLACK_BITS = 7
+#: Two standard deviations of the distance at a similarity of 0.8; the shingle sets decide.
+SLACK_BITS = 12
 REFERENCES = 4
 #: Larger groups are split into chunks of about this size, and every two chunks meet in a task.
 GROUP_ROWS = 16_384
@@ -51,14 +54,23 @@ def _widened(h: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def wide_fingerprints(texts: list, shingle: int) -> tuple[list[bytes], list[bytes]]:
-    """Per text the fingerprint, and the places of the WEAK weakest bits of each block (a byte each)."""
-    hashes = [shingle_hashes(t, shingle) for t in texts]
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """A signed 64-bit number that stands for a set of shingle hashes."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def wide_fingerprints(hashes: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """Per set of shingle hashes the fingerprint, and the places of the WEAK weakest bits of each block (a byte each)."""
     n = np.array([len(h) for h in hashes], np.int64)
-    flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, n.sum())
+    flat = np.concatenate(hashes)
     lead = 2 * bit_sums(flat, n, WORDS, _widened) - n[:, None]
     fp = np.packbits((lead > 0).astype(np.uint8), axis=1, bitorder="little")
-    blocks = np.abs(lead[:, : TABLES * BLOCK_BITS]).reshape(len(texts), TABLES, BLOCK_BITS)
+    blocks = np.abs(lead[:, : TABLES * BLOCK_BITS]).reshape(len(hashes), TABLES, BLOCK_BITS)
     weak = np.argsort(blocks, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
     return [r.tobytes() for r in fp], [r.tobytes() for r in weak]
 
@@ -114,8 +126,22 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
     return spanning_forest(found, n) if found else (at[:0], at[:0])
 
 
+def pairs_across(fp: np.ndarray, group: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of different ``label`` within ``distance`` in each run of equal ``group``, by steps."""
+    at = np.arange(len(fp))
+    for d in range(1, len(fp)):
+        at = at[at + d < len(fp)]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            break
+        near = at[label[at] != label[at + d]]
+        near = near[_apart(fp[near], fp[near + d]) <= distance]
+        if len(near):
+            yield near, near + d
+
+
 def _filed(classes: DataFrame) -> DataFrame:
-    """A row for each key of each class: ``key``, ``fp``, ``rep``."""
+    """A row for each key of each class: ``key``, ``fp``, ``node``, ``label``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,25 +150,29 @@ def _filed(classes: DataFrame) -> DataFrame:
                 fp, weak = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (0, 1)]
                 keys = block_keys(fp, weak)
                 row = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row))], names=["key", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[part.column(i).take(pa.array(row)) for i in (0, 2, 3)]], names=["key", "fp", "node", "label"])
 
-    return classes.select("fp", "weak", "rep").mapInArrow(run, "key long, fp binary, rep long")
+    return classes.select("fp", "weak", "node", "label").mapInArrow(run, "key long, fp binary, node long, label long")
 
 
 def similar_links(classes: DataFrame, distance: int) -> DataFrame:
-    """Edges (``a``, ``b``) of ``rep`` that span the components of classes (``fp``, ``weak``, ``rep``) within ``distance`` bits."""
-    filed = written(_filed(classes), "filed")
+    """Edges (``a``, ``b``) of ``node`` between classes (``fp``, ``weak``, ``node``) within ``distance`` bits.
+
+    They span the components; with a column ``label`` they are all pairs of different labels.
+    """
+    every = "label" in classes.columns
+    filed = written(_filed(classes if every else classes.withColumn("label", F.lit(None).cast("long"))), "filed")
     chunks = F.ceil(F.col("count") / GROUP_ROWS).cast("int")
     large = filed.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", chunks.alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.least(t, own) * F.col("chunks") + F.greatest(t, own))
-    split = filed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNotNull(), meets).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "rep")
+    split = filed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNotNull(), meets).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "node", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, WORDS)
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp, batch.column(3).to_numpy()]
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp, batch.column(3).to_numpy(), batch.column(4).fill_null(0).to_numpy()]
             cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             cut = change[-1] if len(change) else 0
@@ -154,30 +184,80 @@ def similar_links(classes: DataFrame, distance: int) -> DataFrame:
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(cols[0]) > 1:
             group = np.cumsum(np.r_[0, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-            a, b = linked(cols[2], group, distance)
-            if len(a):
+            for a, b in pairs_across(cols[2], group, cols[4], distance) if every else [linked(cols[2], group, distance)]:
+                if not len(a):
+                    continue
                 pairs = np.unique(np.stack([cols[3][a], cols[3][b]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return split.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    found = split.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _sets(source: DataFrame, classes: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
+    """``node`` and ``hashes`` (8 bytes each, sorted) of the classes that have links."""
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("__id")).distinct()
+
+    def fn(texts: list) -> dict:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return {"node": [set_hash(h) for h in sets], "hashes": [h.tobytes() for h in sets]}
+
+    made = map_texts(source.join(ids, "__id", "left_semi"), [], "__text", fn, "node long, hashes binary", most=500_000)
+    return made.dropDuplicates(["node"])
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links with ``ok``, whether the sets of both ends have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def _components_of(source: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``node`` and ``component`` over verified links between classes."""
+    links = written(similar_links(classes, distance_bound(similarity)), "links")
+    sets = written(_sets(source, classes, links, shingle), "sets")
+    checked = written(verified(links, sets, similarity), "checked")
+    held = checked.where("ok").select("a", "b")
+    failed = checked.where("not ok")
+    if failed.isEmpty():
+        return components(held)
+    loose = components(links)  # only components with a link that does not hold can lack one that does
+    broken = failed.select(F.col("a").alias("node")).join(loose.unionByName(loose.select(F.col("component").alias("node"), "component")).distinct(), "node").select("component").distinct()
+    parts = loose.join(broken, "component", "left_semi").select("node").unionByName(broken.select(F.col("component").alias("node"))).distinct()
+    parts = parts.join(components(held).withColumnRenamed("component", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    more = written(similar_links(classes.join(parts, "node"), distance_bound(similarity)).join(failed.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    return components(held.unionByName(verified(more, sets, similarity).where("ok").select("a", "b")))
 
 
 def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``component_id``, the smallest id reachable over links of at least ``similarity``, for every row.
 
-    The similarity is the one the fingerprints show, so links just above or below the bound may be misjudged.
+    Every link is verified on the distinct shingles; a pair is missed only where its fingerprints do not show it.
     Null, empty and wordless texts are copies of each other; texts of fewer words than a shingle are
-    linked to equal ones. Rows with a null id get the component of their fingerprint. Repeated rows are kept, further
+    linked to equal ones. Rows with a null id get the component of equal texts. Repeated rows are kept, further
     columns are left out, an empty table gives an empty result.
     """
 
     def fn(texts: list) -> dict:
-        fp, weak = wide_fingerprints(texts, shingle)
-        return {"fp": fp, "weak": weak}
+        sets = [shingle_set(t, shingle) for t in texts]
+        fp, weak = wide_fingerprints(sets)
+        return {"node": [set_hash(h) for h in sets], "fp": fp, "weak": weak}
 
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    docs = written(map_texts(source, ["__id"], "__text", fn, "fp binary, weak binary", most=500_000), "wide")
-    classes = written(docs.groupBy("fp").agg(F.min("__id").alias("rep"), F.min("weak").alias("weak")), "classes")
-    found = components(similar_links(classes.where("rep is not null"), distance_bound(similarity)))
-    labels = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return docs.select("__id", "fp").join(labels, "fp").select(F.col("__id").alias(id_col), "component_id")
+    docs = written(map_texts(source, ["__id"], "__text", fn, "node long, fp binary, weak binary", most=500_000), "wide")
+    classes = written(docs.groupBy("node").agg(F.min("__id").alias("rep"), F.min("fp").alias("fp"), F.min("weak").alias("weak")), "classes")
+    found = _components_of(source, classes.where("rep is not null"), similarity, shingle)
+    labels = written(classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c")), "labels")
+    least = labels.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return docs.select("__id", "node").join(labels.join(least, "c").select("node", "component_id"), "node").select(F.col("__id").alias(id_col), "component_id")

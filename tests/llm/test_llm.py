@@ -227,3 +227,23 @@ def test_toxicity_scores_the_windows_from_every_word_on():
         words = (prose(700 + n, n // 2) + " vile scum " + prose(800 + n, n)).split()[:n]
         each = [" ".join(words[k : k + toxicity.WINDOW]) for k in range(max(1, n - toxicity.WINDOW + 1))]
         assert np.allclose(score([prose(5, 9), " ".join(words), "one"])[1], score(each).max(), atol=1e-5)
+
+
+def test_similar_documents_hold_the_least_similarity(spark):
+    line = " ".join(["same"] * 2000)
+    rows = [(1, line + " " + prose(1, 60)), (2, line + " " + prose(2, 60))]  # one shingle in common, many times over
+    for g in range(3, 15):  # chains of steps, some above and some below 0.8
+        words = prose(300 + g, 300).split()
+        for k in range(5):
+            rows.append((10 * g + k, " ".join(words)))
+            for at in range(7 * k, 300, 45 if k % 2 else 26):
+                words[at] = f"new{g}x{k}"
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t in rows}
+    group = {i: i for i in sets}
+    for _ in range(5):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == group
