@@ -63,6 +63,19 @@ def _emails(text: str):
             end = m.end()
 
 
+def _ibans(text: str):
+    """The longest proposals that end at a word border and that mod-97 confirms; without one, the next word is tried."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in [m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")]:
+            iban = text[m.start() : end].replace(" ", "")
+            if len(iban) >= 15 and mod97(iban):
+                yield m.start(), end
+                at = end
+                break
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, score) by start, then kind; code points, end exclusive."""
     if not text:
@@ -77,9 +90,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            found.append(("iban", *m.span()))
+    found += [("iban", a, b) for a, b in _ibans(text)]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [(k, a, b, span_score(text, k, a, b)) for k, a, b in found]
 

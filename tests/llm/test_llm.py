@@ -247,3 +247,8 @@ def test_similar_documents_hold_the_least_similarity(spark):
                     group[a] = group[b] = min(group[a], group[b])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == group
+
+
+def test_ibans_before_further_capitals_are_found():
+    text = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF or DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 END"
+    assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"] * 2 + ["GB82 WEST 1234 5698 7654 32"]
