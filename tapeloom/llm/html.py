@@ -294,7 +294,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("__html"))
     rows = rows.withColumn("host", _host(F.col("__url")))
     if templates.count() <= BROADCAST_HASHES:
-        shared = pages.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in templates.toLocalIterator()], np.int64)))
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(templates.toArrow().column("hash").to_numpy()))
         joined = rows.select("__id", "__url", "__html", "host", F.lit(None).cast("array<long>").alias("own"))
     else:
         shared = None
