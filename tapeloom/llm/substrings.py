@@ -1,17 +1,20 @@
 """Exact substring dedup: bytes covered by a LENGTH-byte string that also starts in a document with a smaller id.
 
-0. Of equal texts only the first is looked at further: the others are covered whole.
-1. Every LENGTH-byte window is named by its anchor, the GRAM-byte string in it with the smallest hash. Equal windows
+0. Of equal texts (by 96 bits of their MD5) only the first is looked at further: the others are covered whole.
+1. Every LENGTH-byte window is named by its anchor, the GRAM-byte string in it with the smallest hash; strings that a sample
+   shows to be frequent come last, so that a passage in very many documents names only windows inside itself. Equal windows
    have equal anchors. Spark brings the anchor hashes together in buckets; those of two texts or more are
    shared, and only windows with shared anchors go on.
-2. Neighbouring windows with one anchor form a segment of at most 2 * LENGTH - GRAM bytes. Segments are shuffled by
-   anchor, so everything that can match meets in one place.
+2. Neighbouring windows with one anchor form a segment of at most 2 * LENGTH - GRAM bytes. Equal segments are put together
+   before they are shuffled by anchor, with the smallest and largest id that have them, so everything that can match meets
+   in one place, once for each task that found it and not once for each document.
 3. There a collection of segments gets its Burrows-Wheeler transform and common prefixes column by column: each round
-   puts one more symbol of every segment in front and inserts the longer suffixes into the order so far; the transform and
-   the prefix lengths are read from and written to sequential files. Runs of suffixes whose common
-   prefixes reach LENGTH are equal windows; the smallest document id of a run decides.
+   puts one more symbol of every segment in front and inserts its suffix where the occurrences of that symbol say. Transform,
+   prefix lengths and suffixes are in sequential files, read and written block by block; in memory are a place for each
+   segment and a block. Runs of suffixes whose common prefixes reach LENGTH are equal windows; the smallest id of a run decides.
+4. What was found for a segment is joined to the documents that have it, and by document to the texts.
 
-Documents themselves meet only the anchors and the spans found for them, compressed and by id.
+Documents themselves meet only the anchors and the spans found for them, compressed and by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -24,23 +27,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm.batches import slices
-from tapeloom.sources import read_table
+from tapeloom.sources import read_table, written
 
 LENGTH, GRAM = 50, 20
-#: Segments whose transform is made together, and documents' bytes whose anchors are packed together.
+#: Segments whose transform is made together, and rows of its files that are in memory at a time.
 COLLECTION = 20_000
+BLOCK_ROWS = 1 << 17
+#: Documents' bytes whose anchors are packed together, and segments that are made distinct together.
 BLOCK_BYTES = 3_000_000
-#: Bytes of text whose anchors make a bucket; a document gets a row from each bucket that has a shared anchor of it.
+BUFFER = 60_000
+#: Bytes of text whose anchors make a bucket.
 BUCKET_BYTES = 26_000_000
-#: Ranges of a bucket that are sorted one after another.
-RANGES = 8
+#: Documents of the sample that shows frequent strings: this number, or one in SAMPLE_ONE_IN where that is more; the sampled
+#: documents that make a string frequent; the most strings handed out (8 bytes each). They decide on the order of strings, never on a result.
+SAMPLE_DOCUMENTS, SAMPLE_ONE_IN, SAMPLE_ROW_BYTES = 1000, 2000, 65_536
+FREQUENT_IN, FREQUENT_MOST = 6, 1_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CUT = np.uint64(16)
+_LAST = np.uint64(1 << 63)
+#: Common prefixes are told up to this length.
+_LONGEST = 65_534
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -58,19 +70,49 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(32)
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the anchor of every window of ``raw``, and the gram hashes; empty where no window fits."""
+class Frequent:
+    """A set of gram hashes: a table by their leading bits says no at once for most others."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def among(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), bool)
+        out = self.table[h >> np.uint64(64 - self.BITS)]
+        at = np.flatnonzero(out)
+        out[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]
+        return out
+
+
+NONE_FREQUENT = Frequent(np.zeros(0, np.uint64))
+
+
+@functools.lru_cache(maxsize=1)
+def _frequent(raw: bytes) -> Frequent:
+    return Frequent(np.frombuffer(raw, np.uint64))
+
+
+def anchors(raw: np.ndarray, frequent: Frequent = NONE_FREQUENT, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the anchor of every window of ``raw``, the gram hashes, and which grams are frequent; empty where no window fits."""
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     h = gram_hashes(raw)
-    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    often = frequent.among(h)
+    rank = h >> np.uint64(1)
+    rank[often] |= _LAST
+    least = (rank & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, over = 1, length - GRAM + 1
     while width * 2 <= over:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < over:
         least = np.minimum(least[: len(least) - (over - width)], least[over - width :])
-    return (least & _PLACE).astype(np.int64), h
+    return (least & _PLACE).astype(np.int64), h, often
 
 
 def _short(h: np.ndarray) -> bytes:
@@ -85,47 +127,59 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def even_labels(spark: SparkSession, n: int) -> list[int]:
-    """``n`` numbers of which ``repartition(n, number)`` puts one into each partition."""
-    numbers = spark.range(40 * n).select(F.col("id").cast("int").alias("label"))
-    return [r[1] for r in numbers.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("p")).agg(F.min("label")).orderBy("p").collect()]
+def frequent_grams(docs: DataFrame, rows: int) -> bytes:
+    """Sorted hashes (8 bytes each, FREQUENT_MOST at most) of the strings in FREQUENT_IN or more documents of a sample."""
 
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                raw = np.frombuffer(text.as_py().encode(), np.uint8)
+                if len(raw) >= LENGTH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(gram_hashes(raw)).view(np.int64))], names=["h"])
 
-def _pack_anchors(labels: list[int]):
-    """Arrow function: documents to rows (bucket, ids, hashes) with the anchors of a block of documents."""
-    buckets = len(labels)
+    share = min(1.0, max(SAMPLE_DOCUMENTS, rows / SAMPLE_ONE_IN) / max(1, rows))
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sampled = docs.where(drawn & (F.octet_length("text") <= SAMPLE_ROW_BYTES)).select("text")
+    often = sampled.mapInArrow(grams, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_IN)
+    found = often.orderBy(F.desc("count"), "h").limit(FREQUENT_MOST).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64)).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2, BLOCK_BYTES):
-                hashes, owners = [], []
-                for n, text in enumerate(part.column(2)):
-                    at, h = anchors(np.frombuffer(text.as_py().encode(), np.uint8))
-                    if len(at):
-                        hashes.append(np.unique(h[at[np.r_[True, at[1:] != at[:-1]]]]))
-                        owners.append(np.full(len(hashes[-1]), n, np.int32))
-                if not hashes:
-                    continue
-                h, own = np.concatenate(hashes), np.concatenate(owners)
-                order = np.argsort(h)
-                h, own = h[order], own[order]
-                cuts = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(h)]
-                ids, texts = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                rows = []
-                for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if x < y:
-                        local, inverse = np.unique(own[x:y], return_inverse=True)
-                        rows.append((labels[b], ids[local].tolist(), texts[local].tolist(), _short(h[x:y]), inverse.astype(np.uint16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], names=["bucket", "ids", "versions", "hashes", "owners"])
-
-    return run
-
-
-_PACKED = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-
-
-def _shared_anchors(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of whole buckets to rows (id, version, hashes) with the anchors that other texts under other ids have too.
+
+def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, v1, v2, text) to rows (bucket, ids, v1s, v2s, hashes, owners) with the anchors of a block of documents.
+
+    Frequent strings are shared for certain and stay out.
+    """
+    known = _frequent(frequent.value)
+    for batch in batches:
+        for part in slices(batch, 3, BLOCK_BYTES):
+            hashes, owners = [], []
+            for n, text in enumerate(part.column(3)):
+                at, h, often = anchors(np.frombuffer(text.as_py().encode(), np.uint8), known)
+                if len(at):
+                    at = at[np.r_[True, at[1:] != at[:-1]]]
+                    hashes.append(np.unique(h[at[~often[at]]]))
+                    owners.append(np.full(len(hashes[-1]), n, np.int32))
+            if not hashes or not sum(map(len, hashes)):
+                continue
+            h, own = np.concatenate(hashes), np.concatenate(owners)
+            order = np.argsort(h)
+            h, own = h[order], own[order]
+            bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(h)]
+            keys = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            rows = []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                local, inverse = np.unique(own[x:y], return_inverse=True)
+                rows.append((int(bucket[x]), *[k[local].tolist() for k in keys], _short(h[x:y]), inverse.astype(np.uint16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], names=["bucket", "ids", "v1s", "v2s", "hashes", "owners"])
+
+
+_PACKED = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+
+
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole buckets, in order, to rows (id, v1, v2, hashes) with the anchors that other texts under other ids have too.
 
     Of equal texts only the one with the smallest id goes on; all of them have the same anchors, so every bucket
     chooses the same one.
@@ -133,37 +187,31 @@ def _shared_anchors(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h = _long(b"".join([x[3] for x in held]))
+        h = _long(b"".join([x[4] for x in held]))
         base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
-        ids, versions = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2))
-        doc = np.concatenate([np.frombuffer(x[4], np.uint16) + np.int32(n) for x, n in zip(held, base, strict=True)])
+        ids, v1, v2 = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2, 3))
+        doc = np.concatenate([np.frombuffer(x[5], np.uint16) + np.int32(n) for x, n in zip(held, base, strict=True)])
         held.clear()
-        one_of = np.lexsort((ids, versions))
+        one_of = np.lexsort((ids, v2, v1))
         lead = np.zeros(len(ids), bool)
-        lead[one_of[np.r_[True, versions[one_of][1:] != versions[one_of][:-1]]]] = True
+        lead[one_of[np.r_[True, (v1[one_of][1:] != v1[one_of][:-1]) | (v2[one_of][1:] != v2[one_of][:-1])]]] = True
         h, doc = h[lead[doc]], doc[lead[doc]]
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
-        bounds = np.linspace(0, 1 << 48, RANGES * buckets + 1).astype(np.uint64)
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True) if len(h) else ():
-            if high < h.min() or low > h.max():
-                continue
-            some = np.flatnonzero((h >= low) & (h < high))
-            some = some[np.argsort(h[some], kind="stable")]
-            if len(some):
-                own = doc[some]
-                first = np.flatnonzero(np.r_[True, h[some][1:] != h[some][:-1]])
-                least, most = np.minimum.reduceat(ids[own], first), np.maximum.reduceat(ids[own], first)
-                keep = np.repeat(least != most, np.diff(np.r_[first, len(some)]))
-                found.append((h[some[keep]], own[keep]))
-        h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(h):
+            return
+        order = np.argsort(h)
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        least, most = np.minimum.reduceat(ids[doc], first), np.maximum.reduceat(ids[doc], first)
+        keep = np.repeat(least != most, np.diff(np.r_[first, len(h)]))
+        h, doc = h[keep], doc[keep]
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         flat, bounds = _short(h << _CUT), (np.r_[cuts, len(h)] * 6).tolist()
         for at in range(0, len(cuts), 10_000):
-            some = cuts[at : at + 10_000]
+            some = doc[cuts[at : at + 10_000]]
             out = [flat[bounds[i] : bounds[i + 1]] for i in range(at, at + len(some))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[some]]), pa.array(versions[doc[some]]), pa.array(out, pa.binary())], names=["id", "version", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(v1[some]), pa.array(v2[some].astype(np.int32)), pa.array(out, pa.binary())], names=["id", "v1", "v2", "hashes"])
 
     for batch in batches:
         pa.default_memory_pool().release_unused()
@@ -176,156 +224,286 @@ def _shared_anchors(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield from flush()
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, version, packed text, lists of shared hashes) to rows (anchor, segment, id, version, start)."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    names = ["anchor", "segment", "id", "version", "start"]
+def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Documents (doc, id, packed text, lists of shared hashes) to buffers (anchors, segments, their hashes, docs, ids, starts), sorted by anchor and hash."""
+    unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
+    held: list[list] = [[], [], [], [], []]
+
+    def flush() -> tuple:
+        segments = held[1]
+        anchor, doc, id_, start = (np.concatenate([np.asarray(x, t) for x in held[k]]) for k, t in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int64)))
+        hashes = np.fromiter(map(digest, segments), np.uint64, len(segments))
+        order = np.lexsort((hashes, anchor))
+        out = anchor[order].view(np.int64), [segments[i] for i in order.tolist()], hashes[order].view(np.int64), doc[order], id_[order], start[order]
+        for x in held:
+            x.clear()
+        return out
+
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for id_, version, packed, shared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for doc, id_, packed, shared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = unpack(packed)
-            at, h = anchors(np.frombuffer(raw, np.uint8))
+            at, h, often = anchors(np.frombuffer(raw, np.uint8), frequent)
+            if not len(at):
+                continue
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[first[1:], len(at)] - 1
-            names_of = h[at[first]]
+            names, found = h[at[first]], often[at[first]]
             known = np.sort(_long(b"".join(shared)))
-            short = names_of >> _CUT
-            found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
-            out[0] += names_of[found].view(np.int64).tolist()
-            out[1] += [raw[a : b + LENGTH] for a, b in zip(first[found].tolist(), last[found].tolist(), strict=True)]
-            out[2] += [id_] * int(found.sum())
-            out[3] += [version] * int(found.sum())
-            out[4] += first[found].tolist()
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENT, strict=True)], names=names)
-                out = [[], [], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENT, strict=True)], names=names)
-
-
-_SEGMENT = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-
-
-class _Files:
-    """Two sequential files that hold the transform and the common prefixes between rounds."""
-
-    def __init__(self, folder: str):
-        self.folder, self.round = folder, 0
+            if len(known):
+                short = names >> _CUT
+                found = found | (known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
+            n = int(found.sum())
+            if n:
+                held[0].append(names[found])
+                held[1] += [raw[a : b + LENGTH] for a, b in zip(first[found].tolist(), last[found].tolist(), strict=True)]
+                for k, value in ((2, doc), (3, id_)):
+                    held[k].append(np.full(n, value, np.int64))
+                held[4].append(first[found])
+            if len(held[1]) >= BUFFER:
+                yield flush()
+    if held[1]:
+        yield flush()
+
+
+def _heads(anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where a run of equal anchors and hashes begins."""
+    return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])])
+
+
+def _distinct_segments(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to rows (anchor, segment, least, most): the distinct segments of a buffer, with the smallest and largest id that have them."""
+    for anchor, segments, hashes, _, ids, _ in _cut_segments(_frequent(frequent.value), batches):
+        first = _heads(anchor, hashes)
+        strings = pa.array([segments[i] for i in first.tolist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), strings, pa.array(np.minimum.reduceat(ids, first)), pa.array(np.maximum.reduceat(ids, first))], names=["anchor", "segment", "least", "most"])
+
+
+def _segment_owners(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to rows (anchor, hash, docs, ids, starts): who has each distinct segment of a buffer, and where it starts there."""
+    for anchor, _, hashes, docs, ids, starts in _cut_segments(_frequent(frequent.value), batches):
+        first = _heads(anchor, hashes)
+        bounds = np.r_[first, len(anchor)].tolist()
+        packs = [[c[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for c in (docs, ids, starts.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(hashes[first]), *[pa.array(p, pa.binary()) for p in packs]], names=["anchor", "hash", "docs", "ids", "starts"])
+
+
+class Columns:
+    """The transform, the common prefixes and the suffixes of a collection, in order, each in a sequential file.
+
+    A round reads the files of the round before block by block and writes new ones.
+    """
 
-    def write(self, *arrays: np.ndarray) -> None:
+    def __init__(self, folder: str, size: int, block_rows: int | None = None):
+        self.folder, self.round, self.block_rows = folder, 0, min(block_rows or BLOCK_ROWS, 1 << 22)
+        #: The symbol in front of a suffix, its common prefix with the one before it, its place in a text of that size.
+        self.types = (np.uint8, np.uint16, np.uint32 if size < 1 << 32 else np.int64)
+
+    def _paths(self, number: int) -> list[str]:
+        return [os.path.join(self.folder, f"{number}-{k}") for k in range(len(self.types))]
+
+    def blocks(self, some: int = 3) -> Iterator[list[np.ndarray]]:
+        """Blocks of the first ``some`` files, one after another."""
+        files = [open(p, "rb") for p in self._paths(self.round)[:some]]
+        try:
+            while len((block := [np.fromfile(f, t, self.block_rows) for f, t in zip(files, self.types, strict=False)])[0]):
+                yield block
+        finally:
+            for f in files:
+                f.close()
+
+    def write(self, blocks) -> None:
+        """Write the files of the next round and give up those of this one."""
+        files = [open(p, "wb") for p in self._paths(self.round + 1)]
+        for block in blocks:
+            for f, a, t in zip(files, block, self.types, strict=True):
+                a.astype(t, copy=False).tofile(f)
+        for f in files:
+            f.close()
+        for p in self._paths(self.round):
+            if os.path.exists(p):
+                os.remove(p)
         self.round += 1
-        for k, a in enumerate(arrays):
-            a.tofile(os.path.join(self.folder, f"{k}-{self.round % 2}"))
 
-    def read(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, f"{k}-{self.round % 2}"), np.uint8) for k in range(2)]
 
+class Insertions:
+    """Where the suffixes of a round go: one sequential reading of the transform and the common prefixes.
 
-def column_wise_transform(strings: list[bytes], files: _Files) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Transform, common prefixes (255 at most) and origins (string, suffix length) of a collection, suffixes in order.
+    ``at`` are the places of the suffixes that were inserted last, in order. The suffix with one more symbol in front stands
+    among those that begin with this symbol as its tail stands among the tails, so the occurrences of the symbol up to it are counted.
+    A common prefix changes where a suffix is put in and just after it; there it is one more than the smallest between the two tails.
+    """
 
-    The empty suffixes come first, in the order of the strings, each smaller than the next. A symbol is its byte
-    plus 1, 0 marks the start of a string (UTF-8 has no byte 255).
+    def __init__(self, columns: Columns, at: np.ndarray, base: np.ndarray):
+        self.targets = np.empty(len(at), np.int64)
+        self.changed: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        start, before, seen, fresh_last = 0, np.zeros(256, np.int64), np.zeros(256, bool), np.zeros(256, bool)
+        smallest = np.full(256, _LONGEST, np.int64)  # of the common prefixes since the last occurrence of a symbol
+        for bwt, lcp in columns.blocks(2):
+            n = len(bwt)
+            lo, hi = np.searchsorted(at, (start, start + n))
+            # the occurrences of each symbol in this block, in order: symbol, place in the block, whether it was inserted last
+            found = bwt.astype(np.uint32) << np.uint32(24) | np.arange(0, 2 * n, 2, dtype=np.uint32)
+            found[at[lo:hi] - start] |= np.uint32(1)
+            found.sort()
+            sizes = np.bincount(bwt, minlength=256)
+            first = np.cumsum(sizes) - sizes
+            shift = base + before - first
+
+            def place(k: np.ndarray, found: np.ndarray = found) -> np.ndarray:
+                return (found[k] >> np.uint32(1) & np.uint32(0x7FFFFF)).astype(np.int64)
+
+            new = np.flatnonzero(found & np.uint32(1))
+            target = new + shift[found[new] >> np.uint32(24)]
+            self.targets[np.searchsorted(at, place(new) + start)] = target
+            k = np.concatenate([new, new[new < n - 1] + 1])
+            symbol = found[k] >> np.uint32(24)
+            k, symbol = k[inside := (k > first[symbol]) & (symbol > 0)], symbol[inside]
+            if len(k):
+                bounds = np.stack([place(k - 1) + 1, place(k) + 1], axis=1).ravel()
+                self._change(k + shift[symbol], np.minimum.reduceat(np.r_[lcp, np.uint16(0)], bounds)[::2])
+            symbols = np.flatnonzero(sizes)
+            heads, tails = first[symbols], first[symbols] + sizes[symbols] - 1
+            meets = np.flatnonzero(seen[symbols] & (symbols > 0) & ((found[heads] & np.uint32(1) > 0) | fresh_last[symbols]))
+            for i in meets.tolist():
+                self._change(heads[i : i + 1] + shift[symbols[i]], np.minimum(smallest[symbols[i : i + 1]], lcp[: int(place(heads[i : i + 1])[0]) + 1].min()))
+            smallest = np.minimum(smallest, int(lcp.min()))
+            smallest[symbols] = [int(lcp[x:].min()) if x < n else _LONGEST for x in (place(tails) + 1).tolist()]
+            seen[symbols], fresh_last[symbols] = True, found[tails] & np.uint32(1) > 0
+            before += sizes
+            start += n
+
+    def _change(self, at: np.ndarray, least: np.ndarray) -> None:
+        self.changed.append(at)
+        self.values.append(np.minimum(least, _LONGEST - 1).astype(np.int64) + 1)
+
+
+def _merged(columns: Columns, at: np.ndarray, symbols: np.ndarray, places: np.ndarray, changed: np.ndarray, values: np.ndarray, rows: int) -> Iterator[list[np.ndarray]]:
+    """The blocks of the files with the new suffixes put in at ``at`` (sorted) and common prefixes changed."""
+    behind, start = at - np.arange(len(at)), 0
+    for block in columns.blocks():
+        n = len(block[0])
+        stop = start + n
+        lo, hi = np.searchsorted(behind, start, "left"), np.searchsorted(behind, stop, "right" if stop == rows else "left")
+        begin = start + lo
+        new = at[lo:hi] - begin
+        kept = np.ones(n + hi - lo, bool)
+        kept[new] = False
+        out = []
+        for old, fresh, t in zip(block, (symbols[lo:hi], 0, places[lo:hi]), columns.types, strict=True):
+            a = np.empty(len(kept), t)
+            a[kept], a[new] = old, fresh
+            out.append(a)
+        x, y = np.searchsorted(changed, (begin, begin + len(kept)))
+        out[1][changed[x:y] - begin] = values[x:y]
+        yield out
+        start = stop
+
+
+def column_wise_transform(strings: list[bytes], columns: Columns) -> np.ndarray:
+    """Fill ``columns`` with the suffixes of a collection; returns the places at which the strings end.
+
+    The text of the collection is a 0, then each string, symbols one above their bytes (UTF-8 has no byte 255), and a 0. The empty
+    suffixes come first, in the order of the strings, each smaller than the next. Common prefixes are told up to 65,534.
     """
     m = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
-    flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-    end = np.cumsum(sizes)
-
-    def before(string: np.ndarray, length: int) -> np.ndarray:
-        """The symbol in front of the suffix of ``length`` of each string."""
-        at = end[string] - length - 1
-        return np.where(sizes[string] > length, flat[np.maximum(at, 0)], 0).astype(np.uint8)
-
-    origin, age = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    files.write(before(origin, 0), np.zeros(m, np.uint8))
-    fresh = np.ones(m, bool)  # the suffixes inserted last
-    for length in range(1, int(sizes.max()) + 1):
-        bwt, lcp = files.read()
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.count_nonzero(bwt == 0) :]  # in front of each stands a symbol: the suffixes but the empty ones
-        symbol, new = bwt[order], fresh[order]
-        n = m + len(order)
-        fresh = np.concatenate([np.zeros(m, bool), new])
-        old_at, new_at = np.flatnonzero(~fresh), np.flatnonzero(new) + m
-        bwt2, lcp2, origin2, age2 = np.empty(n, np.uint8), np.zeros(n + 1, np.uint8), np.empty(n, np.int32), np.empty(n, np.uint8)
-        string = origin[order[new]]
-        for target, source, added in ((bwt2, bwt, before(string, length)), (origin2, origin, string), (age2, age, length), (lcp2, lcp, 0)):
-            target[old_at], target[new_at] = source, added
-        # a common prefix changes where a new suffix stands and just after it
-        lcp2[new_at + 1] = 0
-        mark = np.zeros(n + 1, bool)
-        mark[new_at] = mark[new_at + 1] = True
-        touched = np.flatnonzero(mark[m + 1 : n]) + 1
-        touched = touched[symbol[touched] == symbol[touched - 1]]
-        if len(touched):
-            bounds = np.stack([order[touched - 1] + 1, order[touched] + 1], axis=1).ravel()
-            least = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], bounds)[::2]
-            lcp2[m + touched] = np.minimum(least, 254) + 1
-        files.write(bwt2, lcp2[:n])
-        origin, age = origin2, age2
-    return *files.read(), origin, age
-
-
-def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, window start, smallest owner of an equal window) for every window of every string."""
-    _, lcp, origin, age = column_wise_transform(strings, _Files(folder))
-    whole = age >= length
-    run = np.cumsum(~(whole & (lcp >= length)))  # a suffix that shares less than a window begins a run
-    at = np.flatnonzero(whole)
-    first = np.flatnonzero(np.r_[True, run[at][1:] != run[at][:-1]])
-    least = np.repeat(np.minimum.reduceat(owner[origin[at]], first), np.diff(np.r_[first, len(at)]))
+    ends = np.cumsum(sizes + 1)
+    text = np.zeros(int(ends[-1]) + 1, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[0] = inside[ends] = False
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    places = ends
+    symbols, rows = text[places - 1], m
+    columns.write([[symbols[i : i + columns.block_rows], np.zeros(len(symbols[i : i + columns.block_rows])), places[i : i + columns.block_rows]] for i in range(0, m, columns.block_rows)])
+    counts = np.bincount(symbols, minlength=256)
+    at = np.arange(m)
+    while True:
+        going = symbols > 0
+        at, places = at[going], places[going] - 1
+        if not len(at):
+            return ends
+        put = Insertions(columns, at, m + np.cumsum(np.r_[0, 0, counts[1:-1]]))
+        changed, values = np.concatenate(put.changed), np.concatenate(put.values)
+        order = np.argsort(changed, kind="stable")
+        by_target = np.argsort(put.targets, kind="stable")
+        at, places = put.targets[by_target], places[by_target]
+        symbols = text[places - 1]
+        columns.write(_merged(columns, at, symbols, places, changed[order], values[order], rows))
+        counts += np.bincount(symbols, minlength=256)
+        rows += len(at)
+
+
+def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: int = LENGTH, block_rows: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(string, window start, smallest owner of an equal window) for every window of every string, run after run."""
     sizes = np.array([len(s) for s in strings], np.int64)
-    return origin[at], sizes[origin[at]] - age[at], least
+    columns = Columns(folder, int(sizes.sum()) + len(strings) + 1, block_rows)
+    ends = column_wise_transform(strings, columns)
+    begins = ends - sizes
+    rest = [np.zeros(0, np.uint16), np.zeros(0, np.int64)]
+
+    def told(lcp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        string = np.searchsorted(ends, place)
+        whole = ends[string] - place >= length
+        run = np.cumsum(~(whole & (lcp >= length)))  # a suffix that shares less than a window begins a run
+        at = np.flatnonzero(whole)
+        string, place, run = string[at], place[at], run[at]
+        if not len(at):
+            return string, place, string
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        return string, place - begins[string], np.repeat(np.minimum.reduceat(owner[string], first), np.diff(np.r_[first, len(at)]))
+
+    for _, lcp, place in columns.blocks():
+        lcp, place = np.r_[rest[0], lcp], np.r_[rest[1], place.astype(np.int64)]
+        cut = np.flatnonzero(lcp < length)
+        cut = int(cut[-1]) if len(cut) else 0
+        rest = [lcp[cut:], place[cut:]]
+        if cut:
+            yield told(lcp[:cut], place[:cut])
+    yield told(*rest)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and segment to rows (id, version, start, stop): bytes to remove."""
+    """Rows (anchor, segment, least, most) sorted by anchor and segment to rows (anchor, hash, runs): for segments of which something can go
+    the windows (from, to) that start under the smaller id ``by``."""
     rest: pa.Table | None = None
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, ids, version, start = (table.column(n).to_numpy() for n in ("anchor", "id", "version", "start"))
+        anchor, least, most = (table.column(n).to_numpy() for n in ("anchor", "least", "most"))
         strings = table.column("segment").to_pylist()
-        change = np.r_[True, np.fromiter((a != b for a, b in zip(strings, strings[1:], strict=False)), bool, len(strings) - 1) | (anchor[1:] != anchor[:-1])]
-        first = np.flatnonzero(change)
-        owner, which = np.minimum.reduceat(ids, first), np.cumsum(change) - 1
-        group = anchor[first]
-        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]  # a string that has its anchor to itself has no others to be ordered among
-        copies = np.flatnonzero(alone[which] & (owner[which] < ids))
-        if len(copies):
-            stop = start[copies] + np.array([len(strings[i]) for i in copies])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[copies]), pa.array(version[copies]), pa.array(start[copies]), pa.array(stop)], names=["id", "version", "start", "stop"])
-        if alone.all():
-            return
-        rows = np.flatnonzero(~alone[which])
-        ids, version, start, which = ids[rows], version[rows], start[rows], (np.cumsum(~alone) - 1)[which[rows]]
-        owner, distinct = owner[~alone], [strings[i] for i in first[~alone]]
+        first = np.flatnonzero(np.r_[True, np.fromiter((a != b for a, b in zip(strings, strings[1:], strict=False)), bool, len(strings) - 1) | (anchor[1:] != anchor[:-1])])
+        owner, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+        distinct = [strings[i] for i in first.tolist()]
         with tempfile.TemporaryDirectory() as folder:
-            string, offset, least = least_owner(distinct, owner, folder)
+            string, offset, by = (np.concatenate(x) for x in zip(*least_owner(distinct, owner, folder), strict=True))
+        gone = by < most[string]
+        string, offset, by = string[gone], offset[gone], by[gone]
+        if not len(string):
+            return
         order = np.lexsort((offset, string))
-        string, offset, least = string[order], offset[order], least[order]
-        begin = np.r_[np.flatnonzero(np.r_[True, string[1:] != string[:-1]]), len(string)]
-        counts = np.diff(begin)[which]
-        row = np.repeat(np.arange(len(ids)), counts)
-        window = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin[which], counts)
-        gone = least[window] < ids[row]
-        row, place = row[gone], start[row[gone]] + offset[window[gone]]
-        if len(row):
-            head = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]
-            tail = np.r_[head[1:], True]
-            some = row[head]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(version[some]), pa.array(place[head]), pa.array(place[tail] + LENGTH)],
-                names=["id", "version", "start", "stop"],
-            )
+        string, offset, by = string[order], offset[order], by[order]
+        head = np.r_[True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1) | (by[1:] != by[:-1])]
+        tail = np.r_[head[1:], True]
+        string, begin, stop, by = string[head], offset[head], offset[tail] + LENGTH, by[head]
+        cuts = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
+        some = string[cuts]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(distinct[i]) for i in some.tolist()), np.uint64, len(some)).view(np.int64)
+        runs = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(string)], pa.int32()), pa.StructArray.from_arrays([pa.array(begin), pa.array(stop), pa.array(by)], names=["begin", "stop", "by"]))
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first][some]), pa.array(hashes), runs], names=["anchor", "hash", "runs"])
 
     for batch in batches:
         pa.default_memory_pool().release_unused()
         table = pa.Table.from_batches([batch])
         rest = table if rest is None else pa.concat_tables([rest, table])
         if rest.num_rows >= COLLECTION:
-            anchor = rest.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
+            ends = rest.column("anchor").chunk(rest.column("anchor").num_chunks - 1)
+            last = ends[len(ends) - 1].as_py()
+            cut = rest.num_rows
+            for chunk in reversed(rest.column("anchor").chunks):
+                at = int(np.searchsorted(chunk.to_numpy(), last))
+                cut -= len(chunk) - at
+                if at:
+                    break
             if cut:
                 yield from work(rest.slice(0, cut))
                 rest = rest.slice(cut)
@@ -333,15 +511,30 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(rest)
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (docs, ids, starts, runs) to rows (doc, id, start, stop): bytes to remove."""
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for docs, ids, starts, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            docs, ids, starts = np.frombuffer(docs, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int32).astype(np.int64)
+            for run in runs:
+                later = ids > run["by"]
+                if later.any():
+                    for column, value in zip(out, (docs[later], ids[later], starts[later] + run["begin"], starts[later] + run["stop"]), strict=True):
+                        column.append(value)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc", "id", "start", "stop"])
+
+
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, packed text, starts, stops) to the id, counts, digest and kept bytes."""
+    """(id, packed text, spans) to the id, counts, digest of the kept bytes."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for id_, packed, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = unpack(packed)
             merged: list[list[int]] = []
-            for s in sorted((x["start"], x["stop"]) for x in spans or () if x["stop"] > x["start"]):
+            for s in sorted((x["start"], x["stop"]) for x in spans or () if x["id"] == id_):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -357,24 +550,33 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for part in slices(batch, 2):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.as_py().encode()) for t in part.column(2)], pa.binary())], names=["id", "version", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.as_py().encode()) for t in part.column(2)], pa.binary())], names=["doc", "id", "packed"])
 
 
-def repeated_spans(docs: DataFrame, packed_texts: DataFrame) -> DataFrame:
-    """(``id``, ``version``, ``start``, ``stop``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
+def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> DataFrame:
+    """(``doc``, ``id``, ``start``, ``stop``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
 
-    ``docs`` has (id, version, text), ``packed_texts`` the texts compressed. Of equal texts only the one with the smallest id gets spans.
+    ``docs`` has (id, v1, v2, text), ``light`` (doc, id, v1, v2, stop), ``packed`` the texts compressed, by doc. Of equal texts only the one with the
+    smallest id gets spans.
     """
-    spark = docs.sparkSession
-    buckets = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
-    long_enough = docs.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
-    packed = long_enough.mapInArrow(_pack_anchors(even_labels(spark, buckets)), "bucket int, ids array<long>, versions array<long>, hashes binary, owners binary")
-    shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_shared_anchors, buckets), "id long, version long, hashes binary")
-    lists = shared.groupBy("id", "version").agg(F.collect_list("hashes").alias("shared"))
-    met = packed_texts.join(lists, ["id", "version"]).select("id", "version", "packed", "shared")
-    segments = met.mapInArrow(_segments, "anchor long, segment binary, id long, version long, start long")
-    together = segments.repartition("anchor").sortWithinPartitions("anchor", "segment", "id")
-    return together.mapInArrow(_repeats, "id long, version long, start long, stop long")
+    rows, size = light.agg(F.count("*"), F.coalesce(F.sum("stop"), F.lit(0))).first()
+    long_enough = docs.where(F.octet_length("text") >= LENGTH)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(long_enough, rows))
+    buckets = size // BUCKET_BYTES + 1
+    blocks = long_enough.select("id", "v1", "v2", "text").mapInArrow(functools.partial(_pack_anchors, buckets, frequent), "bucket int, ids array<long>, v1s array<long>, v2s array<int>, hashes binary, owners binary")
+    shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hashes binary")
+    leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(b"").alias("hashes"))
+    lists = leads.unionByName(shared.select(_doc(), "hashes")).groupBy("doc").agg(F.collect_list("hashes").alias("shared"))
+    met = packed.join(lists, "doc").select("doc", "id", "packed", "shared")
+    segments = met.mapInArrow(functools.partial(_distinct_segments, frequent), "anchor long, segment binary, least long, most long")
+    found = segments.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, hash long, runs array<struct<begin:long,stop:long,by:long>>")
+    owners = met.mapInArrow(functools.partial(_segment_owners, frequent), "anchor long, hash long, docs binary, ids binary, starts binary")
+    return owners.join(found, ["anchor", "hash"]).select("docs", "ids", "starts", "runs").mapInArrow(_spans, "doc long, id long, start long, stop long")
+
+
+def _doc():
+    """What stands for an id together with a text."""
+    return F.xxhash64("id", "v1", "v2").alias("doc")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,25 +584,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty. Rows with a null id keep all their bytes and take none from others. Repeated rows
     are kept and get equal results; rows that share an id don't take bytes from each other. Texts count as equal if
-    their 64-bit hashes are; an equal text under a smaller id covers all of a text of LENGTH bytes or more. Further columns are left
+    96 bits of their MD5 are; an equal text under a smaller id covers all of a text of LENGTH bytes or more. Further columns are left
     out, an empty table gives an empty result. Ids are whole numbers.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("version"), "text")
+    md5 = F.md5("text")
+    docs = docs.select("id", F.conv(F.substring(md5, 1, 15), 16, 10).cast("long").alias("v1"), F.conv(F.substring(md5, 16, 7), 16, 10).cast("int").alias("v2"), "text")
     named = docs.where("id is not null")
-    light = named.select("id", "version", F.octet_length("text").cast("long").alias("stop"))
+    light = written(named.select(_doc(), "id", "v1", "v2", F.octet_length("text").cast("long").alias("stop")), "light")
     long_enough = light.where(F.col("stop") >= LENGTH)
-    earliest = long_enough.groupBy("version").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("version", "first")
-    nowhere, start = F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("start")
-    copies = long_enough.join(earliest, "version").where("id > first").select("id", "version", start, "stop")
+    earliest = long_enough.groupBy("v1", "v2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("v1", "v2", "first")
+    copies = long_enough.join(earliest, ["v1", "v2"]).where("id > first").select("doc", "id", F.lit(0).cast("long").alias("start"), "stop")
     # with an empty span for every text both joins with the packed texts are inner ones, over one and the same shuffle
-    packed = named.mapInArrow(_packed_texts, "id long, version long, packed binary").where("id is not null and version is not null")
-    spans = repeated_spans(docs, packed).unionByName(copies).unionByName(light.select("id", "version", start, nowhere))
-    spans = spans.groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    whole = docs.where("id is null").mapInArrow(_packed_texts, "id long, version long, packed binary").select("id", "packed", F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    joined = packed.join(spans, ["id", "version"]).select("id", "packed", "spans").unionByName(whole)
+    packed = named.select(_doc(), "id", "text").mapInArrow(_packed_texts, "doc long, id long, packed binary").where("doc is not null")
+    nowhere = light.select("doc", "id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
+    spans = repeated_spans(named, light, packed).unionByName(copies.distinct())
+    empty = nowhere.distinct().select("doc", F.lit(None).cast("struct<id:bigint,start:bigint,stop:bigint>").alias("span"))
+    spans = spans.select("doc", F.struct("id", "start", "stop").alias("span")).unionByName(empty).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    whole = docs.where("id is null").select(F.lit(0).cast("long").alias("doc"), "id", "text").mapInArrow(_packed_texts, "doc long, id long, packed binary")
+    whole = whole.select("id", "packed", F.array().cast("array<struct<id:bigint,start:bigint,stop:bigint>>").alias("spans"))
+    joined = packed.join(spans, "doc").select("id", "packed", "spans").unionByName(whole)
     return joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`remove_repeats` gives for every row of ``documents``; see there for nulls, repeats and empty tables."""
     return remove_repeats(read_table(spark, sf_dir, "documents"))
