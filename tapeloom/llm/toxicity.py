@@ -26,8 +26,8 @@ from tapeloom.sources import read_table
 #: Bounds of the training sample: rows of each label and bytes of a row (longer rows are not used).
 SAMPLE_ROWS = 700
 SAMPLE_ROW_BYTES = 12_288
-WINDOW, STRIDE = 32, 24
-HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
+WINDOW, STRIDE = 20, 12
+HIDDEN, WORD_DIM, CHAR_DIM = 6, 6, 6
 #: Lengths of the character n-grams, their hash buckets, and the scale of their mean.
 GRAMS, GRAM_BUCKETS, GRAM_SCALE = (4, 5, 6), 32_768, 3.0
 LEAST_ROWS_WITH_WORD = 4
@@ -43,7 +43,7 @@ STARTS = 1024
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words without surrounding punctuation marks; what is only marks stays as it is."""
+    """Lower-case words, with the marks around them."""
     return text.lower().split() if text else []
 
 
@@ -422,5 +422,6 @@ def trained_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Netw
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of ``documents``, learned from rows that are not held out; see :func:`score_texts` for nulls."""
     docs = read_table(spark, sf_dir, "documents")
     return score_texts(docs, trained_on_labels(spark, docs, sf_dir), ["doc_id", held_out_rows().alias("held_out")])
