@@ -42,14 +42,15 @@ BLOCK_ROWS = 1 << 17
 BLOCK_BYTES = 3_000_000
 BUFFER = 60_000
 #: Bytes of text whose anchors make a bucket.
-BUCKET_BYTES = 26_000_000
+BUCKET_BYTES = 20_000_000
 #: Documents of the sample that shows frequent strings: this number, or one in SAMPLE_ONE_IN where that is more; the sampled
 #: documents that make a string frequent; the most strings handed out (8 bytes each). They decide on the order of strings, never on a result.
-SAMPLE_DOCUMENTS, SAMPLE_ONE_IN, SAMPLE_ROW_BYTES = 1000, 2000, 65_536
-FREQUENT_IN, FREQUENT_MOST = 6, 1_000_000
+SAMPLE_DOCUMENTS, SAMPLE_ONE_IN, SAMPLE_ROW_BYTES = 600, 3000, 65_536
+FREQUENT_IN, FREQUENT_MOST = 5, 1_000_000
+#: Level at which texts are compressed for the shuffle.
+PACK_LEVEL = 5
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_CUT = np.uint64(16)
 _LAST = np.uint64(1 << 63)
 #: Common prefixes are told up to this length.
 _LONGEST = 65_534
@@ -115,15 +116,20 @@ def anchors(raw: np.ndarray, frequent: Frequent = NONE_FREQUENT, length: int = L
     return (least & _PLACE).astype(np.int64), h, often
 
 
-def _short(h: np.ndarray) -> bytes:
-    """The upper six bytes of each hash, one after another; a chance agreement only lets a text be looked at further."""
-    return np.ascontiguousarray((h >> _CUT).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _middle(h: np.ndarray) -> np.ndarray:
+    """The bits of hashes that are told: 40 behind the leading byte, which the bucket tells; a chance agreement only lets a text be looked at further."""
+    return h >> np.uint64(16) & np.uint64((1 << 40) - 1)
+
+
+def _short(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 40 in five bytes each, one after another."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _long(raw: bytes) -> np.ndarray:
-    """Numbers from six bytes each."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    """Numbers from five bytes each."""
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return out.view(np.uint64)[:, 0]
 
 
@@ -146,7 +152,7 @@ def frequent_grams(docs: DataFrame, rows: int) -> bytes:
 
 
 def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, v1, v2, text) to rows (bucket, ids, v1s, v2s, hashes, owners) with the anchors of a block of documents.
+    """Documents (id, v1, v2, text) to rows (bucket, keys, counts, hashes) with the anchors of a block of documents, document by document.
 
     Frequent strings are shared for certain and stay out.
     """
@@ -163,19 +169,18 @@ def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) ->
             if not hashes or not sum(map(len, hashes)):
                 continue
             h, own = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h)
-            h, own = h[order], own[order]
             bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")  # within a bucket by document, within a document by hash
+            bucket, h, own = bucket[order], _middle(h[order]), own[order]
             cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(h)]
-            keys = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            keys = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
             rows = []
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                local, inverse = np.unique(own[x:y], return_inverse=True)
-                rows.append((int(bucket[x]), *[k[local].tolist() for k in keys], _short(h[x:y]), inverse.astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], names=["bucket", "ids", "v1s", "v2s", "hashes", "owners"])
-
-
-_PACKED = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                first = np.flatnonzero(np.r_[True, own[x + 1 : y] != own[x : y - 1]])
+                counts = np.diff(np.r_[first, y - x]).astype(np.uint16)
+                local = own[x:y][first]
+                rows.append((int(bucket[x]), keys[:2, local].tobytes() + keys[2, local].astype(np.int32).tobytes(), counts.tobytes(), _short(h[x:y])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "counts", "hashes"])
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,39 +192,48 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h = _long(b"".join([x[4] for x in held]))
-        base = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
-        ids, v1, v2 = (np.concatenate([np.array(x[k], np.int64) for x in held]) for k in (1, 2, 3))
-        doc = np.concatenate([np.frombuffer(x[5], np.uint16) + np.int32(n) for x, n in zip(held, base, strict=True)])
+        h = _long(b"".join([x[2] for x in held]))
+        counts = np.concatenate([np.frombuffer(x[1], np.uint16) for x in held]).astype(np.int64)
+        ids, v1, v2 = np.empty(len(counts), np.int64), np.empty(len(counts), np.int64), np.empty(len(counts), np.int32)
+        at = 0
+        for keys, some, _ in held:
+            n = len(some) // 2
+            ids[at : at + n], v1[at : at + n] = np.frombuffer(keys, np.int64, 2 * n).reshape(2, n)
+            v2[at : at + n] = np.frombuffer(keys, np.int32, n, 16 * n)
+            at += n
         held.clear()
         one_of = np.lexsort((ids, v2, v1))
         lead = np.zeros(len(ids), bool)
         lead[one_of[np.r_[True, (v1[one_of][1:] != v1[one_of][:-1]) | (v2[one_of][1:] != v2[one_of][:-1])]]] = True
-        h, doc = h[lead[doc]], doc[lead[doc]]
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        some = lead[doc]
+        h, doc = h[some], doc[some]
         if not len(h):
             return
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        least, most = np.minimum.reduceat(ids[doc], first), np.maximum.reduceat(ids[doc], first)
-        keep = np.repeat(least != most, np.diff(np.r_[first, len(h)]))
+        own = ids[doc]
+        keep = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), np.diff(np.r_[first, len(h)]))
         h, doc = h[keep], doc[keep]
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        flat, bounds = _short(h << _CUT), (np.r_[cuts, len(h)] * 6).tolist()
+        flat, bounds = _short(h), (np.r_[cuts, len(h)] * 5).tolist()
         for at in range(0, len(cuts), 10_000):
             some = doc[cuts[at : at + 10_000]]
             out = [flat[bounds[i] : bounds[i + 1]] for i in range(at, at + len(some))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(v1[some]), pa.array(v2[some].astype(np.int32)), pa.array(out, pa.binary())], names=["id", "v1", "v2", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(v1[some]), pa.array(v2[some]), pa.array(out, pa.binary())], names=["id", "v1", "v2", "hashes"])
 
+    last = None
     for batch in batches:
         pa.default_memory_pool().release_unused()
         for at in range(batch.num_rows):
-            row = tuple(c[at].as_py() for c in batch.columns)
-            if held and row[0] != held[0][0]:
+            bucket, *row = (c[at].as_py() for c in batch.columns)
+            if held and bucket != last:
                 yield from flush()
-            held.append(row)
+            last = bucket
+            held.append(tuple(row))
     if held:
         yield from flush()
 
@@ -250,7 +264,7 @@ def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iter
             names, found = h[at[first]], often[at[first]]
             known = np.sort(_long(b"".join(shared)))
             if len(known):
-                short = names >> _CUT
+                short = _middle(names)
                 found = found | (known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
             n = int(found.sum())
             if n:
@@ -547,7 +561,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
     for batch in batches:
         for part in slices(batch, 2):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.as_py().encode()) for t in part.column(2)], pa.binary())], names=["doc", "id", "packed"])
@@ -563,7 +577,7 @@ def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> Data
     long_enough = docs.where(F.octet_length("text") >= LENGTH)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(long_enough, rows))
     buckets = size // BUCKET_BYTES + 1
-    blocks = long_enough.select("id", "v1", "v2", "text").mapInArrow(functools.partial(_pack_anchors, buckets, frequent), "bucket int, ids array<long>, v1s array<long>, v2s array<int>, hashes binary, owners binary")
+    blocks = long_enough.select("id", "v1", "v2", "text").mapInArrow(functools.partial(_pack_anchors, buckets, frequent), "bucket int, keys binary, counts binary, hashes binary")
     shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hashes binary")
     leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(b"").alias("hashes"))
     lists = leads.unionByName(shared.select(_doc(), "hashes")).groupBy("doc").agg(F.collect_list("hashes").alias("shared"))
