@@ -1 +1,6 @@
-"""Named queries: an operator applied to the tables of a folder, with its SQL."""
+"""Queries over the driver's tables, by name, each with the SQL it is compared with."""
+
+from tapeloom.plans import catalog, record_views
+from tapeloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "record_views"]

@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tapeloom.functions.scalars import bucket, canonical_decimal, first_positive, micros, mid_price, redact, side
+from tapeloom.functions.scalars import bucket, canonical_decimal, first_positive, mid_price, redact, side
 from tapeloom.operators import aggregates as agg, joins, ordered
+from tapeloom.plans.registry import EVENTS, HOUR, MINUTE, kind as _kind, query, tape
 from tapeloom.sources import read_table
 
-HOUR, MINUTE = 3_600_000_000, 60_000_000
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-#: Events with integer microseconds and cents, as SQL.
-_E = "WITH e AS (SELECT *, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
-
-
-def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with ``t`` in microseconds, ``c`` in cents and the property ``k``."""
-    e = read_table(spark, sf_dir, "events")
-    return e.withColumns({"t": micros("ts"), "c": F.round(F.col("value") * 100).cast("long"), "k": F.get_json_object("props", "$.k").cast("long")})
-
-
-def query(sql: str | None):
-    """Register a function of (spark, sf_dir) under its name, with the SQL it is compared with (over ``e``: the tape)."""
-
-    def put(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql if sql.lstrip().startswith("WITH") or "FROM e" not in sql else f"{_E} {sql}"
-        return fn
-
-    return put
-
-
-def _kind(e: DataFrame, kind: str) -> DataFrame:
-    return e.where(F.col("event_type") == kind)
-
+_E = f"WITH {EVENTS}"
 
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS sum_price, count(*) AS n FROM lineitem GROUP BY ALL")
 def a10_group_totals(spark, sf):

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tapeloom.plans.catalog import ORACLE_SQL, QUERIES
+from tapeloom.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
