@@ -52,3 +52,28 @@ def hac_mean(df: DataFrame, keys: list[str], index: str, value: str, lags: int)
     weight = F.when(F.col("k") == 0, 1.0).otherwise(2 * (1 - F.col("k") / (lags + 1)))
     summed = dev.join(lagged, [*keys, index]).groupBy(*keys).agg(F.sum(weight * F.col("d") * F.col("e")).alias("s"))
     return mean.join(summed, keys).select(*keys, "n", "mean", (F.sqrt(F.greatest(F.col("s"), F.lit(0.0))) / F.col("n")).alias("error"))
+
+
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that don't occur equally often in two relations of the same columns, with the counts ``n_a`` and ``n_b``."""
+    both = a.withColumn("__in", F.lit(True)).unionByName(b.withColumn("__in", F.lit(False)))
+    counted = both.groupBy(*a.columns).agg(F.count_if(F.col("__in")).alias("n_a"), F.count_if(~F.col("__in")).alias("n_b"))
+    return counted.where("n_a <> n_b")
+
+
+def fingerprint(df: DataFrame, time: str, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """One row that does not depend on the order of rows: count, first and last time, an exclusive-or of row hashes for each seed, and their SHA-256."""
+    columns = sorted(df.columns)
+    held = df.agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), *[F.bit_xor(F.xxhash64(F.lit(s), *columns)).alias(f"x{s}") for s in seeds])
+    return held.withColumn("digest", F.sha2(F.concat_ws(":", "n", F.col("first").cast("string"), F.col("last").cast("string"), *[f"x{s}" for s in seeds]), 256))
+
+
+def coverage(spine: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Slots of ``spine``, those that all of ``sides`` have, and the share that lacks one; all tables have one column, the slot."""
+    name, held = spine.columns[0], spine
+    for n, s in enumerate(sides):
+        held = held.join(s.distinct().withColumn(f"__{n}", F.lit(1)), name, "left")
+    full = F.lit(True)
+    for n in range(len(sides)):
+        full = full & F.col(f"__{n}").isNotNull()
+    return held.agg(F.count("*").alias("slots"), F.count_if(full).alias("complete"), F.avg((~full).cast("double")).alias("gap_fraction"))

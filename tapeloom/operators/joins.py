@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeloom.functions.scalars import bucket
+
 
 def offset_join(df: DataFrame, time: str, offset: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """Each row with the ``values`` of the row exactly ``offset`` earlier (``prior_<value>``); a hole gives null."""
@@ -17,7 +19,7 @@ def offset_join(df: DataFrame, time: str, offset: int, values: list[str], keys:
 
 
 def _asof(left: DataFrame, right: DataFrame, key: str, time: str, bound: int, value: str, forward: bool) -> DataFrame:
-    at = F.floor(F.col(time) / bound).cast("long")
+    at = bucket(F.col(time), bound)
     reach = F.explode(F.array(at, at + (-1 if forward else 1))).alias("__b")
     asks = left.select("*", at.alias("__b"), F.lit(1).alias("__ask"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast("long").alias("__t"))
     offers = right.select(key, time, reach, F.lit(0).alias("__ask"), F.col(value).alias("__v"), F.col(time).alias("__t"))
@@ -43,25 +45,26 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, time: str, bound:
 
 
 def spine(df: DataFrame, time: str, width: int, name: str = "bucket") -> DataFrame:
-    """Every bucket from the first to the last of ``df``, without holes."""
-    b = F.floor(F.col(time) / width).cast("long")
-    return df.agg(F.min(b).alias("a"), F.max(b).alias("z")).where("a is not null").select(F.explode(F.sequence("a", "z")).alias(name))
+    """Every bucket from the first to the last of ``df``, without holes, made in as many tasks as the session has by default."""
+    b = bucket(F.col(time), width)
+    low, high = df.agg(F.min(b), F.max(b)).first()
+    return df.sparkSession.range(0 if low is None else low, 0 if low is None else high + 1).toDF(name)
 
 
 def dense_grid(df: DataFrame, time: str, width: int, **measures: Column) -> DataFrame:
     """``bucket`` from the first to the last, with the measures aggregated in each; empty buckets have nulls."""
-    own = df.groupBy(F.floor(F.col(time) / width).cast("long").alias("bucket")).agg(*[c.alias(n) for n, c in measures.items()])
+    own = df.groupBy(bucket(F.col(time), width).alias("bucket")).agg(*[c.alias(n) for n, c in measures.items()])
     return spine(df, time, width).join(own, "bucket", "left")
 
 
 def missing_slots(df: DataFrame, time: str, width: int) -> DataFrame:
     """Buckets between the first and the last row in which there is no row."""
-    return spine(df, time, width).join(df.select(F.floor(F.col(time) / width).cast("long").alias("bucket")).distinct(), "bucket", "left_anti")
+    return spine(df, time, width).join(df.select(bucket(F.col(time), width).alias("bucket")).distinct(), "bucket", "left_anti")
 
 
 def followed_within(left: DataFrame, right: DataFrame, key: str, time: str, bound: int) -> DataFrame:
     """The rows of ``left`` for which ``right`` has a row of the same key in ``[time, time + bound]``."""
-    at = lambda c: F.floor(F.col(c) / bound).cast("long")
+    at = lambda c: bucket(F.col(c), bound)
     offers = right.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.explode(F.array(at(time), at(time) - 1)).alias("__b")).distinct()
     lhs = left.withColumn("__b0", at(time))
     cond = (F.col(key) == F.col("__k")) & (F.col("__b0") == F.col("__b")) & F.col("__t").between(F.col(time), F.col(time) + bound)
@@ -70,12 +73,61 @@ def followed_within(left: DataFrame, right: DataFrame, key: str, time: str, boun
 
 def sum_between_closes(bars: DataFrame, events: DataFrame, time: str, value: str, width: int) -> DataFrame:
     """Bars on a regular grid of closes with the sum of events in ``(close - width, close]``; none gives null."""
-    close = (F.ceil(F.col(time) / width) * width).cast("long").alias("close")
+    close = (-bucket(-F.col(time), width) * width).alias("close")
     return bars.join(events.groupBy(close).agg(F.sum(value).alias(value)), "close", "left")
 
 
-def intersect_spans(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Non-empty intersections of the spans (``key``, ``start``, ``stop``) of two tables."""
-    other = b.select(key, F.col("start").alias("__s"), F.col("stop").alias("__e"))
-    met = a.join(other, key).where((F.col("start") < F.col("__e")) & (F.col("__s") < F.col("stop")))
+def intersect_spans(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
+    """Non-empty intersections of the spans (``key``, ``start``, ``stop``) of two tables.
+
+    Time is cut into buckets of ``width``, a span goes to each bucket it touches, and a pair is given out in the
+    bucket in which its intersection starts; so a hot key is spread over its buckets. ``width`` should be a span's usual length.
+    """
+    cut = lambda df: df.withColumn("__b", F.explode(F.sequence(bucket(F.col("start"), width), bucket(F.col("stop") - 1, width)))) if df is not None else None
+    held = lambda df: cut(df.where("start < stop"))
+    other = held(b).select(key, "__b", F.col("start").alias("__s"), F.col("stop").alias("__e"))
+    met = held(a).join(other, [key, "__b"]).where((F.col("start") < F.col("__e")) & (F.col("__s") < F.col("stop")))
+    met = met.where(F.col("__b") == bucket(F.greatest("start", "__s"), width))
     return met.select(key, F.greatest("start", "__s").alias("start"), F.least("stop", "__e").alias("stop"))
+
+
+def known_at(facts: DataFrame, asks: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Bitemporal look-up: for each ask (``ask``, ``key``, ``received``, ``event``) the fact that was seen by then and whose interval holds the event.
+
+    Facts have ``observed``, ``valid_from``, ``valid_to`` (exclusive, null if open). Of facts with one ``valid_from`` the first observed counts; where
+    not exactly one is left, the values are null.
+    """
+    first = facts.groupBy(key, "valid_from").agg(F.min(F.struct("observed", "valid_to", *values)).alias("f")).select(key, "valid_from", "f.*")
+    seen = asks.join(first, key, "left").where((F.col("observed") <= F.col("received")) & (F.col("valid_from") <= F.col("event")) & (F.col("valid_to").isNull() | (F.col("event") < F.col("valid_to"))))
+    one = seen.groupBy("ask").agg(F.count("*").alias("__n"), F.min(F.struct(*values)).alias("__v")).where("__n = 1")
+    return asks.join(one, "ask", "left").select(*asks.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
+def uncovered(expected: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """Expected rows that are not held: empty where coverage is complete."""
+    return expected.join(held.select(*on).distinct(), on, "left_anti")
+
+
+def paired_by_month(primary: DataFrame, control: DataFrame, ts: str, value: str) -> DataFrame:
+    """Decisions on the last day of a month beside those on the 15th of the same month; the last of a day counts."""
+    from tapeloom.functions.scalars import calendar_key
+
+    def chosen(df: DataFrame, is_control: bool, name: str) -> DataFrame:
+        keyed = df.withColumn("month", calendar_key(F.col(ts), is_control)).where("month is not null")
+        return keyed.groupBy("month").agg(F.max_by(value, F.struct(ts, value)).alias(name))
+
+    return chosen(primary, False, "primary").join(chosen(control, True, "control"), "month")
+
+
+def lanes_of(df: DataFrame, key: str, lane: str) -> DataFrame:
+    """For each key the lanes it occurs in, in order, and how many."""
+    return df.select(key, lane).distinct().groupBy(key).agg(F.array_sort(F.collect_set(lane)).alias("lanes"), F.count("*").alias("n"))
+
+
+def total_order(streams: dict[str, DataFrame], order: list[str], columns: list[str]) -> DataFrame:
+    """Rows of several streams as one, ordered by ``order``, then by the streams' places in the mapping."""
+    merged = [df.select(F.lit(n).alias("rank"), F.lit(name).alias("stream"), *columns) for n, (name, df) in enumerate(streams.items())]
+    out = merged[0]
+    for df in merged[1:]:
+        out = out.unionByName(df)
+    return out.orderBy(*order, "rank")

@@ -4,6 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeloom.functions.scalars import bucket
+
+
+def running(df: DataFrame, key: str, order: list[str], width: int, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums, maxima and last values that aren't null, by key in order, without one task for a whole key.
+
+    ``order[0]`` is a time as a whole number; it is cut into buckets of ``width``. Rows are ordered within a bucket; what the
+    buckets before give is worked out on one row a bucket and joined back, so a hot key is spread over its buckets.
+    """
+    sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
+    made = {**sums, **maxes, **lasts}
+    held = df.withColumns({"__b": bucket(F.col(order[0]), width), **{f"__{n}": c for n, c in made.items()}})
+    own = Window.partitionBy(key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.struct(*order)
+    agg = [F.sum(f"__{n}").alias(f"__{n}") for n in sums] + [F.max(f"__{n}").alias(f"__{n}") for n in maxes]
+    agg += [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), rank)).alias(f"__{n}") for n in lasts]
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = held.groupBy(F.col(key).alias("__k"), "__b").agg(*agg)
+    over = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}, **{n: lambda c: F.last(c, ignorenulls=True) for n in lasts}}
+    carry = carry.select("__k", F.col("__b").alias("__c"), *[fn(f"__{n}").over(before).alias(f"__carry_{n}") for n, fn in over.items()])
+    rows = held.select("*", *[fn(f"__{n}").over(own).alias(f"__own_{n}") for n, fn in over.items()])
+    joined = rows.join(carry, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__c")))
+
+    def together(n: str) -> Column:
+        own_n, carry_n = F.col(f"__own_{n}"), F.col(f"__carry_{n}")
+        if n in sums:
+            return F.when(own_n.isNull(), carry_n).otherwise(own_n + F.coalesce(carry_n, F.lit(0)))
+        return F.greatest(own_n, carry_n) if n in maxes else F.coalesce(own_n, carry_n)
+
+    return joined.select(*df.columns, *[together(n).alias(n) for n in made])
+
 
 def last_per_bucket(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each group and the number of rows; aggregated before the shuffle, no window."""
@@ -11,10 +42,21 @@ def last_per_bucket(df: DataFrame, keys: list[str], order: list[str], values: li
     return df.groupBy(*keys).agg(last, F.count("*").alias("n")).select(*keys, *[F.col(f"__last.{v}").alias(v) for v in values], "n")
 
 
-def forward_fill(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
-    """Each value, or the last one before it in its session that isn't null (``filled_<value>``)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"filled_{v}": F.last(v, ignorenulls=True).over(w) for v in values})
+def forward_fill(df: DataFrame, key: str, order: list[str], values: list[str], width: int) -> DataFrame:
+    """Each value, or the last one before it in its session that isn't null (``filled_<value>``); see :func:`running` for ``width``."""
+    return running(df, key, order, width, lasts={f"filled_{v}": F.col(v) for v in values})
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], width: int) -> DataFrame:
+    """``ordinal`` of each row in its key and the values of the row before (``previous_<value>``), null at the first."""
+    own = Window.partitionBy(key, "__bucket").orderBy(*order)
+    rows = df.withColumn("__bucket", bucket(F.col(order[0]), width)).withColumns({"__row": F.struct(*values), "__n": F.row_number().over(own), "__lag": F.lag(F.struct(*values)).over(own)})
+    ends = rows.groupBy(F.col(key).alias("__k"), F.col("__bucket").alias("__c")).agg(F.max_by("__row", F.struct(*order)).alias("__last"), F.count("*").alias("__count"))
+    before = Window.partitionBy("__k").orderBy("__c")
+    ends = ends.select("__k", "__c", F.lag("__last").over(before).alias("__end"), F.coalesce(F.sum("__count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__skip"))
+    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bucket") == F.col("__c")))
+    last = F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__lag"))
+    return joined.select(*df.columns, (F.col("__n") + F.col("__skip")).alias("ordinal"), *[last[v].alias(f"previous_{v}") for v in values])
 
 
 def holes(df: DataFrame, key: str, time: str, step: int) -> DataFrame:
@@ -23,31 +65,32 @@ def holes(df: DataFrame, key: str, time: str, step: int) -> DataFrame:
     return df.select(key, F.col(time).alias("hole_from"), F.lead(time).over(w).alias("hole_to")).where(F.col("hole_to") - F.col("hole_from") > step)
 
 
-def with_islands(df: DataFrame, key: str, order: list[str], starts: Column, name: str = "island") -> DataFrame:
-    """Number of the run each row is in; ``starts`` says where a new run begins (the first row always does)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(name, F.sum(F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(w))
+def with_islands(df: DataFrame, key: str, order: list[str], starts: Column, width: int, name: str = "island") -> DataFrame:
+    """Number of the run each row is in; ``starts`` says where a new run begins (null, as at the first row, begins one)."""
+    return running(df, key, order, width, sums={name: F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)})
 
 
-def bursts(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
+def bursts(df: DataFrame, key: str, time: str, gap: int, width: int) -> DataFrame:
     """Runs of rows at most ``gap`` apart: ``start``, ``stop`` and ``n``."""
-    w = Window.partitionBy(key).orderBy(time)
-    runs = with_islands(df.withColumn("__gap", F.col(time) - F.lag(time).over(w)), key, [time], F.col("__gap") > gap)
-    return runs.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("n"))
+    rows = with_previous(df.groupBy(key, time).agg(F.count("*").alias("__many")), key, [time], [time], width)
+    runs = with_islands(rows, key, [time], F.col(time) - F.col(f"previous_{time}") > gap, width)
+    return runs.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.sum("__many").alias("n"))
 
 
-def streaks(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    """``streak``: how many rows in a row, up to this one, have the flag."""
-    w = Window.partitionBy(key).orderBy(*order)
-    held = df.withColumn("__flag", F.coalesce(flag, F.lit(False))).withColumn("__group", F.sum(F.when(F.col("__flag"), 0).otherwise(1)).over(w))
-    own = Window.partitionBy(key, "__group").orderBy(*order)
-    return held.withColumn("streak", F.sum(F.when(F.col("__flag"), 1).otherwise(0)).over(own)).drop("__flag", "__group")
+def streaks(df: DataFrame, key: str, order: list[str], flag: Column, width: int) -> DataFrame:
+    """``streak``: how many rows in a row, up to this one, have the flag. ``order`` has to be unique in a key."""
+    held = df.withColumn("__flag", F.coalesce(flag, F.lit(False)))
+    runs = running(held, key, order, width, sums={"__rows": F.lit(1)})
+    runs = running(runs, key, order, width, lasts={"__miss": F.when(~F.col("__flag"), F.col("__rows"))})
+    return runs.withColumn("streak", F.col("__rows") - F.coalesce(F.col("__miss"), F.lit(0))).drop("__flag", "__rows", "__miss")
 
 
-def merge_spans(df: DataFrame, key: str, start: str = "start", stop: str = "stop") -> DataFrame:
+def merge_spans(df: DataFrame, key: str, width: int, start: str = "start", stop: str = "stop") -> DataFrame:
     """Union of overlapping or touching spans of each key."""
-    before = Window.partitionBy(key).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    runs = with_islands(df.withColumn("__reach", F.max(stop).over(before)), key, [start, stop], F.col(start) > F.col("__reach"))
+    spans = df.groupBy(key, start).agg(F.max(stop).alias(stop))
+    reach = running(spans, key, [start], width, maxes={"__reach": F.col(stop)})
+    reach = with_previous(reach, key, [start], ["__reach"], width)
+    runs = with_islands(reach, key, [start], F.col(start) > F.col("previous___reach"), width)
     return runs.groupBy(key, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("island")
 
 
@@ -64,20 +107,20 @@ def legs(ranked: DataFrame, day: str, percent: int) -> DataFrame:
     return ranked.withColumn("leg", F.when(F.col("rank") <= size, 1).when(F.col("rank") > n - size, -1).otherwise(0))
 
 
-def equity_drawdown(df: DataFrame, key: str, order: list[str], gain: str) -> DataFrame:
+def equity_drawdown(df: DataFrame, key: str, order: list[str], gain: str, width: int) -> DataFrame:
     """Running ``equity``, its ``peak`` (0 at least) and ``drawdown``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("equity", F.sum(gain).over(w))
-    run = run.withColumn("peak", F.greatest(F.lit(0), F.max("equity").over(w)))
-    return run.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    run = running(df, key, order, width, sums={"equity": F.col(gain)})
+    run = running(run, key, order, width, maxes={"__peak": F.col("equity")}).withColumn("peak", F.greatest(F.lit(0), F.col("__peak")))
+    return run.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("__peak")
 
 
 def rolling_beta(df: DataFrame, key: str, order: list[str], y: str, x: str, rows: int) -> DataFrame:
-    """``beta`` of y on x over the last ``rows`` rows; null while there are fewer or x does not vary."""
+    """``beta`` of y on x over the last ``rows`` rows and the ``residual`` of the last one; null while there are fewer or x does not vary."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
     n, total = F.count(x).over(w), lambda c: F.sum(c).over(w)
     var = n * total(F.col(x) * F.col(x)) - total(x) * total(x)
-    return df.withColumn("beta", F.when((n == rows) & (var > 0), (n * total(F.col(x) * F.col(y)) - total(x) * total(y)) / var))
+    out = df.withColumns({"beta": F.when((n == rows) & (var > 0), (n * total(F.col(x) * F.col(y)) - total(x) * total(y)) / var), "__mx": total(x) / rows, "__my": total(y) / rows})
+    return out.withColumn("residual", F.col(y) - F.col("__my") - F.col("beta") * (F.col(x) - F.col("__mx"))).drop("__mx", "__my")
 
 
 def trailing_sum(df: DataFrame, key: str, time: str, value: str, span: int) -> DataFrame:
@@ -86,9 +129,10 @@ def trailing_sum(df: DataFrame, key: str, time: str, value: str, span: int) -> D
     return df.withColumn("trailing", F.sum(value).over(w))
 
 
-def chain_state(df: DataFrame, key: str, order: list[str], previous: str, current: str) -> DataFrame:
-    """Sequence audit: ``snapshot`` (first), ``update`` (chained), ``no_update`` (repeats), else ``gap``."""
+def chain_state(df: DataFrame, key: str, order: list[str], previous: str, current: str, reset: str | None = None) -> DataFrame:
+    """Sequence audit: ``snapshot`` (first), ``maintenance_reset`` (the flag ``reset``, and numbers start again), ``update`` (chained), ``no_update`` (repeats), else ``gap``."""
     w = Window.partitionBy(key).orderBy(*order)
     held = df.withColumn("__last", F.lag(current).over(w))
-    state = F.when(F.col("__last").isNull(), "snapshot").when(F.col(current) == F.col("__last"), "no_update").when(F.col(previous) == F.col("__last"), "update")
+    reset = F.col(reset) if reset else F.lit(False)
+    state = F.when(F.col("__last").isNull(), "snapshot").when(reset & (F.col(current) < F.col("__last")), "maintenance_reset").when(F.col(current) == F.col("__last"), "no_update").when(F.col(previous) == F.col("__last"), "update")
     return held.withColumn("state", state.otherwise("gap")).drop("__last")

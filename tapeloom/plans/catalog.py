@@ -49,11 +49,11 @@ def p6_p14_scalars(spark, sf):
     return tape(spark, sf).select("event_id", side(F.col("value"), 20).cast("int").alias("side"), first_positive(F.col("k"), F.col("c")).alias("first_up"))
 
 
-@query("SELECT event_id, CAST((CAST(k AS DECIMAL(20,10)) + CAST(k + 1 AS DECIMAL(20,10))) / 2 AS DOUBLE) AS mid, CAST(c / 100 AS VARCHAR) IS NOT NULL AS shown, sha256(props) AS digest, regexp_replace('token=' || k || ' x', '(?i)(token|secret|password|apikey)=\\S+', '\\1=***') AS clean FROM e WHERE k > 0")
+@query("SELECT event_id, k || '.5' AS mid, rtrim(rtrim(CAST(CAST(c AS DECIMAL(18,4)) / 100 AS DECIMAL(18,4))::VARCHAR, '0'), '.') AS shown, sha256(props) AS digest, regexp_replace('token=' || k || ' x', '(?i)(token|secret|password|apikey)=\\S+', '\\1=***') AS clean FROM e WHERE k > 0")
 def f_scalar_functions(spark, sf):
     e = tape(spark, sf).where("k > 0")
-    mid = mid_price(F.col("k").cast("string"), (F.col("k") + 1).cast("string")).cast("double")
-    return e.select("event_id", mid.alias("mid"), canonical_decimal(F.col("c") / 100).isNotNull().alias("shown"), F.sha2("props", 256).alias("digest"), redact(F.concat(F.lit("token="), "k", F.lit(" x"))).alias("clean"))
+    mid = mid_price(F.col("k").cast("string"), (F.col("k") + 1).cast("string"))
+    return e.select("event_id", canonical_decimal(mid).alias("mid"), canonical_decimal(F.col("c").cast("decimal(18,4)") / 100).alias("shown"), F.sha2("props", 256).alias("digest"), redact(F.concat(F.lit("token="), "k", F.lit(" x"))).alias("clean"))
 
 
 @query("""SELECT a.event_type, a.bucket, a.cents, b.cents AS prior_cents FROM (SELECT event_type, t // 3600000000 AS bucket, sum(c) AS cents FROM e GROUP BY 1, 2) a
@@ -102,11 +102,11 @@ _SPANS = """, g AS (SELECT user_id, event_type, t, CASE WHEN t - lag(t) OVER w <
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY t) AS island FROM g), s AS (SELECT user_id, event_type, min(t) AS start, max(t) AS stop FROM i GROUP BY user_id, event_type, island)"""
 
 
-@query(f"{_E}{_SPANS} SELECT a.user_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND a.start < b.stop AND b.start < a.stop")
+@query("""SELECT a.user_id, greatest(a.t, b.t) AS start, least(a.t + a.k * 600000000, b.t + b.k * 600000000) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click'
+ WHERE greatest(a.t, b.t) < least(a.t + a.k * 600000000, b.t + b.k * 600000000)""")
 def j18_intersect_spans(spark, sf):
-    e = tape(spark, sf)
-    views, clicks = (ordered.bursts(_kind(e, kind), "user_id", "t", 6 * HOUR) for kind in ("view", "click"))
-    return joins.intersect_spans(views, clicks, "user_id")
+    spans = tape(spark, sf).select("user_id", "event_type", F.col("t").alias("start"), (F.col("t") + F.col("k") * 10 * MINUTE).alias("stop"))
+    return joins.intersect_spans(_kind(spans, "view"), _kind(spans, "click"), "user_id", 8 * HOUR)
 
 
 @query("SELECT bucket FROM (SELECT unnest(range(min(t) // 60000000, max(t) // 60000000 + 1)) AS bucket FROM e) EXCEPT SELECT t // 60000000 FROM e")
@@ -114,9 +114,11 @@ def j22_missing_slots(spark, sf):
     return joins.missing_slots(tape(spark, sf), "t", MINUTE)
 
 
-@query("SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)")
+@query("SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) b ON a.c_nationkey = b.s_nationkey WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
 def j23_multiset_difference(spark, sf):
-    return read_table(spark, sf, "customer").select("c_nationkey").exceptAll(read_table(spark, sf, "supplier").select("s_nationkey")).agg(F.count("*").alias("n"))
+    """Rows of two relations that do not occur equally often, with both counts."""
+    a, b = read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), read_table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return agg.multiset_difference(a, b)
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (value <= 0) AS not_positive, count(*) FILTER (k IS NULL) AS no_k, count(*) FILTER (event_type = 'error') AS errors, min(t) AS first_t, max(t) AS last_t FROM e")
@@ -157,16 +159,14 @@ def w1_last_per_bucket(spark, sf):
 
 @query("SELECT event_id, row_number() OVER w AS ordinal, lag(event_type) OVER w AS previous, lag(c) OVER w AS previous_c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)")
 def w4_lifecycle(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    return tape(spark, sf).select("event_id", F.row_number().over(w).cast("long").alias("ordinal"), F.lag("event_type").over(w).alias("previous"), F.lag("c").over(w).alias("previous_c"))
+    found = ordered.with_previous(tape(spark, sf), "user_id", ["t", "event_id"], ["event_type", "c"], 24 * HOUR)
+    return found.select("event_id", "ordinal", F.col("previous_event_type").alias("previous"), "previous_c")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN c END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS filled_bid FROM e")
 def w5_forward_fill(spark, sf):
     e = tape(spark, sf).withColumn("bid", F.when(F.col("event_type") == "purchase", F.col("c")))
-    return ordered.forward_fill(e, "user_id", ["t", "event_id"], ["bid"]).select("event_id", "filled_bid")
+    return ordered.forward_fill(e, "user_id", ["t", "event_id"], ["bid"], 24 * HOUR).select("event_id", "filled_bid")
 
 
 @query("SELECT user_id, t AS hole_from, nt AS hole_to FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt FROM e) WHERE nt - t > 43200000000")
@@ -177,13 +177,13 @@ def w6_holes(spark, sf):
 @query(f"{_E}{_SPANS} SELECT user_id, event_type, start, stop FROM s")
 def w13_islands(spark, sf):
     lanes = tape(spark, sf).withColumn("lane", F.struct("user_id", "event_type"))
-    return ordered.bursts(lanes, "lane", "t", 6 * HOUR).select("lane.user_id", "lane.event_type", "start", "stop")
+    return ordered.bursts(lanes, "lane", "t", 6 * HOUR, 24 * HOUR).select("lane.user_id", "lane.event_type", "start", "stop")
 
 
-@query("""SELECT event_id, CASE WHEN up THEN row_number() OVER (PARTITION BY user_id, grp ORDER BY t) - CASE WHEN grp = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak
- FROM (SELECT *, c > 1000 AS up, sum(CASE WHEN c > 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS grp FROM e)""")
+@query("""SELECT event_id, CASE WHEN up THEN row_number() OVER (PARTITION BY user_id, grp ORDER BY t, event_id) - CASE WHEN grp = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak
+ FROM (SELECT *, c > 1000 AS up, sum(CASE WHEN c > 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS grp FROM e)""")
 def w14_streaks(spark, sf):
-    return ordered.streaks(tape(spark, sf), "user_id", ["t"], F.col("c") > 1000).select("event_id", "streak")
+    return ordered.streaks(tape(spark, sf), "user_id", ["t", "event_id"], F.col("c") > 1000, 24 * HOUR).select("event_id", "streak")
 
 
 _DAYS = "SELECT t // 86400000000 AS day, user_id, sum(c) AS v, count(*) AS n FROM e GROUP BY 1, 2"
@@ -202,12 +202,12 @@ def w16_w17_rank_and_legs(spark, sf):
 @query(f"{_E}, d AS ({_DAYS}), q AS (SELECT *, sum(v - 2000) OVER (PARTITION BY user_id ORDER BY day) AS equity FROM d), p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY user_id ORDER BY day)) AS peak FROM q) SELECT user_id, day, equity, peak, peak - equity AS drawdown FROM p")
 def w23_drawdown(spark, sf):
     gains = _user_days(spark, sf).withColumn("g", F.col("v") - 2000)
-    return ordered.equity_drawdown(gains, "user_id", ["day"], "g").select("user_id", "day", "equity", "peak", "drawdown")
+    return ordered.equity_drawdown(gains, "user_id", ["day"], "g", 7).select("user_id", "day", "equity", "peak", "drawdown")
 
 
-@query(f"{_E}, d AS ({_DAYS}) SELECT user_id, day, CASE WHEN count(n) OVER w = 5 AND 5 * sum(n * n) OVER w > (sum(n) OVER w) ** 2 THEN CAST(5 * sum(v * n) OVER w - sum(v) OVER w * sum(n) OVER w AS DOUBLE) / CAST(5 * sum(n * n) OVER w - sum(n) OVER w * sum(n) OVER w AS DOUBLE) END AS beta FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING)")
+@query(f"{_E}, d AS ({_DAYS}) SELECT user_id, day, CASE WHEN count(n) OVER w = 5 AND 5 * sum(n * n) OVER w > (sum(n) OVER w) ** 2 THEN CAST(5 * sum(v * n) OVER w - sum(v) OVER w * sum(n) OVER w AS DOUBLE) / CAST(5 * sum(n * n) OVER w - sum(n) OVER w * sum(n) OVER w AS DOUBLE) END AS beta, round(v - avg(v) OVER w - beta * (n - avg(n) OVER w), 6) + 0.0 AS residual FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING)")
 def w21_rolling_beta(spark, sf):
-    return ordered.rolling_beta(_user_days(spark, sf), "user_id", ["day"], "v", "n", 5).select("user_id", "day", "beta")
+    return ordered.rolling_beta(_user_days(spark, sf), "user_id", ["day"], "v", "n", 5).select("user_id", "day", "beta", (F.round("residual", 6) + 0.0).alias("residual"))
 
 
 @query("SELECT event_id, sum(c) OVER (PARTITION BY user_id ORDER BY t RANGE 21599999999 PRECEDING) AS trailing FROM e")
@@ -219,19 +219,19 @@ def t14_trailing_sum(spark, sf):
  CASE WHEN t > max(t + k * 600000000) OVER (PARTITION BY user_id ORDER BY t, t + k * 600000000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS fresh FROM e)) GROUP BY user_id, island""".replace("CASE WHEN t >", "CASE WHEN (t >").replace("1 PRECEDING) IS NOT", "1 PRECEDING)) IS NOT"))
 def w28_merge_spans(spark, sf):
     spans = tape(spark, sf).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("k") * 10 * MINUTE).alias("stop"))
-    return ordered.merge_spans(spans, "user_id")
+    return ordered.merge_spans(spans, "user_id", 24 * HOUR)
 
 
-@query("SELECT event_id, CASE WHEN lk IS NULL THEN 'snapshot' WHEN k = lk THEN 'no_update' WHEN k - 1 = lk THEN 'update' ELSE 'gap' END AS state FROM (SELECT event_id, k, lag(k) OVER (PARTITION BY user_id ORDER BY t) AS lk FROM e)")
+@query("SELECT event_id, CASE WHEN lk IS NULL THEN 'snapshot' WHEN event_type = 'error' AND k < lk THEN 'maintenance_reset' WHEN k = lk THEN 'no_update' WHEN k - 1 = lk THEN 'update' ELSE 'gap' END AS state FROM (SELECT event_id, event_type, k, lag(k) OVER (PARTITION BY user_id ORDER BY t, event_id) AS lk FROM e)")
 def t5_chain_state(spark, sf):
-    e = tape(spark, sf).withColumn("before", F.col("k") - 1)
-    return ordered.chain_state(e, "user_id", ["t"], "before", "k").select("event_id", "state")
+    e = tape(spark, sf).withColumns({"before": F.col("k") - 1, "reset": F.col("event_type") == "error"})
+    return ordered.chain_state(e, "user_id", ["t", "event_id"], "before", "k", "reset").select("event_id", "state")
 
 
-@query("SELECT event_type, round(avg(c), 6) AS mean, count(*) AS n, round(stddev_samp(c), 6) AS sd, round(avg(CASE WHEN c > 1000 THEN 1.0 ELSE 0.0 END), 6) AS wins FROM e GROUP BY 1")
+@query("SELECT event_type, round(avg(c), 6) AS mean, count(*) AS n, round(stddev_samp(c), 6) AS sd, round(avg(CASE WHEN c > 1000 THEN 1.0 ELSE 0.0 END), 6) AS wins, round((avg(c) - 1000) / stddev_samp(c), 6) AS ratio, round(sum(greatest(c - 1000, 0)) / sum(greatest(1000 - c, 0)), 6) AS factor FROM e GROUP BY 1")
 def a20_gain_block(spark, sf):
     e = tape(spark, sf).withColumn("g", F.col("c") - 1000)
-    return agg.gain_block(e, ["event_type"], "g").select("event_type", F.round(F.col("mean") + 1000, 6).alias("mean"), "n", F.round("sd", 6).alias("sd"), F.round("wins", 6).alias("wins"))
+    return agg.gain_block(e, ["event_type"], "g").select("event_type", F.round(F.col("mean") + 1000, 6).alias("mean"), "n", *[F.round(c, 6).alias(c) for c in ("sd", "wins", "ratio", "factor")])
 
 
 @query("SELECT event_id, stress, round(value - 2 * 10 / 10000 * stress, 8) AS net FROM events, (VALUES (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) s(stress)")
@@ -258,7 +258,9 @@ def o2_ordered_limit(spark, sf):
     return tape(spark, sf).orderBy("t", "event_id").limit(50).select("event_id", "user_id", "t")
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+@query("SELECT hour, count(*) AS sides FROM (SELECT DISTINCT t // 3600000000 AS hour, event_type FROM e WHERE event_type IN ('error', 'signup')) GROUP BY 1 HAVING max(event_type) = 'error' UNION ALL SELECT DISTINCT t // 3600000000, 0 FROM e WHERE event_type IN ('error', 'signup')")
 def u5_set_difference(spark, sf):
-    e = read_table(spark, sf, "events")
-    return _kind(e, "error").select("user_id").subtract(_kind(e, "signup").select("user_id"))
+    """Hours with errors and no signups, then the union of both sets of hours."""
+    hours = lambda name: _kind(tape(spark, sf), name).select(bucket(F.col("t"), HOUR).alias("hour"))
+    alone = hours("error").subtract(hours("signup")).withColumn("sides", F.lit(1).cast("long"))
+    return alone.unionByName(hours("error").union(hours("signup")).distinct().withColumn("sides", F.lit(0).cast("long")))

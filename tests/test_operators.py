@@ -31,7 +31,7 @@ def test_grid_of_an_empty_table_is_empty(spark):
 
 def test_merge_spans_joins_touching_ones(spark):
     df = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 1, 2), ("a", 9, 10)], "k string, start long, stop long")
-    assert got(ordered.merge_spans(df, "k").select("start", "stop")) == [(0, 7), (9, 10)]
+    assert got(ordered.merge_spans(df, "k", 4).select("start", "stop")) == [(0, 7), (9, 10)]
 
 
 def test_scalars(spark):
