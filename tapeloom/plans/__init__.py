@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by name, each with the SQL it is compared with."""
 
-from tapeloom.plans import catalog, market, record_views, scalars
+from tapeloom.plans import catalog, market, record_views, research, scalars
 from tapeloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "market", "record_views", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "market", "record_views", "research", "scalars"]

@@ -30,7 +30,10 @@ def query(sql: str | None, name: str | None = None):
         QUERIES[key] = fn
         if sql is not None:
             text = sql.strip()
+            text = text.replace("WITH RECURSIVE ", "WITH ", 1) if (recursive := text.startswith("WITH RECURSIVE ")) else text
             ORACLE_SQL[key] = f"WITH {EVENTS}, {text[5:]}" if text.startswith("WITH ") and "e AS (SELECT *, epoch_us" not in text else text if text.startswith("WITH ") else f"WITH {EVENTS} {text}"
+            if recursive:
+                ORACLE_SQL[key] = ORACLE_SQL[key].replace("WITH ", "WITH RECURSIVE ", 1)
         return fn
 
     return put
