@@ -16,11 +16,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no such folder is named (tests, a laptop) a temporary one is made and set.
+    Only a local session may leave it unset (tests, a laptop): a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="tapeloom-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
