@@ -1,8 +1,10 @@
 """Personal data: patterns propose spans, checksum validators confirm, nearby context words adjust the score.
 
-Base kinds (fixed contract): email, ip, card, phone. The method adds iban (confirmed by mod-97) and
-keeps every base span. Every span has a score: a prior by kind, raised by a validator that confirms it and
-by words such as "card" or "tel" close to it, lowered by words such as "version" or "order".
+Base kinds (fixed contract): email, ip, card, phone; every base span stays. The method adds iban (confirmed by mod-97) and
+secret (keys, tokens and passwords: confirmed by a known format or by their mix of characters). Every span has a score: a prior by kind,
+raised by a validator that confirms it and by words such as "card" or "password" close to it, lowered by words such as
+"version" or "order". A span of an added kind is given out only from a score of LEAST_ADDED on, so a mixed string is a
+secret beside "token" and is none beside "commit" or alone.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeloom.llm.batches import map_texts
 from tapeloom.sources import read_table
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
+BASE = KINDS[:4]
 
 # Possessive quantifiers and look-behinds keep the search linear on long runs; the matches are those
 # of the plain patterns, as a later start in a run of digits fails where its first digit fails.
@@ -23,11 +26,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+")
+# Leading characters and lengths of keys that some services hand out.
+_KNOWN_SECRET = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Score of a proposed span, before and after its validator confirms it.
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.3, "phone": 0.4, "iban": 0.4}
-CONFIRMED = {"email": 0.0, "ip": 0.2, "card": 0.5, "phone": 0.2, "iban": 0.5}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.3, "phone": 0.4, "iban": 0.4, "secret": 0.35}
+CONFIRMED = {"email": 0.0, "ip": 0.2, "card": 0.5, "phone": 0.2, "iban": 0.5, "secret": 0.3}
+#: Spans of kinds beside the base ones are given out from this score on.
+LEAST_ADDED = 0.5
 #: Context words and how far around a span they are looked for, in characters.
 CONTEXT_CHARS = 40
 CONTEXT = {
@@ -36,8 +44,9 @@ CONTEXT = {
     "card": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.I),
     "phone": re.compile(r"tel|phone|call|mobil|fax", re.I),
     "iban": re.compile(r"iban|bank|account|konto|compte|cuenta", re.I),
+    "secret": re.compile(r"token|secret|passw|pwd|kennwort|contrase|mot de passe|api.?key|bearer|credential", re.I),
 }
-COUNTER_CONTEXT = re.compile(r"version|order|invoice|isbn|serial|build", re.I)
+COUNTER_CONTEXT = re.compile(r"version|order|invoice|isbn|serial|build|commit|checksum|revision", re.I)
 CONTEXT_STEP = 0.15
 
 
@@ -76,6 +85,20 @@ def _ibans(text: str):
                 break
 
 
+def mixed(text: str) -> bool:
+    """Whether digits and letters change often in ``text``, as they do in drawn strings and not in names with a number."""
+    kinds = [c.isdigit() for c in text if c.isalnum()]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    return changes >= 4 and len(set(text.lower())) >= 8
+
+
+def _secrets(text: str):
+    """Strings of a known format or with both digits and letters."""
+    for m in _SECRET.finditer(text):
+        if _KNOWN_SECRET.fullmatch(m[0]) or (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+            yield m.span()
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, score) by start, then kind; code points, end exclusive."""
     if not text:
@@ -91,14 +114,24 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
     found += [("iban", a, b) for a, b in _ibans(text)]
-    found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return [(k, a, b, span_score(text, k, a, b)) for k, a, b in found]
+    found += [("secret", a, b) for a, b in _secrets(text)]
+    scored = [(k, a, b, span_score(text, k, a, b)) for k, a, b in found]
+    scored = [s for s in scored if s[0] in BASE or s[3] >= LEAST_ADDED]
+    scored.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+    return scored
+
+
+def confirmed(kind: str, value: str) -> float:
+    """How far the validator of its kind confirms a proposal; base spans and ibans are only proposed if it does."""
+    if kind != "secret":
+        return CONFIRMED[kind]
+    return CONFIRMED[kind] if _KNOWN_SECRET.fullmatch(value) else CONFIRMED[kind] / 3 if mixed(value) else 0.0
 
 
 def span_score(text: str, kind: str, start: int, end: int) -> float:
     """Prior, validator and context words together, from 0 to 1."""
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
-    score = PRIOR[kind] + CONFIRMED[kind] + CONTEXT_STEP * (bool(CONTEXT[kind].search(near)) - bool(COUNTER_CONTEXT.search(near)))
+    score = PRIOR[kind] + confirmed(kind, text[start:end]) + CONTEXT_STEP * (bool(CONTEXT[kind].search(near)) - bool(COUNTER_CONTEXT.search(near)))
     return round(min(1.0, max(0.0, score)), 4)
 
 
@@ -118,7 +151,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def mask_texts(df: DataFrame, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """``df`` with every span in ``text_col`` replaced by its kind in angle brackets; other columns stay.
 
-    Overlapping spans are replaced together under the kind that starts first. Null texts stay null.
+    Spans below ``least_score`` stay as they are. Overlapping spans are replaced together under the kind that starts
+    first. Null texts stay null.
     """
 
     def masked(text: str | None) -> str | None:
@@ -139,13 +173,14 @@ def mask_texts(df: DataFrame, text_col: str = "text", least_score: float = 0.0)
 
 
 def digest_spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and the list of all spans."""
+    """Counts of the base kinds, the digest of the base spans, the list of all spans, and their scores in the same order."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    base = F.filter("found", lambda s: s["kind"].isin(*KINDS[:4]))
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     of_kind = lambda k: F.filter("found", lambda s: s["kind"] == k)
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select(F.col(id_col), *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select(F.col(id_col), *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"), F.transform("found", lambda s: s["score"]).alias("scores"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every row of ``documents``, digested; see :func:`find_pii` for nulls, repeats and empty tables."""
     return digest_spans(find_pii(read_table(spark, sf_dir, "documents")))
