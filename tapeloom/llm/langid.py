@@ -22,13 +22,16 @@ DICTIONARY_BYTES = 131_072
 LEVEL = 3
 #: Least relative margin between the two smallest sizes; below it the language is rejected.
 MARGIN = 0.002
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_MARKS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """What is compressed: the text in lower case, each run without letters as one space; empty without a letter."""
-    found = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return f" {found} ".encode() if found else b""
+    """What is compressed: the text in lower case, each run of marks and digits as one space; empty without a letter.
+
+    Letters are the characters of the letter categories; superscripts, fractions and numerals such as Ⅷ are none.
+    """
+    found = _MARKS.sub(" ", text.lower()).strip() if text else ""
+    return f" {found} ".encode() if any(map(str.isalpha, found)) else b""
 
 
 def train_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -95,6 +98,7 @@ def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], key_cols:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``, learned from rows that are not held out; see :func:`identify_languages` for nulls."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     dictionaries = train_dictionaries(docs.where(~held_out))
