@@ -129,14 +129,14 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
 
 
 def links(classes: DataFrame, distance: int = 2, agree: int = 2) -> DataFrame:
-    """Edges (``a``, ``b``) of ``rep`` between distinct fingerprints (``fp``, ``rep``) within ``distance`` bits.
+    """Edges (``a``, ``b``) between distinct fingerprints (``fp``) within ``distance`` bits.
 
     The edges span the same components as all links do.
     """
     fp, n_blocks = F.col("fp"), distance + agree
     blocks = block_bounds(0, 64, n_blocks)
     combos = list(combinations(range(n_blocks), agree))
-    keyed = classes.select("fp", "rep", F.explode(F.array(*[_key(fp, [blocks[i] for i in c], n) for n, c in enumerate(combos)])).alias("key"))
+    keyed = classes.select("fp", F.explode(F.array(*[_key(fp, [blocks[i] for i in c], n) for n, c in enumerate(combos)])).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.lit(True).alias("large"))
 
     def finer(c: tuple[int, ...]) -> Column:
@@ -146,14 +146,14 @@ def links(classes: DataFrame, distance: int = 2, agree: int = 2) -> DataFrame:
 
     choice = F.coalesce(*[F.when(F.col("key.n") == n, finer(c)) for n, c in enumerate(combos)])
     split = keyed.join(large, "key", "left").select(
-        "fp", "rep", "key", F.explode(F.when(F.col("large"), choice).otherwise(F.array(_key(fp, [], -1)))).alias("sub")
+        "fp", "key", F.explode(F.when(F.col("large"), choice).otherwise(F.array(_key(fp, [], -1)))).alias("sub")
     )
-    grouped = split.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").select("key.n", "key.bits", F.col("sub.n").alias("sub_n"), F.col("sub.bits").alias("sub_bits"), "fp", "rep")
+    grouped = split.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").select("key.n", "key.bits", F.col("sub.n").alias("sub_n"), F.col("sub.bits").alias("sub_bits"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             cut = change[-1] if len(change) else 0
@@ -167,7 +167,7 @@ def links(classes: DataFrame, distance: int = 2, agree: int = 2) -> DataFrame:
             group = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)])
             a, b = linked(cols[4].view(np.uint64), group, distance)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[5][a]), pa.array(cols[5][b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[4][a]), pa.array(cols[4][b])], names=["a", "b"])
 
     return grouped.mapInArrow(run, "a long, b long")
 
@@ -175,17 +175,19 @@ def links(classes: DataFrame, distance: int = 2, agree: int = 2) -> DataFrame:
 def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 2, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``fp`` and ``component_id``, the smallest id reachable over links, for every row.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null id get the
-    component of their fingerprint. Repeated ids and texts are kept row by row, further columns are left
+    Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null id link others and get the
+    component of their fingerprint, null where no row in it has an id. Repeated ids and texts are kept row by row, further columns are left
     out, an empty table gives an empty result.
     """
     docs = written(fingerprints(df.withColumn("__id", F.col(f"`{id_col}`").cast("long")), shingle, "__id", text_col), "fingerprints")
     classes = written(docs.groupBy("fp").agg(F.min("__id").alias("rep")), "classes")
-    found = components(links(classes.where("rep is not null"), distance, agree))
-    labels = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return docs.join(labels, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    found = components(links(classes, distance, agree))  # over fingerprints, so those that only rows without an id have link others too
+    labels = written(classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")), "labels")
+    least = labels.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return docs.join(labels.join(least, "c").select("fp", "component_id"), "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see :func:`near_duplicates` for nulls, repeats and empty tables."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
