@@ -24,9 +24,11 @@ from tapeloom.llm.batches import map_texts
 from tapeloom.llm.draws import drawn_labels
 from tapeloom.sources import read_table
 
-#: Bounds of the training sample: texts of each quality label and bytes of a text (longer ones are not used).
+#: Bounds of the training sample: texts of each quality label, bytes and lines of a text (longer ones are not used).
 SAMPLE_ROWS = 500
-SAMPLE_ROW_BYTES = 16_384
+SAMPLE_ROW_BYTES, SAMPLE_ROW_LINES = 16_384, 1_000
+#: Lines that are padded to one length and handled together in fitting.
+FIT_LINES = 20_000
 ROUNDS, ITERATIONS, STEP, DECAY = 3, 80, 0.1, 0.001
 WINDOW = 8
 LEAST_WORDS = 20
@@ -110,33 +112,43 @@ class LineModel:
         return float((sizes * self.viterbi(line_features(lines))).sum() / sizes.sum())
 
     def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], weight: np.ndarray, iterations: int) -> None:
-        """Raise the weighted conditional log likelihood of the label sequences."""
+        """Raise the weighted conditional log likelihood of the label sequences, texts of like length at a time."""
+        order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
+        parts: list[list[int]] = [[]]
+        for i in order:
+            if parts[-1] and (len(parts[-1]) + 1) * len(xs[i]) > FIT_LINES:
+                parts.append([])
+            parts[-1].append(i)
+        total, step, state = float(weight @ [len(x) for x in xs]), 0, [np.zeros_like(v) for v in (self.w, self.w, self.t, self.t)]
+        for _ in range(iterations):
+            found = [self.gradients([xs[i] for i in part], [ys[i] for i in part], weight[part]) for part in parts]
+            g_w, g_t = (sum(g[k] for g in found) / total for k in range(2))
+            step += 1
+            for k, (v, g) in enumerate(((self.w, g_w - DECAY * self.w), (self.t, g_t - DECAY * self.t))):
+                state[2 * k] = 0.9 * state[2 * k] + 0.1 * g
+                state[2 * k + 1] = 0.99 * state[2 * k + 1] + 0.01 * g * g
+                v += STEP * state[2 * k] / (1 - 0.9**step) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
+
+    def gradients(self, xs: list[np.ndarray], ys: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the weighted log likelihood by emissions and transitions."""
         m = max(len(x) for x in xs)
         x, y, on = np.zeros((len(xs), m, FEATURES)), np.zeros((len(xs), m), int), np.zeros((len(xs), m), bool)
         for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
             x[i, : len(a)], y[i, : len(a)], on[i, : len(a)] = a, b, True
         truth = np.eye(2)[y] * on[:, :, None]
         pair = on[:, 1:] & on[:, :-1]
-        seen_t = np.einsum("nta,ntb,nt->ab", truth[:, :-1], truth[:, 1:], pair * weight[:, None])
-        total, step, state = (on * weight[:, None]).sum(), 0, [np.zeros_like(v) for v in (self.w, self.w, self.t, self.t)]
-        for _ in range(iterations):
-            e = x @ self.w
-            fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-            fwd[:, 0] = e[:, 0]
-            for k in range(1, m):
-                fwd[:, k] = np.where(on[:, k, None], np.logaddexp.reduce(fwd[:, k - 1, :, None] + self.t, axis=1) + e[:, k], fwd[:, k - 1])
-            for k in range(m - 2, -1, -1):
-                bwd[:, k] = np.where(on[:, k + 1, None], np.logaddexp.reduce(self.t + (e[:, k + 1] + bwd[:, k + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            p = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
-            p2 = np.exp(fwd[:, :-1, :, None] + self.t + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-            g_w = np.einsum("ntf,nta->fa", x, (truth - p) * weight[:, None, None]) / total - DECAY * self.w
-            g_t = (seen_t - np.einsum("ntab,n->ab", p2, weight)) / total - DECAY * self.t
-            step += 1
-            for k, (v, g) in enumerate(((self.w, g_w), (self.t, g_t))):
-                state[2 * k] = 0.9 * state[2 * k] + 0.1 * g
-                state[2 * k + 1] = 0.99 * state[2 * k + 1] + 0.01 * g * g
-                v += STEP * state[2 * k] / (1 - 0.9**step) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
+        e = x @ self.w
+        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+        fwd[:, 0] = e[:, 0]
+        for k in range(1, m):
+            fwd[:, k] = np.where(on[:, k, None], np.logaddexp.reduce(fwd[:, k - 1, :, None] + self.t, axis=1) + e[:, k], fwd[:, k - 1])
+        for k in range(m - 2, -1, -1):
+            bwd[:, k] = np.where(on[:, k + 1, None], np.logaddexp.reduce(self.t + (e[:, k + 1] + bwd[:, k + 1])[:, None, :], axis=2), 0)
+        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+        p = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
+        p2 = np.exp(fwd[:, :-1, :, None] + self.t + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
+        seen = np.einsum("nta,ntb,nt->ab", truth[:, :-1], truth[:, 1:], pair * weight[:, None])
+        return np.einsum("ntf,nta->fa", x, (truth - p) * weight[:, None, None]), seen - np.einsum("ntab,n->ab", p2, weight)
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -176,7 +188,8 @@ def _model(blob: bytes, digest: str) -> LineModel:
 def train_on(labelled: DataFrame, text_col: str = "text", label_col: str = "quality") -> LineModel:
     """Fit on at most SAMPLE_ROWS texts of each label, those with the smallest hashes; nulls and longer texts are not used."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    rows = rows.where(F.octet_length("text").between(1, SAMPLE_ROW_BYTES)).withColumn("h", F.xxhash64("text"))
+    lines = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = rows.where(F.octet_length("text").between(1, SAMPLE_ROW_BYTES) & (lines < SAMPLE_ROW_LINES)).withColumn("h", F.xxhash64("text"))
     taken = [r for label in (0, 1) for r in rows.where(F.col("y") == label).orderBy("h", "text").limit(SAMPLE_ROWS).collect()]
     return train([r["text"] for r in taken], [r["y"] for r in taken])
 
@@ -210,6 +223,7 @@ def judge_texts(df: DataFrame, model: LineModel, id_col: str = "doc_id", text_co
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row of ``documents``; see :func:`judge_texts` for nulls, repeats and empty tables."""
     docs = read_table(spark, sf_dir, "documents")
     labels = drawn_labels(read_table(spark, sf_dir, "labels"), 2 * SAMPLE_ROWS, "quality")
     return judge_texts(docs, train_on(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")))
