@@ -155,6 +155,7 @@ def digest_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every row of ``documents``, digested; nulls count as empty, repeats are kept row by row."""
     import public_tokenizers as vocab
 
     return digest_texts(read_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)

@@ -30,7 +30,7 @@ TABLES, WEAK = 12, 3
 BLOCK_BITS = WORDS * 64 // TABLES
 #: Two standard deviations of the distance at a similarity of 0.8; the shingle sets decide.
 SLACK_BITS = 12
-REFERENCES = 4
+REFERENCES = 12
 #: Larger groups are split into chunks of about this size, and every two chunks meet in a task.
 GROUP_ROWS = 16_384
 #: Groups from this size first compare all rows with a few leading rows.

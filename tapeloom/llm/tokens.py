@@ -107,6 +107,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every row of ``documents``; see :func:`count_tokens` for nulls, repeats and empty tables."""
     import public_tokenizers as vocab
 
     return count_tokens(read_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), vocab.PATTERN)
