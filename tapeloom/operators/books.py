@@ -8,7 +8,7 @@ from tapeloom.functions.scalars import book_checksum
 
 
 def open_levels(updates: DataFrame, book: str, order: list[str], side: str, level: list[str], quantity: str, snapshot: Column) -> DataFrame:
-    """Levels (or orders) of each book after all updates: the last quantity of each since the last snapshot, without those at zero.
+    """Levels (or orders) of each book after all updates: the last quantity (a number or its text) of each since the last snapshot, without those at zero.
 
     Combined before the shuffle; a book with very many updates is not gathered.
     """
@@ -16,7 +16,7 @@ def open_levels(updates: DataFrame, book: str, order: list[str], side: str, leve
     marks = updates.groupBy(book).agg(F.max(F.when(snapshot, rank)).alias("__from"))
     since = updates.withColumn("__rank", rank).join(marks, book).where(F.col("__from").isNull() | (F.col("__rank") >= F.col("__from")))
     last = since.groupBy(book, side, *level).agg(F.max_by(quantity, "__rank").alias(quantity))
-    return last.where(F.col(quantity) > 0)
+    return last.where(F.col(quantity).try_cast("decimal(38,10)") > 0)
 
 
 def checksums(levels: DataFrame, book: str, side: str, price: str, quantity: str, depth: int = 10) -> DataFrame:

@@ -51,7 +51,7 @@ class View:
 
 
 def _schema(parts: list[tuple[str, str, str]], events_at: str = "", element: T.StructType | None = None) -> T.StructType:
-    """What a payload is parsed into: every leaf as text, so that no digit of a number is lost."""
+    """What a payload is parsed into: every leaf as text, so that no digit of a quoted number is lost; an unquoted one loses zeros at its end."""
     tree: dict = {}
     for path in [p for _, p, _ in parts] + ([events_at] if element else []):
         at = tree
