@@ -20,9 +20,10 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network does not call toxic; null and empty texts stay."""
-    scored = score_texts(docs, trained_on_labels(spark, docs, sf_dir), docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents that the network does not call toxic; null and empty texts stay, and so do further columns of any name."""
+    named = docs.toDF(*[f"__{c}" for c in docs.columns])
+    scored = score_texts(named, trained_on_labels(spark, docs, sf_dir), named.columns, "__text")
+    return scored.where("predicted = 0").select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
