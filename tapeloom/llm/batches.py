@@ -34,8 +34,9 @@ def map_texts(df: DataFrame, key_cols: list, text: str, fn: Callable[[list], dic
     ``df``, whatever their names, are not read.
     """
     named = [c if not isinstance(c, str) else F.col(f"`{c}`") for c in key_cols]
-    picked = df.select(*named, F.col(f"`{text}`").cast("string").alias("__text"))
-    keys = picked.schema.fields[:-1]
+    keys = df.select(*named).schema.fields
+    own = "__text" + "_" * max(len(k.name) for k in [*keys, T.StructField("", T.LongType())])  # a name that no key has
+    picked = df.select(*named, F.col(f"`{text}`").cast("string").alias(own))
     schema = T.StructType([*keys, *T._parse_datatype_string(out).fields])
     arrow, names, last = to_arrow_schema(schema), T._parse_datatype_string(out).names, len(keys)
 
@@ -44,7 +45,7 @@ def map_texts(df: DataFrame, key_cols: list, text: str, fn: Callable[[list], dic
             for part in slices(batch, last, most):
                 made = fn(part.column(last).to_pylist())
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(last)]
-                columns += [pa.array(made[n], type=arrow.field(n).type) for n in names]
+                columns += [pa.array(made[n], type=arrow.field(last + k).type) for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return picked.mapInArrow(run, schema)
