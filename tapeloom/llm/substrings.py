@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,7 +38,7 @@ from tapeloom.sources import read_table, written
 LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and rows of its files that are in memory at a time.
 COLLECTION = 20_000
-BLOCK_ROWS = 1 << 17
+BLOCK_ROWS = 1 << 20
 #: Documents' bytes whose anchors are packed together, and segments that are made distinct together.
 BLOCK_BYTES = 3_000_000
 BUFFER = 60_000
@@ -48,7 +49,7 @@ BUCKET_BYTES = 20_000_000
 SAMPLE_DOCUMENTS, SAMPLE_ONE_IN, SAMPLE_ROW_BYTES = 600, 3000, 65_536
 FREQUENT_IN, FREQUENT_MOST = 5, 1_000_000
 #: Level at which texts are compressed for the shuffle.
-PACK_LEVEL = 5
+PACK_LEVEL = 1
 _PLACE = np.uint64((1 << 30) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(1 << 63)
@@ -74,20 +75,18 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 class Frequent:
     """A set of gram hashes: a table by their leading bits says no at once for most others."""
 
-    BITS = 22
-
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes.astype(np.uint64))
-        self.table = np.zeros(1 << self.BITS, bool)
-        self.table[self.hashes >> np.uint64(64 - self.BITS)] = True
+        self.shift = np.uint64(64 - min(24, len(hashes).bit_length() + 5))
+        self.table = np.zeros(1 << 64 - int(self.shift), bool)
+        self.table[self.hashes >> self.shift] = True
 
     def among(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``h`` that hold a hash of the set."""
         if not len(self.hashes):
-            return np.zeros(len(h), bool)
-        out = self.table[h >> np.uint64(64 - self.BITS)]
-        at = np.flatnonzero(out)
-        out[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]
-        return out
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[h >> self.shift])
+        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]]
 
 
 NONE_FREQUENT = Frequent(np.zeros(0, np.uint64))
@@ -103,9 +102,9 @@ def anchors(raw: np.ndarray, frequent: Frequent = NONE_FREQUENT, length: int = L
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     h = gram_hashes(raw)
-    often = frequent.among(h)
-    rank = h >> np.uint64(1)
-    rank[often] |= _LAST
+    rank, often, at = h >> np.uint64(1), np.zeros(len(h), bool), frequent.among(h)
+    rank[at] |= _LAST
+    often[at] = True
     least = (rank & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, over = 1, length - GRAM + 1
     while width * 2 <= over:
@@ -170,7 +169,7 @@ def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) ->
                 continue
             h, own = np.concatenate(hashes), np.concatenate(owners)
             bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")  # within a bucket by document, within a document by hash
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 65_536 else bucket, kind="stable")  # within a bucket by document, within a document by hash
             bucket, h, own = bucket[order], _middle(h[order]), own[order]
             cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(h)]
             keys = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
@@ -184,7 +183,7 @@ def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) ->
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole buckets, in order, to rows (id, v1, v2, hashes) with the anchors that other texts under other ids have too.
+    """Rows of whole buckets, in order, to rows (id, v1, v2, hash) with the anchors that other texts under other ids have too.
 
     Of equal texts only the one with the smallest id goes on; all of them have the same anchors, so every bucket
     chooses the same one.
@@ -216,14 +215,9 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         own = ids[doc]
         keep = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), np.diff(np.r_[first, len(h)]))
         h, doc = h[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        flat, bounds = _short(h), (np.r_[cuts, len(h)] * 5).tolist()
-        for at in range(0, len(cuts), 10_000):
-            some = doc[cuts[at : at + 10_000]]
-            out = [flat[bounds[i] : bounds[i + 1]] for i in range(at, at + len(some))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(v1[some]), pa.array(v2[some]), pa.array(out, pa.binary())], names=["id", "v1", "v2", "hashes"])
+        for at in range(0, len(h), 200_000):
+            some = doc[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(v1[some]), pa.array(v2[some]), pa.array(h[at : at + 200_000].view(np.int64))], names=["id", "v1", "v2", "hash"])
 
     last = None
     for batch in batches:
@@ -262,7 +256,7 @@ def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iter
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[first[1:], len(at)] - 1
             names, found = h[at[first]], often[at[first]]
-            known = np.sort(_long(b"".join(shared)))
+            known = np.sort(np.array(shared, np.uint64))
             if len(known):
                 short = _middle(names)
                 found = found | (known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
@@ -349,8 +343,8 @@ class Insertions:
 
     def __init__(self, columns: Columns, at: np.ndarray, base: np.ndarray):
         self.targets = np.empty(len(at), np.int64)
-        self.changed: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
+        self.changed: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.values: list[np.ndarray] = [np.zeros(0, np.int64)]
         start, before, seen, fresh_last = 0, np.zeros(256, np.int64), np.zeros(256, bool), np.zeros(256, bool)
         smallest = np.full(256, _LONGEST, np.int64)  # of the common prefixes since the last occurrence of a symbol
         for bwt, lcp in columns.blocks(2):
@@ -453,11 +447,11 @@ def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: in
     sizes = np.array([len(s) for s in strings], np.int64)
     columns = Columns(folder, int(sizes.sum()) + len(strings) + 1, block_rows)
     ends = column_wise_transform(strings, columns)
-    begins = ends - sizes
+    begins, string_at = ends - sizes, np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
     rest = [np.zeros(0, np.uint16), np.zeros(0, np.int64)]
 
     def told(lcp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        string = np.searchsorted(ends, place)
+        string = string_at[place - 1]
         whole = ends[string] - place >= length
         run = np.cumsum(~(whole & (lcp >= length)))  # a suffix that shares less than a window begins a run
         at = np.flatnonzero(whole)
@@ -479,31 +473,42 @@ def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: in
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, segment, least, most) sorted by anchor and segment to rows (anchor, hash, runs): for segments of which something can go
-    the windows (from, to) that start under the smaller id ``by``."""
+    the stretches (begin, stop) under the smaller id ``by``, eight bytes each.
+
+    A segment that is the only one of its anchor has none to be ordered among: all its windows start under its smallest id.
+    """
     rest: pa.Table | None = None
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, least, most = (table.column(n).to_numpy() for n in ("anchor", "least", "most"))
-        strings = table.column("segment").to_pylist()
-        first = np.flatnonzero(np.r_[True, np.fromiter((a != b for a, b in zip(strings, strings[1:], strict=False)), bool, len(strings) - 1) | (anchor[1:] != anchor[:-1])])
-        owner, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
-        distinct = [strings[i] for i in first.tolist()]
-        with tempfile.TemporaryDirectory() as folder:
-            string, offset, by = (np.concatenate(x) for x in zip(*least_owner(distinct, owner, folder), strict=True))
-        gone = by < most[string]
-        string, offset, by = string[gone], offset[gone], by[gone]
+        segment = table.column("segment").combine_chunks()
+        first = np.flatnonzero(np.r_[True, pc.not_equal(segment[1:], segment[:-1]).to_numpy(zero_copy_only=False) | (anchor[1:] != anchor[:-1])])
+        owner, most, group = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), anchor[first]
+        distinct = segment.take(pa.array(first)).to_pylist()
+        sizes = np.array([len(s) for s in distinct], np.int64)
+        alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
+        some = np.flatnonzero(alone & (owner < most))
+        found = [(some, np.zeros(len(some), np.int64), sizes[some], owner[some])]
+        others = np.flatnonzero(~alone)
+        if len(others):
+            with tempfile.TemporaryDirectory() as folder:
+                string, offset, by = (np.concatenate(x) for x in zip(*least_owner([distinct[i] for i in others.tolist()], owner[others], folder), strict=True))
+            string = others[string]
+            gone = by < most[string]
+            string, offset, by = string[gone], offset[gone], by[gone]
+            order = np.lexsort((offset, string))
+            string, offset, by = string[order], offset[order], by[order]
+            head = np.r_[True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1) | (by[1:] != by[:-1])][: len(string)]
+            tail = np.r_[head[1:], True][: len(string)]
+            found.append((string[head], offset[head], offset[tail] + LENGTH, by[head]))
+        string, begin, stop, by = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(string):
             return
-        order = np.lexsort((offset, string))
-        string, offset, by = string[order], offset[order], by[order]
-        head = np.r_[True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1) | (by[1:] != by[:-1])]
-        tail = np.r_[head[1:], True]
-        string, begin, stop, by = string[head], offset[head], offset[tail] + LENGTH, by[head]
         cuts = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
-        some = string[cuts]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(distinct[i]) for i in some.tolist()), np.uint64, len(some)).view(np.int64)
-        runs = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(string)], pa.int32()), pa.StructArray.from_arrays([pa.array(begin), pa.array(stop), pa.array(by)], names=["begin", "stop", "by"]))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[first][some]), pa.array(hashes), runs], names=["anchor", "hash", "runs"])
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(distinct[i]) for i in string[cuts].tolist()), np.uint64, len(cuts)).view(np.int64)
+        flat, bounds = np.stack([begin, stop, by], axis=1).tobytes(), (np.r_[cuts, len(string)] * 24).tolist()
+        runs = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(group[string[cuts]]), pa.array(hashes), pa.array(runs, pa.binary())], names=["anchor", "hash", "runs"])
 
     for batch in batches:
         pa.default_memory_pool().release_unused()
@@ -525,41 +530,69 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(rest)
 
 
+def _each(counts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with ``counts`` items in a flat list: every item ``times`` of its row over, and which time it is."""
+    many = np.repeat(times, counts)
+    item = np.repeat(np.arange(len(many)), many)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (docs, ids, starts, runs) to rows (doc, id, start, stop): bytes to remove."""
+    """Rows (docs, ids, starts, runs) to rows (doc, id, spans): bytes to remove as pairs of start and stop, four bytes each, joined where they touch."""
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for docs, ids, starts, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            docs, ids, starts = np.frombuffer(docs, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int32).astype(np.int64)
-            for run in runs:
-                later = ids > run["by"]
-                if later.any():
-                    for column, value in zip(out, (docs[later], ids[later], starts[later] + run["begin"], starts[later] + run["stop"]), strict=True):
-                        column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc", "id", "start", "stop"])
+        docs, ids, starts, runs = (c.to_pylist() for c in batch.columns)
+        owners, n_runs = np.array([len(x) // 8 for x in docs], np.int64), np.array([len(x) // 24 for x in runs], np.int64)
+        doc, id_ = (np.frombuffer(b"".join(x), np.int64) for x in (docs, ids))
+        start, run = np.frombuffer(b"".join(starts), np.int32).astype(np.int64), np.frombuffer(b"".join(runs), np.int64).reshape(-1, 3)
+        item, which = _each(owners, n_runs)
+        row = np.repeat(np.arange(len(owners)), owners)[item]
+        run = run[(np.cumsum(n_runs) - n_runs)[row] + which]
+        later = id_[item] > run[:, 2]
+        item, run = item[later], run[later]
+        if not len(item):
+            continue
+        begin, stop, doc, id_ = start[item] + run[:, 0], start[item] + run[:, 1], doc[item], id_[item]
+        order = np.lexsort((begin, id_, doc))
+        begin, stop, doc, id_ = begin[order], stop[order], doc[order], id_[order]
+        own = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (id_[1:] != id_[:-1])]) - 1
+        reach = np.maximum.accumulate(stop + own * (1 << 40)) - own * (1 << 40)
+        head = np.r_[True, (own[1:] != own[:-1]) | (begin[1:] > reach[:-1])]
+        tail = np.r_[head[1:], True]
+        pairs, own = np.stack([begin[head], reach[tail]], axis=1).astype(np.int32), own[head]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        flat, bounds = pairs.tobytes(), (np.r_[cuts, len(own)] * 8).tolist()
+        spans = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        at = np.flatnonzero(head)[cuts]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(id_[at]), pa.array(spans, pa.binary())], names=["doc", "id", "spans"])
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, packed text, spans) to the id, counts, digest of the kept bytes."""
+    """(id, packed text, ids and spans) to the id, counts, digest of the kept bytes."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for id_, packed, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for id_, packed, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = unpack(packed)
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["stop"]) for x in spans or () if x["id"] == id_):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            edges = [0, *(x for s in merged for x in s), len(raw)]
+            pairs = np.frombuffer(b"".join([x["spans"] for x in found or () if x["id"] == id_]), np.int32).reshape(-1, 2)
+            edges = [0, len(raw)]
+            if len(pairs):
+                pairs = pairs[np.argsort(pairs[:, 0])]
+                reach = np.maximum.accumulate(pairs[:, 1])
+                head = np.r_[True, pairs[1:, 0] > reach[:-1]]
+                edges = [0, *np.stack([pairs[head, 0], reach[np.r_[head[1:], True]]], axis=1).ravel().tolist(), len(raw)]
             kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            for c, v in zip(out, (id_, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()), strict=True):
+            for c, v in zip(out, (id_, len(raw), len(raw) - len(kept), len(edges) // 2 - 1, hashlib.sha256(kept).hexdigest()), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, id, bytes) to one span over all of a text."""
+    for batch in batches:
+        pairs = np.stack([np.zeros(batch.num_rows, np.int32), batch.column(2).to_numpy().astype(np.int32)], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["doc", "id", "spans"])
+
+
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
     for batch in batches:
@@ -568,7 +601,7 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> DataFrame:
-    """(``doc``, ``id``, ``start``, ``stop``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
+    """(``doc``, ``id``, ``spans``) of bytes covered by LENGTH-byte strings that other texts have under a smaller id.
 
     ``docs`` has (id, v1, v2, text), ``light`` (doc, id, v1, v2, stop), ``packed`` the texts compressed, by doc. Of equal texts only the one with the
     smallest id gets spans.
@@ -578,14 +611,14 @@ def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> Data
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(long_enough, rows))
     buckets = size // BUCKET_BYTES + 1
     blocks = long_enough.select("id", "v1", "v2", "text").mapInArrow(functools.partial(_pack_anchors, buckets, frequent), "bucket int, keys binary, counts binary, hashes binary")
-    shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hashes binary")
-    leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(b"").alias("hashes"))
-    lists = leads.unionByName(shared.select(_doc(), "hashes")).groupBy("doc").agg(F.collect_list("hashes").alias("shared"))
+    shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hash long")
+    leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(None).cast("long").alias("hash"))
+    lists = leads.unionByName(shared.select(_doc(), "hash")).groupBy("doc").agg(F.collect_list("hash").alias("shared"))
     met = packed.join(lists, "doc").select("doc", "id", "packed", "shared")
     segments = met.mapInArrow(functools.partial(_distinct_segments, frequent), "anchor long, segment binary, least long, most long")
-    found = segments.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, hash long, runs array<struct<begin:long,stop:long,by:long>>")
+    found = segments.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, hash long, runs binary")
     owners = met.mapInArrow(functools.partial(_segment_owners, frequent), "anchor long, hash long, docs binary, ids binary, starts binary")
-    return owners.join(found, ["anchor", "hash"]).select("docs", "ids", "starts", "runs").mapInArrow(_spans, "doc long, id long, start long, stop long")
+    return owners.join(found, ["anchor", "hash"]).select("docs", "ids", "starts", "runs").mapInArrow(_spans, "doc long, id long, spans binary")
 
 
 def _doc():
@@ -608,15 +641,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     light = written(named.select(_doc(), "id", "v1", "v2", F.octet_length("text").cast("long").alias("stop")), "light")
     long_enough = light.where(F.col("stop") >= LENGTH)
     earliest = long_enough.groupBy("v1", "v2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("v1", "v2", "first")
-    copies = long_enough.join(earliest, ["v1", "v2"]).where("id > first").select("doc", "id", F.lit(0).cast("long").alias("start"), "stop")
+    copies = long_enough.join(earliest, ["v1", "v2"]).where("id > first").select("doc", "id", "stop").distinct().mapInArrow(_whole_spans, "doc long, id long, spans binary")
     # with an empty span for every text both joins with the packed texts are inner ones, over one and the same shuffle
     packed = named.select(_doc(), "id", "text").mapInArrow(_packed_texts, "doc long, id long, packed binary").where("doc is not null")
-    nowhere = light.select("doc", "id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
-    spans = repeated_spans(named, light, packed).unionByName(copies.distinct())
-    empty = nowhere.distinct().select("doc", F.lit(None).cast("struct<id:bigint,start:bigint,stop:bigint>").alias("span"))
-    spans = spans.select("doc", F.struct("id", "start", "stop").alias("span")).unionByName(empty).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    empty = light.select("doc").distinct().withColumn("span", F.lit(None).cast("struct<id:bigint,spans:binary>"))
+    spans = repeated_spans(named, light, packed).unionByName(copies)
+    spans = spans.select("doc", F.struct("id", "spans").alias("span")).unionByName(empty).groupBy("doc").agg(F.collect_list("span").alias("spans"))
     whole = docs.where("id is null").select(F.lit(0).cast("long").alias("doc"), "id", "text").mapInArrow(_packed_texts, "doc long, id long, packed binary")
-    whole = whole.select("id", "packed", F.array().cast("array<struct<id:bigint,start:bigint,stop:bigint>>").alias("spans"))
+    whole = whole.select("id", "packed", F.array().cast("array<struct<id:bigint,spans:binary>>").alias("spans"))
     joined = packed.join(spans, "doc").select("id", "packed", "spans").unionByName(whole)
     return joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
