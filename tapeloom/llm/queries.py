@@ -46,8 +46,8 @@ def _seen(words: str, at: str) -> str:
 
 
 #: Overlaps by prefix sums: the best stretch ends where the sum is furthest above its smallest value before. Items of SPAN words or more.
-_OVERLAPS = f"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') AS w FROM documents),
- b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS v FROM benchmark),
+_OVERLAPS = f"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+ b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS v FROM benchmark),
  ds AS (SELECT doc_id, i, unnest({_seen("w", "i")}) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM d WHERE len(w) >= {SPAN})),
  bs AS (SELECT item_id, j, unnest({_seen("v", "j")}) AS h FROM (SELECT item_id, v, unnest(range(len(v) - {SPAN - 1})) AS j FROM b WHERE len(v) >= {SPAN})),
  hit AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (h)),
