@@ -38,12 +38,14 @@ from tapeloom.sources import read_table, written
 LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and rows of its files that are in memory at a time.
 COLLECTION = 20_000
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 19
 #: Documents' bytes whose anchors are packed together, and segments that are made distinct together.
 BLOCK_BYTES = 3_000_000
 BUFFER = 60_000
 #: Bytes of text whose anchors make a bucket.
 BUCKET_BYTES = 20_000_000
+#: Buckets are dealt to as many partitions, up to this number; with fewer, small partitions would be put together and their buckets held by one task.
+MOST_PARTITIONS = 10_000
 #: Documents of the sample that shows frequent strings: this number, or one in SAMPLE_ONE_IN where that is more; the sampled
 #: documents that make a string frequent; the most strings handed out (8 bytes each). They decide on the order of strings, never on a result.
 SAMPLE_DOCUMENTS, SAMPLE_ONE_IN, SAMPLE_ROW_BYTES = 600, 3000, 65_536
@@ -611,7 +613,7 @@ def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> Data
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(long_enough, rows))
     buckets = size // BUCKET_BYTES + 1
     blocks = long_enough.select("id", "v1", "v2", "text").mapInArrow(functools.partial(_pack_anchors, buckets, frequent), "bucket int, keys binary, counts binary, hashes binary")
-    shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hash long")
+    shared = blocks.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, v1 long, v2 int, hash long")
     leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(None).cast("long").alias("hash"))
     lists = leads.unionByName(shared.select(_doc(), "hash")).groupBy("doc").agg(F.collect_list("hash").alias("shared"))
     met = packed.join(lists, "doc").select("doc", "id", "packed", "shared")
