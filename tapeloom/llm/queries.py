@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.bitslices import BEST, EVERY, SCALE, op11_bit_sliced_top_k
 from tapeloom.llm.bpe import op9_byte_bpe
 from tapeloom.llm.decontaminate import LEAST_SHARE, LEAST_WORDS, MASKS, PENALTY, SPAN, op1_decontaminate
 from tapeloom.llm.html import op7_html_text
 from tapeloom.llm.langid import op4_language_id
+from tapeloom.llm.merkle import op12_merkle_manifest
 from tapeloom.llm.pii import op10_pii
 from tapeloom.llm.quality import op8_quality_rules
 from tapeloom.llm.simhash import op3_simhash_dedup
 from tapeloom.llm.substrings import op6_substring_dedup
 from tapeloom.llm.tokens import op5_token_counts
 from tapeloom.llm.toxicity import op2_toxicity
+from tapeloom.llm.turns import op13_conversation_repair
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
+    "op11_bit_sliced_top_k": op11_bit_sliced_top_k,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Every 50-byte window by itself: its smallest document, the runs of bytes under windows that others have first, and what is left.
@@ -62,4 +68,10 @@ _OVERLAPS = f"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(t
  q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, shift, n DESC, start DESC, stop DESC) AS place FROM r WHERE equal >= least({LEAST_WORDS}, ceil({LEAST_SHARE} * n)))
  SELECT doc_id, item_id, CAST(equal AS INT) AS words_equal, CAST(n AS INT) AS item_words, CAST(shift + start AS INT) AS doc_from, CAST(start AS INT) AS item_from, CAST(stop AS INT) AS item_to FROM q WHERE place = 1"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OVERLAPS, "op6_substring_dedup": _REPEATS}
+#: All scores of all queries, ranked.
+_TOP_K = f"""WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
+ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {BEST}"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OVERLAPS, "op6_substring_dedup": _REPEATS, "op11_bit_sliced_top_k": _TOP_K}

@@ -6,9 +6,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers as vocab
 import pytest
 from pyspark.sql import functions as F
+from test_indexes import best_by_brute_force, odd_conversations, odd_vectors, repaired_by_brute_force
 from test_llm import best_stretch, prose
 
 from tapeloom.llm import decontaminate, langid, pii, quality, similar, simhash, toxicity
@@ -28,10 +31,19 @@ COLUMNS = {
     },
     "op9_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op11_bit_sliced_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op12_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    "op13_conversation_repair": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string",
+    },
 }
 
 
-def write(folder, documents, labels, pages, benchmark):
+def write(folder, documents, labels, pages, benchmark, embeddings, conversations):
+    floats = pa.array([e for _, e in embeddings], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array([i for i, _ in embeddings], pa.int64()), "embedding": floats, "label": pa.array([1] * len(embeddings), pa.int32()), "row": floats, "q": floats}), f"{folder}/embeddings.parquet")
+    frame = pd.DataFrame(conversations, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64", "role": "string[pyarrow]", "text": "string[pyarrow]"})
+    frame.assign(conv=1, copy=2, tie="x", audit=3).to_parquet(f"{folder}/conversations.parquet")
     clash = {"score": 1, "fp": 2, "key": "x", "h": 3, "node": 4}
     docs = pd.DataFrame(documents, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64", "n_chars": "Int64"}).assign(**clash)
     docs["text"] = docs["text"].astype("string[pyarrow]")
@@ -59,14 +71,14 @@ def folder(tmp_path_factory):
     labels += [(103, 1, 1), (500, 1, 0), (None, 1, 1), (5, None, None)]
     page = "<html><body><nav>Home</nav><article><h1>T{0}</h1><p>{1}</p></article></body></html>"
     pages = [*((i, f"https://h.example/{i}", page.format(i, prose(i, 9))) for i in range(12)), (12, None, page.format(0, "x")), (13, "rel", None), (0, "https://h.example/0", page.format(0, prose(0, 9))), (None, "https://h.example/q", "")]
-    write(out, docs, labels, pages, [(1, item), (2, None), (3, "a b"), (1, item), (None, item)])
+    write(out, docs, labels, pages, [(1, item), (2, None), (3, "a b"), (1, item), (None, item)], odd_vectors(), odd_conversations())
     return out
 
 
 @pytest.fixture(scope="module")
 def nothing(tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    write(out, [], [], [], [])
+    write(out, [], [], [], [], [], [])
     return out
 
 
@@ -75,6 +87,14 @@ def test_columns_and_rows(spark, folder, nothing, name):
     out = QUERIES[name](spark, folder)
     types = {f.name: f.dataType.simpleString() for f in out.schema}
     assert {k: types.get(k) for k in COLUMNS[name]} == COLUMNS[name]
+    none = QUERIES[name](spark, nothing)
+    assert none.count() == 0 and {f.name: f.dataType.simpleString() for f in none.schema} == types
+    if name == "op11_bit_sliced_top_k":
+        assert sorted(map(tuple, out.select(*COLUMNS[name]).collect())) == best_by_brute_force(odd_vectors())
+        return
+    if name == "op13_conversation_repair":
+        assert sorted(map(tuple, out.select(*COLUMNS[name]).collect()), key=repr) == sorted(repaired_by_brute_force(odd_conversations()), key=repr)
+        return
     key = "page_id" if name == "op7_html_text" else "doc_id"
     got = sorted((r[key] for r in out.select(key).collect()), key=repr)
     if name == "op1_decontaminate":
@@ -82,8 +102,6 @@ def test_columns_and_rows(spark, folder, nothing, name):
     else:
         table = spark.read.parquet(f"{folder}/{'pages' if key == 'page_id' else 'documents'}.parquet")
         assert got == sorted((r[key] for r in table.select(key).collect()), key=repr)
-    none = QUERIES[name](spark, nothing)
-    assert none.count() == 0 and {f.name: f.dataType.simpleString() for f in none.schema} == types
 
 
 def test_held_out_rows_and_leakage(spark, folder, tmp_path):
