@@ -7,25 +7,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeloom.functions.scalars import bucket
 
 
-def running(df: DataFrame, key: str, order: list[str], width: int, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+def _bucketed(df: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
+    """With ``__k``, the key in a structure (never null itself, so windows and joins deal rows alike and one shuffle serves both), and the time bucket ``__b``."""
+    return df.withColumns({"__k": F.struct(F.col(key).alias("k")), "__b": bucket(F.col(order[0]), width)})
+
+
+def running(df: DataFrame, key: str, order: list[str], width: int, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
     """Running sums, maxima and last values that aren't null, by key in order, without one task for a whole key.
 
     ``order[0]`` is a time as a whole number; it is cut into buckets of ``width``. Rows are ordered within a bucket; what the
     buckets before give is worked out on one row a bucket and joined back, so a hot key is spread over its buckets.
+    Rows are shuffled once. With ``before`` a row itself doesn't count; ``order`` has to be unique in a key then.
     """
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
     made = {**sums, **maxes, **lasts}
-    held = df.withColumns({"__b": bucket(F.col(order[0]), width), **{f"__{n}": c for n, c in made.items()}})
-    own = Window.partitionBy(key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = _bucketed(df, key, order, width).withColumns({f"__{n}": c for n, c in made.items()})
+    own = Window.partitionBy("__k", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     rank = F.struct(*order)
     agg = [F.sum(f"__{n}").alias(f"__{n}") for n in sums] + [F.max(f"__{n}").alias(f"__{n}") for n in maxes]
     agg += [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), rank)).alias(f"__{n}") for n in lasts]
-    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = held.groupBy(F.col(key).alias("__k"), "__b").agg(*agg)
+    earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     over = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}, **{n: lambda c: F.last(c, ignorenulls=True) for n in lasts}}
-    carry = carry.select("__k", F.col("__b").alias("__c"), *[fn(f"__{n}").over(before).alias(f"__carry_{n}") for n, fn in over.items()])
+    carry = held.groupBy("__k", "__b").agg(*agg).select("__k", "__b", *[fn(f"__{n}").over(earlier).alias(f"__carry_{n}") for n, fn in over.items()])
     rows = held.select("*", *[fn(f"__{n}").over(own).alias(f"__own_{n}") for n, fn in over.items()])
-    joined = rows.join(carry, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__c")))
+    joined = rows.join(carry, ["__k", "__b"])
 
     def together(n: str) -> Column:
         own_n, carry_n = F.col(f"__own_{n}"), F.col(f"__carry_{n}")
@@ -49,12 +54,12 @@ def forward_fill(df: DataFrame, key: str, order: list[str], values: list[str], w
 
 def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], width: int) -> DataFrame:
     """``ordinal`` of each row in its key and the values of the row before (``previous_<value>``), null at the first."""
-    own = Window.partitionBy(key, "__bucket").orderBy(*order)
-    rows = df.withColumn("__bucket", bucket(F.col(order[0]), width)).withColumns({"__row": F.struct(*values), "__n": F.row_number().over(own), "__lag": F.lag(F.struct(*values)).over(own)})
-    ends = rows.groupBy(F.col(key).alias("__k"), F.col("__bucket").alias("__c")).agg(F.max_by("__row", F.struct(*order)).alias("__last"), F.count("*").alias("__count"))
-    before = Window.partitionBy("__k").orderBy("__c")
-    ends = ends.select("__k", "__c", F.lag("__last").over(before).alias("__end"), F.coalesce(F.sum("__count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__skip"))
-    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bucket") == F.col("__c")))
+    own = Window.partitionBy("__k", "__b").orderBy(*order)
+    rows = _bucketed(df, key, order, width).withColumns({"__row": F.struct(*values), "__n": F.row_number().over(own), "__lag": F.lag(F.struct(*values)).over(own)})
+    ends = _bucketed(df, key, order, width).groupBy("__k", "__b").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"), F.count("*").alias("__count"))
+    before = Window.partitionBy("__k").orderBy("__b")
+    ends = ends.select("__k", "__b", F.lag("__last").over(before).alias("__end"), F.coalesce(F.sum("__count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__skip"))
+    joined = rows.join(ends, ["__k", "__b"])
     last = F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__lag"))
     return joined.select(*df.columns, (F.col("__n") + F.col("__skip")).alias("ordinal"), *[last[v].alias(f"previous_{v}") for v in values])
 
