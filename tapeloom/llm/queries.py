@@ -69,9 +69,9 @@ _OVERLAPS = f"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(t
  SELECT doc_id, item_id, CAST(equal AS INT) AS words_equal, CAST(n AS INT) AS item_words, CAST(shift + start AS INT) AS doc_from, CAST(start AS INT) AS item_from, CAST(stop AS INT) AS item_to FROM q WHERE place = 1"""
 
 #: All scores of all queries, ranked.
-_TOP_K = f"""WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
- s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
+_TOP_K = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
  SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {BEST}"""
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OVERLAPS, "op6_substring_dedup": _REPEATS, "op11_bit_sliced_top_k": _TOP_K}
