@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as fn
-from tapeloom.plans.registry import DAY, query, tape
+from tapeloom.plans.registry import DAY, HOUR, query, tape
 from tapeloom.sources import archives, read_table, work_dir
-from tapeloom.streaming import tape as streams
+from tapeloom.streaming import lanes, tape as streams
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN k END AS k, CASE WHEN event_id % 2 = 1 THEN c END AS c, CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS part FROM e")
@@ -136,3 +136,43 @@ def t5_t9_stream_chains(spark, sf):
 @query("SELECT t // 86400000000 AS day, count(*) AS n FROM e GROUP BY 1")
 def f9_days(spark, sf):
     return tape(spark, sf).groupBy(fn.bucket(F.col("t"), DAY).alias("day")).agg(F.count("*").alias("n"))
+
+
+#: Rows arrive by their time, one in ten some hours later; stages of five days, as the feed delivers them.
+_STAGES = 7
+_ARRIVED = "t + CASE WHEN k % 10 = 0 THEN k * 3600000000 ELSE 0 END"
+_FED = f"f AS (SELECT *, {_ARRIVED} AS arrived, least(greatest(({_ARRIVED} - 1704067200000000) // 432000000000, 0), {_STAGES - 1}) AS stage FROM e)"
+
+
+def _feed(spark, sf):
+    arrived = F.col("t") + F.when(F.col("k") % 10 == 0, F.col("k") * HOUR).otherwise(0)
+    stage = F.least(F.greatest(fn.bucket(arrived - 1_704_067_200_000_000, 5 * DAY), F.lit(0)), F.lit(_STAGES - 1))
+    rows = tape(spark, sf).select("user_id", "event_id", "event_type", "t", "k", F.timestamp_micros("t").alias("at"), arrived.alias("arrived"), stage.cast("int").alias("stage"))
+    return lanes.staged(rows, "stage", _STAGES)
+
+
+@query(f"""WITH {_FED}, l AS (SELECT user_id, stage, t // 1000 < max(t // 1000) OVER (PARTITION BY user_id ORDER BY stage, arrived, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 7200000 AS late FROM f)
+ SELECT user_id, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY 1""")
+def t33_late_rows(spark, sf):
+    """Rows more than two hours behind their lane, by lane; none is dropped."""
+    rows = _feed(spark, sf).withColumn("order", F.concat(F.lpad(F.col("arrived").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0")))
+    done = streams.run_available(lanes.with_lateness(rows, "user_id", "at", "order", 7_200_000))
+    return done.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("late").alias("late"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, t // 1000 AS ms, k, lag(k) OVER w AS pk, lag(t // 1000) OVER w AS pms, lead(t // 1000) OVER w AS nms, (SELECT max(t // 1000) FROM e) AS latest FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t // 1000, event_id))
+ SELECT user_id, event_id, CASE WHEN pk IS NULL OR ms - pms > 86400000 THEN 'start' WHEN k = pk + 1 THEN 'next' WHEN k = pk THEN 'repeat' WHEN k > pk THEN 'gap' ELSE 'back' END AS state, NULL::BIGINT AS quiet_from FROM s
+ UNION ALL SELECT user_id, NULL, 'silent', ms FROM s WHERE coalesce(nms, latest - 7200000) - ms > 86400000""")
+def t5_t13_stream_chains_and_silences(spark, sf):
+    """Chains of numbers with a state that a timer drops after a day of silence, and the silences, as the feed comes in by time."""
+    rows = tape(spark, sf).withColumn("stage", F.least(F.greatest(fn.bucket(F.col("t") - 1_704_067_200_000_000, 5 * DAY), F.lit(0)), F.lit(_STAGES - 1)).cast("int"))
+    feed = lanes.staged(rows.select("user_id", "event_id", "k", F.timestamp_micros("t").alias("at"), "stage"), "stage", _STAGES)
+    return streams.run_available(lanes.chained_until_silent(feed, "user_id", "k", "at", "event_id", "event_id", 86_400_000, "2 hours"))
+
+
+@query("""WITH s AS (SELECT event_type, t, sum(fresh) OVER (PARTITION BY event_type ORDER BY t, event_id) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) < 5400000000 THEN 0 ELSE 1 END AS fresh FROM e)),
+ w AS (SELECT event_type, min(t) AS start, max(t) + 5400000000 AS stop, count(*) AS n FROM s GROUP BY event_type, run) SELECT event_type, start, stop, n FROM w WHERE stop // 1000 <= (SELECT max(t) FROM e) // 1000 - 345600000""")
+def t33_stream_sessions(spark, sf):
+    """Sessions without a break of 90 minutes, given out once the watermark is past them; rows come up to four days late."""
+    done = streams.run_available(streams.sessions(_feed(spark, sf), "event_type", "at", "90 minutes", "96 hours"))
+    return done.select("event_type", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")

@@ -49,13 +49,25 @@ def chained(stream: DataFrame, key: str, number: str, order: str, rows: str = "r
     return stream.groupBy(key).applyInPandasWithState(audit, schema, "last long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give its result as a table in the shared folder; with ``complete`` the last one replaces the others."""
-    spark, path = stream.sparkSession, f"{work_dir(stream.sparkSession)}-stream"
+def run_available(stream: DataFrame, mode: str = "append", state: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and give its result as a table in the shared folder; with ``complete`` the last one replaces the others.
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    A batch is written to a folder of its own number, so one that is run again after a failure replaces itself. ``state`` names the folder of an earlier run
+    to go on from; results of both are then in it.
+    """
+    spark = stream.sparkSession
+    path = state or f"{work_dir(spark)}-stream"
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(put).start()
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else f'batch-{number:08d}'}")
+
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, rocks)  # timers and typed state need it; a stream keeps the setting that it began with
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/rows/none")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
