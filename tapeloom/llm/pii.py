@@ -106,7 +106,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found = []
     if "@" in text:
         found += [("email", a, b) for a, b in _emails(text)]
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "") if m.end() - m.start() >= 12 else ""
         if 12 <= len(digits) <= 19 and luhn(digits):

@@ -410,6 +410,13 @@ def test_toxicity_scores():
     assert ((score[:20] >= 0.5) == (np.arange(20) % 2 == 1)).mean() >= 0.9 and (score[20:] == 0).all()
 
 
+def test_pii_of_very_long_digit_runs():
+    """An address whose first part has thousands of leading zeros is one, however many there are."""
+    for text in ("0" * 5000 + "1.2.3.4", "9" * 6000 + ".1.2.3", "1." * 4000, "AB12 " * 2000):
+        spans = pii.find_spans(text)
+        assert ("ip" in {s[0] for s in spans}) == text.startswith(("0", "1."))
+
+
 def test_language_of_held_out_texts(spark):
     rows = [(f"{lang}-{i}", lang, " ".join(random.Random(f"{lang}{i}").choices(words, k=60))) for lang, words in (("xx", ["alpha", "beta", "gamma", "delta"]), ("yy", ["uno", "dos", "tres", "cuatro"])) for i in range(20)]
     held = langid.train_dictionaries(spark.createDataFrame([r for r in rows if not r[0].endswith("5")], "id string, lang string, text string"))
