@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.functions.scalars import book_checksum
+from tapeloom.operators.ordered import WIDE, holes, running, trailing_sum, with_previous
 
 
 def open_levels(updates: DataFrame, book: str, order: list[str], side: str, level: list[str], quantity: str, snapshot: Column) -> DataFrame:
@@ -27,18 +28,24 @@ def checksums(levels: DataFrame, book: str, side: str, price: str, quantity: str
     return levels.groupBy(book).agg(*[v.alias(n) for n, v in sides.items()]).select(book, book_checksum(F.col("ask"), F.col("bid"), depth).alias("checksum"))
 
 
-def sequence_audit(df: DataFrame, key: str, order: list[str], first: str, last: str) -> DataFrame:
+def sequence_audit(df: DataFrame, key: str, order: list[str], first: str, last: str, width: int) -> DataFrame:
     """What the numbers of a message (``first`` to ``last``) are after those before it: ``start``, ``next``, ``gap``, ``repeat`` or ``overlap``, and how many are missing."""
-    before = F.max(last).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    held = running(df, key, order, width, maxes={"__b": F.col(last)}, before=True)
     kind = F.when(F.col("__b").isNull(), "start").when(F.col(first) == F.col("__b") + 1, "next").when(F.col(first) > F.col("__b") + 1, "gap").when(F.col(last) <= F.col("__b"), "repeat").otherwise("overlap")
-    return df.withColumn("__b", before).withColumn("sequence", kind).withColumn("missing", F.when(F.col("sequence") == "gap", F.col(first) - F.col("__b") - 1).otherwise(0)).drop("__b")
+    return held.withColumn("sequence", kind).withColumn("missing", F.when(F.col("sequence") == "gap", F.col(first) - F.col("__b") - 1).otherwise(0)).drop("__b")
 
 
-def qualified_windows(df: DataFrame, key: str, order: list[str], time: str, breaks: Column, usable: Column) -> DataFrame:
-    """Stretches of usable rows between breaks: ``start``, ``stop``, ``n``. A break closes a stretch and is in none."""
-    w = Window.partitionBy(key).orderBy(*order)
-    held = df.withColumn("__bad", F.coalesce(breaks | ~usable, F.lit(True)))
-    runs = held.withColumn("__run", F.sum(F.col("__bad").cast("int")).over(w)).where(~F.col("__bad"))
+def qualified_windows(df: DataFrame, key: str, order: list[str], time: str, breaks: Column, usable: Column, width: int, recovers: Column | None = None) -> DataFrame:
+    """Stretches of usable rows between breaks: ``start``, ``stop``, ``n``. A break closes a stretch and is in none.
+
+    With ``recovers``, nothing counts from a break on until a row that recovers (which is in no stretch itself): a blackout. A row that breaks and recovers breaks.
+    """
+    held = df.withColumns({"__break": F.coalesce(breaks, F.lit(True)), "__bad": F.coalesce(breaks | ~usable, F.lit(True))})
+    if recovers is not None:
+        light = F.when(F.col("__break"), 0).when(recovers, 1)
+        held = running(held, key, order, width, lasts={"__light": light})
+        held = held.withColumn("__bad", F.col("__bad") | F.coalesce(recovers, F.lit(False)) | (F.coalesce("__light", F.lit(1)) == 0))
+    runs = running(held, key, order, width, sums={"__run": F.col("__bad").cast("int")}).where(~F.col("__bad"))
     return runs.groupBy(key, "__run").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("n")).drop("__run")
 
 
@@ -51,18 +58,17 @@ def valid_state(df: DataFrame, key: str, order: list[str], value: str, invalidat
 
 def silences(df: DataFrame, key: str, time: str, deadline: int, end: int) -> DataFrame:
     """Stretches without a row of a stream that last longer than the deadline, up to ``end``."""
-    nexts = F.coalesce(F.lead(time).over(Window.partitionBy(key).orderBy(time)), F.lit(end))
-    return df.select(key, F.col(time).alias("quiet_from"), nexts.alias("quiet_to")).where(F.col("quiet_to") - F.col("quiet_from") > deadline)
+    between = holes(df, key, time, deadline).select(key, F.col("hole_from").alias("quiet_from"), F.col("hole_to").alias("quiet_to"))
+    last = df.groupBy(key).agg(F.max(time).alias("quiet_from")).where(end - F.col("quiet_from") > deadline)
+    return between.unionByName(last.withColumn("quiet_to", F.lit(end)))
 
 
 def order_flow(df: DataFrame, key: str, time: str, bid: str, bid_size: str, ask: str, ask_size: str, order: list[str], span: int) -> DataFrame:
     """Order-flow imbalance of quotes over ``(time - span, time]``, and the imbalance of the queues now."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prior = {c: F.lag(c).over(w) for c in (bid, bid_size, ask, ask_size)}
-    moved = df.withColumns({f"__{c}": v for c, v in prior.items()})
-    up = F.when(F.col(bid) >= F.col(f"__{bid}"), F.col(bid_size)).otherwise(0) - F.when(F.col(bid) <= F.col(f"__{bid}"), F.col(f"__{bid_size}")).otherwise(0)
-    down = F.when(F.col(ask) <= F.col(f"__{ask}"), F.col(ask_size)).otherwise(0) - F.when(F.col(ask) >= F.col(f"__{ask}"), F.col(f"__{ask_size}")).otherwise(0)
-    flow = moved.withColumn("flow", F.coalesce(up - down, F.lit(0)))
-    trailing = Window.partitionBy(key).orderBy(time).rangeBetween(-(span - 1), 0)
+    moved = with_previous(df, key, order, [bid, bid_size, ask, ask_size], WIDE * span).drop("ordinal")
+    before = lambda c: F.col(f"previous_{c}")
+    up = F.when(F.col(bid) >= before(bid), F.col(bid_size)).otherwise(0) - F.when(F.col(bid) <= before(bid), before(bid_size)).otherwise(0)
+    down = F.when(F.col(ask) <= before(ask), F.col(ask_size)).otherwise(0) - F.when(F.col(ask) >= before(ask), before(ask_size)).otherwise(0)
+    flow = moved.select(*df.columns, F.coalesce(up - down, F.lit(0)).alias("flow"))
     total = F.col(bid_size) + F.col(ask_size)
-    return flow.withColumns({"pressure": F.sum("flow").over(trailing), "queue": F.when(total > 0, (F.col(bid_size) - F.col(ask_size)) / total)}).drop(*[f"__{c}" for c in prior])
+    return trailing_sum(flow, key, time, "flow", span, "pressure").withColumn("queue", F.when(total > 0, (F.col(bid_size) - F.col(ask_size)) / total))

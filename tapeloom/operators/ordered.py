@@ -1,11 +1,16 @@
-"""Ordered analytics over keyed rows: last of a bucket, forward fill, holes, islands, ranks, drawdowns."""
+"""Ordered analytics over keyed rows: last of a bucket, forward fill, holes, islands, rolling windows, drawdowns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.scalars import bucket
 
+#: Width of time buckets in spans that are looked back over.
+WIDE = 16
+
 
 def _bucketed(df: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
     """With ``__k``, the key in a structure (never null itself, so windows and joins deal rows alike and one shuffle serves both), and the time bucket ``__b``."""
@@ -64,10 +69,43 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: list[str],
     return joined.select(*df.columns, (F.col("__n") + F.col("__skip")).alias("ordinal"), *[last[v].alias(f"previous_{v}") for v in values])
 
 
+def numbered(df: DataFrame, key: str, order: list[str], width: int, name: str = "ordinal") -> DataFrame:
+    """The place of each row in its key, from 1; ``order`` has to be unique in a key."""
+    return running(df, key, order, width, sums={name: F.lit(1).cast("long")})
+
+
+def with_halo(df: DataFrame, key: str, axis: str, span: int, width: int) -> DataFrame:
+    """Rows dealt by key and bucket of ``axis`` (``__k``, ``__b``), and those within ``span`` before a bucket once more in it (``__halo``).
+
+    A window by ``__k`` and ``__b`` then sees all that lies less than ``span`` before its rows, so a hot key runs in as many tasks as it has buckets.
+    Drop the rows with ``__halo`` after the window. Buckets are ``span`` wide at least.
+    """
+    width = max(width, span)
+    own = bucket(F.col(axis), width)
+    reach = F.when(F.col(axis) + span > (own + 1) * width, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = df.withColumns({"__k": F.struct(F.col(key).alias("k")), "__own": own}).withColumn("__b", F.explode(reach))
+    return rows.withColumn("__halo", ~F.col("__b").eqNullSafe(F.col("__own"))).drop("__own")
+
+
+#: Rows of a bucket of :func:`rolling_rows`.
+ROWS = 65_536
+
+
+def rolling_rows(df: DataFrame, key: str, order: list[str], first: int, last: int, width: int, made: Callable[[Window], dict[str, Column]]) -> DataFrame:
+    """Columns over a frame of rows, from ``first`` to ``last`` relative to each (0 at most), without one task for a whole key.
+
+    ``made`` gets the window and gives columns by name. Rows are numbered within their key (``order`` unique; buckets of ``width``), then dealt in buckets of numbers.
+    """
+    rows = with_halo(numbered(df, key, order, width, "__n"), key, "__n", 1 - first, ROWS)
+    window = Window.partitionBy("__k", "__b").orderBy("__n").rowsBetween(first, last)
+    out = rows.select("*", *[c.alias(n) for n, c in made(window).items()])
+    return out.where(~F.col("__halo")).drop("__k", "__b", "__halo", "__n")
+
+
 def holes(df: DataFrame, key: str, time: str, step: int) -> DataFrame:
     """Neighbouring rows of a key further apart than ``step``: ``hole_from``, ``hole_to``."""
-    w = Window.partitionBy(key).orderBy(time)
-    return df.select(key, F.col(time).alias("hole_from"), F.lead(time).over(w).alias("hole_to")).where(F.col("hole_to") - F.col("hole_from") > step)
+    held = with_previous(df.where(F.col(time).isNotNull()).groupBy(key, time).agg(F.count("*").alias("__n")), key, [time], [time], WIDE * step)
+    return held.where(F.col(time) - F.col(f"previous_{time}") > step).select(key, F.col(f"previous_{time}").alias("hole_from"), F.col(time).alias("hole_to"))
 
 
 def with_islands(df: DataFrame, key: str, order: list[str], starts: Column, width: int, name: str = "island") -> DataFrame:
@@ -99,19 +137,6 @@ def merge_spans(df: DataFrame, key: str, width: int, start: str = "start", stop:
     return runs.groupBy(key, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("island")
 
 
-def cross_section_rank(df: DataFrame, day: str, value: str, tie: str, eligible: Column) -> DataFrame:
-    """``rank`` from 1 by falling value within a day, ties by ``tie``; null for rows that are not eligible."""
-    w = Window.partitionBy(day, F.coalesce(eligible, F.lit(False))).orderBy(F.desc(value), tie)
-    return df.withColumn("rank", F.when(eligible, F.row_number().over(w)))
-
-
-def legs(ranked: DataFrame, day: str, percent: int) -> DataFrame:
-    """``leg`` 1 for the top and -1 for the bottom ``percent`` of the ranked rows of a day, rounded down; else 0."""
-    n = F.count("rank").over(Window.partitionBy(day))
-    size = F.floor(n * percent / 100)
-    return ranked.withColumn("leg", F.when(F.col("rank") <= size, 1).when(F.col("rank") > n - size, -1).otherwise(0))
-
-
 def equity_drawdown(df: DataFrame, key: str, order: list[str], gain: str, width: int) -> DataFrame:
     """Running ``equity``, its ``peak`` (0 at least) and ``drawdown``."""
     run = running(df, key, order, width, sums={"equity": F.col(gain)})
@@ -119,25 +144,28 @@ def equity_drawdown(df: DataFrame, key: str, order: list[str], gain: str, width:
     return run.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("__peak")
 
 
-def rolling_beta(df: DataFrame, key: str, order: list[str], y: str, x: str, rows: int) -> DataFrame:
+def rolling_beta(df: DataFrame, key: str, order: list[str], y: str, x: str, rows: int, width: int) -> DataFrame:
     """``beta`` of y on x over the last ``rows`` rows and the ``residual`` of the last one; null while there are fewer or x does not vary."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    n, total = F.count(x).over(w), lambda c: F.sum(c).over(w)
-    var = n * total(F.col(x) * F.col(x)) - total(x) * total(x)
-    out = df.withColumns({"beta": F.when((n == rows) & (var > 0), (n * total(F.col(x) * F.col(y)) - total(x) * total(y)) / var), "__mx": total(x) / rows, "__my": total(y) / rows})
+
+    def made(w: Window) -> dict[str, Column]:
+        n, total = F.count(x).over(w), lambda c: F.sum(c).over(w)
+        var = n * total(F.col(x) * F.col(x)) - total(x) * total(x)
+        return {"beta": F.when((n == rows) & (var > 0), (n * total(F.col(x) * F.col(y)) - total(x) * total(y)) / var), "__mx": total(x) / rows, "__my": total(y) / rows}
+
+    out = rolling_rows(df, key, order, 1 - rows, 0, width, made)
     return out.withColumn("residual", F.col(y) - F.col("__my") - F.col("beta") * (F.col(x) - F.col("__mx"))).drop("__mx", "__my")
 
 
-def trailing_sum(df: DataFrame, key: str, time: str, value: str, span: int) -> DataFrame:
+def trailing_sum(df: DataFrame, key: str, time: str, value: str, span: int, name: str = "trailing") -> DataFrame:
     """``trailing``: sum of the values in ``(time - span, time]``."""
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(-(span - 1), 0)
-    return df.withColumn("trailing", F.sum(value).over(w))
+    rows = with_halo(df, key, time, span, WIDE * span)
+    w = Window.partitionBy("__k", "__b").orderBy(time).rangeBetween(1 - span, 0)
+    return rows.withColumn(name, F.sum(value).over(w)).where(~F.col("__halo")).drop("__k", "__b", "__halo")
 
 
-def chain_state(df: DataFrame, key: str, order: list[str], previous: str, current: str, reset: str | None = None) -> DataFrame:
+def chain_state(df: DataFrame, key: str, order: list[str], previous: str, current: str, width: int, reset: str | None = None) -> DataFrame:
     """Sequence audit: ``snapshot`` (first), ``maintenance_reset`` (the flag ``reset``, and numbers start again), ``update`` (chained), ``no_update`` (repeats), else ``gap``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    held = df.withColumn("__last", F.lag(current).over(w))
-    reset = F.col(reset) if reset else F.lit(False)
-    state = F.when(F.col("__last").isNull(), "snapshot").when(reset & (F.col(current) < F.col("__last")), "maintenance_reset").when(F.col(current) == F.col("__last"), "no_update").when(F.col(previous) == F.col("__last"), "update")
-    return held.withColumn("state", state.otherwise("gap")).drop("__last")
+    held = with_previous(df, key, order, [current], width)
+    last, reset = F.col(f"previous_{current}"), F.col(reset) if reset else F.lit(False)
+    state = F.when(last.isNull(), "snapshot").when(reset & (F.col(current) < last), "maintenance_reset").when(F.col(current) == last, "no_update").when(F.col(previous) == last, "update")
+    return held.select(*df.columns, state.otherwise("gap").alias("state"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.scalars import bucket, finite
+from tapeloom.operators.ordered import holes, numbered, running, with_previous
 
 
 def violations(df: DataFrame, **rules: Column) -> DataFrame:
@@ -39,40 +40,38 @@ def superseded(finer: DataFrame, coarser: DataFrame, period: Column, name: str =
     return kept.withColumn("source", F.lit("finer")).unionByName(coarser.withColumn("source", F.lit("coarser")))
 
 
-def clock_audit(df: DataFrame, key: str, order: list[str], time: str, step: int) -> DataFrame:
+def clock_audit(df: DataFrame, key: str, order: list[str], time: str, step: int, width: int) -> DataFrame:
     """Steps of a clock by key: duplicates, steps backwards and gaps, and the first row that has one."""
-    w = Window.partitionBy(key).orderBy(*order)
-    moved = df.withColumn("__d", F.col(time) - F.lag(time).over(w))
+    moved = with_previous(df, key, order, [time], width).withColumn("__d", F.col(time) - F.col(f"previous_{time}"))
     kinds = F.when(F.col("__d") == 0, "duplicate").when(F.col("__d") < 0, "backwards").when(F.col("__d") > step, "gap")
     counts = {"duplicates": "duplicate", "backwards": "backwards", "gaps": "gap"}
     return moved.withColumn("__k", kinds).groupBy(key).agg(*[F.count_if(F.col("__k") == v).alias(n) for n, v in counts.items()], F.min(F.when(F.col("__k").isNotNull(), F.col(order[0]))).alias("first_bad"))
 
 
-def irregular_holes(df: DataFrame, key: str, time: str, step: str, slack: int) -> DataFrame:
-    """Neighbouring rows further apart than the larger of their own steps (a column) and a slack."""
-    w = Window.partitionBy(key).orderBy(time)
-    nexts = df.select(key, F.col(time).alias("hole_from"), F.lead(time).over(w).alias("hole_to"), F.greatest(F.col(step), F.lead(step).over(w)).alias("__s"))
-    return nexts.where(F.col("hole_to") - F.col("hole_from") > F.col("__s") + slack).drop("__s")
+def irregular_holes(df: DataFrame, key: str, time: str, step: str, slack: int, width: int) -> DataFrame:
+    """Neighbouring rows further apart than the larger of their own steps (a column) and a slack; of rows at one time the last in order of steps counts before a hole, the first after it."""
+    ends = df.where(F.col(time).isNotNull()).groupBy(key, time).agg(F.min(step).alias("__low"), F.max(step).alias("__high"))
+    held = with_previous(ends, key, [time], [time, "__high"], width)
+    far = F.col(time) - F.col(f"previous_{time}") > F.greatest("previous___high", "__low") + slack
+    return held.where(far).select(key, F.col(f"previous_{time}").alias("hole_from"), F.col(time).alias("hole_to"))
 
 
 def due_slots(df: DataFrame, key: str, time: str, step: int) -> DataFrame:
     """Slots due after a row and before the next one of its key, where there is none: ``due``."""
-    w = Window.partitionBy(key).orderBy(time)
-    nexts = df.select(key, F.col(time).alias("__t"), F.lead(time).over(w).alias("__n")).where(F.col("__n") - F.col("__t") >= 2 * step)
-    return nexts.select(key, F.explode(F.sequence(F.col("__t") + step, F.col("__n") - step, F.lit(step))).alias("due"))
+    gaps = holes(df, key, time, 2 * step - 1)
+    return gaps.select(key, F.explode(F.sequence(F.col("hole_from") + step, F.col("hole_to") - step, F.lit(step))).alias("due"))
 
 
-def consecutive_runs(df: DataFrame, key: str, index: str) -> DataFrame:
+def consecutive_runs(df: DataFrame, key: str, index: str, width: int = 10_000) -> DataFrame:
     """Runs of consecutive numbers of a key: ``first``, ``last``, ``n``."""
-    distinct = df.select(key, index).distinct()
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(index))
-    return distinct.withColumn("__i", F.col(index) - rank).groupBy(key, "__i").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("__i")
+    held = numbered(df.where(F.col(index).isNotNull()).select(key, index).distinct(), key, [index], width, "__n")
+    return held.withColumn("__i", F.col(index) - F.col("__n")).groupBy(key, "__i").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("__i")
 
 
-def span_holes(spans: DataFrame, key: str) -> DataFrame:
+def span_holes(spans: DataFrame, key: str, width: int) -> DataFrame:
     """Holes between the end of what came before and the next span of a key."""
-    before = F.max("stop").over(Window.partitionBy(key).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("hole_from", before).where(F.col("start") > F.col("hole_from")).select(key, "hole_from", F.col("start").alias("hole_to"))
+    held = running(spans.groupBy(key, "start").agg(F.max("stop").alias("stop")), key, ["start"], width, maxes={"hole_from": F.col("stop")}, before=True)
+    return held.where(F.col("start") > F.col("hole_from")).select(key, "hole_from", F.col("start").alias("hole_to"))
 
 
 def axis_steps(df: DataFrame, time: str, width: int) -> DataFrame:

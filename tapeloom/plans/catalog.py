@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import bucket, canonical_decimal, first_positive, mid_price, redact, side
-from tapeloom.operators import aggregates as agg, joins, ordered
-from tapeloom.plans.registry import EVENTS, HOUR, MINUTE, kind as _kind, query, tape
+from tapeloom.operators import aggregates as agg, joins, ordered, ranks
+from tapeloom.plans.registry import DAY, EVENTS, HOUR, MINUTE, kind as _kind, query, tape
 from tapeloom.sources import read_table
 
 _E = f"WITH {EVENTS}"
@@ -195,8 +195,8 @@ def _user_days(spark, sf):
 
 @query(f"{_E}, d AS ({_DAYS}), r AS (SELECT *, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY day, n >= 2 ORDER BY v DESC, user_id) END AS rank FROM d) SELECT *, CASE WHEN rank <= x THEN 1 WHEN rank > m - x THEN -1 ELSE 0 END AS leg FROM (SELECT *, count(rank) OVER (PARTITION BY day) AS m, count(rank) OVER (PARTITION BY day) * 20 // 100 AS x FROM r)".replace("SELECT *, CASE WHEN rank <= x", "SELECT day, user_id, v, n, rank, CASE WHEN rank <= x"))
 def w16_w17_rank_and_legs(spark, sf):
-    ranked = ordered.cross_section_rank(_user_days(spark, sf), "day", "v", "user_id", F.col("n") >= 2)
-    return ordered.legs(ranked, "day", 20).withColumns({"rank": F.col("rank").cast("long")})
+    ranked = ranks.cross_section_rank(_user_days(spark, sf), "day", "v", "user_id", F.col("n") >= 2)
+    return ranks.legs(ranked, "day", 20).withColumns({"rank": F.col("rank").cast("long")})
 
 
 @query(f"{_E}, d AS ({_DAYS}), q AS (SELECT *, sum(v - 2000) OVER (PARTITION BY user_id ORDER BY day) AS equity FROM d), p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY user_id ORDER BY day)) AS peak FROM q) SELECT user_id, day, equity, peak, peak - equity AS drawdown FROM p")
@@ -207,7 +207,7 @@ def w23_drawdown(spark, sf):
 
 @query(f"{_E}, d AS ({_DAYS}) SELECT user_id, day, CASE WHEN count(n) OVER w = 5 AND 5 * sum(n * n) OVER w > (sum(n) OVER w) ** 2 THEN CAST(5 * sum(v * n) OVER w - sum(v) OVER w * sum(n) OVER w AS DOUBLE) / CAST(5 * sum(n * n) OVER w - sum(n) OVER w * sum(n) OVER w AS DOUBLE) END AS beta, round(v - avg(v) OVER w - beta * (n - avg(n) OVER w), 6) + 0.0 AS residual FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING)")
 def w21_rolling_beta(spark, sf):
-    return ordered.rolling_beta(_user_days(spark, sf), "user_id", ["day"], "v", "n", 5).select("user_id", "day", "beta", (F.round("residual", 6) + 0.0).alias("residual"))
+    return ordered.rolling_beta(_user_days(spark, sf), "user_id", ["day"], "v", "n", 5, 100).select("user_id", "day", "beta", (F.round("residual", 6) + 0.0).alias("residual"))
 
 
 @query("SELECT event_id, sum(c) OVER (PARTITION BY user_id ORDER BY t RANGE 21599999999 PRECEDING) AS trailing FROM e")
@@ -225,7 +225,7 @@ def w28_merge_spans(spark, sf):
 @query("SELECT event_id, CASE WHEN lk IS NULL THEN 'snapshot' WHEN event_type = 'error' AND k < lk THEN 'maintenance_reset' WHEN k = lk THEN 'no_update' WHEN k - 1 = lk THEN 'update' ELSE 'gap' END AS state FROM (SELECT event_id, event_type, k, lag(k) OVER (PARTITION BY user_id ORDER BY t, event_id) AS lk FROM e)")
 def t5_chain_state(spark, sf):
     e = tape(spark, sf).withColumns({"before": F.col("k") - 1, "reset": F.col("event_type") == "error"})
-    return ordered.chain_state(e, "user_id", ["t", "event_id"], "before", "k", "reset").select("event_id", "state")
+    return ordered.chain_state(e, "user_id", ["t", "event_id"], "before", "k", DAY, "reset").select("event_id", "state")
 
 
 @query("SELECT event_type, round(avg(c), 6) AS mean, count(*) AS n, round(stddev_samp(c), 6) AS sd, round(avg(CASE WHEN c > 1000 THEN 1.0 ELSE 0.0 END), 6) AS wins, round((avg(c) - 1000) / stddev_samp(c), 6) AS ratio, round(sum(greatest(c - 1000, 0)) / sum(greatest(1000 - c, 0)), 6) AS factor FROM e GROUP BY 1")
@@ -243,7 +243,7 @@ def m2_stressed_costs(spark, sf):
  SELECT test, round(least(1, p * m), 9) AS bonferroni, round(least(1, max(p * (m - r + 1)) OVER (ORDER BY r)), 9) AS holm, round(least(1, min(p * m / r) OVER (ORDER BY r DESC)), 9) AS bh FROM r""")
 def m8_adjusted_p(spark, sf):
     tests = read_table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("test")).agg(((F.count("*") % 97 + 1) / F.lit(1000.0)).alias("p"))
-    return agg.adjusted_p(tests, "p", "test").select("test", *[F.round(c, 9).alias(c) for c in ("bonferroni", "holm", "bh")])
+    return ranks.adjusted_p(tests, "p", "test").select("test", *[F.round(c, 9).alias(c) for c in ("bonferroni", "holm", "bh")])
 
 
 @query(f"""{_E}, d AS (SELECT event_type, t // 86400000000 AS day, sum(c) AS v FROM e GROUP BY 1, 2), m AS (SELECT event_type, avg(v) AS mean, count(v) AS n FROM d GROUP BY 1), x AS (SELECT event_type, day, v - mean AS z FROM d JOIN m USING (event_type))

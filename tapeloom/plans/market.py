@@ -157,8 +157,7 @@ def a19_a27_a28_first_status(spark, sf):
 @query("SELECT user_id, day, quantile_cont(n, 0.5) OVER w AS middle, CASE WHEN n >= 2 * quantile_cont(n, 0.5) OVER w THEN true ELSE false END AS burst FROM (SELECT user_id, t // 86400000000 AS day, count(*) AS n FROM e GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)")
 def a23_a24_rolling_medians(spark, sf):
     days = tape(spark, sf).groupBy("user_id", fn.bucket(F.col("t"), DAY).alias("day")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-7, -1)
-    out = days.withColumn("middle", F.expr("percentile(n, 0.5)").over(w))
+    out = ordered.rolling_rows(days, "user_id", ["day"], -7, -1, 100, lambda w: {"middle": F.expr("percentile(n, 0.5)").over(w)})
     return out.select("user_id", "day", "middle", F.coalesce(F.col("n") >= 2 * F.col("middle"), F.lit(False)).alias("burst"))
 
 
@@ -192,12 +191,12 @@ def u6_coarser_supersedes(spark, sf):
 
 @query("SELECT user_id, t AS hole_from, nt AS hole_to FROM (SELECT user_id, t, lead(t) OVER w AS nt, greatest(k, lead(k) OVER w) * 600000000 AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)) WHERE nt - t > s + 60000000")
 def w7_irregular_holes(spark, sf):
-    return panels.irregular_holes(tape(spark, sf).withColumn("step", F.col("k") * 10 * MINUTE), "user_id", "t", "step", MINUTE)
+    return panels.irregular_holes(tape(spark, sf).withColumn("step", F.col("k") * 10 * MINUTE), "user_id", "t", "step", MINUTE, DAY)
 
 
 @query("""SELECT user_id, count(*) FILTER (d = 0) AS duplicates, count(*) FILTER (d < 0) AS backwards, count(*) FILTER (d > 3) AS gaps, min(event_id) FILTER (d = 0 OR d < 0 OR d > 3) AS first_bad FROM (SELECT user_id, event_id, k - lag(k) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM e) GROUP BY 1""")
 def w8_x2_clock_audit(spark, sf):
-    return panels.clock_audit(tape(spark, sf), "user_id", ["event_id"], "k", 3)
+    return panels.clock_audit(tape(spark, sf), "user_id", ["event_id"], "k", 3, 1000)
 
 
 _RETURNS = "WITH d AS (SELECT user_id, t // 86400000000 AS day, avg(c) AS p FROM e GROUP BY 1, 2), r AS (SELECT a.user_id, a.day, ln(a.p / b1.p) AS r1, ln(a.p / b3.p) AS r3 FROM d a LEFT JOIN d b1 ON b1.user_id = a.user_id AND b1.day = a.day - 1 LEFT JOIN d b3 ON b3.user_id = a.user_id AND b3.day = a.day - 3)"
@@ -221,17 +220,19 @@ def w9_w10_lookback_returns(spark, sf):
 def w11_w18_w19_w20_volatility_and_momentum(spark, sf):
     """Realised volatility and volatility-scaled momentum of the last five rows, only where all have a return."""
     r = _returns(spark, sf)
-    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-4, 0)
-    full, squares = F.count("r1").over(w) == 5, F.sum(F.col("r1") * F.col("r1")).over(w)
-    return r.select("user_id", "day", F.round(F.when(full, F.stddev_samp("r1").over(w)), 9).alias("vol"), F.round(F.when(full & (squares > 0), F.sum("r1").over(w) / F.sqrt(squares)), 9).alias("score"))
+
+    def made(w):
+        full, squares = F.count("r1").over(w) == 5, F.sum(F.col("r1") * F.col("r1")).over(w)
+        return {"vol": F.when(full, F.stddev_samp("r1").over(w)), "score": F.when(full & (squares > 0), F.sum("r1").over(w) / F.sqrt(squares))}
+
+    return ordered.rolling_rows(r, "user_id", ["day"], -4, 0, 100, made).select("user_id", "day", F.round("vol", 9).alias("vol"), F.round("score", 9).alias("score"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, t, avg(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS 2 PRECEDING) AS m FROM e WHERE event_type = 'signup')
  SELECT p.event_id, round(arg_max(s.m, s.t), 6) AS m FROM e p LEFT JOIN s ON s.user_id = p.user_id AND s.t <= p.t AND p.t - s.t <= 259200000000 WHERE p.event_type = 'purchase' GROUP BY 1""")
 def w12_mean_of_last_settlements(spark, sf):
     e = tape(spark, sf)
-    w = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(-2, 0)
-    means = kind(e, "signup").withColumn("m", F.avg("c").over(w))
+    means = ordered.rolling_rows(kind(e, "signup"), "user_id", ["t", "event_id"], -2, 0, DAY, lambda w: {"m": F.avg("c").over(w)})
     found = joins.asof_backward(kind(e, "purchase").select("event_id", "user_id", "t"), means, "user_id", "t", 72 * HOUR, "m")
     return found.select("event_id", F.round("m", 6).alias("m"))
 
@@ -239,9 +240,12 @@ def w12_mean_of_last_settlements(spark, sf):
 @query(f"{_RETURNS} SELECT user_id, day, round(CASE WHEN count(*) OVER w = 4 AND day - min(day) OVER w = 3 AND count(r1) OVER w = 4 THEN sum(r1) OVER w END, 9) AS held FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 3 PRECEDING)")
 def w15_whole_window_features(spark, sf):
     """A feature that is null unless its whole window is there without a hole and traded."""
-    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-3, 0)
-    whole = (F.count("*").over(w) == 4) & (F.col("day") - F.min("day").over(w) == 3) & (F.count("r1").over(w) == 4)
-    return _returns(spark, sf).select("user_id", "day", F.round(F.when(whole, F.sum("r1").over(w)), 9).alias("held"))
+
+    def made(w):
+        whole = (F.count("*").over(w) == 4) & (F.col("day") - F.min("day").over(w) == 3) & (F.count("r1").over(w) == 4)
+        return {"held": F.when(whole, F.sum("r1").over(w))}
+
+    return ordered.rolling_rows(_returns(spark, sf), "user_id", ["day"], -3, 0, 100, made).select("user_id", "day", F.round("held", 9).alias("held"))
 
 
 @query("SELECT a.hour, a.n, a.n >= 2 * b.n AS shock FROM (SELECT t // 3600000000 AS hour, count(*) AS n FROM e GROUP BY 1) a LEFT JOIN (SELECT t // 3600000000 AS hour, count(*) AS n FROM e GROUP BY 1) b ON b.hour = a.hour - 1")
@@ -281,7 +285,7 @@ def w26_m23_forward_returns(spark, sf):
 @query("""SELECT user_id, hole_from, t AS hole_to FROM (SELECT user_id, t, max(t + k * 600000000) OVER (PARTITION BY user_id ORDER BY t, t + k * 600000000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hole_from FROM e) WHERE t > hole_from""")
 def w29_x56_holes_between_spans(spark, sf):
     spans = tape(spark, sf).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("k") * 10 * MINUTE).alias("stop"))
-    return panels.span_holes(spans, "user_id")
+    return panels.span_holes(spans, "user_id", DAY)
 
 
 @query("WITH m AS (SELECT DISTINCT o_custkey AS key, year(o_orderdate) * 12 + month(o_orderdate) AS i FROM orders) SELECT key, min(i) AS first, max(i) AS last, count(*) AS n FROM (SELECT key, i, i - row_number() OVER (PARTITION BY key ORDER BY i) AS g FROM m) GROUP BY key, g")

@@ -176,7 +176,7 @@ def t2_t3_t6_t31_open_levels(spark, sf):
 def t7_t8_t10_t11_sequences(spark, sf):
     """Messages with ranges of numbers: chained, with a gap, repeated or overlapping what came before on the day."""
     e = tape(spark, sf).withColumns({"last": F.col("k") + 3, "lane": F.struct("user_id", fn.bucket(F.col("t"), DAY).alias("day"))})
-    return books.sequence_audit(e, "lane", ["t", "event_id"], "k", "last").select("user_id", "event_id", "sequence", "missing")
+    return books.sequence_audit(e, "lane", ["t", "event_id"], "k", "last", DAY).select("user_id", "event_id", "sequence", "missing")
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (c <= p) AS regressions FROM (SELECT user_id, c, lag(c) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM e) GROUP BY 1")
@@ -206,7 +206,7 @@ def t16_labels_by_horizon(spark, sf):
 
 @query("""SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n FROM (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM (SELECT *, CASE WHEN event_type = 'error' OR k < 10 THEN 1 ELSE 0 END AS bad FROM e)) WHERE bad = 0 GROUP BY user_id, run""")
 def t20_x37_qualified_windows(spark, sf):
-    return books.qualified_windows(tape(spark, sf), "user_id", ["t", "event_id"], "t", F.col("event_type") == "error", F.col("k") >= 10)
+    return books.qualified_windows(tape(spark, sf), "user_id", ["t", "event_id"], "t", F.col("event_type") == "error", F.col("k") >= 10, DAY)
 
 
 @query("SELECT user_id, CASE WHEN i IS NULL OR v > i THEN c END AS c FROM (SELECT user_id, max(t) FILTER (event_type = 'error') AS i, max(t) FILTER (event_type <> 'error') AS v, arg_max(c, (t, event_id)) FILTER (event_type <> 'error') AS c FROM e GROUP BY 1)")
@@ -305,12 +305,9 @@ def x27_x28_frames(spark, sf):
  SELECT user_id, day, range < middle AS compressed, coalesce(range < middle AND close >= top, false) AS breakout FROM s""")
 def x41_x42_x44_compression_setups(spark, sf):
     """Days with a range below the median of the five before, and of those the ones that close at a new high."""
-    from pyspark.sql import Window
-
     rank = F.struct("t", "event_id")
     b = tape(spark, sf).groupBy("user_id", fn.bucket(F.col("t"), DAY).alias("day")).agg((F.max("c") - F.min("c")).alias("range"), F.max_by("c", rank).alias("close"), F.max("c").alias("high"))
-    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(-5, -1)
-    s = b.withColumns({"middle": F.expr("percentile(range, 0.5)").over(w), "top": F.max("high").over(w)})
+    s = ordered.rolling_rows(b, "user_id", ["day"], -5, -1, 100, lambda w: {"middle": F.expr("percentile(range, 0.5)").over(w), "top": F.max("high").over(w)})
     narrow = F.col("range") < F.col("middle")
     return s.select("user_id", "day", narrow.alias("compressed"), F.coalesce(narrow & (F.col("close") >= F.col("top")), F.lit(False)).alias("breakout"))
 

@@ -132,7 +132,7 @@ def test_books(spark):
     assert got(levels.select("side", "price", "qty")) == [("ask", "10.1", "0.05"), ("bid", "10.0", "2.50")]
     assert got(books.checksums(levels, "book", "side", "price", "qty")) == [("b", zlib.crc32(b"10151002" + b"50"))]
     seq = spark.createDataFrame([("a", 1, 1, 3), ("a", 2, 4, 5), ("a", 3, 8, 9), ("a", 4, 9, 9), ("a", 5, 9, 12)], "k string, n long, lo long, hi long")
-    assert [(r.sequence, r.missing) for r in books.sequence_audit(seq, "k", ["n"], "lo", "hi").orderBy("n").collect()] == [("start", 0), ("next", 0), ("gap", 2), ("repeat", 0), ("overlap", 0)]
+    assert [(r.sequence, r.missing) for r in books.sequence_audit(seq, "k", ["n"], "lo", "hi", 2).orderBy("n").collect()] == [("start", 0), ("next", 0), ("gap", 2), ("repeat", 0), ("overlap", 0)]
 
 
 def test_price_grids_and_slots(spark):
