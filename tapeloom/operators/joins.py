@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.scalars import bucket
+from tapeloom.operators.ordered import running
 
 
 def offset_join(df: DataFrame, time: str, offset: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -91,15 +92,42 @@ def intersect_spans(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFra
     return met.select(key, F.greatest("start", "__s").alias("start"), F.least("stop", "__e").alias("stop"))
 
 
-def known_at(facts: DataFrame, asks: DataFrame, key: str, values: list[str]) -> DataFrame:
+def _pieces(start: Column, stop: Column, levels: int) -> Column:
+    """The dyadic pieces (``level``, ``piece``) that make up ``[start, stop)``: at most two a level. A piece of level l has the numbers from piece * 2^l on."""
+
+    def at(level: Column) -> Column:
+        a, b = F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), F.call_function("shiftright", stop, level)
+        piece = lambda p, there: F.when(there & (a < b), F.struct(level.alias("level"), p.alias("piece")))
+        return F.array_compact(F.array(piece(a, F.pmod(a, F.lit(2)) == 1), piece(b - 1, F.pmod(b, F.lit(2)) == 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def known_at(facts: DataFrame, asks: DataFrame, key: str, values: list[str], width: int) -> DataFrame:
     """Bitemporal look-up: for each ask (``ask``, ``key``, ``received``, ``event``) the fact that was seen by then and whose interval holds the event.
 
     Facts have ``observed``, ``valid_from``, ``valid_to`` (exclusive, null if open). Of facts with one ``valid_from`` the first observed counts; where
-    not exactly one is left, the values are null.
+    not exactly one is left, the values are null. All times are whole numbers, ``ask`` is unique.
+
+    An interval goes to the dyadic pieces that it is made of, an ask to the pieces around its event, one a level; in a piece all intervals hold the event, so
+    how many were seen by then is a running count (over buckets of ``width``), whatever the number of facts that hold it. Rows are facts and asks times the levels.
     """
-    first = facts.groupBy(key, "valid_from").agg(F.min(F.struct("observed", "valid_to", *values)).alias("f")).select(key, "valid_from", "f.*")
-    seen = asks.join(first, key, "left").where((F.col("observed") <= F.col("received")) & (F.col("valid_from") <= F.col("event")) & (F.col("valid_to").isNull() | (F.col("event") < F.col("valid_to"))))
-    one = seen.groupBy("ask").agg(F.count("*").alias("__n"), F.min(F.struct(*values)).alias("__v")).where("__n = 1")
+    first = facts.where(F.col("valid_from").isNotNull()).groupBy(key, "valid_from").agg(F.min(F.struct("observed", "valid_to", *values)).alias("f")).select(key, "valid_from", "f.*")
+    low, high, last = first.agg(F.min("valid_from"), F.max(F.greatest("valid_from", "valid_to")), F.lit(0)).first()
+    ends = asks.agg(F.max("event")).first()[0]
+    if low is None or ends is None:
+        return asks.select(*asks.columns, *[F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in values])
+    beyond = max(high, ends) + 1
+    levels = max(1, (beyond - low).bit_length())
+    stop = F.coalesce("valid_to", F.lit(beyond).cast("long")) - low
+    lane = F.struct(F.col(key).alias("key"), F.col("__p.level").alias("level"), F.col("__p.piece").alias("piece")).alias("__lane")
+    seen = first.withColumn("__p", F.explode(_pieces(F.col("valid_from") - low, stop, levels)))
+    seen = seen.select(lane, F.col("observed").alias("__t"), F.lit(0).alias("__ask"), F.struct("valid_from", *values).alias("__v"), F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"))
+    around = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("event") - low, level).alias("piece")))
+    asked = asks.where((F.col("event") >= low) & F.col("received").isNotNull()).withColumn("__p", F.explode(around))
+    asked = asked.select(lane, F.col("received").alias("__t"), F.lit(1).alias("__ask"), F.lit(None).cast(seen.schema["__v"].dataType).alias("__v"), "ask")
+    counted = running(seen.unionByName(asked), "__lane", ["__t", "__ask"], width, sums={"__n": 1 - F.col("__ask")}, lasts={"__found": F.col("__v")})
+    one = counted.where("__ask = 1").groupBy("ask").agg(F.sum("__n").alias("__n"), F.max("__found").alias("__v")).where("__n = 1")
     return asks.join(one, "ask", "left").select(*asks.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 

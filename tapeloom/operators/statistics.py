@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 from statistics import NormalDist
 
@@ -145,6 +146,42 @@ def circular_blocks(df: DataFrame, position: str, value: str, n: int, block: int
     return rows.join(df.select(position, value), position).groupBy("draw").agg(F.avg(value).alias("mean"))
 
 
+def shared_resamples(df: DataFrame, cells: list[str], day: str, value: str, days: int, draws: int, index: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Bootstraps of all cells over the same resampled days: ``cells``, ``events``, ``mean``, and ``means``, the mean of each draw (null where it has no events).
+
+    Days are numbered from 0 to ``days`` - 1. Place ``j`` of draw ``b`` takes the day ``index(b, j)`` (a hash of both by default), whatever the cell, so cells can be
+    compared draw by draw. A cell is held as two arrays over its days, from one aggregation; draws are worked out from them in place, without a row for a draw or place.
+    """
+    index = index or (lambda b, j: F.pmod(F.xxhash64(b, j), F.lit(days)))
+    daily = df.groupBy(*cells, day).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
+    held = daily.groupBy(*cells).agg(F.map_from_entries(F.collect_list(F.struct(day, F.struct("s", "n")))).alias("m"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    axis = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    held = held.withColumn("m", F.transform(axis(days), lambda d: F.coalesce(F.element_at("m", d.cast(df.schema[day].dataType)), zero)))
+    add = lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n"))
+    mean = lambda a: F.when(a["n"] > 0, a["s"] / a["n"])
+    total = F.aggregate("m", zero, add)
+    draw = lambda b: F.aggregate(axis(days), zero, lambda a, j: add(a, F.get("m", index(b, j).cast("int"))), mean)
+    return held.select(*cells, total["n"].alias("events"), mean(total).alias("mean"), F.transform(axis(draws), draw).alias("means"))
+
+
+def resample_bounds(resamples: DataFrame, low: int, high: int) -> DataFrame:
+    """``low``-th and ``high``-th smallest mean (from 1), and ``below``: the share of draws at or below zero (of those with events)."""
+    held = resamples.withColumn("__m", F.array_sort(F.array_compact("means")))
+    share = F.size(F.filter("__m", lambda m: m <= 0)) / F.size("__m")
+    return held.withColumns({"low": F.get("__m", F.lit(low - 1)), "high": F.get("__m", F.lit(high - 1)), "below": F.when(F.size("__m") > 0, share)}).drop("__m", "means")
+
+
+def deflated_ratios(df: DataFrame, trials: list[str], gain: str) -> DataFrame:
+    """For each trial its ratio, the ratio that the best of so many trials without skill would show (``benchmark``, from the variance of all ratios), the ``score`` above it, and
+    ``deflated``: how probable a true ratio above that benchmark is, with the trial's skew and kurtosis. Trials whose gains don't vary have no ratio and don't count."""
+    made = sharpe_block(df, trials, gain).where("ratio is not null")
+    all_of = made.agg(F.count("*").alias("__m"), F.var_samp("ratio").alias("__v")).first()
+    benchmark = expected_best_ratio(all_of["__v"] or 0.0, all_of["__m"])
+    score = sharpe_score(F.col("ratio"), F.lit(benchmark), F.col("n"), F.col("skew"), F.col("kurt"))
+    return made.withColumns({"benchmark": F.lit(benchmark), "score": score, "deflated": normal_cdf(score)})
+
+
 def order_statistics(means: DataFrame, low: int, high: int) -> DataFrame:
     """The ``low``-th and ``high``-th smallest means (from 1); bootstraps have a few thousand rows."""
     return means.agg(F.array_sort(F.collect_list("mean")).alias("m")).select(F.get("m", F.lit(low - 1)).alias("low"), F.get("m", F.lit(high - 1)).alias("high"))

@@ -33,7 +33,7 @@ def j9_bitemporal_facts(spark, sf):
     e = tape(spark, sf)
     facts = kind(e, "view").select("user_id", (F.col("k") % 10).alias("valid_from"), F.when(F.col("k") < 50, F.col("k") % 10 + 4).alias("valid_to"), F.col("t").alias("observed"), "c")
     asks = kind(e, "error").select(F.col("event_id").alias("ask"), "user_id", F.col("t").alias("received"), (F.col("k") % 12).alias("event"))
-    return joins.known_at(facts, asks, "user_id", ["c"]).select("ask", "c")
+    return joins.known_at(facts, asks, "user_id", ["c"], DAY).select("ask", "c")
 
 
 @query("""SELECT DISTINCT b.bucket FROM (SELECT unnest(range(min(t) // 3600000000, max(t) // 3600000000 + 1)) AS bucket FROM e) b WHERE bucket NOT IN (SELECT (t + 60000000) // 3600000000 FROM e WHERE event_type = 'signup' AND k < 40)""")

@@ -89,6 +89,47 @@ def m12_m13_a22_block_bootstrap(spark, sf):
     return st.order_statistics(means, 5, 195).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+@query("""WITH d AS (SELECT event_type, t // 86400000000 - 19723 AS day, sum(c - 1000) AS s, count(c) AS n FROM e GROUP BY 1, 2), x AS (SELECT b, (b * 7 + j * 13 + (b * j) % 11) % 31 AS day FROM range(50) r(b), range(31) q(j)),
+ m AS (SELECT event_type, b, sum(s)::DOUBLE / sum(n) AS mean FROM x JOIN d USING (day) GROUP BY 1, 2), o AS (SELECT event_type, list_sort(list(mean)) AS m, avg((mean <= 0)::INT) AS below FROM m GROUP BY 1)
+ SELECT event_type, events, round(mean, 6) AS mean, round(m[3], 6) AS low, round(m[48], 6) AS high, round(below, 6) AS below FROM o JOIN (SELECT event_type, sum(n)::BIGINT AS events, sum(s)::DOUBLE / sum(n) AS mean FROM d WHERE day BETWEEN 0 AND 30 GROUP BY 1) USING (event_type)""")
+def m13_shared_resamples(spark, sf):
+    """All kinds of events over the same 50 draws of days: bounds of their means, and the share of draws that are not above zero."""
+    e = tape(spark, sf).withColumns({"day": (fn.bucket(F.col("t"), DAY) - 19723).cast("int"), "g": F.col("c") - 1000})
+    drawn = st.shared_resamples(e, ["event_type"], "day", "g", 31, 50, lambda b, j: (b * 7 + j * 13 + (b * j) % 11) % 31)
+    out = st.resample_bounds(drawn, 3, 48)
+    return out.select("event_type", "events", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "below")])
+
+
+def _inverse_normal(p: str) -> str:
+    """The quantile of the standard normal distribution at ``p`` >= 0.5 as SQL, by a rational approximation (relative error 1.2e-9)."""
+    # Coefficients of the approximation.
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+    r, q = f"(({p} - 0.5) * ({p} - 0.5))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"(CASE WHEN {p} <= 0.97575 THEN {_horner(a, r)} * ({p} - 0.5) / {_horner(b, r)} ELSE -{_horner(c, q)} / {_horner(d, q)} END)"
+
+
+def _horner(cs: tuple, x: str) -> str:
+    out = f"CAST({cs[0]!r} AS DOUBLE)"
+    for c in cs[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+_BEST = f"sqrt(v) * ((1 - 0.5772156649015329::DOUBLE) * {_inverse_normal('(1 - 1.0::DOUBLE / m)')} + 0.5772156649015329::DOUBLE * {_inverse_normal('(1 - 1.0::DOUBLE / (m * exp(1.0)))')})"
+
+
+@query(f"""WITH g AS (SELECT user_id, count(*) AS n, avg(c - 1000) AS mean, stddev_samp(c) AS sd FROM e GROUP BY 1), r AS (SELECT user_id, n, g.mean / sd AS ratio FROM g WHERE sd > 0),
+ k AS (SELECT user_id, avg((c - 1000 - mean) ** 3) / avg((c - 1000 - mean) ** 2) ** 1.5 AS skew, avg((c - 1000 - mean) ** 4) / avg((c - 1000 - mean) ** 2) ** 2 AS kurt FROM e JOIN g USING (user_id) GROUP BY 1), a AS (SELECT count(*) AS m, var_samp(ratio) AS v FROM r)
+ SELECT user_id, n, round(ratio, 8) AS ratio, round(best, 6) AS benchmark, round((ratio - best) * sqrt(n - 1) / sqrt(1 - skew * ratio + (kurt - 1) / 4 * ratio * ratio), 4) AS score FROM r JOIN k USING (user_id), (SELECT {_BEST} AS best FROM a)""")
+def m9_x11_deflated_ratios(spark, sf):
+    """Ratios of all lanes against what the best of so many without skill would show; the probability itself is compared in the tests."""
+    out = st.deflated_ratios(tape(spark, sf).withColumn("g", F.col("c") - 1000), ["user_id"], "g")
+    return out.select("user_id", "n", F.round("ratio", 8).alias("ratio"), F.round("benchmark", 6).alias("benchmark"), F.round("score", 4).alias("score"))
+
+
 @query("SELECT event_type, round(sum(c)::DOUBLE / count(*), 6) AS by_event, round(avg(m), 6) AS by_day, sum(n)::BIGINT AS events, count(*) AS days FROM (SELECT event_type, t // 86400000000 AS day, sum(c) AS c, avg(c) AS m, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1".replace("sum(c)::DOUBLE / count(*)", "sum(c)::DOUBLE / sum(n)"))
 def a22_day_clusters(spark, sf):
     d = st.day_clusters(tape(spark, sf).withColumn("day", fn.bucket(F.col("t"), DAY)), ["event_type"], "day", "c")
@@ -130,7 +171,17 @@ def m21_lead_and_lag(spark, sf):
  SELECT event_id FROM g JOIN s USING (user_id, n) WHERE kept""")
 def w31_greedy_selection(spark, sf):
     spans = tape(spark, sf).select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("k") * 10 * MINUTE).alias("stop"))
-    return schedules.non_overlapping(spans, "user_id", "start", "stop", "event_id").select("event_id")
+    return schedules.non_overlapping(spans, "user_id", "start", "stop", "event_id", DAY).select("event_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, t AS a, t + k * 6000000000 AS z, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+ g AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, false AS kept, []::BIGINT[] AS busy FROM (SELECT DISTINCT user_id FROM s) UNION ALL
+ SELECT user_id, n, event_id, len(open) < 10, CASE WHEN len(open) < 10 THEN open || [z] ELSE open END FROM (SELECT s.*, list_filter(g.busy, lambda x: x > s.a) AS open FROM g JOIN s ON s.user_id = g.user_id AND s.n = g.n + 1))
+ SELECT event_id FROM g WHERE kept""")
+def w32_at_most_ten_open(spark, sf):
+    """Spans chosen in order of their start, ten open at a time."""
+    spans = tape(spark, sf).select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("k") * 100 * MINUTE).alias("stop"))
+    return schedules.capped(spans, "user_id", "start", "stop", "event_id", 10).select("event_id")
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, t AS a, t + k * 600000000 AS z, k % 10 <> 0 AS signal, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
@@ -138,7 +189,7 @@ def w31_greedy_selection(spark, sf):
  SELECT user_id, count(*) FILTER (state = 'taken') AS taken, count(*) FILTER (state = 'no_signal') AS no_signal, count(*) FILTER (state = 'boundary') AS boundary, count(*) FILTER (state = 'busy') AS busy FROM g WHERE n > 0 GROUP BY 1""")
 def w32_w33_episodes(spark, sf):
     spans = tape(spark, sf).select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + F.col("k") * 10 * MINUTE).alias("stop"), (F.col("k") % 10 != 0).alias("signal"))
-    return schedules.episodes(spans, "user_id", "start", "stop", "event_id", "signal", 1_706_400_000_000_000)
+    return schedules.episodes(spans, "user_id", "start", "stop", "event_id", "signal", 1_706_400_000_000_000, DAY)
 
 
 @query("SELECT event_id, coalesce(last_value(CASE WHEN k >= 80 THEN 1 WHEN k < 40 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) AS held FROM e")
@@ -209,6 +260,13 @@ def t20_x37_qualified_windows(spark, sf):
     return books.qualified_windows(tape(spark, sf), "user_id", ["t", "event_id"], "t", F.col("event_type") == "error", F.col("k") >= 10, DAY)
 
 
+@query("""WITH s AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN 1 END AS light FROM e), b AS (SELECT *, CASE WHEN event_type IN ('error', 'signup') OR k < 10 OR coalesce(last_value(light IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 1) = 0 THEN 1 ELSE 0 END AS bad FROM s)
+ SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n FROM (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM b) WHERE bad = 0 GROUP BY user_id, run""")
+def t20_blackout_until_recovery(spark, sf):
+    """As above, but after a break nothing counts until a row that recovers."""
+    return books.qualified_windows(tape(spark, sf), "user_id", ["t", "event_id"], "t", F.col("event_type") == "error", F.col("k") >= 10, DAY, F.col("event_type") == "signup")
+
+
 @query("SELECT user_id, CASE WHEN i IS NULL OR v > i THEN c END AS c FROM (SELECT user_id, max(t) FILTER (event_type = 'error') AS i, max(t) FILTER (event_type <> 'error') AS v, arg_max(c, (t, event_id)) FILTER (event_type <> 'error') AS c FROM e GROUP BY 1)")
 def t30_valid_state(spark, sf):
     return books.valid_state(tape(spark, sf), "user_id", ["t", "event_id"], "c", F.col("event_type") == "error")

@@ -121,7 +121,7 @@ def test_greedy_selection_with_a_cap(spark, at_once):
             if sum(stop > a for stop in held) < at_once:
                 held.append(z)
                 want.append(n)
-    out = schedules.non_overlapping(spark.createDataFrame(rows, "k string, start long, stop long, n long"), "k", "start", "stop", "n", at_once)
+    out = schedules.capped(spark.createDataFrame(rows, "k string, start long, stop long, n long"), "k", "start", "stop", "n", at_once)
     assert sorted(r.n for r in out.collect()) == sorted(want)
 
 
