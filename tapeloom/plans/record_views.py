@@ -14,19 +14,22 @@ IDS = dict(
 )
 
 
-def _value(kind: str, n: int, at: str = "") -> str:
-    """A JSON value of field ``n`` as an expression of both engines; some are null."""
+def _value(kind: str, n: int, at: str = "", bare: bool = False) -> str:
+    """A JSON value of field ``n`` as an expression of both engines; some are null. ``bare`` numbers stand without quotes, zeros at their end included."""
+    if kind.startswith("raw:"):
+        return kind[4:]
     number = f"(event_id * {n + 3} + user_id{at}) % 97"
     if kind == "boolean":
         shown = f"CASE WHEN {number} % 2 = 0 THEN 'true' ELSE 'false' END"
     elif kind == "long":
         shown = f"CAST({number} AS STRING)"
     else:
-        shown = f"concat('\"', CAST({number} AS STRING), '.', CAST({number} % 7 AS STRING), '\"')"
+        mark = "" if bare else '"'
+        shown = f"concat('{mark}', CAST({number} AS STRING), '.', CAST({number} % 7 AS STRING), '0{mark}')"
     return f"CASE WHEN (event_id + {n}) % 11 = 0 THEN 'null' ELSE {shown} END"
 
 
-def _object(parts: list[tuple[str, str, str]], at: str = "", fixed: dict[str, str] | None = None) -> str:
+def _object(parts: list[tuple[str, str, str]], at: str = "", fixed: dict[str, str] | None = None, bare: bool = False) -> str:
     """An object with the fields at their paths as an expression of both engines."""
     tree: dict = {}
     for n, (_, path, kind) in enumerate(parts):
@@ -40,7 +43,7 @@ def _object(parts: list[tuple[str, str, str]], at: str = "", fixed: dict[str, st
 
     def text(node) -> list[str]:
         if isinstance(node, tuple):
-            return [_value(*node, at)]
+            return [_value(*node, at, bare)]
         array = any(k.startswith("[") for k in node)
         out = ["'['" if array else "'{'"]
         for i, (k, v) in enumerate(node.items()):
@@ -51,19 +54,22 @@ def _object(parts: list[tuple[str, str, str]], at: str = "", fixed: dict[str, st
     return "concat(" + ", ".join([*pieces, "'}'"]) + ")"
 
 
-def payload(view: View) -> str:
-    """The text of a marker or message of the view."""
+def payload(view: View, bare: bool = False) -> str:
+    """The text of a marker or message of the view; with ``bare`` numbers, or with all of them quoted."""
     fixed = {}
     if view.source:
         fixed["raw_message_ordinal"] = "CAST(2 * event_id AS STRING)"
     if view.source.startswith("$"):
         other = "'\"market_batch\"'" if view.unsourced else "'\"elsewhere\"'"
         fixed[view.source[1:]] = f"CASE WHEN event_id % 13 = 0 THEN {other} WHEN event_id % 17 = 0 THEN '\"none\"' ELSE '\"feed\"' END"
-    body = _object(view.parts(), fixed=fixed)
+    one, two = (_object(view.parts(True), f" + {k}", bare=bare) for k in (0, 40)) if view.events else ("", "")
+    array = f"CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN concat('[', {one}, ']') ELSE concat('[', {one}, ', ', {two}, ']') END"
+    if len(view.arrays()) > 1:
+        sides = [("", path, f"raw:{array.replace('event_id % 3', f'(event_id + {k}) % 3')}") for k, (_, path) in enumerate(view.arrays())]
+        return _object([*view.parts(), *sides], fixed=fixed, bare=bare)
+    body = _object(view.parts(), fixed=fixed, bare=bare)
     if not view.events:
         return body
-    one, two = (_object(view.parts(True), f" + {k}") for k in (0, 40))
-    array = f"CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN concat('[', {one}, ']') ELSE concat('[', {one}, ', ', {two}, ']') END"
     return f"concat(substr({body}, 1, length({body}) - 1), {chr(39)}{', ' if view.parts() or fixed else ''}\"{view.events_at}\": {chr(39)}, {array}, '}}')"
 
 
@@ -72,8 +78,8 @@ def _lane(view: View) -> tuple[str, str, str, str]:
     return view.channels[0], "local" if view.source else "inbound", "marker" if view.source else "text", "feed" if view.source.startswith("$") else view.source
 
 
-def records_of(spark: SparkSession, sf_dir: str, view: View) -> DataFrame:
-    """Raw records for a view: a record for each event, and for views of markers the message before it."""
+def records_of(spark: SparkSession, sf_dir: str, view: View, bare: bool = True) -> DataFrame:
+    """Raw records for a view: a record for each event, with bare numbers in its arrays' elements and fields, and for views of markers the message before it."""
     e = read_table(spark, sf_dir, "events")
     channel, direction, frame, source = _lane(view)
 
@@ -85,7 +91,7 @@ def records_of(spark: SparkSession, sf_dir: str, view: View) -> DataFrame:
             F.lit("utf-8").alias("payload_encoding"), F.encode("text", "UTF-8").alias("payload_bytes"), F.sha2("text", 256).alias("payload_sha256"),
         )
 
-    own = made(payload(view), "2 * event_id + 1", channel, direction, frame)
+    own = made(payload(view, bare), "2 * event_id + 1", channel, direction, frame)
     return own.unionByName(made("concat('{\"n\": ', CAST(event_id AS STRING), '}')", "2 * event_id", source, "inbound", "text")) if source else own
 
 
@@ -110,7 +116,11 @@ def view_sql(view: View) -> str:
     if view.source:
         rows += ", s AS (SELECT event_id AS of_event, 2000 * event_id AS received_utc_ns, 20 * event_id AS received_monotonic_ns, 'text' AS frame_type, sha256(concat('{\"n\": ', CAST(event_id AS VARCHAR), '}')) AS payload_sha256 FROM events)"
     table = "r"
-    if view.events:
+    if len(view.arrays()) > 1:
+        sides = [f"SELECT event_id, user_id, p, '{side}' AS side, unnest(json_extract(p, '$.{path}[*]')) AS x, generate_subscripts(json_extract(p, '$.{path}[*]'), 1) AS i FROM r" for side, path in view.arrays()]
+        rows += f", x AS ({' UNION ALL '.join(sides)})"
+        table, events = "x", f", side{events}"
+    elif view.events:
         empty = " UNION ALL SELECT event_id, user_id, p, NULL, NULL FROM r WHERE json_array_length(p, '$." + view.events_at + "') = 0" if view.keep_empty else ""
         rows += f", x AS (SELECT event_id, user_id, p, unnest(json_extract(p, '$.{view.events_at}[*]')) AS x, generate_subscripts(json_extract(p, '$.{view.events_at}[*]'), 1) AS i FROM r{empty})"
         table = "x"
@@ -132,11 +142,13 @@ for _name, _view in VIEWS.items():
     _register(_name, _view)
 
 
-@query(view_sql(VIEWS["kraken_spot_trades"]).split(" SELECT ", 1)[0] and "SELECT count(*) * 2 AS n, count(DISTINCT user_id % 5) AS sessions, CAST(sum(4 * event_id + 1) AS BIGINT) AS ordinals FROM e")
+@query(f"""WITH p AS (SELECT event_id, user_id, {payload(VIEWS["kraken_spot_trades"])} AS own, concat('{{"n": ', CAST(event_id AS VARCHAR), '}}') AS message FROM events)
+ SELECT CAST(user_id % 5 AS VARCHAR) AS session_id, 2 * event_id + 1 AS message_ordinal, 'normalized_trade' AS channel, 'local' AS direction, 'marker' AS frame_type, 1000 * (2 * event_id + 1) AS received_utc_ns, own AS payload, sha256(own) AS payload_sha256 FROM p
+ UNION ALL SELECT CAST(user_id % 5 AS VARCHAR), 2 * event_id, 'trade', 'inbound', 'text', 2000 * event_id, message, sha256(message) FROM p""")
 def v1_raw_records(spark, sf):
-    """All raw records, in one count of what they hold."""
-    r = records_of(spark, sf, VIEWS["kraken_spot_trades"])
-    return r.agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"), F.sum("message_ordinal").alias("ordinals"))
+    """All raw records, markers and messages, as they stand."""
+    r = records_of(spark, sf, VIEWS["kraken_spot_trades"], bare=False)
+    return r.select("session_id", "message_ordinal", "channel", "direction", "frame_type", "received_utc_ns", F.decode("payload_bytes", "UTF-8").alias("payload"), "payload_sha256")
 
 
 @query(f"""SELECT *, row_number() OVER w AS observation_index, lag(event) OVER w AS previous_event, lag(order_quantity) OVER w AS previous_order_quantity FROM ({view_sql(VIEWS["kraken_spot_l3_order_events"])}) v
@@ -166,7 +178,7 @@ def _register_marker(key: str, name: str) -> None:
     sql = f"SELECT CAST(user_id % 5 AS VARCHAR) AS session_id, 2 * event_id + 1 AS message_ordinal, (2 * event_id + 1) * 1000 AS received_utc_ns, (2 * event_id + 1) * 10 AS received_monotonic_ns{fields}, p AS marker_json FROM (SELECT event_id, user_id, {payload(made)} AS p FROM events)"
 
     def run(spark, sf):
-        local = records_of(spark, sf, made).withColumns({"direction": F.lit("local"), "frame_type": F.lit("marker")})
+        local = records_of(spark, sf, made, bare=False).withColumns({"direction": F.lit("local"), "frame_type": F.lit("marker")})
         return build_markers(local, view)
 
     query(sql, key)(run)

@@ -28,7 +28,7 @@ class View:
     product: str
     channels: tuple[str, ...]
     fields: str
-    #: Fields of an element of the array at ``events_at``, given out with its number under ``position`` if named.
+    #: Fields of an element of the array at ``events_at``, given out with its number under ``position`` if named. Several arrays, one a side, are ``bid=path|ask=path``.
     events: str = ""
     events_at: str = "events"
     position: str = ""
@@ -50,17 +50,36 @@ class View:
         return out
 
 
-def _schema(parts: list[tuple[str, str, str]], events_at: str = "", element: T.StructType | None = None) -> T.StructType:
-    """What a payload is parsed into: every leaf as text, so that no digit of a quoted number is lost; an unquoted one loses zeros at its end."""
+    def arrays(self) -> list[tuple[str, str]]:
+        """(side, path) of the arrays with elements; the side is empty if there is one array only."""
+        return [tuple(x.split("=")) if "=" in x else ("", x) for x in self.events_at.split("|")] if self.events else []
+
+
+#: What goes before a number outside strings, with whole strings in it, and the number. No step back is ever taken, so it is linear.
+_BARE = r'\G((?:[^"0-9-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?[0-9][0-9.eE+-]*+)'
+
+
+def quoted_numbers(text: Column) -> Column:
+    """JSON with its bare numbers quoted as they stand, so that a parser into texts keeps every digit (``2.10``, ``5.00000000``)."""
+    return F.regexp_replace(text, _BARE, '$1"$2"')
+
+
+def _parsed(text: Column, schema: T.StructType) -> Column:
+    """A payload parsed once: behind a generator no later filter, join or field makes the parser run again."""
+    return F.explode(F.array(F.from_json(quoted_numbers(text), schema)))
+
+
+def _schema(parts: list[tuple[str, str, str]], arrays: list[str] = (), element: T.StructType | None = None) -> T.StructType:
+    """What a payload is parsed into: every leaf as text, so that no digit of a number is lost."""
     tree: dict = {}
-    for path in [p for _, p, _ in parts] + ([events_at] if element else []):
+    for path in [p for _, p, _ in parts] + list(arrays):
         at = tree
         for step in path.replace("[", ".[").split("."):
             at = at.setdefault("[]" if step.startswith("[") else step, {})
-    if element:
+    for path in arrays:
         at = tree
-        for step in events_at.split("."):
-            at = at[step]
+        for step in path.replace("[", ".[").split("."):
+            at = at["[]" if step.startswith("[") else step]
         at["[]"] = element
 
     def typed(node) -> T.DataType:
@@ -83,6 +102,16 @@ def _picked(root: Column, parts: list[tuple[str, str, str]]) -> list[Column]:
     return [(_at(root, path) if kind == "string" else _at(root, path).try_cast(_TYPES[kind])).alias(name) for name, path, kind in parts]
 
 
+def _elements(view: View) -> Column:
+    """The elements of all arrays of a view, each with its side and its place in its own array."""
+
+    def placed(side: str, path: str) -> Column:
+        return F.transform(_at(F.col("__p"), path), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("position"), x.alias("event")))
+
+    made = [placed(side, path) for side, path in view.arrays()]
+    return made[0] if len(made) == 1 else F.concat(*[F.coalesce(m, F.array().cast("array<struct<side:string,position:int,event:" + _schema(view.parts(True)).simpleString() + ">>")) for m in made])
+
+
 def build_view(records: DataFrame, view: View) -> DataFrame:
     """The rows of a view over raw records. A malformed payload has null fields and no elements; a marker whose message is not there is left out."""
     own = records.where(F.col("channel").isin(*view.channels) & (F.col("direction") == ("local" if view.source else "inbound")))
@@ -93,20 +122,21 @@ def build_view(records: DataFrame, view: View) -> DataFrame:
     element = _schema(view.parts(True)) if view.events else None
     needed = view.parts() + ([("__source", view.source[1:], "string")] if view.source.startswith("$") else [])
     needed += [("__raw", "raw_message_ordinal", "string")] if view.source else []
-    schema = _schema(needed, view.events_at, element) if element else _schema(needed)
-    parsed = own.withColumn("__p", F.from_json(F.decode("payload_bytes", "UTF-8"), schema))
+    schema = _schema(needed, [path for _, path in view.arrays()], element)
+    parsed = own.withColumn("__p", _parsed(F.decode("payload_bytes", "UTF-8"), schema))
     fixed = [F.lit(v).alias(k) for k, v in view.constants.items()]
     if view.source:
         heads = ["session_id", F.col("message_ordinal").alias("normalization_message_ordinal"), F.col("__p.raw_message_ordinal").try_cast("long").alias("raw_message_ordinal")]
     else:
         heads = ["session_id", "message_ordinal", "received_utc_ns", "received_monotonic_ns"]
     channel = [_at(F.col("__p"), view.source[1:]).alias("__channel")] if view.source.startswith("$") else []
-    rows = parsed.select(*heads, *fixed, *channel, *_picked(F.col("__p"), view.parts()), *([_at(F.col("__p"), view.events_at).alias("__events")] if element else []))
+    rows = parsed.select(*heads, *fixed, *channel, *_picked(F.col("__p"), view.parts()), *([_elements(view).alias("__events")] if element else []))
     if element:
-        explode = F.posexplode_outer if view.keep_empty else F.posexplode
-        rows = rows.select(*[c for c in rows.columns if c != "__events"], explode("__events").alias("__position", "__event"))
-        place = [F.col("__position").cast("long").alias(view.position)] if view.position else []
-        rows = rows.select(*[c for c in rows.columns if not c.startswith("__") or c == "__channel"], *place, *_picked(F.col("__event"), view.parts(True)))
+        explode = F.explode_outer if view.keep_empty else F.explode
+        rows = rows.select(*[c for c in rows.columns if c != "__events"], explode("__events").alias("__x"))
+        place = [F.col("__x.position").cast("long").alias(view.position)] if view.position else []
+        place += [F.col("__x.side").alias("side")] if len(view.arrays()) > 1 else []
+        rows = rows.select(*[c for c in rows.columns if not c.startswith("__") or c == "__channel"], *place, *_picked(F.col("__x.event"), view.parts(True)))
     if not view.source:
         return rows
     message = records.where((F.col("venue") == view.venue) & (F.col("product") == view.product) & (F.col("direction") == "inbound"))
@@ -158,7 +188,7 @@ VIEWS = {
         *_HL, ("bbo",),
         "coin=data.coin event_time_ms=data.time bid_price=data.bbo[0].px bid_size=data.bbo[0].sz bid_order_count=data.bbo[0].n ask_price=data.bbo[1].px ask_size=data.bbo[1].sz ask_order_count=data.bbo[1].n",
     ),
-    "l2_bids": View(*_HL, ("l2Book",), "coin=data.coin event_time_ms=data.time", "price=px size=sz order_count=n", "bids", "level_index", constants={"side": "bid"}),
+    "l2": View(*_HL, ("l2Book",), "coin=data.coin event_time_ms=data.time", "price=px size=sz order_count=n", "bid=data.levels[0]|ask=data.levels[1]", "level_index"),
     "derivative_context": View(
         *_HL, ("activeAssetCtx",),
         "coin=data.coin funding=data.ctx.funding open_interest=data.ctx.openInterest oracle_price=data.ctx.oraclePx mark_price=data.ctx.markPx mid_price=data.ctx.midPx previous_day_price=data.ctx.prevDayPx day_notional_volume=data.ctx.dayNtlVlm",
@@ -250,5 +280,4 @@ MARKERS = {
 def build_markers(records: DataFrame, view: View) -> DataFrame:
     """Local markers of any venue, with their text."""
     own = records.where(F.col("channel").isin(*view.channels) & (F.col("direction") == "local") & (F.col("frame_type") == "marker")).withColumn("marker_json", F.decode("payload_bytes", "UTF-8"))
-    parsed = F.from_json("marker_json", _schema(view.parts()))
-    return own.withColumn("__p", parsed).select("session_id", "message_ordinal", "received_utc_ns", "received_monotonic_ns", *_picked(F.col("__p"), view.parts()), "marker_json")
+    return own.withColumn("__p", _parsed(F.col("marker_json"), _schema(view.parts()))).select("session_id", "message_ordinal", "received_utc_ns", "received_monotonic_ns", *_picked(F.col("__p"), view.parts()), "marker_json")

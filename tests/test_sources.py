@@ -81,7 +81,7 @@ def test_payload_views_of_real_frames(spark):
     from tapeloom.sources.views import RECORD
 
     out = build_view(spark.createDataFrame(rows, RECORD), VIEWS["trades"]).collect()
-    assert [(r.event_index, r.side, r.price, r.trade_id, r.buyer) for r in sorted(out, key=lambda r: r.event_index)] == [(0, "B", "1.10", "1125899906842624", "u"), (1, "A", "2.1", "2", None)]  # an unquoted number loses zeros at its end
+    assert [(r.event_index, r.side, r.price, r.trade_id, r.buyer) for r in sorted(out, key=lambda r: r.event_index)] == [(0, "B", "1.10", "1125899906842624", "u"), (1, "A", "2.10", "2", None)]
 
 
 def test_running_values_over_any_width(spark):
