@@ -108,40 +108,81 @@ def holes(df: DataFrame, key: str, time: str, step: int) -> DataFrame:
     return held.where(F.col(time) - F.col(f"previous_{time}") > step).select(key, F.col(f"previous_{time}").alias("hole_from"), F.col(time).alias("hole_to"))
 
 
-def with_islands(df: DataFrame, key: str, order: list[str], starts: Column, width: int, name: str = "island") -> DataFrame:
-    """Number of the run each row is in; ``starts`` says where a new run begins (null, as at the first row, begins one)."""
-    return running(df, key, order, width, sums={name: F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)})
+def carried(df: DataFrame, key: str, order: list[str], width: int, own: Callable[[DataFrame, Window], DataFrame], summary: dict[str, Column], carry: Callable[[DataFrame, Window, Window], DataFrame]) -> DataFrame:
+    """Rows with the columns that ``own`` adds over their bucket up to each row, and those that ``carry`` makes of the summaries of the buckets before.
+
+    ``carry`` gets a row for each bucket of a key, a window over those before it, and one that ends at it. This is for values that depend on one another, for
+    which :func:`running` would run over its own result.
+    """
+    rows = own(_bucketed(df, key, order, width), Window.partitionBy("__k", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    over = Window.partitionBy("__k").orderBy("__b")
+    held = carry(rows.groupBy("__k", "__b").agg(*[c.alias(n) for n, c in summary.items()]), over.rowsBetween(Window.unboundedPreceding, -1), over).drop(*summary)
+    return rows.join(held, ["__k", "__b"]).drop("__k", "__b")
 
 
 def bursts(df: DataFrame, key: str, time: str, gap: int, width: int) -> DataFrame:
-    """Runs of rows at most ``gap`` apart: ``start``, ``stop`` and ``n``."""
-    rows = with_previous(df.groupBy(key, time).agg(F.count("*").alias("__many")), key, [time], [time], width)
-    runs = with_islands(rows, key, [time], F.col(time) - F.col(f"previous_{time}") > gap, width)
-    return runs.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.sum("__many").alias("n"))
+    """Runs of rows at most ``gap`` apart: ``start``, ``stop`` and ``n``. Rows without a time are a run of their own."""
+
+    def own(rows: DataFrame, w: Window) -> DataFrame:
+        step = F.col(time) - F.lag(time).over(Window.partitionBy("__k", "__b").orderBy(time))
+        return rows.withColumn("__far", F.when(step > gap, 1).otherwise(0)).withColumn("__in", F.sum("__far").over(w))
+
+    def carry(buckets: DataFrame, before: Window, over: Window) -> DataFrame:
+        fresh = F.when(F.col("__first") - F.lag("__last").over(over) <= gap, 0).otherwise(1)
+        return buckets.withColumn("__fresh", fresh).withColumn("__runs", F.coalesce(F.sum(F.col("__breaks") + F.col("__fresh")).over(before), F.lit(0)) + F.col("__fresh")).drop("__fresh")
+
+    rows = carried(df.select(key, time), key, [time], width, own, {"__first": F.min(time), "__last": F.max(time), "__breaks": F.sum("__far")}, carry)
+    runs = rows.groupBy(key, (F.col("__runs") + F.col("__in")).alias("__run"))
+    return runs.agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("n")).drop("__run")
 
 
 def streaks(df: DataFrame, key: str, order: list[str], flag: Column, width: int) -> DataFrame:
     """``streak``: how many rows in a row, up to this one, have the flag. ``order`` has to be unique in a key."""
-    held = df.withColumn("__flag", F.coalesce(flag, F.lit(False)))
-    runs = running(held, key, order, width, sums={"__rows": F.lit(1)})
-    runs = running(runs, key, order, width, lasts={"__miss": F.when(~F.col("__flag"), F.col("__rows"))})
-    return runs.withColumn("streak", F.col("__rows") - F.coalesce(F.col("__miss"), F.lit(0))).drop("__flag", "__rows", "__miss")
+
+    def own(rows: DataFrame, w: Window) -> DataFrame:
+        return rows.withColumn("__n", F.count("*").over(w)).withColumn("__miss", F.max(F.when(~F.coalesce(flag, F.lit(False)), F.col("__n"))).over(w))
+
+    def carry(buckets: DataFrame, before: Window, over: Window) -> DataFrame:
+        rows = buckets.withColumn("__skip", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        return rows.withColumn("__unbroken", F.col("__skip") - F.coalesce(F.last(F.col("__skip") + F.col("__last"), ignorenulls=True).over(before), F.lit(0))).drop("__skip")
+
+    rows = carried(df, key, order, width, own, {"__rows": F.count("*"), "__last": F.max("__miss")}, carry)
+    return rows.select(*df.columns, (F.col("__n") - F.coalesce("__miss", -F.col("__unbroken"))).alias("streak"))
 
 
 def merge_spans(df: DataFrame, key: str, width: int, start: str = "start", stop: str = "stop") -> DataFrame:
     """Union of overlapping or touching spans of each key."""
-    spans = df.groupBy(key, start).agg(F.max(stop).alias(stop))
-    reach = running(spans, key, [start], width, maxes={"__reach": F.col(stop)})
-    reach = with_previous(reach, key, [start], ["__reach"], width)
-    runs = with_islands(reach, key, [start], F.col(start) > F.col("previous___reach"), width)
-    return runs.groupBy(key, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("island")
+    # In a bucket a span is a head if no earlier one of the bucket reaches it; it begins a union if none of the buckets before does either.
+    heads = F.when(~F.coalesce(F.col(start) <= F.col("__reach"), F.lit(False)), F.col(start))
+
+    def own(rows: DataFrame, w: Window) -> DataFrame:
+        return rows.withColumn("__reach", F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__head", F.max(heads).over(w))
+
+    def carry(buckets: DataFrame, before: Window, over: Window) -> DataFrame:
+        reached = buckets.withColumn("__until", F.max("__top").over(before))
+        begun = F.when(~F.coalesce(F.col("__last") <= F.col("__until"), F.lit(False)), F.col("__last"))
+        return reached.withColumn("__from", F.last(begun, ignorenulls=True).over(before))
+
+    rows = carried(df.select(key, start, stop), key, [start, stop], width, own, {"__top": F.max(stop), "__last": F.max("__head")}, carry)
+    begins = F.when(F.coalesce(F.col("__head") <= F.col("__until"), F.lit(False)), F.col("__from")).otherwise(F.col("__head"))
+    return rows.groupBy(key, begins.alias("__from")).agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("__from")
 
 
 def equity_drawdown(df: DataFrame, key: str, order: list[str], gain: str, width: int) -> DataFrame:
     """Running ``equity``, its ``peak`` (0 at least) and ``drawdown``."""
-    run = running(df, key, order, width, sums={"equity": F.col(gain)})
-    run = running(run, key, order, width, maxes={"__peak": F.col("equity")}).withColumn("peak", F.greatest(F.lit(0), F.col("__peak")))
-    return run.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("__peak")
+
+    def own(rows: DataFrame, w: Window) -> DataFrame:
+        return rows.withColumn("__in", F.sum(gain).over(w)).withColumn("__high", F.max("__in").over(w))
+
+    def carry(buckets: DataFrame, before: Window, over: Window) -> DataFrame:
+        held = buckets.withColumn("__start", F.sum("__sum").over(before))
+        return held.withColumn("__peak", F.max(F.coalesce("__start", F.lit(0)) + F.col("__top")).over(before))
+
+    rows = carried(df, key, order, width, own, {"__sum": F.sum(gain), "__top": F.max("__in")}, carry)
+    start = F.coalesce("__start", F.lit(0))
+    equity = F.when(F.col("__in").isNull(), F.col("__start")).otherwise(F.col("__in") + start)
+    run = rows.select(*df.columns, equity.alias("equity"), F.greatest(F.lit(0), F.col("__high") + start, F.col("__peak")).alias("peak"))
+    return run.withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
 def rolling_beta(df: DataFrame, key: str, order: list[str], y: str, x: str, rows: int, width: int) -> DataFrame:
