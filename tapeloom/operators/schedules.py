@@ -63,7 +63,7 @@ def non_overlapping(df: DataFrame, key: str, start: str, stop: str, tie: str, wi
             taken = written(taken.unionByName(further).distinct(), "taken")
             hop = jumps.select(F.col("__k").alias("__h"), F.col("__n").alias("__from"), F.col("__next").alias("__to"))
             jumps = written(jumps.join(hop, (F.col("__k") == F.col("__h")) & (F.col("__next") == F.col("__from"))).select("__k", "__n", F.col("__to").alias("__next")), "jumps")
-    entries = taken.select("__k", bucket(F.col("__at"), block).alias("__block"), "__at")
+    entries = taken.groupBy("__k", bucket(F.col("__at"), block).alias("__block")).agg(F.min("__at").alias("__at"))  # a last row without length points to a number beyond the end
 
     def follow(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("__n")
