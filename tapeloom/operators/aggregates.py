@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.operators.ordered import numbered
+
 
 def bars(df: DataFrame, keys: list, order: list[str], price: str, size: str) -> DataFrame:
     """Open, high, low, close, volume and number of rows by key."""
@@ -52,11 +54,54 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return counted.where("n_a <> n_b")
 
 
-def fingerprint(df: DataFrame, time: str, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """One row that does not depend on the order of rows: count, first and last time, an exclusive-or of row hashes for each seed, and their SHA-256."""
-    columns = sorted(df.columns)
-    held = df.agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), *[F.bit_xor(F.xxhash64(F.lit(s), *columns)).alias(f"x{s}") for s in seeds])
-    return held.withColumn("digest", F.sha2(F.concat_ws(":", "n", F.col("first").cast("string"), F.col("last").cast("string"), *[f"x{s}" for s in seeds]), 256))
+def record_text(columns: list[str | Column]) -> Column:
+    """A record as one text: each value as its length in bytes, a colon and the value, ``-`` if null; different records have different texts."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
+
+
+def multiset_digest(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """``n`` and ``digest`` of the rows as a multiset, by ``keys`` if given: the order of rows and their parts don't matter, repeats do.
+
+    The digest is the SHA-256 of ``n`` and the sums of two 60-bit pieces of each row's SHA-256, joined by colons, so any engine that has SHA-256 gives the
+    same, and sums of parts add up.
+    """
+    h = F.sha2(record_text(columns), 256)
+    piece = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    held = df.groupBy(*(keys or [])).agg(F.count("*").alias("n"), piece(1).alias("__a"), piece(16).alias("__b"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    return held.withColumn("digest", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("__a", zero).cast("string"), F.coalesce("__b", zero).cast("string")), 256)).drop("__a", "__b")
+
+
+def fingerprint(df: DataFrame, time: str) -> DataFrame:
+    """One row that does not depend on the order of rows: count, first and last time, and the :func:`multiset_digest` over all columns by name."""
+    span = df.agg(F.min(time).alias("first"), F.max(time).alias("last"))
+    return multiset_digest(df, sorted(df.columns)).crossJoin(F.broadcast(span)).select("n", "first", "last", "digest")  # a row each
+
+
+def ordered_digest(df: DataFrame, order: list[str], columns: list[str], width: int) -> DataFrame:
+    """``n`` and ``digest`` of rows in an order (``order[0]`` a whole number, unique together): each row counts with its place, so no task has to see all of them."""
+    held = numbered(df.withColumn("__one", F.lit(0)), "__one", order, width, "__place")
+    return multiset_digest(held, ["__place", *columns])
+
+
+def pinned(df: DataFrame, digest: str, expected: str, what: str) -> DataFrame:
+    """``df``, if ``digest`` is the expected one; else it is refused."""
+    if digest != expected:
+        raise ValueError(f"{what} has the digest {digest}, not {expected}")
+    return df
+
+
+def bound_exclusions(universe: DataFrame, exclusions: DataFrame, key: str, pin: str = "pin") -> tuple[DataFrame, DataFrame]:
+    """The universe (distinct keys) without the keys excluded for it, and the exclusions that were made for another one.
+
+    Each exclusion carries the digest of the universe that it was drawn up for; one with another digest doesn't hold here.
+    """
+    keys = universe.select(key).distinct()
+    own = multiset_digest(keys, [key]).select(F.col("digest").alias("__own"))
+    marked = exclusions.crossJoin(F.broadcast(own))  # one row
+    held = marked.where(F.col(pin).eqNullSafe(F.col("__own"))).select(key).distinct()
+    return keys.join(held, key, "left_anti"), marked.where(~F.col(pin).eqNullSafe(F.col("__own"))).drop("__own")
 
 
 def coverage(spine: DataFrame, *sides: DataFrame) -> DataFrame:

@@ -35,6 +35,34 @@ def sequence_audit(df: DataFrame, key: str, order: list[str], first: str, last:
     return held.withColumn("sequence", kind).withColumn("missing", F.when(F.col("sequence") == "gap", F.col(first) - F.col("__b") - 1).otherwise(0)).drop("__b")
 
 
+def change_chain(df: DataFrame, book: str, order: list[str], previous: str, current: str, snapshot: Column, width: int) -> DataFrame:
+    """Each message of a book by the rule of change numbers: ``snapshot``, ``update`` where ``previous`` is the number before it, ``gap`` where it isn't, then ``invalid`` until
+    the next snapshot; ``unanchored`` before the first."""
+    held = df.withColumn("__snap", F.coalesce(snapshot, F.lit(False)))
+    held = running(held, book, order, width, sums={"__part": F.col("__snap").cast("int")}).withColumn("__stretch", F.struct(F.col(book), F.col("__part")))
+    held = with_previous(held, "__stretch", order, [current], width)
+    off = ~F.col("__snap") & ~F.coalesce(F.col(previous) == F.col(f"previous_{current}"), F.lit(False))
+    held = running(held.withColumn("__off", off.cast("int")), "__stretch", order, width, maxes={"__broken": F.col("__off")}, before=True)
+    state = F.when(F.col("__part") == 0, "unanchored").when(F.col("__snap"), "snapshot").when(F.col("__broken") == 1, "invalid").when(F.col("__off") == 1, "gap").otherwise("update")
+    return held.select(*df.columns, state.alias("state"))
+
+
+def id_coverage(df: DataFrame, key: str, order: list[str], number: str, boundary: Column, width: int) -> DataFrame:
+    """Numbered prints after a snapshot: ``state`` and, for a gap, the range of numbers (``missing_from``, ``missing_to``) that was skipped.
+
+    ``boundary`` is the number that a snapshot row stands at (null for prints); what was before the first snapshot is ``before``, a print up to
+    the boundary is ``covered``. Beyond it a print is ``next``, ``gap``, or ``error`` if its number is not above all before it.
+    """
+    held = df.withColumn("__edge", boundary)
+    held = running(held, key, order, width, lasts={"__at": F.col("__edge")}, maxes={"__top": F.greatest(F.col("__edge"), F.when(F.col("__edge").isNull(), F.col(number)))}, before=True)
+    prints = held.where("__edge is null")
+    reached = F.greatest("__at", "__top")
+    state = F.when(F.col("__at").isNull(), "before").when(F.col(number) <= F.col("__at"), "covered").when(F.col(number) <= reached, "error").when(F.col(number) == reached + 1, "next").otherwise("gap")
+    out = prints.withColumn("state", state)
+    gap = F.col("state") == "gap"
+    return out.select(*df.columns, "state", F.when(gap, reached + 1).alias("missing_from"), F.when(gap, F.col(number) - 1).alias("missing_to"))
+
+
 def qualified_windows(df: DataFrame, key: str, order: list[str], time: str, breaks: Column, usable: Column, width: int, recovers: Column | None = None) -> DataFrame:
     """Stretches of usable rows between breaks: ``start``, ``stop``, ``n``. A break closes a stretch and is in none.
 

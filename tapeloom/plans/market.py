@@ -123,13 +123,37 @@ def a12_a13_hour_coverage(spark, sf):
     return found.withColumn("gap_fraction", F.round("gap_fraction", 9))
 
 
-@query("SELECT count(*) AS n, min(t) AS first, max(t) AS last, true AS same_in_any_order, true AS other_if_changed FROM e")
+#: A row as one text, and the pieces of its SHA-256, in SQL.
+def _digest_sql(table: str, columns: list[str], by: str = "") -> str:
+    text = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
+    sums = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)), 0)::VARCHAR" for at in (1, 16))
+    keys = f"{by}, " if by else ""
+    return f"SELECT {keys}count(*) AS n, sha256(concat_ws(':', count(*)::VARCHAR, {sums})) AS digest FROM (SELECT *, sha256({text}) AS h FROM {table}){f' GROUP BY {by}' if by else ''}"
+
+
+@query(f"SELECT n, first, last, digest FROM ({_digest_sql('e', ['c', 'event_id', 'event_type', 'k', 't'])}), (SELECT min(t) AS first, max(t) AS last FROM e)")
 def a14_relation_fingerprint(spark, sf):
-    """Hashes are an engine's own, so the query tells what holds of them."""
-    e = tape(spark, sf).select("event_id", "t", "c")
-    one, other, less = (agg.fingerprint(df, "t") for df in (e, e.repartition(5, "c"), e.where("event_id <> 7")))
-    both = one.crossJoin(other.select(F.col("digest").alias("again"))).crossJoin(less.select(F.col("digest").alias("changed")))
-    return both.select("n", "first", "last", (F.col("digest") == F.col("again")).alias("same_in_any_order"), (F.col("digest") != F.col("changed")).alias("other_if_changed"))
+    """A digest that any engine with SHA-256 gives, whatever the order of rows."""
+    return agg.fingerprint(tape(spark, sf).select("event_id", "event_type", "t", "c", "k"), "t")
+
+
+@query(f"WITH w AS (SELECT user_id, t, k, row_number() OVER (ORDER BY t, event_id) AS place FROM e WHERE k % 3 = 0) {_digest_sql('w', ['place', 'user_id', 'k'])}")
+def x38_ordered_digest(spark, sf):
+    """The digest of a list in its order, to be compared with a pinned one."""
+    return agg.ordered_digest(tape(spark, sf).where("k % 3 = 0"), ["t", "event_id"], ["user_id", "k"], DAY)
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM e), p AS ({_digest_sql('u', ['user_id'])}), q AS ({_digest_sql("(SELECT DISTINCT user_id FROM e WHERE k > 90)", ['user_id'])}),
+ x AS (SELECT user_id, CASE WHEN event_type = 'error' THEN p.digest ELSE q.digest END AS pin FROM e, p, q WHERE c % 50 = 0 AND event_type IN ('error', 'signup'))
+ SELECT user_id, 'kept' AS state FROM u WHERE user_id NOT IN (SELECT user_id FROM x, p WHERE pin = digest) UNION ALL SELECT user_id, 'refused' FROM x, p WHERE pin <> digest""")
+def x22_exclusions_bound_to_a_universe(spark, sf):
+    """Exclusions hold only for the universe whose digest they carry."""
+    e = tape(spark, sf)
+    whole, part = (agg.multiset_digest(df.select("user_id").distinct(), ["user_id"]).select(F.col("digest").alias(n)) for df, n in ((e, "p"), (e.where("k > 90"), "q")))
+    listed = e.where("c % 50 = 0 and event_type in ('error', 'signup')").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(part))  # a row each
+    listed = listed.select("user_id", F.when(F.col("event_type") == "error", F.col("p")).otherwise(F.col("q")).alias("pin"))
+    kept, refused = agg.bound_exclusions(e.select("user_id"), listed, "user_id")
+    return kept.withColumn("state", F.lit("kept")).unionByName(refused.select("user_id", F.lit("refused").alias("state")))
 
 
 @query("""SELECT t // 60000000 AS minute, sum(CASE WHEN event_type = 'view' THEN c ELSE -c END) AS signed, sum(c) AS total, count(*) AS n, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS sessions, count(*) - count(DISTINCT event_id) AS repeats FROM e GROUP BY 1""")

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -137,3 +138,21 @@ def register_views(spark: SparkSession, prefix: str, tables: dict[str, DataFrame
         df.createOrReplaceTempView(view)
         made.append(view)
     return made
+
+
+def series_views(spark: SparkSession, folder: str, prefix: str) -> dict[str, str]:
+    """A temporary view ``<prefix>_<series>`` for each series of a folder written by ``series`` and ``month``; by name, its condition.
+
+    The series are what the folder's own partitions say, so a view reads only the files of its series; views of the prefix whose series is gone are dropped.
+    """
+    whole = spark.read.parquet(folder)
+    found = sorted(r[0] for r in whole.select("series").distinct().collect())  # one row a series
+    made = {f"{prefix}_{re.sub(r'[^0-9a-z]+', '_', str(s).lower())}": s for s in found}
+    if len(made) != len(found):
+        raise ValueError("series whose views would have one name")
+    for table in spark.catalog.listTables():
+        if table.isTemporary and table.name.startswith(f"{prefix}_") and table.name not in made:
+            spark.catalog.dropTempView(table.name)
+    for name, s in made.items():
+        whole.where(F.col("series") == s).drop("series").createOrReplaceTempView(name)
+    return {n: f"series = '{s}'" for n, s in made.items()}
