@@ -54,7 +54,21 @@ def _digits(text: str) -> str:
     return text.replace(".", "").lstrip("0")
 
 
-class Levels:
+class _Book:
+    """What books of levels and of orders have in common: the best prices of a side from ``best``."""
+
+    def stands(self, said: tuple | None) -> bool:
+        """Whether the best bid is below the best ask, and both are what is said of them (nothing, or None, says nothing)."""
+        ends = [next(iter(self.best(side, 1)), None) for side in ("bid", "ask")]
+        if None not in ends and ends[0] >= ends[1]:
+            return False
+        try:
+            return all(x is None or Decimal(x) == end for x, end in zip(said or (), ends, strict=False))
+        except ArithmeticError:
+            return False
+
+
+class Levels(_Book):
     """A book by price levels: a quantity of zero removes one, levels beyond ``depth`` of a side are dropped for good."""
 
     def __init__(self, depth: int):
@@ -64,6 +78,12 @@ class Levels:
     def clear(self) -> None:
         self.sides: dict[str, dict[Decimal, tuple[str, str]]] = {"ask": {}, "bid": {}}
 
+    def copy(self) -> dict:
+        return {side: dict(held) for side, held in self.sides.items()}
+
+    def put_back(self, held: dict) -> None:
+        self.sides = held
+
     def apply(self, side: str, price: str, quantity: str, *_) -> bool:
         try:
             at, size = Decimal(price), Decimal(quantity)
@@ -95,7 +115,7 @@ class Levels:
         return sum(map(len, self.sides.values()))
 
 
-class Orders:
+class Orders(_Book):
     """A book by orders: ``add``, ``modify`` and ``delete`` by id; a change must name an open order at its side and price. Price levels beyond ``depth`` go with all their orders."""
 
     def __init__(self, depth: int):
@@ -106,6 +126,12 @@ class Orders:
         self.orders: dict[str, list] = {}  # id: side, price, price text, quantity text, time, arrival
         self.arrived = 0
 
+    def copy(self) -> dict:
+        return {k: list(o) for k, o in self.orders.items()}
+
+    def put_back(self, held: dict) -> None:
+        self.orders = held
+
     def apply(self, side: str, price: str, quantity: str, event: str, order_id: str, time) -> bool:
         try:
             at, size = Decimal(price), Decimal(quantity)
@@ -146,7 +172,7 @@ class Orders:
         return len(self.orders)
 
 
-def book_states(changes: DataFrame, book: str, message: list[str], place: str, snapshot: Column, columns: list[str], depth: int, width: int, orders: bool = False, strict: bool = True, levels: int = 10) -> DataFrame:
+def book_states(changes: DataFrame, book: str, message: list[str], place: str, snapshot: Column, columns: list[str], depth: int, width: int, orders: bool = False, strict: bool = True, levels: int = 10, atomic: bool = False, stated: tuple[str, str] | None = None) -> DataFrame:
     """The state of each book after each message: ``checksum`` (CRC32 of the ``digits`` of its best levels, asks first), ``size``, ``cut``, ``refused``, ``status``.
 
     ``changes`` has a row for each level (``columns``: side, price, quantity as texts) or order (and then event, id, time) that a message changes, in the order of
@@ -154,13 +180,17 @@ def book_states(changes: DataFrame, book: str, message: list[str], place: str, s
     beyond ``depth`` price levels of a side is dropped and doesn't come back by itself. A change that doesn't fit is counted as refused; if
     ``strict``, the book is ``broken`` from there until its next snapshot, without a state, else it is skipped. Before the first snapshot a book is ``unanchored``.
 
+    With ``atomic`` a message is tried on a copy of the book: it is ``rejected`` as a whole, and the book stays as it was, if a change doesn't fit, if its best bid would not be
+    below its best ask, or if the best prices it states (columns ``stated``: bid and ask, on its first row, null if it states none) are not those of the book then. A
+    rejected snapshot leaves the book unanchored.
+
     Only the book at hand is held, ``depth`` levels a side and the orders in them; the stretch from one snapshot to the next is replayed in one task, row by row as it streams by.
     """
-    ranked = changes.select(F.col(book).alias("book"), *[F.col(m).cast("long").alias(f"m{i}") for i, m in enumerate(message)], F.col(place).cast("long").alias("place"), snapshot.alias("snap"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    ranked = changes.select(F.col(book).alias("book"), *[F.col(m).cast("long").alias(f"m{i}") for i, m in enumerate(message)], F.col(place).cast("long").alias("place"), snapshot.alias("snap"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate([*columns, *(stated or ())])])
     order = [f"m{i}" for i in range(len(message))]
     begins = F.when(F.col("snap") & (F.col("place") == 0), 1).otherwise(0)
     rows = running(ranked, "book", [*order, "place"], width, sums={"stretch": begins})
-    dealt = rows.repartition("book", "stretch").sortWithinPartitions("book", "stretch", *order, "place").select("book", "stretch", *order, "snap", *[f"c{i}" for i in range(len(columns))])
+    dealt = rows.repartition("book", "stretch").sortWithinPartitions("book", "stretch", *order, "place").select("book", "stretch", *order, "snap", *[f"c{i}" for i in range(len(columns) + len(stated or ()))])
     kinds = changes.schema
     schema = f"`{book}` {kinds[book].dataType.simpleString()}, " + ", ".join(f"`{m}` long" for m in message) + ", status string, checksum long, digits string, size int, cut int, refused int"
     n = len(order)
@@ -173,21 +203,31 @@ def book_states(changes: DataFrame, book: str, message: list[str], place: str, s
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Orders(depth) if orders else Levels(depth)
         flow = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
-        stretch, fine, out = None, True, []
+        stretch, fine, begun, fresh, out = None, True, True, True, []
         for (name, part, *at), held in itertools.groupby(flow, key=lambda r: r[: 2 + n]):
             if (name, part) != stretch:
-                stretch, fine = (name, part), True
+                stretch, fine, begun = (name, part), True, part > 0
                 state.clear()
-            refused = 0
+                fresh = True
+            refused, before, said = 0, state.copy() if atomic and begun else None, None
             for row in held:
-                if part and not (fine and state.apply(*row[3 + n : 3 + n + columns_n])):
+                said = said or row[3 + n + columns_n :]
+                if begun and not (fine and state.apply(*row[3 + n : 3 + n + columns_n])):
                     refused += 1
-            fine = fine and not (strict and refused)
-            if part and fine:
+            if atomic and begun:
+                if refused or not state.stands(said):
+                    state.put_back(before)
+                    begun = not fresh
+                    out.append((name, *at, "rejected", None, None, state.size() if begun else None, 0, refused))
+                    fresh = False
+                    continue
+                fresh = False
+            fine = fine and not (strict and refused and not atomic)
+            if begun and fine:
                 cut, digits = state.cut(), state.digits(levels)
                 out.append((name, *at, "ok", zlib.crc32(digits.encode()), digits, state.size(), cut, refused))
             else:
-                out.append((name, *at, "broken" if part else "unanchored", None, None, None, None, refused if part else None))
+                out.append((name, *at, "broken" if begun else "unanchored", None, None, None, None, refused if begun else None))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                 out = []

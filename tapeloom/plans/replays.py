@@ -48,6 +48,20 @@ def t2_book_at_each_message(spark, sf):
     return out.select("user_id", "event_id", "status", "digits", "size", "cut")
 
 
+@query(f"""WITH RECURSIVE m AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n, event_type = 'signup' AS snap, {", ".join(_CHANGE).replace("AS STRING", "AS VARCHAR")}, CASE WHEN c % 2 = 0 THEN -(k % 20) ELSE k % 20 END AS r, c % 4 AS q FROM e),
+ g AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, false AS anchored, []::STRUCT(r BIGINT, d VARCHAR)[] AS ask, []::STRUCT(r BIGINT, d VARCHAR)[] AS bid, false AS rejected FROM (SELECT DISTINCT user_id FROM m)
+ UNION ALL SELECT user_id, event_id, n, CASE WHEN crossed AND snap THEN false ELSE anchored END, CASE WHEN crossed THEN CASE WHEN snap THEN [] ELSE old_ask END ELSE ask END, CASE WHEN crossed THEN CASE WHEN snap THEN [] ELSE old_bid END ELSE bid END, crossed FROM
+ (SELECT *, anchored AND len(ask) > 0 AND len(bid) > 0 AND -bid[1].r >= ask[1].r AS crossed FROM
+ (SELECT m.user_id, m.event_id, m.n, snap, anchored OR snap AS anchored, ask AS old_ask, bid AS old_bid, CASE WHEN side = 'ask' AND (anchored OR snap) THEN list_sort(list_filter(CASE WHEN snap THEN [] ELSE ask END, lambda x: x.r <> m.r) || CASE WHEN q > 0 THEN [{{'r': m.r, 'd': {_SHOWN % "price"} || {_SHOWN % "qty"}}}] ELSE [] END) WHEN snap THEN [] ELSE ask END AS ask,
+ CASE WHEN side = 'bid' AND (anchored OR snap) THEN list_sort(list_filter(CASE WHEN snap THEN [] ELSE bid END, lambda x: x.r <> m.r) || CASE WHEN q > 0 THEN [{{'r': m.r, 'd': {_SHOWN % "price"} || {_SHOWN % "qty"}}}] ELSE [] END) WHEN snap THEN [] ELSE bid END AS bid FROM g JOIN m ON m.user_id = g.user_id AND m.n = g.n + 1)))
+ SELECT user_id, event_id, CASE WHEN rejected THEN 'rejected' WHEN anchored THEN 'ok' ELSE 'unanchored' END AS status, CASE WHEN anchored AND NOT rejected THEN array_to_string(list_transform(ask[1:10], lambda x: x.d), '') || array_to_string(list_transform(bid[1:10], lambda x: x.d), '') END AS digits, CASE WHEN anchored THEN len(ask) + len(bid) END::INT AS size FROM g WHERE n > 0""")
+def t9_messages_tried_on_a_copy(spark, sf):
+    """Messages that would cross the book are rejected as a whole."""
+    e = tape(spark, sf).selectExpr("user_id", "t", "event_id", "0 AS place", "event_type = 'signup' AS snap", *_CHANGE)
+    out = replay.book_states(e, "user_id", ["t", "event_id"], "place", F.col("snap"), ["side", "price", "qty"], 100, DAY, atomic=True)
+    return out.select("user_id", "event_id", "status", "digits", "size")
+
+
 _ORDER = [
     "CASE WHEN k % 2 = 0 THEN 'bid' ELSE 'ask' END AS side", "concat(CAST(k % 12 AS STRING), '.0') AS price", "CAST(c % 5 AS STRING) AS qty",
     "CASE WHEN c % 7 < 4 THEN 'add' WHEN c % 7 < 6 THEN 'modify' ELSE 'delete' END AS event", "concat(CAST(k % 12 AS STRING), '-', CAST(c % 3 AS STRING)) AS id",
