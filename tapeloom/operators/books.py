@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.scalars import book_checksum
 from tapeloom.operators.ordered import WIDE, holes, running, trailing_sum, with_previous
@@ -21,9 +21,11 @@ def open_levels(updates: DataFrame, book: str, order: list[str], side: str, leve
 
 
 def checksums(levels: DataFrame, book: str, side: str, price: str, quantity: str, depth: int = 10) -> DataFrame:
-    """CRC32 of the ``depth`` best levels of each book; prices and quantities are texts."""
+    """CRC32 of the ``depth`` best levels of each book; prices and quantities are texts. Only those levels leave the tasks that rank them."""
     number = F.col(price).cast("decimal(38,10)")
-    item = F.struct(F.when(F.col(side) == "bid", -number).otherwise(number).alias("rank"), F.col(price).alias("price"), F.col(quantity).alias("qty"))
+    rank = F.when(F.col(side) == "bid", -number).otherwise(number)
+    levels = levels.withColumn("__level", F.row_number().over(Window.partitionBy(book, side).orderBy(rank, price, quantity))).where(F.col("__level") <= depth)
+    item = F.struct(rank.alias("rank"), F.col(price).alias("price"), F.col(quantity).alias("qty"))
     sides = {n: F.array_sort(F.collect_list(F.when(F.col(side) == n, item))) for n in ("ask", "bid")}
     return levels.groupBy(book).agg(*[v.alias(n) for n, v in sides.items()]).select(book, book_checksum(F.col("ask"), F.col("bid"), depth).alias("checksum"))
 

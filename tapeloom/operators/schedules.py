@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeloom.functions.scalars import bucket
@@ -126,18 +126,34 @@ def hysteresis(df: DataFrame, key: str, order: list[str], score: Column, enter:
 def positions(fills: DataFrame, key: str, order: list[str], quantity: str, price: str) -> DataFrame:
     """Position after all fills of a key (signed quantities): ``position``, ``entry`` (average price of what is open), ``realised``.
 
-    A fill against the position realises against the average; one beyond it turns the position at its own price.
+    A fill against the position realises against the average; one beyond it turns the position at its own price. Fills of a key are gone
+    through in order as they stream by; three numbers are held. Fills without quantity or price don't count.
     """
-    listed = fills.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(quantity).cast("double").alias("q"), F.col(price).cast("double").alias("p")))).alias("fills"))
-    zero = F.struct(F.lit(0.0).alias("position"), F.lit(0.0).alias("entry"), F.lit(0.0).alias("realised"))
-
-    def step(a: Column, f: Column) -> Column:
-        q, p, held, entry = f["q"], f["p"], a["position"], a["entry"]
-        after = held + q
-        same = held * q >= 0
-        closed = F.when(same, 0.0).otherwise(F.least(F.abs(q), F.abs(held)))
-        realised = a["realised"] + closed * (p - entry) * F.signum(held)
-        average = F.when(after == 0, 0.0).when(same, (held * entry + q * p) / after).when(F.abs(q) > F.abs(held), p).otherwise(entry)
-        return F.struct(after.alias("position"), average.alias("entry"), realised.alias("realised"))
-
-    return listed.select(key, F.aggregate("fills", zero, step).alias("s")).select(key, "s.*")
+    held = fills.select(F.col(key).alias("key"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(quantity).cast("double").alias("q"), F.col(price).cast("double").alias("p")).where("q is not null and p is not null")
+    dealt = held.repartition("key").sortWithinPartitions("key", *[f"o{i}" for i in range(len(order))]).select("key", "q", "p")
+    kind = f"`{key}` {fills.schema[key].dataType.simpleString()}, position double, entry double, realised double"
+    arrow = to_arrow_schema(T._parse_datatype_string(kind))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        at, position, entry, realised = object(), 0.0, 0.0, 0.0
+        first = True
+        for batch in batches:
+            for k, q, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if first or k != at:
+                    if not first:
+                        out.append((at, position, entry, realised))
+                    at, position, entry, realised, first = k, 0.0, 0.0, 0.0, False
+                after = position + q
+                if position * q >= 0:
+                    entry = 0.0 if after == 0 else (position * entry + q * p) / after
+                else:
+                    realised += min(abs(q), abs(position)) * (p - entry) * (1 if position > 0 else -1)
+                    entry = 0.0 if after == 0 else p if abs(q) > abs(position) else entry
+                position = after
+        if not first:
+            out.append((at, position, entry, realised))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return dealt.mapInArrow(fold, kind)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as fn
-from tapeloom.operators import aggregates as agg, joins, ordered, panels
+from tapeloom.operators import aggregates as agg, joins, ordered, panels, ranks
 from tapeloom.plans.registry import DAY, HOUR, MINUTE, kind, query, tape
 from tapeloom.sources import read_table
 
@@ -63,15 +63,15 @@ def j17_m20_calendar_pairs(spark, sf):
     return joins.paired_by_month(o, o, "ts", "v").withColumn("excess", F.round(F.col("primary") - F.col("control"), 4))
 
 
-@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS lanes, count(DISTINCT event_type) AS n FROM e WHERE t < 1704153600000000 GROUP BY 1")
+@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS lanes, count(DISTINCT event_type) AS n FROM e GROUP BY 1")
 def j19_lanes_of_keys(spark, sf):
-    found = joins.lanes_of(tape(spark, sf).where("t < 1704153600000000"), "user_id", "event_type")
+    found = joins.lanes_of(tape(spark, sf), "user_id", "event_type")
     return found.withColumn("lanes", F.array_join("lanes", ","))
 
 
-@query("SELECT event_type AS stream, event_id, t FROM e WHERE event_type IN ('view', 'click', 'error') AND k < 10")
+@query("SELECT event_type AS stream, event_id, t FROM e WHERE event_type IN ('view', 'click', 'error')")
 def j20_o1_three_streams_in_order(spark, sf):
-    e = tape(spark, sf).where("k < 10")
+    e = tape(spark, sf)
     return joins.total_order({n: kind(e, n) for n in ("view", "click", "error")}, ["t", "event_id"], ["event_id", "t"]).drop("rank")
 
 
@@ -172,9 +172,9 @@ def a18_nested_counters(spark, sf):
     return held.select("user_id", F.array_join(F.transform("codes", lambda x: F.concat_ws("=", x["code"], x["n"])), ",").alias("codes"), "last")
 
 
-@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'signup') THEN 'signup' END AS status, count(*) AS n FROM e WHERE t < 1704240000000000 GROUP BY 1")
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'signup') THEN 'signup' END AS status, count(*) AS n FROM e GROUP BY 1")
 def a19_a27_a28_first_status(spark, sf):
-    e = tape(spark, sf).where("t < 1704240000000000").groupBy("user_id").agg(F.collect_set("event_type").alias("held"), F.count("*").alias("n"))
+    e = tape(spark, sf).groupBy("user_id").agg(F.collect_set("event_type").alias("held"), F.count("*").alias("n"))
     return e.select("user_id", fn.first_status(F.col("held"), ("error", "purchase", "signup")).alias("status"), "n")
 
 
@@ -339,9 +339,9 @@ def o4_x9_m24_best_config(spark, sf):
 
 @query("SELECT user_id, n, place FROM (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM e GROUP BY 1) WHERE place <= 10")
 def o5_o7_leaderboard(spark, sf):
-    """The ten lanes with most rows; the ranks are given on ten rows."""
-    top = tape(spark, sf).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("long"))
+    """The ten lanes with most rows; ranks without a task that sees all lanes."""
+    lanes = tape(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
+    return ranks.ranked(lanes, [], [-F.col("n"), F.col("user_id")], "place").where("place <= 10").select("user_id", "n", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT user_id, t AS hole_from, nt AS hole_to FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt FROM e) WHERE nt - t > 43200000000 ORDER BY nt - t DESC, user_id LIMIT 20")

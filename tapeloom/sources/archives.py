@@ -91,9 +91,12 @@ def bounded(df: DataFrame, order: list[str], most: int) -> DataFrame:
 
 
 def write_months(df: DataFrame, path: str, month: Column, order: list[str]) -> None:
-    """One folder a month (``month=...``), ordered within, in one job; months that ``df`` has are replaced, others stay."""
+    """One folder a month (``month=...``), in one job; months that ``df`` has are replaced, others stay.
+
+    Rows are dealt by ranges of month and order, so a month of any size has as many tasks as it needs; its files are ordered within and, by name, among each other.
+    """
     held = df.withColumn("month", month)
-    out = held.repartition("month").sortWithinPartitions("month", *order).write.partitionBy("month")
+    out = held.repartitionByRange("month", *order).sortWithinPartitions("month", *order).write.partitionBy("month")
     out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

@@ -26,7 +26,24 @@ def work_dir(spark: SparkSession) -> str:
         base = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="tapeloom-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/tapeloom-{uuid.uuid4().hex}"
+    path = f"{base}/tapeloom-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Paths handed out, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete what this application has written to the shared folder, through Spark's own file systems; results that still read from there have to be kept before. Gives the number of folders."""
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        system = parent.getFileSystem(conf)
+        for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}*")) or []:  # a note may follow the name
+            gone += bool(system.delete(found.getPath(), True))
+    return gone
 
 
 def written(df: DataFrame, note: str = "step") -> DataFrame:

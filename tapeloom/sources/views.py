@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tapeloom.operators.ordered import running, with_previous
 
 #: Columns of a raw record.
 RECORD = (
     "schema_version int, venue string, product string, channel string, session_id string, message_ordinal long, received_utc_ns long,"
     " received_monotonic_ns long, direction string, frame_type string, payload_encoding string, payload_bytes binary, payload_sha256 string"
 )
+#: Messages of a session that are gone through in one task.
+MESSAGES = 100_000
 _TYPES = {"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
@@ -156,14 +160,15 @@ def build_view(records: DataFrame, view: View) -> DataFrame:
 
 def order_lifecycle(orders: DataFrame) -> DataFrame:
     """Order events with their number within the order, and the event and quantity before."""
-    w = Window.partitionBy("session_id", "order_id").orderBy("raw_message_ordinal", "data_index", F.asc_nulls_last("wire_order"))
-    return orders.withColumns({"observation_index": F.row_number().over(w).cast("long"), "previous_event": F.lag("event").over(w), "previous_order_quantity": F.lag("order_quantity").over(w)})
+    held = orders.withColumns({"__order": F.struct("session_id", "order_id"), "__last": F.col("wire_order").isNull()})
+    found = with_previous(held, "__order", ["raw_message_ordinal", "data_index", "__last", "wire_order"], ["event", "order_quantity"], MESSAGES)
+    return found.select(*orders.columns, F.col("ordinal").cast("long").alias("observation_index"), "previous_event", "previous_order_quantity")
 
 
 def filled_quotes(updates: DataFrame) -> DataFrame:
     """Partial quote updates (``*_update``) with the last known values of their session, and whether both sides are known."""
-    w = Window.partitionBy("session_id").orderBy("raw_message_ordinal", "normalization_message_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    out = updates.withColumns({c.removesuffix("_update"): F.last(c, ignorenulls=True).over(w) for c in updates.columns if c.endswith("_update")})
+    lasts = {c.removesuffix("_update"): F.col(c) for c in updates.columns if c.endswith("_update")}
+    out = running(updates, "session_id", ["raw_message_ordinal", "normalization_message_ordinal"], MESSAGES, lasts=lasts)
     return out.withColumn("bbo_complete", F.col("bid_price").isNotNull() & F.col("ask_price").isNotNull())
 
 

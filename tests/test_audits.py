@@ -113,3 +113,15 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": 1, "a": {"d": [1, 2.50], "c": "é"}}',), ("nonsense",), (None,), ("NaN",)], "x string")
     assert [r[0] for r in df.select(audits.canonical_json(F.col("x"))).collect()] == ['{"a":{"c":"é","d":[1,2.5]},"b":1}', None, None, None]
     assert json.loads('{"a": 1}') == {"a": 1}
+
+
+def test_work_is_cleared(spark):
+    import os
+
+    from tapeloom.sources import clear_work, written
+
+    clear_work(spark)
+    held = written(spark.range(3), "note")
+    path = held.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert held.count() == 3 and os.path.isdir(path)
+    assert clear_work(spark) == 1 and not os.path.exists(path) and clear_work(spark) == 0
