@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom.functions.scalars import bucket
 from tapeloom.operators.joins import intersect_spans
+from tapeloom.operators.ordered import equity_drawdown
 
 
 def held_through(spans: DataFrame, held: DataFrame, key: str, day: str) -> DataFrame:
@@ -114,3 +115,51 @@ def canonical_json(text: Column) -> Column:
         return texts.map(one, na_action="ignore")
 
     return canonical(text)
+
+
+def reject_tally(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Rows by key and ``reason``: the first of the rules (in order) that a row breaks or can't be judged by, or ``accepted``."""
+    reason = F.lit("accepted")
+    for name, ok in reversed(rules.items()):
+        reason = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(reason)
+    return df.groupBy(*keys, reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def account_summary(periods: DataFrame, fold: str, order: list[str], gain: str, fee: str, width: int, per_year: int = 365) -> DataFrame:
+    """By fold the last ``equity`` (gains less fees, from 0), the largest ``drawdown``, ``fees``, periods and the annualised ``sharpe``."""
+    run = equity_drawdown(periods.withColumn("__net", F.col(gain) - F.col(fee)), fold, order, "__net", width)
+    out = run.groupBy(fold).agg(F.max_by("equity", F.struct(*order)).alias("equity"), F.max("drawdown").alias("drawdown"), F.sum(fee).alias("fees"), F.count("*").alias("n"), F.avg("__net").alias("__m"), F.stddev_samp("__net").alias("__s"))
+    return out.withColumn("sharpe", F.when(F.col("__s") > 0, F.col("__m") / F.col("__s") * per_year**0.5)).drop("__m", "__s")
+
+
+def pair_problems(legs: DataFrame, pair: str, cap: float) -> DataFrame:
+    """What is wrong with each pair of legs (``market`` spot or perp, signed ``units``, ``weight``): a carry pair is long spot and short perp in equal units, with weights up to ``cap`` in all."""
+    made = legs.groupBy(pair).agg(
+        F.count("*").alias("__n"), F.count_if((F.col("market") == "spot") & (F.col("units") > 0)).alias("__long"), F.count_if((F.col("market") == "perp") & (F.col("units") < 0)).alias("__short"),
+        F.sum("units").alias("__sum"), F.sum(F.abs("weight")).alias("__w"),
+    )
+    rules = {"not_two_legs": F.col("__n") != 2, "no_long_spot": F.col("__long") != 1, "no_short_perp": F.col("__short") != 1, "unequal_units": F.coalesce(F.col("__sum") != 0, F.lit(True)), "over_the_cap": F.coalesce(F.col("__w") > cap, F.lit(True))}
+    return made.select(pair, F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])), ",").alias("problems"))
+
+
+def parsed_candles(lines: DataFrame, text: str, width: int) -> DataFrame:
+    """Lines ``time,open,high,low,close,volume`` as typed columns, with ``problem``: ``fields``, ``number``, ``price`` (not positive, or the high or low is not one), ``grid``, or null."""
+    parts = F.split(text, ",")
+    held = lines.withColumn("__p", parts)
+    numbers = {n: F.get("__p", F.lit(i)).try_cast("long" if n == "time" else "decimal(28,8)") for i, n in enumerate(("time", "open", "high", "low", "close", "volume"))}
+    held = held.withColumns(numbers)
+    missing = held["time"].isNull()
+    for n in ("open", "high", "low", "close", "volume"):
+        missing = missing | F.col(n).isNull()
+    fine = (F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close")) & (F.col("volume") >= 0)
+    problem = F.when(F.size("__p") != 6, "fields").when(missing, "number").when(~fine, "price").when(F.pmod("time", F.lit(width)) != 0, "grid")
+    return held.withColumn("problem", problem).drop("__p")
+
+
+def snapshot_problems(candles: DataFrame, key: str, width: int) -> DataFrame:
+    """Of each snapshot of candles: how many there are, how many have a problem, how many slots between its first and last are missing, and repeated ones."""
+    good = F.when(F.col("problem").isNull(), F.col("time"))
+    made = candles.groupBy(key, "time").agg(F.count("*").alias("__n"), F.count_if(F.col("problem").isNotNull()).alias("__bad"), F.max(good).alias("__t"))
+    span = F.coalesce((F.max("__t") - F.min("__t")) / width + 1, F.lit(0)).cast("long")
+    again = F.sum(F.greatest(F.col("__n") - F.col("__bad") - 1, F.lit(0)))
+    return made.groupBy(key).agg(F.sum("__n").alias("n"), F.sum("__bad").alias("bad"), (span - F.count("__t")).alias("missing"), again.alias("repeats"))

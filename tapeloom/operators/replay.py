@@ -26,7 +26,7 @@ def anchored_chain(updates: DataFrame, snapshots: DataFrame, book: str, order: l
     ``sequence_gap`` where numbers are missing, and ``after_gap`` until the next snapshot. Updates of a book without any
     snapshot, and those only buffered before its first one and beyond none, are ``buffered``, without a segment.
     """
-    shown = [book, *order, first, last, *[k for k in keep if k not in {book, first, last, *order}]]
+    shown = list(dict.fromkeys([book, *order, first, last, *keep]))
     marked = updates.select(*shown, F.lit(0).alias("__mark")).unionByName(snapshots.select(book, *order, last, F.lit(1).alias("__mark")), allowMissingColumns=True)
     counted = running(marked, book, order, width, sums={"segment": F.col("__mark")})
     anchors = counted.where("__mark = 1").select(F.struct(F.col(book).alias("k")).alias("__book"), "segment", F.col(last).alias("__anchor"))

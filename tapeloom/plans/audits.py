@@ -195,3 +195,70 @@ def v38_u3_views_by_series(spark, sf):
     for r in rows[1:]:
         both = both.unionByName(r)
     return both.groupBy("view").agg(F.count("*").alias("n"), F.countDistinct("month").alias("months"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+# accounts, rejects, pairs, candles, months
+
+
+@query("""WITH d AS (SELECT user_id % 5 AS fold, t // 86400000000 AS day, sum(c - 1000) AS gain, sum(k) AS fee FROM e GROUP BY 1, 2), q AS (SELECT *, sum(gain - fee) OVER (PARTITION BY fold ORDER BY day) AS equity FROM d), p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY fold ORDER BY day)) - equity AS dd FROM q)
+ SELECT fold, arg_max(equity, day)::BIGINT AS equity, max(dd)::BIGINT AS drawdown, sum(fee)::BIGINT AS fees, count(*) AS n, round(avg(gain - fee) / stddev_samp(gain - fee) * sqrt(365), 6) AS sharpe FROM p GROUP BY 1""")
+def a26_account_by_fold(spark, sf):
+    """Equity, drawdown, fees and annualised ratio of each fold."""
+    days = tape(spark, sf).groupBy((F.col("user_id") % 5).alias("fold"), fn.bucket(F.col("t"), DAY).alias("day")).agg(F.sum(F.col("c") - 1000).alias("gain"), F.sum("k").alias("fee"))
+    return audits.account_summary(days, "fold", ["day"], "gain", "fee", 30).withColumn("sharpe", F.round("sharpe", 6))
+
+
+@query("SELECT user_id, CASE WHEN (c > 300) IS NOT TRUE THEN 'bad_price' WHEN (CASE WHEN k % 17 <> 0 THEN k END > 5) IS NOT TRUE THEN 'bad_size' WHEN event_type = 'error' THEN 'unknown_side' ELSE 'accepted' END AS reason, count(*) AS n FROM e GROUP BY 1, 2")
+def a27_reject_tally(spark, sf):
+    """Why prints were not taken, by lane; the first rule that is broken counts."""
+    rules = {"bad_price": F.col("c") > 300, "bad_size": F.when(F.col("k") % 17 != 0, F.col("k")) > 5, "unknown_side": F.col("event_type") != "error"}
+    return audits.reject_tally(tape(spark, sf), ["user_id"], rules)
+
+
+@query("""WITH l AS (SELECT user_id * 100 + t // 86400000000 % 100 AS pair, CASE WHEN k % 2 = 0 THEN 'spot' ELSE 'perp' END AS market, CASE WHEN k % 2 = 0 THEN c % 3 ELSE -(c % 3) END AS units, k / 100.0::DOUBLE AS weight FROM e),
+ g AS (SELECT pair, count(*) <> 2 AS a, count(*) FILTER (market = 'spot' AND units > 0) <> 1 AS b, count(*) FILTER (market = 'perp' AND units < 0) <> 1 AS c, sum(units) <> 0 AS d, sum(abs(weight)) > 0.9 AS f FROM l GROUP BY 1)
+ SELECT pair, concat_ws(',', CASE WHEN a THEN 'not_two_legs' END, CASE WHEN b THEN 'no_long_spot' END, CASE WHEN c THEN 'no_short_perp' END, CASE WHEN d THEN 'unequal_units' END, CASE WHEN f THEN 'over_the_cap' END) AS problems FROM g""")
+def x50_carry_pairs(spark, sf):
+    """Pairs that are not long spot and short perp in equal units under a cap."""
+    e = tape(spark, sf)
+    units = F.when(F.col("k") % 2 == 0, F.col("c") % 3).otherwise(-(F.col("c") % 3))
+    legs = e.select((F.col("user_id") * 100 + fn.bucket(F.col("t"), DAY) % 100).alias("pair"), F.when(F.col("k") % 2 == 0, "spot").otherwise("perp").alias("market"), units.alias("units"), (F.col("k") / 100).alias("weight"))
+    return audits.pair_problems(legs, "pair", 0.9)
+
+
+_LINE = "concat_ws(',', CAST({t} AS {s}), concat(CAST(c AS {s}), '.50'), CAST(c + k % 5 - 1 AS {s}), CASE WHEN k % 23 = 0 THEN 'x' ELSE CAST(c - k % 3 AS {s}) END, CAST(c - k % 2 AS {s}), CASE WHEN k % 19 <> 0 THEN CAST(k AS {s}) END)"
+
+
+@query(f"""WITH l AS (SELECT user_id, string_split({_LINE.format(t="t // 3600000000 * 3600 + CASE WHEN k % 29 = 0 THEN 7 ELSE 0 END", s="VARCHAR")}, ',') AS p FROM e),
+ v AS (SELECT user_id, len(p) AS size, TRY_CAST(p[1] AS BIGINT) AS time, TRY_CAST(p[2] AS DECIMAL(28,8)) AS o, TRY_CAST(p[3] AS DECIMAL(28,8)) AS h, TRY_CAST(p[4] AS DECIMAL(28,8)) AS l, TRY_CAST(p[5] AS DECIMAL(28,8)) AS c, TRY_CAST(p[6] AS DECIMAL(28,8)) AS v FROM l),
+ x AS (SELECT user_id, time, CASE WHEN size <> 6 THEN 'fields' WHEN time IS NULL OR o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL OR v IS NULL THEN 'number' WHEN NOT (l > 0 AND h >= greatest(o, c, l) AND l <= least(o, c) AND v >= 0) THEN 'price' WHEN time % 3600 <> 0 THEN 'grid' END AS problem FROM v),
+ g AS (SELECT user_id, time, count(*) AS n, count(problem) AS bad, max(CASE WHEN problem IS NULL THEN time END) AS good FROM x GROUP BY 1, 2)
+ SELECT user_id, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (coalesce((max(good) - min(good)) // 3600 + 1, 0) - count(good))::BIGINT AS missing, sum(greatest(n - bad - 1, 0))::BIGINT AS repeats FROM g GROUP BY 1""")
+def x68_candle_snapshots(spark, sf):
+    """Candle lines parsed and judged, and the snapshots that they make up."""
+    time = fn.bucket(F.col("t"), HOUR) * 3600 + F.when(F.col("k") % 29 == 0, 7).otherwise(0)
+    lines = tape(spark, sf).withColumn("at", time).select("user_id", F.expr(_LINE.format(t="at", s="STRING")).alias("line"))
+    return audits.snapshot_problems(audits.parsed_candles(lines, "line", 3600), "user_id", 3600)
+
+
+@query("SELECT event_id, rtrim(rtrim(CAST((CAST(c AS DECIMAL(20,10)) / 8 + CAST(c + k AS DECIMAL(20,10)) / 8)::DECIMAL(20,10) / 2 AS DECIMAL(20,10))::VARCHAR, '0'), '.') AS middle FROM e WHERE c > 0".replace("(CAST(c AS DECIMAL(20,10)) / 8 + CAST(c + k AS DECIMAL(20,10)) / 8)::DECIMAL(20,10) / 2", "(2 * c + k) / 16.0"))
+def p10_mid_texts(spark, sf):
+    """The middle of two prices as plain text, digit by digit."""
+    e = tape(spark, sf).where("c > 0")
+    eighths = lambda c: (c.cast("decimal(20,10)") / 8).cast("decimal(20,10)").cast("string")
+    return e.select("event_id", fn.canonical_decimal(fn.mid_price(eighths(F.col("c")), eighths(F.col("c") + F.col("k")))).alias("middle"))
+
+
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, last_day(o_orderdate) AS ends FROM orders), r AS (SELECT 1 AS run, DATE '1995-06-10' AS until UNION ALL SELECT 2, DATE '1996-02-01'),
+ g AS (SELECT run, month, CASE WHEN ends < until THEN 'settled' ELSE 'provisional' END AS state, count(*) AS n FROM o, r WHERE month >= '1995-01' AND month <= '1996-06' GROUP BY ALL)
+ SELECT run, month, state, n, run = 1 OR state = 'provisional' OR month >= '1995-06' AS written FROM g""")
+def k5_provisional_and_settled_months(spark, sf):
+    """Two runs of a month writer: settled months stay, provisional ones are replaced, and settle later."""
+    from tapeloom.sources.archives import write_settling_months
+
+    orders = read_table(spark, sf, "orders").withColumn("month_of", F.date_format("o_orderdate", "yyyy-MM")).where("month_of between '1995-01' and '1996-06'").drop("month_of")
+    path, out = f"{work_dir(spark)}-months", None
+    for run, until in ((1, "1995-06-10"), (2, "1996-02-01")):
+        told = write_settling_months(orders, path, F.col("o_orderdate"), ["o_orderdate", "o_orderkey"], until).select(F.lit(run).alias("run"), "month", "state", F.col("rows").alias("n"), "written")
+        out = told if out is None else out.unionByName(told)
+    return out

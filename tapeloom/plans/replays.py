@@ -17,12 +17,16 @@ def _numbered(spark, sf):
     return rows.withColumn("n", F.col("ordinal").cast("long"))
 
 
-@query(f"""WITH {_RANGES}, s AS (SELECT *, sum(snap::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS seg FROM n), u AS (SELECT user_id, t, event_id, seg, {_FIRST} AS f, {_LAST} AS l FROM s WHERE NOT snap), a AS (SELECT user_id, seg, 3 * n - k % 12 AS anchor FROM s WHERE snap),
+def _anchored_sql(first: str, last: str, anchor: str) -> str:
+    return f"""WITH {_RANGES}, s AS (SELECT *, sum(snap::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS seg FROM n), u AS (SELECT user_id, t, event_id, seg, {first} AS f, {last} AS l FROM s WHERE NOT snap), a AS (SELECT user_id, seg, {anchor} AS anchor FROM s WHERE snap),
  r AS (SELECT u.user_id, t, event_id, u.seg AS segment, f, l, false AS buffered, anchor FROM u JOIN a ON a.user_id = u.user_id AND a.seg = u.seg UNION ALL SELECT u.user_id, t, event_id, a.seg, f, l, true, anchor FROM u JOIN a ON a.user_id = u.user_id AND a.seg = u.seg + 1 WHERE l > anchor),
  p AS (SELECT *, greatest(anchor, max(l) OVER (PARTITION BY user_id, segment ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reached FROM r),
  g AS (SELECT *, coalesce(max((f > reached + 1)::INT) OVER (PARTITION BY user_id, segment ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM p)
  SELECT user_id, event_id, CAST(segment AS BIGINT) AS segment, CASE WHEN broken = 1 THEN 'after_gap' WHEN f > reached + 1 THEN 'sequence_gap' WHEN l < reached THEN 'stale' WHEN l = reached THEN 'equal_final_reapplication' WHEN buffered THEN 'bootstrap_update' ELSE 'update' END AS event FROM g
- UNION ALL SELECT user_id, event_id, NULL, 'buffered' FROM u WHERE seg = 0 AND NOT EXISTS (FROM r WHERE r.event_id = u.event_id)""")
+ UNION ALL SELECT user_id, event_id, NULL, 'buffered' FROM u WHERE seg = 0 AND NOT EXISTS (FROM r WHERE r.event_id = u.event_id)"""
+
+
+@query(_anchored_sql(_FIRST, _LAST, "3 * n - k % 12"))
 def t6_snapshot_and_chained_updates(spark, sf):
     """Buffered and following updates of each snapshot, with gaps, repeats, and snapshots that lag behind."""
     rows = _numbered(spark, sf)
@@ -31,6 +35,16 @@ def t6_snapshot_and_chained_updates(spark, sf):
     return replay.anchored_chain(updates, snapshots, "user_id", ["t", "event_id"], "f", "l", [], DAY).select("user_id", "event_id", "segment", "event")
 
 
+@query(_anchored_sql("n - CASE WHEN c % 41 = 0 THEN 0 WHEN c % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 29 = 0 THEN 2 ELSE 0 END", "n - CASE WHEN c % 41 = 0 THEN 0 WHEN c % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 29 = 0 THEN 2 ELSE 0 END", "n - k % 5"))
+def t7_nonces_from_a_snapshot(spark, sf):
+    """Updates numbered one by one: buffered, joined to a snapshot's nonce, then each one more than the one before."""
+    nonce = "n - CASE WHEN c % 41 = 0 THEN 0 WHEN c % 17 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 29 = 0 THEN 2 ELSE 0 END"
+    rows = _numbered(spark, sf)
+    updates = rows.where("event_type <> 'signup'").select("user_id", "t", "event_id", F.expr(nonce).alias("nonce"))
+    snapshots = rows.where("event_type = 'signup'").select("user_id", "t", "event_id", F.expr("n - k % 5").alias("nonce"))
+    return replay.anchored_chain(updates, snapshots, "user_id", ["t", "event_id"], "nonce", "nonce", [], DAY).select("user_id", "event_id", "segment", "event")
+
+
 _CHANGE = ["CASE WHEN c % 2 = 0 THEN 'bid' ELSE 'ask' END AS side", "concat(CAST(k % 20 AS STRING), '.50') AS price", "concat('0.', CAST(c % 4 AS STRING)) AS qty"]
 _SHOWN = "ltrim(replace(%s, '.', ''), '0')"
 

@@ -100,6 +100,35 @@ def write_months(df: DataFrame, path: str, month: Column, order: list[str]) -> N
     out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_settling_months(df: DataFrame, path: str, time: Column, order: list[str], known_until: str) -> DataFrame:
+    """Months of settlements: one that ends before the day ``known_until`` is ``settled``, a later one ``provisional``; gives ``month``, ``state``, ``rows`` and ``written``.
+
+    A month goes to ``state=.../month=...``. A settled month that is there is never written again; a provisional one is replaced, and goes once it is settled.
+    """
+    spark = df.sparkSession
+    month = F.date_format(time, "yyyy-MM")
+    state = F.when(F.last_day(time) < F.lit(known_until).cast("date"), "settled").otherwise("provisional")
+    held = df.withColumns({"month": month, "state": state})
+    system = _file_system(spark, path)
+    there = {}
+    for s in ("settled", "provisional"):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state={s}")
+        there[s] = {f.getPath().getName().removeprefix("month=") for f in system.listStatus(folder)} if system.exists(folder) else set()
+    counts = held.groupBy("month", "state").agg(F.count("*").alias("rows"))
+    fresh = ~((F.col("state") == "settled") & F.col("month").isin(*there["settled"])) if there["settled"] else F.lit(True)
+    out = held.where(fresh).repartitionByRange("state", "month", *order).sortWithinPartitions("state", "month", *order).write.partitionBy("state", "month")
+    out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    settled = {r["month"] for r in counts.where("state = 'settled'").collect()}  # one row a month
+    for m in there["provisional"] & (settled | there["settled"]):
+        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state=provisional/month={m}"), True)
+    return counts.withColumn("written", fresh)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Spark's own file system for a path."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
     """A table ordered over all its files."""
     df.orderBy(*order).write.mode("errorifexists").parquet(path)
