@@ -10,7 +10,7 @@ from tapeloom.sources.views import MARKERS, VIEWS, View, build_markers, build_vi
 
 #: Id of the inventory for each view.
 IDS = dict(
-    zip(VIEWS, "v2 v3 v4 v5 v9 v10 v11 v13 v14 v15 v16 v17 v18 v19 v20 v21 v22 v23 v24 v25 v26 v27 v28 v29 v30 v31 v32 v33 v34 v36 v37".split(), strict=True)
+    zip(VIEWS, "v2 v3 v4 v5 v9 v10 v11 v13 v14 v15 v16 v17 v18 v19 v20 v21 v22 v23 v24 v25 v26 v27 v28 v29 v30 v31 v32 v33 v34 v35 v36 v37".split(), strict=True)
 )
 
 
@@ -124,6 +124,7 @@ def view_sql(view: View) -> str:
         empty = " UNION ALL SELECT event_id, user_id, p, NULL, NULL FROM r WHERE json_array_length(p, '$." + view.events_at + "') = 0" if view.keep_empty else ""
         rows += f", x AS (SELECT event_id, user_id, p, unnest(json_extract(p, '$.{view.events_at}[*]')) AS x, generate_subscripts(json_extract(p, '$.{view.events_at}[*]'), 1) AS i FROM r{empty})"
         table = "x"
+    fixed += f", p AS {view.whole}" if view.whole else ""
     out = f"{rows} SELECT {heads}{fixed}{fields}{position}{events} FROM {table}"
     if view.source:
         channel = f"json_extract_string(p, '$.{view.source[1:]}')"
@@ -142,6 +143,12 @@ for _name, _view in VIEWS.items():
     _register(_name, _view)
 
 
+@query(f"SELECT * FROM ({view_sql(VIEWS['l2'])}) WHERE side = 'bid'")
+def v4_l2_bids(spark, sf):
+    """The bids of the level view."""
+    return build_view(records_of(spark, sf, VIEWS["l2"]), VIEWS["l2"]).where("side = 'bid'")
+
+
 @query(f"""WITH p AS (SELECT event_id, user_id, {payload(VIEWS["kraken_spot_trades"])} AS own, concat('{{"n": ', CAST(event_id AS VARCHAR), '}}') AS message FROM events)
  SELECT CAST(user_id % 5 AS VARCHAR) AS session_id, 2 * event_id + 1 AS message_ordinal, 'normalized_trade' AS channel, 'local' AS direction, 'marker' AS frame_type, 1000 * (2 * event_id + 1) AS received_utc_ns, own AS payload, sha256(own) AS payload_sha256 FROM p
  UNION ALL SELECT CAST(user_id % 5 AS VARCHAR), 2 * event_id, 'trade', 'inbound', 'text', 2000 * event_id, message, sha256(message) FROM p""")

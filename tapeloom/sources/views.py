@@ -43,6 +43,8 @@ class View:
     #: Records whose payload names none of these channels need no message.
     unsourced: tuple[str, ...] = ()
     constants: dict[str, str] = field(default_factory=dict)
+    #: Name under which the whole payload is given out as text, if any.
+    whole: str = ""
 
     def parts(self, events: bool = False) -> list[tuple[str, str, str]]:
         """(name, path, type) of the fields, or of those of an element."""
@@ -134,7 +136,8 @@ def build_view(records: DataFrame, view: View) -> DataFrame:
     else:
         heads = ["session_id", "message_ordinal", "received_utc_ns", "received_monotonic_ns"]
     channel = [_at(F.col("__p"), view.source[1:]).alias("__channel")] if view.source.startswith("$") else []
-    rows = parsed.select(*heads, *fixed, *channel, *_picked(F.col("__p"), view.parts()), *([_elements(view).alias("__events")] if element else []))
+    whole = [F.decode("payload_bytes", "UTF-8").alias(view.whole)] if view.whole else []
+    rows = parsed.select(*heads, *fixed, *channel, *whole, *_picked(F.col("__p"), view.parts()), *([_elements(view).alias("__events")] if element else []))
     if element:
         explode = F.explode_outer if view.keep_empty else F.explode
         rows = rows.select(*[c for c in rows.columns if c != "__events"], explode("__events").alias("__x"))
@@ -273,6 +276,7 @@ VIEWS = {
     "polymarket_crypto_last_trade_prices": View(
         *_PM, ("normalized_last_trade_price",), "frame_wire_order:long market asset_id price size fee_rate_bps side timestamp_ms transaction_hash complete_trade_tape:boolean", source="$source_frame_channel"
     ),
+    "coinbase_public_events": View(*_CB, ("normalized",), "", source="$feed_product", whole="normalized"),
     "coinbase_spot_trades": View(*_CB, ("normalized_trade",), "trade_id price size maker_side aggressor_side event_time", source="$feed_product"),
     "coinbase_spot_l2_events": View(*_CB, ("normalized_l2",), "action event_time", "side price size", "levels", source="$feed_product"),
 }
