@@ -38,17 +38,16 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "r
 
 
 def cross_section_rank(df: DataFrame, day: str, value: str, tie: str, eligible: Column, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``rank`` from 1 by falling value within a day, ties by ``tie``; null for rows that are not eligible."""
+    """``rank`` from 1 by falling value within a day, ties by ``tie``, and ``ranked``, how many are; both null for rows that are not eligible."""
     held = df.withColumn("__e", F.coalesce(eligible, F.lit(False)))
     out = ranked(held, [day, "__e"], [F.col(value).isNull(), -F.col(value), F.col(tie)], "__r", least_rows)
-    return out.select(*df.columns, F.when(F.col("__e"), F.col("__r")).alias("rank"))
+    return out.select(*df.columns, F.when(F.col("__e"), F.col("__r")).alias("rank"), F.when(F.col("__e"), F.col("group_rows")).alias("ranked"))
 
 
-def legs(ranked_rows: DataFrame, day: str, percent: int) -> DataFrame:
-    """``leg`` 1 for the top and -1 for the bottom ``percent`` of the ranked rows of a day, rounded down; else 0."""
-    counted = attach(ranked_rows, ranked_rows.groupBy(day).agg(F.count("rank").alias("__m")), [day])
-    size = F.floor(F.col("__m") * percent / 100)
-    return counted.withColumn("leg", F.when(F.col("rank") <= size, 1).when(F.col("rank") > F.col("__m") - size, -1).otherwise(0)).drop("__m")
+def legs(ranked_rows: DataFrame, percent: int) -> DataFrame:
+    """``leg`` 1 for the top and -1 for the bottom ``percent`` of the ``ranked`` rows of a day (see :func:`cross_section_rank`), rounded down; else 0."""
+    size = F.floor(F.col("ranked") * percent / 100)
+    return ranked_rows.withColumn("leg", F.when(F.col("rank") <= size, 1).when(F.col("rank") > F.col("ranked") - size, -1).otherwise(0))
 
 
 def adjusted_p(df: DataFrame, p: str, tie: str, least_rows: int = LEAST_ROWS) -> DataFrame:

@@ -196,7 +196,7 @@ def _user_days(spark, sf):
 @query(f"{_E}, d AS ({_DAYS}), r AS (SELECT *, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY day, n >= 2 ORDER BY v DESC, user_id) END AS rank FROM d) SELECT *, CASE WHEN rank <= x THEN 1 WHEN rank > m - x THEN -1 ELSE 0 END AS leg FROM (SELECT *, count(rank) OVER (PARTITION BY day) AS m, count(rank) OVER (PARTITION BY day) * 20 // 100 AS x FROM r)".replace("SELECT *, CASE WHEN rank <= x", "SELECT day, user_id, v, n, rank, CASE WHEN rank <= x"))
 def w16_w17_rank_and_legs(spark, sf):
     ranked = ranks.cross_section_rank(_user_days(spark, sf), "day", "v", "user_id", F.col("n") >= 2)
-    return ranks.legs(ranked, "day", 20).withColumns({"rank": F.col("rank").cast("long")})
+    return ranks.legs(ranked, 20).withColumns({"rank": F.col("rank").cast("long")}).drop("ranked")
 
 
 @query(f"{_E}, d AS ({_DAYS}), q AS (SELECT *, sum(v - 2000) OVER (PARTITION BY user_id ORDER BY day) AS equity FROM d), p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY user_id ORDER BY day)) AS peak FROM q) SELECT user_id, day, equity, peak, peak - equity AS drawdown FROM p")
