@@ -262,3 +262,26 @@ def k5_provisional_and_settled_months(spark, sf):
         told = write_settling_months(orders, path, F.col("o_orderdate"), ["o_orderdate", "o_orderkey"], until).select(F.lit(run).alias("run"), "month", "state", F.col("rows").alias("n"), "written")
         out = told if out is None else out.unionByName(told)
     return out
+
+
+@query("""WITH v AS (SELECT 'near' AS catalog, 'own_' || event_type AS view, count(*) AS n FROM e WHERE event_type <> 'error' GROUP BY 2 UNION ALL SELECT 'far', 'own_' || event_type, count(*) FROM e WHERE k < 50 GROUP BY 2 UNION ALL SELECT 'near', 'by_hand', count(*) FROM e WHERE c > 500)
+ SELECT catalog, view, CASE WHEN view <> 'by_hand' THEN 'series' END AS owner, n FROM v""")
+def s12_s13_u3_k13_stored_catalogs(spark, sf):
+    """Two stored catalogs with views of one name; one is generated anew with fewer series, and a view made by hand stays in it."""
+    from functools import reduce
+
+    from tapeloom.sources.archives import generate_catalog, union_of_catalogs
+
+    path = work_dir(spark)
+    e = tape(spark, sf)
+    e.write.parquet(f"{path}/e")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    names = {alias: f"{path.rsplit('/', 1)[-1].replace('-', '_')}_{alias}" for alias in ("near", "far")}
+    series = lambda kept, more: {f"own_{x}": f"SELECT * FROM parquet.`{path}/e` WHERE event_type = '{x}'{more}" for x in kept}
+    generate_catalog(spark, names["near"], f"{path}/near", series(kinds, ""), "series")
+    generate_catalog(spark, names["far"], f"{path}/far", series(kinds, " AND k < 50"), "series")
+    spark.sql(f"CREATE VIEW `{names['near']}`.by_hand AS SELECT * FROM parquet.`{path}/e` WHERE c > 500")
+    generate_catalog(spark, names["near"], f"{path}/near", series([x for x in kinds if x != "error"], ""), "series")
+    found = union_of_catalogs(spark, names)
+    counts = [spark.table(f"`{names[r['catalog']]}`.`{r['view']}`").agg(F.lit(r["catalog"]).alias("catalog"), F.lit(r["view"]).alias("view"), F.count("*").alias("n")) for r in found.collect()]
+    return found.join(reduce(lambda a, b: a.unionByName(b), counts), ["catalog", "view"])

@@ -188,3 +188,37 @@ def series_views(spark: SparkSession, folder: str, prefix: str) -> dict[str, str
     for name, s in made.items():
         whole.where(F.col("series") == s).drop("series").createOrReplaceTempView(name)
     return {n: f"series = '{s}'" for n, s in made.items()}
+
+
+#: Property of a stored view that says who generates it.
+OWNER = "generated_by"
+
+
+def _stored(spark: SparkSession, catalog: str) -> dict[str, str | None]:
+    """The stored views of a catalog and their owners."""
+    names = [r["viewName"] for r in spark.sql(f"SHOW VIEWS IN `{catalog}`").collect() if not r["isTemporary"]]
+    owners = {n: [r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{catalog}`.`{n}`").collect() if r["key"] == OWNER] for n in names}
+    return {n: o[0] if o else None for n, o in owners.items()}
+
+
+def generate_catalog(spark: SparkSession, catalog: str, folder: str, views: dict[str, str], owner: str) -> dict[str, list[str]]:
+    """Store views (name to query) in a catalog: ``made``, ``dropped`` (own ones that are no longer asked for) and ``foreign`` (of others, left as they are).
+
+    A name that a view of another owner has is refused before anything is changed.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{catalog}` LOCATION '{folder}'")
+    there = _stored(spark, catalog)
+    if taken := sorted(n for n in views if n in there and there[n] != owner):
+        raise ValueError(f"views of others have these names: {', '.join(taken)}")
+    stale = sorted(n for n, o in there.items() if o == owner and n not in views)
+    for name in stale:
+        spark.sql(f"DROP VIEW `{catalog}`.`{name}`")
+    for name, query in views.items():
+        spark.sql(f"CREATE OR REPLACE VIEW `{catalog}`.`{name}` TBLPROPERTIES ('{OWNER}' = '{owner}') AS {query}")
+    return {"made": sorted(views), "dropped": stale, "foreign": sorted(n for n, o in there.items() if o != owner)}
+
+
+def union_of_catalogs(spark: SparkSession, catalogs: dict[str, str]) -> DataFrame:
+    """The stored views of several catalogs (alias to name): ``catalog``, ``view``, ``owner``; lists of names, no rows of tables."""
+    rows = [(alias, n, o) for alias, name in catalogs.items() for n, o in sorted(_stored(spark, name).items())]
+    return spark.createDataFrame(rows, "catalog string, view string, owner string")

@@ -125,3 +125,28 @@ def test_work_is_cleared(spark):
     path = held.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert held.count() == 3 and os.path.isdir(path)
     assert clear_work(spark) == 1 and not os.path.exists(path) and clear_work(spark) == 0
+
+
+def test_a_view_of_others_is_not_replaced(spark, tmp_path):
+    from tapeloom.sources.archives import generate_catalog
+
+    one = {"a": "SELECT 1 AS x", "b": "SELECT 2 AS x"}
+    assert generate_catalog(spark, "views_here", f"{tmp_path}/c", one, "me") == {"made": ["a", "b"], "dropped": [], "foreign": []}
+    spark.sql("CREATE VIEW views_here.c AS SELECT 3 AS x")
+    assert generate_catalog(spark, "views_here", f"{tmp_path}/c", {"b": "SELECT 4 AS x"}, "me") == {"made": ["b"], "dropped": ["a"], "foreign": ["c"]}
+    with pytest.raises(ValueError, match="views of others have these names: c"):
+        generate_catalog(spark, "views_here", f"{tmp_path}/c", {"c": "SELECT 5 AS x"}, "me")
+    assert [spark.table(f"views_here.{n}").first()[0] for n in ("b", "c")] == [4, 3]
+    spark.sql("DROP DATABASE views_here CASCADE")
+
+
+def test_settling_months(spark, tmp_path):
+    from tapeloom.sources.archives import write_settling_months
+
+    df = spark.createDataFrame([("2024-01-05", 1), ("2024-02-07", 2), ("2024-02-09", 3)], "d string, v int").withColumn("d", F.to_date("d"))
+    told = lambda until, rows=df: got(write_settling_months(rows, f"{tmp_path}/m", F.col("d"), ["v"], until))
+    there = lambda: got(spark.read.parquet(f"{tmp_path}/m").select("state", "v"))
+    assert told("2024-02-20") == [("2024-01", "settled", 1, True), ("2024-02", "provisional", 2, True)]
+    more = df.unionByName(spark.createDataFrame([("2024-01-06", 9)], "d string, v int").withColumn("d", F.to_date("d")))
+    assert told("2024-03-01", more) == [("2024-01", "settled", 2, False), ("2024-02", "settled", 2, True)]
+    assert there() == [("settled", 1), ("settled", 2), ("settled", 3)]
