@@ -163,3 +163,17 @@ def snapshot_problems(candles: DataFrame, key: str, width: int) -> DataFrame:
     span = F.coalesce((F.max("__t") - F.min("__t")) / width + 1, F.lit(0)).cast("long")
     again = F.sum(F.greatest(F.col("__n") - F.col("__bad") - 1, F.lit(0)))
     return made.groupBy(key).agg(F.sum("__n").alias("n"), F.sum("__bad").alias("bad"), (span - F.count("__t")).alias("missing"), again.alias("repeats"))
+
+
+def run_completeness(held: DataFrame, listings: DataFrame, key: str, day: str) -> DataFrame:
+    """Of each listed key (``listed``, ``delisted``: its first and last day, the latter null while it trades) the days that lack a row: ``early`` before its first row, ``late`` after its
+    last, ``inside``; and ``outside``, rows beyond its listing. ``until``, the last day of all rows, stands for a missing end; a key without rows is ``early`` throughout."""
+    days = held.select(key, day).distinct()
+    until = days.agg(F.max(day).alias("__until"))
+    span = listings.crossJoin(F.broadcast(until)).select(key, "listed", F.coalesce("delisted", "__until").alias("__end"))  # one row
+    joined = span.join(days, key, "left")
+    within = F.col(day).between(F.col("listed"), F.col("__end"))
+    made = joined.groupBy(key, "listed", "__end").agg(F.min(F.when(within, F.col(day))).alias("__a"), F.max(F.when(within, F.col(day))).alias("__z"), F.count_if(within).alias("__n"), F.count_if(~within).alias("outside"))
+    whole = F.greatest(F.col("__end") - F.col("listed") + 1, F.lit(0))
+    early, late = F.when(F.col("__a").isNull(), whole).otherwise(F.col("__a") - F.col("listed")), F.coalesce(F.col("__end") - F.col("__z"), F.lit(0))
+    return made.select(key, early.alias("early"), late.alias("late"), F.coalesce(F.col("__z") - F.col("__a") + 1 - F.col("__n"), F.lit(0)).alias("inside"), "outside")

@@ -285,3 +285,33 @@ def s12_s13_u3_k13_stored_catalogs(spark, sf):
     found = union_of_catalogs(spark, names)
     counts = [spark.table(f"`{names[r['catalog']]}`.`{r['view']}`").agg(F.lit(r["catalog"]).alias("catalog"), F.lit(r["view"]).alias("view"), F.count("*").alias("n")) for r in found.collect()]
     return found.join(reduce(lambda a, b: a.unionByName(b), counts), ["catalog", "view"])
+
+
+_CANDLE = "max(k) || '.5' AS high, CASE WHEN count(*) % 7 = 0 THEN 'n/a' ELSE min(k) || '.25' END AS low, arg_min(k, (t, event_id)) || '.0' AS open, arg_max(k, (t, event_id)) || '.0' AS close, sum(c) || '' AS volume"
+
+
+@query(f"""WITH b AS (SELECT 'hour' AS interval, t // 3600000000 * 3600000000 AS t, {_CANDLE} FROM e GROUP BY 2 UNION ALL SELECT 'day', t // 86400000000 * 86400000000 AS t, {_CANDLE} FROM e GROUP BY 2)
+ SELECT interval, t AS opened, open::DOUBLE AS open, high::DOUBLE AS high, TRY_CAST(low AS DOUBLE) AS low, close::DOUBLE AS close, volume::DOUBLE AS volume, (TRY_CAST(low AS DOUBLE) IS NULL)::INT AS bad FROM b""")
+def s18_day_and_hour_candles(spark, sf):
+    """Candle files of two intervals, each with its unit of time, as typed bars; bad cells are counted."""
+    from tapeloom.sources.archives import typed_bars
+
+    e, path, rank = tape(spark, sf), f"{work_dir(spark)}-candles", F.struct("t", "event_id")
+    text = lambda c, tail: F.concat(c.cast("string"), F.lit(tail))
+    for name, width, unit in (("hour", HOUR, 1000), ("day", DAY, 1_000_000)):
+        at = fn.bucket(F.col("t"), width)
+        low = F.when(F.count("*") % 7 == 0, "n/a").otherwise(text(F.min("k"), ".25"))
+        made = {"high": text(F.max("k"), ".5"), "low": low, "open": text(F.min_by("k", rank), ".0"), "close": text(F.max_by("k", rank), ".0"), "volume": text(F.sum("c"), "")}
+        e.groupBy(at.alias("at")).agg(*[v.alias(c) for c, v in made.items()]).select(fn.bucket(F.col("at") * width, unit).cast("string").alias("t"), *made).write.parquet(f"{path}/interval={name}")
+    bars = typed_bars(spark, path)
+    return bars.select("interval", F.unix_micros("opened").alias("opened"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")], "bad")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, t // 86400000000 AS day FROM e WHERE event_type = 'view'), l AS (SELECT user_id, min(t // 86400000000) + user_id % 3 - 1 AS listed, CASE WHEN user_id % 4 <> 0 THEN max(t // 86400000000) - user_id % 5 + 1 END AS delisted FROM e GROUP BY 1),
+ s AS (SELECT user_id, listed, coalesce(delisted, (SELECT max(day) FROM d)) AS ends FROM l), m AS (SELECT user_id, listed, ends, min(day) FILTER (day BETWEEN listed AND ends) AS a, max(day) FILTER (day BETWEEN listed AND ends) AS z, count(day) FILTER (day BETWEEN listed AND ends) AS n, count(day) FILTER (day NOT BETWEEN listed AND ends) AS outside FROM s LEFT JOIN d USING (user_id) GROUP BY 1, 2, 3)
+ SELECT user_id, CASE WHEN a IS NULL THEN greatest(ends - listed + 1, 0) ELSE a - listed END AS early, coalesce(ends - z, 0) AS late, coalesce(z - a + 1 - n, 0) AS inside, outside FROM m""")
+def x19_runs_from_listing_to_delisting(spark, sf):
+    """Days that a listed lane lacks before its first row, after its last, and between; rows outside its listing."""
+    e = tape(spark, sf).withColumn("day", fn.bucket(F.col("t"), DAY))
+    listings = e.groupBy("user_id").agg((F.min("day") + F.col("user_id") % 3 - 1).alias("listed"), F.when(F.col("user_id") % 4 != 0, F.max("day") - F.col("user_id") % 5 + 1).alias("delisted"))
+    return audits.run_completeness(kind(e, "view"), listings, "user_id", "day")

@@ -90,6 +90,19 @@ def bounded(df: DataFrame, order: list[str], most: int) -> DataFrame:
     return held
 
 
+def typed_bars(spark: SparkSession, path: str, prices: str = "decimal(28,8)") -> DataFrame:
+    """Candle files of text columns under ``interval=day`` and ``interval=hour`` as typed bars: ``interval``, ``opened`` (a timestamp; days are in seconds, hours in milliseconds), prices, ``volume``.
+
+    A cell that is no number is null, and the row says so in ``bad``, the number of such cells. Conditions on ``interval`` skip the other's files.
+    """
+    raw = spark.read.schema("interval string, t string, open string, high string, low string, close string, volume string").parquet(path)
+    cells = {c: F.col(c).try_cast(prices) for c in ("open", "high", "low", "close", "volume")}
+    per = F.when(F.col("interval") == "day", 1_000_000).otherwise(1000)
+    time = F.col("t").try_cast("long")
+    bad = sum((F.col(c).isNotNull() & v.isNull()).cast("int") for c, v in {"t": time, **cells}.items())
+    return raw.select("interval", F.timestamp_micros(time * per).alias("opened"), *[v.alias(c) for c, v in cells.items()], bad.alias("bad"))
+
+
 def write_months(df: DataFrame, path: str, month: Column, order: list[str]) -> None:
     """One folder a month (``month=...``), in one job; months that ``df`` has are replaced, others stay.
 
