@@ -37,14 +37,14 @@ def letters(text: str | None) -> bytes:
 def train_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary per language from at most SAMPLE_ROWS whole texts each.
 
-    Rows with a null text or language and texts beyond SAMPLE_ROW_BYTES are not used. The rows with the
-    smallest hashes of their text are taken, so that the choice doesn't depend on the partitioning.
+    Rows with a null text or language and texts beyond SAMPLE_ROW_BYTES are not used. Copies count once: of the different texts
+    of a language those with the smallest hashes are taken, so that the choice depends neither on the partitioning nor on how often a text is there.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
     rows = rows.where(F.octet_length("text").between(1, SAMPLE_ROW_BYTES)).withColumn("h", F.xxhash64("text"))
-    counts = labelled.where(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("lang")).agg((F.least(F.lit(1.0), 4 * SAMPLE_ROWS / F.count("*")) * (1 << 30)).cast("long").alias("most"))
-    # about 4 * SAMPLE_ROWS rows a language pass by their hash, whatever the size of the table; the ranks choose among them
-    rows = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("most")).drop("most")
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg((F.least(F.lit(1.0), 4 * SAMPLE_ROWS / F.count("*")) * (1 << 30)).cast("long").alias("most"))
+    # about 4 * SAMPLE_ROWS texts a language pass by their hash, whatever the size of the table, and each once; the ranks choose among them
+    rows = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("most")).dropDuplicates(["lang", "h"]).drop("most")
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE_ROWS)
     made: dict[str, list[bytes]] = {}
     for r in ranked.select("lang", "h", "text").orderBy("lang", "h", "text").collect():

@@ -410,6 +410,13 @@ def test_toxicity_scores():
     assert ((score[:20] >= 0.5) == (np.arange(20) % 2 == 1)).mean() >= 0.9 and (score[20:] == 0).all()
 
 
+def test_copies_of_a_line_do_not_fill_a_dictionary(spark):
+    """A line that is there thousands of times counts once, whatever its hash is."""
+    rows = [("xx", " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta"], k=60))) for i in range(80)]
+    plain, crowded = (langid.train_dictionaries(spark.createDataFrame(rows + more, "lang string, text string")) for more in ([], [r for r in rows[:4] for _ in range(1500)]))
+    assert plain == crowded and len(plain["xx"]) > 10_000
+
+
 def test_pii_of_very_long_digit_runs():
     """An address whose first part has thousands of leading zeros is one, however many there are."""
     for text in ("0" * 5000 + "1.2.3.4", "9" * 6000 + ".1.2.3", "1." * 4000, "AB12 " * 2000):
