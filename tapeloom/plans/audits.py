@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as fn
-from tapeloom.operators import audits, books, ordered, panels
+from tapeloom.operators import aggregates as agg, audits, books, ordered, panels
+from tapeloom.plans.market import _digest_sql
 from tapeloom.plans.registry import DAY, HOUR, MINUTE, kind, query, tape
 from tapeloom.sources import read_table, work_dir
 from tapeloom.sources.footers import footer_statistics, footer_totals
@@ -315,3 +316,15 @@ def x19_runs_from_listing_to_delisting(spark, sf):
     e = tape(spark, sf).withColumn("day", fn.bucket(F.col("t"), DAY))
     listings = e.groupBy("user_id").agg((F.min("day") + F.col("user_id") % 3 - 1).alias("listed"), F.when(F.col("user_id") % 4 != 0, F.max("day") - F.col("user_id") % 5 + 1).alias("delisted"))
     return audits.run_completeness(kind(e, "view"), listings, "user_id", "day")
+
+
+@query(f"""WITH n AS ({_digest_sql("e", ["event_id", "k"], "user_id")}), o AS ({_digest_sql("(SELECT * FROM e WHERE event_type <> 'error' OR k > 20)", ["event_id", "k"], "user_id")})
+ SELECT n.user_id, CASE WHEN n.user_id % 7 = 0 THEN 'write' WHEN n.user_id % 5 = 0 THEN 'rebuild' WHEN o.digest IS NULL OR n.user_id % 4 = 0 THEN 'untracked' WHEN o.digest = n.digest THEN 'audit' ELSE 'other_sources' END AS decision FROM n LEFT JOIN o USING (user_id)""")
+def k9_what_to_do_with_outputs(spark, sf):
+    """An output for each lane, with the digest of the sources that was recorded and that of now."""
+    from tapeloom.sources.archives import output_decision
+
+    e = tape(spark, sf)
+    now = agg.multiset_digest(e, ["event_id", "k"], ["user_id"]).select("user_id", F.col("digest").alias("now"))
+    old = agg.multiset_digest(e.where("event_type <> 'error' or k > 20"), ["event_id", "k"], ["user_id"]).select("user_id", F.when(F.col("user_id") % 4 != 0, F.col("digest")).alias("old"))
+    return now.join(old, "user_id", "left").select("user_id", output_decision(F.col("old"), F.col("now"), F.col("user_id") % 7 != 0, F.col("user_id") % 5 == 0).alias("decision"))

@@ -147,6 +147,12 @@ def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).write.mode("errorifexists").parquet(path)
 
 
+def output_decision(recorded: Column, sources: Column, exists: Column, rebuild: Column) -> Column:
+    """:func:`decide_output` for a table of outputs, by the digests of their sources: ``write``, ``audit``, ``rebuild``, or why it is refused: ``untracked`` or ``other_sources``."""
+    there = F.coalesce(exists, F.lit(False))
+    return F.when(~there, "write").when(F.coalesce(rebuild, F.lit(False)), "rebuild").when(recorded.isNull(), "untracked").when(recorded == sources, "audit").otherwise("other_sources")
+
+
 def decide_output(recorded: dict[str, str] | None, sources: dict[str, str], exists: bool, rebuild: bool = False) -> str:
     """What to do with an output: ``write`` a new one, ``audit`` one of the same sources, ``rebuild``, or refuse one that is untracked or of other sources."""
     if not exists:
