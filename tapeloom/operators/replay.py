@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeloom.operators.ordered import running
+from tapeloom.operators.ordered import carried, running
+from tapeloom.sources import written
 
 
 def anchored_chain(updates: DataFrame, snapshots: DataFrame, book: str, order: list[str], first: str, last: str, keep: list[str], width: int) -> DataFrame:
@@ -28,7 +29,7 @@ def anchored_chain(updates: DataFrame, snapshots: DataFrame, book: str, order: l
     """
     shown = list(dict.fromkeys([book, *order, first, last, *keep]))
     marked = updates.select(*shown, F.lit(0).alias("__mark")).unionByName(snapshots.select(book, *order, last, F.lit(1).alias("__mark")), allowMissingColumns=True)
-    counted = running(marked, book, order, width, sums={"segment": F.col("__mark")})
+    counted = written(running(marked, book, order, width, sums={"segment": F.col("__mark")}), "segments")
     anchors = counted.where("__mark = 1").select(F.struct(F.col(book).alias("k")).alias("__book"), "segment", F.col(last).alias("__anchor"))
     # An update may continue the snapshot before it, and be buffered for the next one.
     roles = F.array(F.struct(F.col("segment").alias("segment"), F.lit(False).alias("buffered")), F.struct((F.col("segment") + 1).alias("segment"), F.lit(True).alias("buffered")))
@@ -40,12 +41,20 @@ def anchored_chain(updates: DataFrame, snapshots: DataFrame, book: str, order: l
     met = met.where(F.when(F.col("__buffered"), beyond | (F.col("__first") & ~beyond)).otherwise(F.col("__anchor").isNotNull()))
     loose = met.where(F.col("__buffered") & ~beyond).select(*shown, F.lit(None).cast("long").alias("segment"), F.lit("buffered").alias("event"))
     held = met.where(~F.col("__buffered") | beyond).withColumn("__stretch", F.struct(F.col(book), F.col("segment")))
-    held = running(held, "__stretch", order, width, maxes={"__reached": F.col(last)}, before=True)
-    reached = F.greatest("__anchor", "__reached")
-    gap = F.col(first) > reached + 1
-    held = held.withColumns({"__at": reached, "__gap": gap.cast("int")})
-    held = running(held, "__stretch", order, width, maxes={"__broken": F.col("__gap")}, before=True)
-    event = F.when(F.col("__broken") == 1, "after_gap").when(F.col("__gap") == 1, "sequence_gap").when(F.col(last) < F.col("__at"), "stale").when(F.col(last) == F.col("__at"), "equal_final_reapplication")
+
+    def own(rows: DataFrame, w: Window) -> DataFrame:
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        # What a row needs reached before it, where the rows before it in the bucket don't reach that: a gap, unless the buckets before do.
+        rows = rows.withColumn("__in", F.max(last).over(before)).withColumn("__need", F.when(~F.coalesce(F.col(first) - 1 <= F.col("__in"), F.lit(False)), F.col(first) - 1))
+        return rows.withColumn("__missed", F.max("__need").over(before))
+
+    def carry(buckets: DataFrame, before: Window, over: Window) -> DataFrame:
+        held = buckets.withColumn("__until", F.greatest(F.max("__top").over(before), F.col("__base")))
+        return held.withColumn("__lost", F.max(F.coalesce(F.col("__most") > F.col("__until"), F.lit(False))).over(before))
+
+    held = carried(held, "__stretch", order, width, own, {"__top": F.max(last), "__most": F.max("__need"), "__base": F.max("__anchor")}, carry)
+    held = held.withColumns({"__at": F.greatest("__until", "__in"), "__broken": F.coalesce("__lost", F.lit(False)) | F.coalesce(F.col("__missed") > F.col("__until"), F.lit(False))})
+    event = F.when(F.col("__broken"), "after_gap").when(F.col(first) > F.col("__at") + 1, "sequence_gap").when(F.col(last) < F.col("__at"), "stale").when(F.col(last) == F.col("__at"), "equal_final_reapplication")
     event = event.when(F.col("__buffered"), "bootstrap_update").otherwise("update")
     return held.select(*shown, "segment", event.alias("event")).unionByName(loose)
 
