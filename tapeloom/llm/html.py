@@ -85,15 +85,19 @@ class _Node:
 class Page:
     """The blocks of a page and the keys of its subtrees.
 
-    ``blocks`` holds (text, numbers of the elements around it, outermost first, keys of a text that stands loose in
-    an element around an article).
+    ``blocks`` holds each text with the number of its element; ``around`` has the element around each. Every tag is handled in a time that does not
+    depend on how many elements are open.
     """
 
     def __init__(self, source: str):
         self.nodes: list[_Node] = [_Node("#", False, False, "")]
         self.hashes: list[tuple[int, int]] = [(0, 0)]
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []
+        self.around: list[int] = [-1]  # the element around each, by its number
+        self.blocks: list[tuple[str, int]] = []  # a text and its element
         self.open: list[int] = [0]
+        #: Places in ``open`` by name, and those of elements that nothing outside them is closed from.
+        self.places: dict[str, list[int]] = {self.nodes[0].tag: [0]}
+        self.stops: list[int] = []
         self.text: list[str] = []
         at = 0
         for m in self._tokens(source):
@@ -128,7 +132,7 @@ class Page:
             self.text = []
             if text:
                 self.nodes[self.open[-1]].add(text, "#")
-                self.blocks.append((text, tuple(self.open)))
+                self.blocks.append((text, self.open[-1]))
 
     def _end(self) -> None:
         """Close the innermost element and hash it into the one around it."""
@@ -137,6 +141,9 @@ class Page:
         if node.tag in BLOCK or node.tag in DROPPED:
             self._flush()
         self.open.pop()
+        self.places[node.tag].pop()
+        if self.stops and self.stops[-1] == len(self.open):
+            self.stops.pop()
         if len(node.parts) > 1:
             exact, shape = self.hashes[i] = _digest(node.parts), _digest(node.shape)
             self.nodes[self.open[-1]].add(str(exact), str(shape) if node.tag in BLOCK or node.tag in DROPPED else "#")
@@ -156,14 +163,10 @@ class Page:
         if tag in VOID:
             return
         if tag in BLOCK or tag in CLOSED_BY:
-            for k in range(len(self.open) - 1, 0, -1):
-                name = self.nodes[self.open[k]].tag
-                if tag in CLOSED_BY.get(name, ()):
-                    while len(self.open) > k:
-                        self._end()
-                    break
-                if name in BLOCK and name not in ("p", "div"):
-                    break
+            k = max((self.places[name][-1] for name in _CLOSES.get(tag, ()) if self.places.get(name)), default=0)
+            if k and (not self.stops or self.stops[-1] <= k):
+                while len(self.open) > k:
+                    self._end()
         if tag in BLOCK or tag in DROPPED:
             self._flush()
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
@@ -175,8 +178,14 @@ class Page:
         hard = around.hard or by_tag
         own = hard if main and not around.main else around.own or by_tag or by_class
         if main and not around.main:
-            for i in self.open:
+            for i in reversed(self.open):
+                if self.nodes[i].holds:
+                    break  # and so do all around it
                 self.nodes[i].holds = True
+        if tag in BLOCK and tag not in ("p", "div"):
+            self.stops.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.around.append(self.open[-1])
         self.open.append(len(self.nodes))
         self.nodes.append(_Node(tag, around.dropped or by_tag or by_class, main, f"<{tag} {mark}>", hard, own))
         self.hashes.append((0, 0))
@@ -184,7 +193,7 @@ class Page:
             self._end()
 
     def _is_open(self, tag: str) -> bool:
-        return any(self.nodes[i].tag == tag for i in self.open)
+        return bool(self.places.get(tag))
 
     def keys(self, i: int) -> list[int]:
         """Keys of element ``i`` as a template: none, one inside an article or on a page without one, else two."""
@@ -195,10 +204,10 @@ class Page:
             return [exact & ~3 | INSIDE] if node.tag in CONTAINERS else []
         return [exact & ~3 | EXACT, shape & ~3 | FRAME] if self.has_article else [exact & ~3 | EXACT]
 
-    def loose_keys(self, block: tuple[str, tuple[int, ...]]) -> list[int]:
+    def loose_keys(self, block: tuple[str, int]) -> list[int]:
         """Keys of a text that stands in an element around an article, beside it: such an element has none itself."""
         text, inside = block
-        node = self.nodes[inside[-1]]
+        node = self.nodes[inside]
         if not node.holds:
             return []
         mark = node.parts[0]
@@ -217,14 +226,17 @@ class Page:
         """
         whole = any(n.main and not n.dropped for n in self.nodes)
         inner = not whole and any(n.main and not n.own for n in self.nodes)
-        gone = [bool(templates) and any(k in templates for k in self.keys(i)) for i in range(len(self.nodes))]
+        gone, unseen = [], []  # the element or one around it
+        for i, around in enumerate(self.around):
+            gone.append(around >= 0 and gone[around] or bool(templates) and any(k in templates for k in self.keys(i)))
+            unseen.append(around >= 0 and unseen[around] or self.nodes[i].tag in UNSEEN)
         left, by_template, by_rule = [], 0, 0
         for block in self.blocks:
             text, inside = block
-            node = self.nodes[inside[-1]]
-            if any(self.nodes[i].tag in UNSEEN for i in inside):
+            node = self.nodes[inside]
+            if unseen[inside]:
                 continue
-            if any(gone[i] for i in inside) or templates and any(k in templates for k in self.loose_keys(block)):
+            if gone[inside] or templates and any(k in templates for k in self.loose_keys(block)):
                 by_template += 1
             elif rules and (node.own if inner and node.main else node.dropped):
                 by_rule += 1
@@ -237,6 +249,10 @@ class Page:
         return "\n".join(self.split(templates, rules)[0])
 
 
+#: The elements that each tag closes.
+_CLOSES = {tag: [name for name, tags in CLOSED_BY.items() if tag in tags] for tag in set().union(*CLOSED_BY.values())}
+
+
 def _digest(parts: list[str]) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 

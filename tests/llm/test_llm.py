@@ -410,6 +410,12 @@ def test_toxicity_scores():
     assert ((score[:20] >= 0.5) == (np.arange(20) % 2 == 1)).mean() >= 0.9 and (score[20:] == 0).all()
 
 
+def test_unclosed_elements_take_time_in_proportion():
+    for piece in ("<div>x", "<div><p>x", "<span>y", "<ul><li>z", "<article>t"):
+        page = html.Page(piece * 60_000)  # with a walk over all open elements a tag: minutes
+        assert page.main_text(frozenset()).count(piece[-1]) == 60_000 and len(page.around) == len(page.nodes)
+
+
 def test_copies_of_a_line_do_not_fill_a_dictionary(spark):
     """A line that is there thousands of times counts once, whatever its hash is."""
     rows = [("xx", " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta"], k=60))) for i in range(80)]
