@@ -167,3 +167,9 @@ def reasons(**conditions: Column) -> Column:
 def first_status(held: Column, order: tuple[str, ...]) -> Column:
     """The status that comes first in ``order`` of those in the array ``held``."""
     return F.get(F.array_intersect(F.array(*map(F.lit, order)), held), 0)
+
+
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) of prices as doubles, as IEEE 754 has it: infinite where one of them is zero, NaN where both are; null where either is null or the ratio is negative."""
+    inf, whole = F.lit(float("inf")), F.log(F.try_divide(a, b))
+    return F.when((a == 0) & (b == 0), float("nan")).when(a == 0, F.when(b.isNotNull(), -inf)).when(b == 0, F.when(a > 0, inf)).otherwise(whole)

@@ -229,13 +229,13 @@ _RETURNS = "WITH d AS (SELECT user_id, t // 86400000000 AS day, avg(c) AS p FROM
 def _returns(spark, sf):
     days = tape(spark, sf).groupBy("user_id", fn.bucket(F.col("t"), DAY).alias("day")).agg(F.avg("c").alias("p"))
     for n in (1, 3):
-        days = joins.offset_join(days, "day", n, ["p"], ["user_id"]).withColumn(f"r{n}", F.log(F.col("p") / F.col("prior_p"))).drop("prior_p")
+        days = joins.offset_join(days, "day", n, ["p"], ["user_id"]).withColumn(f"r{n}", fn.log_ratio(F.col("p"), F.col("prior_p"))).drop("prior_p")
     return days
 
 
 @query(f"{_RETURNS} SELECT user_id, day, round(r1, 9) AS r1, round(r3, 9) AS r3, (CASE WHEN r1 > 0 THEN 1.0 WHEN r1 < 0 THEN -1.0 ELSE 0.0 END + CASE WHEN r3 > 0 THEN 1.0 WHEN r3 < 0 THEN -1.0 ELSE 0.0 END) / 2 AS trend FROM r WHERE r1 IS NOT NULL AND r3 IS NOT NULL")
 def w9_w10_lookback_returns(spark, sf):
-    """Log returns over exact lookbacks, and the mean of their signs; a hole gives none."""
+    """Log returns over exact lookbacks, and the mean of their signs; a hole gives none, a price of zero an infinite one."""
     r = _returns(spark, sf).where("r1 is not null and r3 is not null")
     return r.select("user_id", "day", F.round("r1", 9).alias("r1"), F.round("r3", 9).alias("r3"), ((F.signum("r1") + F.signum("r3")) / 2).alias("trend"))
 
