@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.scalars import bucket
 from tapeloom.operators.joins import intersect_spans
@@ -132,14 +132,24 @@ def account_summary(periods: DataFrame, fold: str, order: list[str], gain: str,
     return out.withColumn("sharpe", F.when(F.col("__s") > 0, F.col("__m") / F.col("__s") * per_year**0.5)).drop("__m", "__s")
 
 
-def pair_problems(legs: DataFrame, pair: str, cap: float) -> DataFrame:
-    """What is wrong with each pair of legs (``market`` spot or perp, signed ``units``, ``weight``): a carry pair is long spot and short perp in equal units, with weights up to ``cap`` in all."""
-    made = legs.groupBy(pair).agg(
+def pair_problems(legs: DataFrame, pair: str, cap: float, order: list[str] | None = None) -> DataFrame:
+    """What is wrong with each pair of legs (``market`` spot or perp, signed ``units``, ``weight``): a carry pair is long spot and short perp in equal units, with weights up to ``cap`` in all.
+
+    A sum of doubles depends on their order in its last bits. With ``order`` (unique in a pair) weights that come to the cap but for these bits are added leg by
+    leg in it; all other pairs are told apart by the sum that is combined before the shuffle.
+    """
+    keyed = legs.withColumn("__k", F.struct(F.col(pair).alias("k")))
+    made = keyed.groupBy("__k").agg(
         F.count("*").alias("__n"), F.count_if((F.col("market") == "spot") & (F.col("units") > 0)).alias("__long"), F.count_if((F.col("market") == "perp") & (F.col("units") < 0)).alias("__short"),
         F.sum("units").alias("__sum"), F.sum(F.abs("weight")).alias("__w"),
     )
+    if order:
+        close = made.where(F.abs(F.col("__w") - cap) <= F.col("__n") * 2.3e-16 * F.greatest(F.col("__w"), F.lit(cap))).select("__k")  # as far as two orders can be apart
+        w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        added = keyed.join(close, "__k", "left_semi").where("weight <> 0").select("__k", F.struct(*order).alias("__o"), F.sum(F.abs("weight")).over(w).alias("__in_order"))
+        made = made.join(added.groupBy("__k").agg(F.max_by("__in_order", "__o").alias("__in_order")), "__k", "left").withColumn("__w", F.coalesce("__in_order", "__w"))
     rules = {"not_two_legs": F.col("__n") != 2, "no_long_spot": F.col("__long") != 1, "no_short_perp": F.col("__short") != 1, "unequal_units": F.coalesce(F.col("__sum") != 0, F.lit(True)), "over_the_cap": F.coalesce(F.col("__w") > cap, F.lit(True))}
-    return made.select(pair, F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])), ",").alias("problems"))
+    return made.select(F.col("__k.k").alias(pair), F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])), ",").alias("problems"))
 
 
 def parsed_candles(lines: DataFrame, text: str, width: int) -> DataFrame:

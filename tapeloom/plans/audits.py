@@ -223,8 +223,8 @@ def x50_carry_pairs(spark, sf):
     """Pairs that are not long spot and short perp in equal units under a cap."""
     e = tape(spark, sf)
     units = F.when(F.col("k") % 2 == 0, F.col("c") % 3).otherwise(-(F.col("c") % 3))
-    legs = e.select((F.col("user_id") * 100 + fn.bucket(F.col("t"), DAY) % 100).alias("pair"), F.when(F.col("k") % 2 == 0, "spot").otherwise("perp").alias("market"), units.alias("units"), (F.col("k") / 100).alias("weight"))
-    return audits.pair_problems(legs, "pair", 0.9)
+    legs = e.select((F.col("user_id") * 100 + fn.bucket(F.col("t"), DAY) % 100).alias("pair"), F.when(F.col("k") % 2 == 0, "spot").otherwise("perp").alias("market"), units.alias("units"), (F.col("k") / 100).alias("weight"), "event_id")
+    return audits.pair_problems(legs, "pair", 0.9, ["event_id"])
 
 
 _LINE = "concat_ws(',', CAST({t} AS {s}), concat(CAST(c AS {s}), '.50'), CAST(c + k % 5 - 1 AS {s}), CASE WHEN k % 23 = 0 THEN 'x' ELSE CAST(c - k % 3 AS {s}) END, CAST(c - k % 2 AS {s}), CASE WHEN k % 19 <> 0 THEN CAST(k AS {s}) END)"
