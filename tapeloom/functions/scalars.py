@@ -173,3 +173,8 @@ def log_ratio(a: Column, b: Column) -> Column:
     """ln(a / b) of prices as doubles, as IEEE 754 has it: infinite where one of them is zero, NaN where both are; null where either is null or the ratio is negative."""
     inf, whole = F.lit(float("inf")), F.log(F.try_divide(a, b))
     return F.when((a == 0) & (b == 0), float("nan")).when(a == 0, F.when(b.isNotNull(), -inf)).when(b == 0, F.when(a > 0, inf)).otherwise(whole)
+
+
+def sign_of(value: Column) -> Column:
+    """1, -1 or 0 as a double; NaN is above all numbers, null gives 0."""
+    return F.when(value > 0, 1.0).when(value < 0, -1.0).otherwise(0.0)

@@ -237,7 +237,7 @@ def _returns(spark, sf):
 def w9_w10_lookback_returns(spark, sf):
     """Log returns over exact lookbacks, and the mean of their signs; a hole gives none, a price of zero an infinite one."""
     r = _returns(spark, sf).where("r1 is not null and r3 is not null")
-    return r.select("user_id", "day", F.round("r1", 9).alias("r1"), F.round("r3", 9).alias("r3"), ((F.signum("r1") + F.signum("r3")) / 2).alias("trend"))
+    return r.select("user_id", "day", F.round("r1", 9).alias("r1"), F.round("r3", 9).alias("r3"), ((fn.sign_of(F.col("r1")) + fn.sign_of(F.col("r3"))) / 2).alias("trend"))
 
 
 @query(f"{_RETURNS} SELECT user_id, day, round(CASE WHEN count(r1) OVER w = 5 THEN stddev_samp(r1) OVER w END, 9) AS vol, round(CASE WHEN count(r1) OVER w = 5 AND sum(r1 * r1) OVER w > 0 THEN sum(r1) OVER w / sqrt(sum(r1 * r1) OVER w) END, 9) AS score FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING)")

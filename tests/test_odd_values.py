@@ -18,7 +18,7 @@ def same(spark, folder, name, events):
     return rows(QUERIES[name](spark, str(folder)).toPandas()) == rows(want.df())
 
 
-RETURNS = ["w11_w18_w19_w20_volatility_and_momentum", "w15_whole_window_features"]
+RETURNS = ["w9_w10_lookback_returns", "w11_w18_w19_w20_volatility_and_momentum", "w15_whole_window_features"]
 
 
 @pytest.mark.parametrize("name", RETURNS)
