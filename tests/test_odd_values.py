@@ -1,10 +1,15 @@
 """Queries against their SQL on small tables of odd values."""
 
+from functools import reduce
+from operator import add
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import rows
 
+from tapeloom.operators import audits
 from tapeloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -26,3 +31,16 @@ def test_days_without_a_price_give_infinite_returns(spark, tmp_path, name):
     zero = {1: [], 2: [3], 3: [0], 4: [11], 5: [4, 5], 6: [2, 9]}  # days on which a lane's price is zero
     events = [(12 * u + d, f"2024-01-{d + 1:02d} 05:00:00", u, "view", 0 if d in days else 10 + (7 * d + u) % 5, d) for u, days in zero.items() for d in range(12)]
     assert same(spark, tmp_path, name, events)
+
+
+def test_weights_at_the_cap_are_added_in_order_of_events(spark, tmp_path):
+    legs = [(10, 20, 60), (60, 20, 10), (20, 30, 40), (40, 30, 20), (20, 10, 60), (90,), (91,), (45, 45), (0, 90), (60, 30, 0)]
+    events = []
+    for u, weights in enumerate(legs):
+        events += [(10 * u + i, f"2024-01-01 05:00:{10 * i:02d}", u, "view", 3 + i, k) for i, k in enumerate(weights)]
+    whole = spark.createDataFrame([(e[2], e[5] / 100, e[0]) for e in events], "pair long, weight double, n long").withColumns({"market": F.lit("spot"), "units": F.lit(1)})
+    want = {u: reduce(add, (w / 100 for w in weights)) > 0.9 for u, weights in enumerate(legs)}
+    for parts in (1, 7):  # rows lie in any order
+        found = audits.pair_problems(whole.repartition(parts).sortWithinPartitions(F.desc("n")), "pair", 0.9, ["n"]).collect()
+        assert {r["pair"]: "over_the_cap" in r["problems"] for r in found} == want
+    assert same(spark, tmp_path, "x50_carry_pairs", events)
