@@ -10,6 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeloom.sources import work_dir
 
+#: Partitions of a stream's state for each core, at most.
+STATE_PARTS = 3
+
 
 def distinct_prints(stream: DataFrame, keys: list[str], time: str, lateness: str = "10 minutes") -> DataFrame:
     """First print of each key; state is dropped behind the watermark."""
@@ -62,12 +65,17 @@ def run_available(stream: DataFrame, mode: str = "append", state: str | None = N
         batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else f'batch-{number:08d}'}")
 
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, rocks)  # timers and typed state need it; a stream keeps the setting that it began with
+    # Each partition of state is opened and committed in every batch, so there are no more than a few for each core.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STATE_PARTS * spark.sparkContext.defaultParallelism)
+    settings = {provider: rocks, "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)  # timers and typed state need RocksDB; a stream keeps the settings that it began with
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     finally:
-        spark.conf.set(provider, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     query.awaitTermination()
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/rows/none")
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")

@@ -11,6 +11,7 @@ from test_catalog import rows
 
 from tapeloom.operators import audits
 from tapeloom.plans import ORACLE_SQL, QUERIES
+from tapeloom.streaming import lanes
 
 
 def same(spark, folder, name, events):
@@ -44,3 +45,39 @@ def test_weights_at_the_cap_are_added_in_order_of_events(spark, tmp_path):
         found = audits.pair_problems(whole.repartition(parts).sortWithinPartitions(F.desc("n")), "pair", 0.9, ["n"]).collect()
         assert {r["pair"]: "over_the_cap" in r["problems"] for r in found} == want
     assert same(spark, tmp_path, "x50_carry_pairs", events)
+
+
+class Held:
+    """State of one shard, as a processor sees it."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_late_rows_of_many_lanes_are_told_in_one_call():
+    late, state = lanes._Late("order", ["lane_text", "order"], 10), Held()
+    late.init(state)
+    found = []
+    for batch in ([("=a", "1", 100), ("=b", "1", 5), ("=a", "2", 89), ("", "1", 50), ("=a", "3", 90)], [("=b", "1", 1), ("", "1", 39), ("=a", "1", 99), ("=c", "1", 0)]):
+        frame = pd.DataFrame(batch, columns=["lane_text", "order", "at_ms"])
+        found.append([tuple(r) for out in late.handleInputRows((0,), iter([frame]), None) for r in out[["lane_text", "order", "late"]].to_numpy()])
+    assert found == [[("", "1", False), ("=a", "1", False), ("=a", "2", True), ("=a", "3", False), ("=b", "1", False)], [("", "1", True), ("=a", "1", False), ("=b", "1", False), ("=c", "1", False)]]
+    assert dict(zip(*state.value, strict=True)) == {"": 50, "=a": 100, "=b": 5, "=c": 0}
