@@ -81,3 +81,32 @@ def test_late_rows_of_many_lanes_are_told_in_one_call():
         found.append([tuple(r) for out in late.handleInputRows((0,), iter([frame]), None) for r in out[["lane_text", "order", "late"]].to_numpy()])
     assert found == [[("", "1", False), ("=a", "1", False), ("=a", "2", True), ("=a", "3", False), ("=b", "1", False)], [("", "1", True), ("=a", "1", False), ("=b", "1", False), ("=c", "1", False)]]
     assert dict(zip(*state.value, strict=True)) == {"": 50, "=a": 100, "=b": 5, "=c": 0}
+
+
+class Times:
+    def __init__(self, at):
+        self.at = at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at  # noqa: E731, N815
+
+
+def test_chains_of_many_lanes_share_a_state_and_a_timer():
+    chain, state = lanes._Chain("n", "id", "id", 10), Held()
+    chain.init(state)
+
+    def told(frames):
+        return [(r.lane_text, None if pd.isna(r.id) else r.id, r.state, None if pd.isna(r.quiet_from) else r.quiet_from) for f in frames for r in f.itertuples()]
+
+    def given(*rows):
+        return told(chain.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["lane_text", "id", "n", "at_ms"])]), None))
+
+    assert given(("=a", 1, 5, 0), ("=b", 2, 1, 4), ("=a", 3, 6, 10), ("=a", 4, 6, 21)) == [
+        ("=a", 1, "start", None), ("=a", 3, "next", None), ("=a", 4, "start", None), ("=b", 2, "start", None), ("=a", None, "silent", 10)]
+    assert state.timers == {15}
+    assert given(("=a", 5, 9, 20), ("=a", 6, 2, 22), ("=c", 7, 1, 30)) == [("=a", 5, "gap", None), ("=a", 6, "back", None), ("=c", 7, "start", None)]
+    assert state.timers == {15}
+    state.timers.discard(15)  # the engine drops a timer that it has called
+    assert told(chain.handleExpiredTimer((0,), Times(33), Times(15))) == [("=a", None, "silent", 22), ("=b", None, "silent", 4)]
+    assert state.timers == {41} and state.value[0] == ["=c"]
+    assert told(chain.handleExpiredTimer((0,), Times(60), Times(41))) == [("=c", None, "silent", 30)]
+    assert state.value is None
