@@ -65,19 +65,21 @@ def non_overlapping(df: DataFrame, key: str, start: str, stop: str, tie: str, wi
             jumps = written(jumps.join(hop, (F.col("__k") == F.col("__h")) & (F.col("__next") == F.col("__from"))).select("__k", "__n", F.col("__to").alias("__next")), "jumps")
     entries = taken.groupBy("__k", bucket(F.col("__at"), block).alias("__block")).agg(F.min("__at").alias("__at"))  # a last row without length points to a number beyond the end
 
-    def follow(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("__n")
-        n, nexts = held["__n"].to_numpy(), held["__next"].fillna(-1).to_numpy().astype(np.int64)
-        at, chosen = held["__at"].iloc[0], np.zeros(len(n), bool)
-        if not pd.isna(at):
-            at = int(at)
-            while n[0] <= at <= n[-1]:
-                chosen[at - n[0]] = True
-                at = nexts[at - n[0]]
-        return held[chosen][["__k", "__n"]]
-
-    marked = rows.select("__k", "__n", "__next", "__block").join(entries, ["__k", "__block"], "left")
-    chosen = marked.groupBy("__k", "__block").applyInPandas(follow, f"__k {kind}, __n long")
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks one after another as they stream by: a row is taken where the chain has got to it."""
+        held, block, at = object(), None, None
+        for batch in batches:
+            keys, kept = batch.column(0).field(0).to_pylist(), []
+            for k, b, n, then, entry in zip(keys, *(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                if b != block or (k != held and not (k != k and held != held)):  # NaN is one key
+                    held, block, at = k, b, entry
+                kept.append(n == at)
+                if n == at:
+                    at = then
+            yield batch.select(["__k", "__n"]).filter(pa.array(kept, pa.bool_()))
+
+    marked = rows.select("__k", "__n", "__next", "__block").join(entries, ["__k", "__block"], "left").select("__k", "__block", "__n", "__next", "__at")
+    chosen = marked.repartition("__k", "__block").sortWithinPartitions("__k", "__block", "__n").mapInArrow(follow, f"__k {kind}, __n long")
     return rows.join(chosen, ["__k", "__n"], "left_semi").select(*df.columns)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_catalog import rows
 
-from tapeloom.operators import audits
+from tapeloom.operators import audits, schedules
 from tapeloom.plans import ORACLE_SQL, QUERIES
 from tapeloom.streaming import lanes
 
@@ -110,3 +110,12 @@ def test_chains_of_many_lanes_share_a_state_and_a_timer():
     assert state.timers == {41} and state.value[0] == ["=c"]
     assert told(chain.handleExpiredTimer((0,), Times(60), Times(41))) == [("=c", None, "silent", 30)]
     assert state.value is None
+
+
+def test_a_greedy_choice_of_many_keys_takes_no_call_for_each(spark):
+    rows = [(k, i, 10 * i, 10 * i + 15) for k in [None, float("nan"), *map(float, range(300))] for i in range(4)]
+    df = spark.createDataFrame(rows, "k double, id long, start long, stop long")
+    out = schedules.non_overlapping(df, "k", "start", "stop", "id", 1000)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    assert sorted((repr(r["k"]), r["id"]) for r in out.collect()) == sorted((repr(k), i) for k in [None, float("nan"), *map(float, range(300))] for i in (0, 2))
