@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from test_catalog import rows
 
 from tapeloom.operators import audits, schedules
-from tapeloom.plans import ORACLE_SQL, QUERIES
+from tapeloom.plans import ORACLE_SQL, QUERIES, record_views
+from tapeloom.sources.views import VIEWS
 from tapeloom.streaming import lanes
 
 
@@ -119,3 +120,8 @@ def test_a_greedy_choice_of_many_keys_takes_no_call_for_each(spark):
     plan = out._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
     assert sorted((repr(r["k"]), r["id"]) for r in out.collect()) == sorted((repr(k), i) for k in [None, float("nan"), *map(float, range(300))] for i in (0, 2))
+
+
+def test_records_of_a_small_file_are_parsed_on_all_cores(spark):
+    records = record_views.records_of(spark, "/root/testdata/sf0.001", VIEWS["binance_usdm_context"])
+    assert records.where("frame_type = 'marker'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
