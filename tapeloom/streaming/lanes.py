@@ -18,6 +18,8 @@ from tapeloom.sources import work_dir
 
 #: Groups that lanes are dealt to.
 SHARDS = 1024
+#: Rows of a stage of a feed for each of its files.
+FILE_ROWS = 200_000
 #: Before any time.
 _NEVER = -(1 << 62)
 
@@ -149,9 +151,19 @@ def chained_until_silent(stream: DataFrame, key: str, number: str, time: str, or
     return found.select(_key_of(types[key]).alias(key), rows, "state", "quiet_from")
 
 
-def staged(df: DataFrame, stage: str, stages: int, files: int = 2) -> DataFrame:
-    """A table as a feed: a stream that reads one stage (a number from 0 on) a micro-batch, in their order; ``files`` files each."""
-    spark, path = df.sparkSession, f"{work_dir(df.sparkSession)}-feed"
-    for n in range(stages):
-        df.where(F.col(stage) == n).repartition(files).write.mode("append").option("compression", "zstd").parquet(path)
+def staged(df: DataFrame, stage: str, stages: int, files: int | None = None) -> DataFrame:
+    """A table as a feed: a stream that reads one stage (a number from 0 on) a micro-batch, in their order; stages without rows are left out.
+
+    Every stage has ``files`` files, by default one for each FILE_ROWS rows of the largest; a stage with fewer rows than files is filled up with empty ones. The table itself is worked out once.
+    """
+    spark, base = df.sparkSession, work_dir(df.sparkSession)
+    path = f"{base}-feed"
+    df.where(F.col(stage).between(0, stages - 1)).write.partitionBy(stage).option("compression", "zstd").parquet(f"{base}-stages")
+    held = spark.read.schema(df.schema).parquet(f"{base}-stages").select(*df.columns)
+    sizes = {r[0]: r[1] for r in held.groupBy(stage).count().collect()}
+    files = files or max(2, -(-max(sizes.values(), default=0) // FILE_ROWS))
+    for done, n in enumerate(sorted(sizes) or [0]):
+        held.where(F.col(stage) == n).repartition(files).write.mode("append").option("compression", "zstd").parquet(path)
+        for _ in range(files * (done + 1) - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)

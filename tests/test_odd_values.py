@@ -11,6 +11,7 @@ from test_catalog import rows
 
 from tapeloom.operators import audits
 from tapeloom.plans import ORACLE_SQL, QUERIES, record_views
+from tapeloom.sources import work_dir
 from tapeloom.sources.views import VIEWS
 from tapeloom.streaming import lanes
 
@@ -116,3 +117,16 @@ def test_chains_of_many_lanes_share_a_state_and_a_timer():
 def test_records_of_a_small_file_are_parsed_on_all_cores(spark):
     records = record_views.records_of(spark, "/root/testdata/sf0.001", VIEWS["binance_usdm_context"])
     assert records.where("frame_type = 'marker'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_feed_reads_one_stage_a_batch_from_files_that_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(lanes, "FILE_ROWS", 10)
+    table = spark.createDataFrame([(i, s) for i, s in enumerate([0] * 45 + [2] + [3] * 2 + [9])], "row long, stage int")
+    feed, seen = lanes.staged(table, "stage", 5), []
+
+    def put(batch, number):
+        seen.append((sorted({r["stage"] for r in batch.select("stage").collect()}), batch.count(), batch.select(F.input_file_name()).distinct().count()))
+
+    feed.writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", f"{work_dir(spark)}-c").start().awaitTermination()
+    assert [s[:2] for s in seen] == [([0], 45), ([2], 1), ([3], 2)]
+    assert seen[0][2] == 5
