@@ -5,9 +5,9 @@ acos(c) / pi of the bits, so a least similarity becomes a largest Hamming distan
 into TABLES blocks. The bits of a block that are closest to a tie are the ones that near copies differ in, so
 each text is filed under every setting of the WEAK weakest bits of each block, and near copies meet in some
 block. Pairs that meet are discarded by the largest difference of their distances to reference fingerprints and
-compared on all bits. A group gives out a spanning forest of its links; these candidates are verified on the
-shingle sets of both texts. Where one fails, all candidates between the parts left are given out and verified,
-so that no link is left out because of one that does not hold.
+compared on all bits. A group gives out a spanning forest of its links, so what these candidates connect holds every
+link that all candidates would show. There the shingle sets decide: the texts of such a part meet, in chunks of bounded size
+that meet two by two, and give out a spanning forest of the pairs that are as similar as asked for. Texts travel packed, once for each chunk of their part.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.batches import map_texts
@@ -33,6 +34,12 @@ SLACK_BITS = 12
 REFERENCES = 12
 #: Larger groups are split into chunks of about this size, and every two chunks meet in a task.
 GROUP_ROWS = 16_384
+#: Keys of one class in so many show which groups are larger; that decides on chunks, never on a result.
+SHOWN_ONE_IN = 32
+#: Parts with more texts or shingles are split into chunks of about this size, and every two chunks meet in a task.
+PART_ROWS, PART_SHINGLES = 4_096, 1_000_000
+#: Level at which texts are compressed.
+PACK_LEVEL = 1
 #: Groups from this size first compare all rows with a few leading rows.
 LEADER_ROWS, LEADERS = 64, 8
 
@@ -126,22 +133,8 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
     return spanning_forest(found, n) if found else (at[:0], at[:0])
 
 
-def pairs_across(fp: np.ndarray, group: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of different ``label`` within ``distance`` in each run of equal ``group``, by steps."""
-    at = np.arange(len(fp))
-    for d in range(1, len(fp)):
-        at = at[at + d < len(fp)]
-        at = at[group[at] == group[at + d]]
-        if not len(at):
-            break
-        near = at[label[at] != label[at + d]]
-        near = near[_apart(fp[near], fp[near + d]) <= distance]
-        if len(near):
-            yield near, near + d
-
-
-def _filed(classes: DataFrame) -> DataFrame:
-    """A row for each key of each class: ``key``, ``fp``, ``node``, ``label``."""
+def _filed(classes: DataFrame, shown: bool = False) -> DataFrame:
+    """A row for each key of each class: ``key``, ``fp``, ``node``; the key alone where groups are only to be ``shown``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,30 +142,31 @@ def _filed(classes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 fp, weak = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (0, 1)]
                 keys = block_keys(fp, weak)
-                row = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[part.column(i).take(pa.array(row)) for i in (0, 2, 3)]], names=["key", "fp", "node", "label"])
+                row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                more = [] if shown else [part.column(i).take(row) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *more], names=["key", "fp", "node"][: 1 + len(more)])
 
-    return classes.select("fp", "weak", "node", "label").mapInArrow(run, "key long, fp binary, node long, label long")
+    return classes.select("fp", "weak", "node").mapInArrow(run, "key int" if shown else "key int, fp binary, node long")
 
 
-def similar_links(classes: DataFrame, distance: int) -> DataFrame:
-    """Edges (``a``, ``b``) of ``node`` between classes (``fp``, ``weak``, ``node``) within ``distance`` bits.
+def _meeting(own, chunks):
+    """The numbers of the meetings of chunk ``own`` with each of ``chunks`` chunks, itself included."""
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda t: (F.least(t, own) * chunks + F.greatest(t, own)).cast("long"))
 
-    They span the components; with a column ``label`` they are all pairs of different labels.
-    """
-    every = "label" in classes.columns
-    filed = written(_filed(classes if every else classes.withColumn("label", F.lit(None).cast("long"))), "filed")
-    chunks = F.ceil(F.col("count") / GROUP_ROWS).cast("int")
-    large = filed.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", chunks.alias("chunks"))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.least(t, own) * F.col("chunks") + F.greatest(t, own))
-    split = filed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNotNull(), meets).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "node", "label")
+
+def similar_links(classes: DataFrame, distance: int) -> DataFrame:
+    """Edges (``a``, ``b``) of ``node`` between classes (``fp``, ``weak``, ``node``) within ``distance`` bits that span the components."""
+    some = _filed(classes.where(F.pmod(F.xxhash64("node"), F.lit(SHOWN_ONE_IN)) == 0), shown=True)
+    chunks = F.ceil(F.col("count") * SHOWN_ONE_IN / GROUP_ROWS).cast("int")
+    large = some.groupBy("key").count().select("key", chunks.alias("chunks")).where("chunks > 1")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    split = _filed(classes).join(F.broadcast(large), "key", "left").select("key", F.explode(F.when(F.col("chunks").isNotNull(), _meeting(own, F.col("chunks"))).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, WORDS)
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp, batch.column(3).to_numpy(), batch.column(4).fill_null(0).to_numpy()]
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp, batch.column(3).to_numpy()]
             cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             cut = change[-1] if len(change) else 0
@@ -184,60 +178,95 @@ def similar_links(classes: DataFrame, distance: int) -> DataFrame:
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(cols[0]) > 1:
             group = np.cumsum(np.r_[0, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-            for a, b in pairs_across(cols[2], group, cols[4], distance) if every else [linked(cols[2], group, distance)]:
-                if not len(a):
-                    continue
+            a, b = linked(cols[2], group, distance)
+            if len(a):
                 pairs = np.unique(np.stack([cols[3][a], cols[3][b]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    found = split.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    found = split.repartition("key", "sub").sortWithinPartitions("key", "sub", "node").mapInArrow(run, "a long, b long")
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _sets(source: DataFrame, classes: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
-    """``node`` and ``hashes`` (8 bytes each, sorted) of the classes that have links."""
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("__id")).distinct()
-
-    def fn(texts: list) -> dict:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return {"node": [set_hash(h) for h in sets], "hashes": [h.tobytes() for h in sets]}
+def joined(sets: list[np.ndarray], chunk: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of numbers of sorted ``sets`` that join what has at least this Jaccard similarity; where there are two chunks only pairs across them count.
 
-    made = map_texts(source.join(ids, "__id", "left_semi"), [], "__text", fn, "node long, hashes binary", most=500_000)
-    return made.dropDuplicates(["node"])
+    Each set is counted against all sets of a fitting size at once, as long as one of them is not yet joined to it.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    if len(order) < 2:
+        return []
+    sizes, chunk, across = sizes[order], chunk[order], chunk.min() != chunk.max()
+    values, flat = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)
+    starts = np.cumsum(np.r_[0, sizes])
+    most = np.searchsorted(similarity * sizes, sizes, "right")  # a pair of such similarity has sizes no further apart
+    label, mark, found = np.arange(len(order)), np.zeros(len(values), bool), []
+    for i in range(len(order) - 1):
+        lo, hi = i + 1, int(most[i])
+        live = label[lo:hi] != label[i]
+        if across:
+            live &= chunk[lo:hi] != chunk[i]
+        if not live.any():
+            continue
+        own = flat[starts[i] : starts[lo]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own] = False
+        near = lo + np.flatnonzero(live & (common >= similarity * (sizes[i] + sizes[lo:hi] - common)))
+        if len(near):
+            labels, first = np.unique(label[near], return_index=True)
+            found += [(int(order[i]), int(order[j])) for j in near[first]]
+            label[np.isin(label, labels)] = label[i]
+    return found
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links with ``ok``, whether the sets of both ends have at least this Jaccard similarity."""
+def verified(parts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (``a``, ``b``) that span what is joined by at least this similarity, of rows (``component``, ``sub``, ``own``, ``node``, ``packed``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        unpack, at, held, edges = zstandard.ZstdDecompressor().decompress, None, {}, []
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+        def flush() -> None:
+            nodes = list(held)
+            for i, j in joined([held[n][1] for n in nodes], np.array([held[n][0] for n in nodes]), similarity):
+                edges.append((nodes[i], nodes[j]))
+            held.clear()
 
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            edges.clear()
+            return out
 
-def _components_of(source: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+        for batch in batches:
+            for component, sub, own, node, packed in zip(*batch.columns, strict=True):
+                if (key := (component.as_py(), sub.as_py())) != at:
+                    if len(held) > 1:
+                        flush()
+                    held.clear()
+                    at = key
+                if (node := node.as_py()) not in held:  # repeated rows
+                    held[node] = own.as_py(), shingle_set(unpack(packed.as_py()).decode(), shingle)
+            yield told()
+        if len(held) > 1:
+            flush()
+        yield told()
+
+    return parts.repartition("component", "sub").sortWithinPartitions("component", "sub").mapInArrow(run, "a long, b long")
+
+
+def _components_of(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``node`` and ``component`` over verified links between classes."""
-    links = written(similar_links(classes, distance_bound(similarity)), "links")
-    sets = written(_sets(source, classes, links, shingle), "sets")
-    checked = written(verified(links, sets, similarity), "checked")
-    held = checked.where("ok").select("a", "b")
-    failed = checked.where("not ok")
-    if failed.isEmpty():
-        return components(held)
-    loose = components(links)  # only components with a link that does not hold can lack one that does
-    broken = failed.select(F.col("a").alias("node")).join(loose.unionByName(loose.select(F.col("component").alias("node"), "component")).distinct(), "node").select("component").distinct()
-    parts = loose.join(broken, "component", "left_semi").select("node").unionByName(broken.select(F.col("component").alias("node"))).distinct()
-    parts = parts.join(components(held).withColumnRenamed("component", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    more = written(similar_links(classes.join(parts, "node"), distance_bound(similarity)).join(failed.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    return components(held.unionByName(verified(more, sets, similarity).where("ok").select("a", "b")))
+    loose = components(written(similar_links(classes, distance_bound(similarity)), "links"))
+    members = loose.unionByName(loose.select(F.col("component").alias("node"), "component").distinct())
+    members = written(members.join(classes.select("node", "rep", "size"), "node"), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("size") / PART_SHINGLES)).cast("int")
+    large = members.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1")
+    chunked = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = chunked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    texts = docs.select(F.col("__id").alias("rep"), "node", "packed").join(chunked, ["rep", "node"])
+    parts = texts.select("component", F.explode(_meeting(F.col("own"), F.col("chunks"))).alias("sub"), "own", "node", "packed")
+    return components(verified(parts, similarity, shingle))
 
 
 def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,12 +281,13 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def fn(texts: list) -> dict:
         sets = [shingle_set(t, shingle) for t in texts]
         fp, weak = wide_fingerprints(sets)
-        return {"node": [set_hash(h) for h in sets], "fp": fp, "weak": weak}
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
+        return {"node": [set_hash(h) for h in sets], "fp": fp, "weak": weak, "size": [len(h) for h in sets], "packed": [pack((t or "").encode()) for t in texts]}
 
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    docs = written(map_texts(source, ["__id"], "__text", fn, "node long, fp binary, weak binary", most=500_000), "wide")
-    classes = written(docs.groupBy("node").agg(F.min("__id").alias("rep"), F.min("fp").alias("fp"), F.min("weak").alias("weak")), "classes")
-    found = _components_of(source, classes.where("rep is not null"), similarity, shingle)
+    docs = written(map_texts(source, ["__id"], "__text", fn, "node long, fp binary, weak binary, size int, packed binary", most=500_000), "wide")
+    classes = written(docs.groupBy("node").agg(F.min("__id").alias("rep"), F.min("fp").alias("fp"), F.min("weak").alias("weak"), F.min("size").alias("size")), "classes")
+    found = _components_of(docs, classes.where("rep is not null"), similarity, shingle)
     labels = written(classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c")), "labels")
     least = labels.groupBy("c").agg(F.min("rep").alias("component_id"))
     return docs.select("__id", "node").join(labels.join(least, "c").select("node", "component_id"), "node").select(F.col("__id").alias(id_col), "component_id")

@@ -553,6 +553,28 @@ def test_similar_documents_hold_the_least_similarity(spark):
     assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == group
 
 
+def test_a_large_part_just_below_the_similarity_gives_out_no_pairs(spark, monkeypatch):
+    """A chain of candidates whose links do not hold, and pairs among them that do; texts of a part meet in chunks."""
+    words, sets = prose(41, 300).split(), []
+    for k in range(40):
+        own = list(words)
+        for at in range(k % 13, 300, 13):
+            own[at] = f"own{k}"
+        sets.append(own)
+    rows = [(k, " ".join(t)) for k, t in enumerate(sets)] + [(100 + k, " ".join(t[:-2] + ["end", "here"])) for k, t in enumerate(sets)]
+    df, made, plain = spark.createDataFrame(rows, "doc_id long, text string"), [], similar.verified
+
+    def counted(parts, *more):
+        made.append(similar.written(plain(parts, *more)))
+        return made[-1]
+
+    monkeypatch.setattr(similar, "verified", counted)
+    for most in (similar.PART_ROWS, 20):
+        monkeypatch.setattr(similar, "PART_ROWS", most)
+        assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == {i: i % 100 for i, _ in rows}
+        assert made[-1].count() <= 2 * len(rows)
+
+
 def test_ibans_before_further_capitals_are_found():
     text = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF or DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 END"
     assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"] * 2 + ["GB82 WEST 1234 5698 7654 32"]
