@@ -8,7 +8,8 @@
 2. Neighbouring windows with one anchor form a segment of at most 2 * LENGTH - GRAM bytes. Equal segments are put together
    before they are shuffled by anchor, with the smallest and largest id that have them, so everything that can match meets
    in one place, once for each task that found it and not once for each document.
-3. There a collection of segments gets its Burrows-Wheeler transform and common prefixes column by column: each round
+3. Two windows that are equal agree in the bytes around their anchor, so a segment that agrees with no other of its anchor in any of
+   the AROUND stretches has no window that another has. A collection of the other segments gets its Burrows-Wheeler transform and common prefixes column by column: each round
    puts one more symbol of every segment in front and inserts its suffix where the occurrences of that symbol say. Transform,
    prefix lengths and suffixes are in sequential files, read and written block by block; in memory are a place for each
    segment and a block. Runs of suffixes whose common prefixes reach LENGTH are equal windows; the smallest id of a run decides.
@@ -39,6 +40,8 @@ LENGTH, GRAM = 50, 20
 #: Segments whose transform is made together, and rows of its files that are in memory at a time.
 COLLECTION = 20_000
 BLOCK_ROWS = 1 << 19
+#: Bytes before and behind the anchor that all windows have whose anchor is at place 0 to 7, 8 to 15, 16 to 23, 24 to 30.
+AROUND = [(low, LENGTH - GRAM - min(low + 7, LENGTH - GRAM)) for low in range(0, LENGTH - GRAM + 1, 8)]
 #: Documents' bytes whose anchors are packed together, and segments that are made distinct together.
 BLOCK_BYTES = 3_000_000
 BUFFER = 60_000
@@ -235,16 +238,16 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Documents (doc, id, packed text, lists of shared hashes) to buffers (anchors, segments, their hashes, docs, ids, starts), sorted by anchor and hash."""
+    """Documents (doc, id, packed text, lists of shared hashes) to buffers (anchors, segments, their hashes, docs, ids, starts, places of the anchors in them), sorted by anchor and hash."""
     unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
-    held: list[list] = [[], [], [], [], []]
+    held: list[list] = [[], [], [], [], [], []]
 
     def flush() -> tuple:
         segments = held[1]
-        anchor, doc, id_, start = (np.concatenate([np.asarray(x, t) for x in held[k]]) for k, t in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int64)))
+        anchor, doc, id_, start, place = (np.concatenate([np.asarray(x, t) for x in held[k]]) for k, t in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int64), (5, np.int8)))
         hashes = np.fromiter(map(digest, segments), np.uint64, len(segments))
         order = np.lexsort((hashes, anchor))
-        out = anchor[order].view(np.int64), [segments[i] for i in order.tolist()], hashes[order].view(np.int64), doc[order], id_[order], start[order]
+        out = anchor[order].view(np.int64), [segments[i] for i in order.tolist()], hashes[order].view(np.int64), doc[order], id_[order], start[order], place[order]
         for x in held:
             x.clear()
         return out
@@ -269,6 +272,7 @@ def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iter
                 for k, value in ((2, doc), (3, id_)):
                     held[k].append(np.full(n, value, np.int64))
                 held[4].append(first[found])
+                held[5].append((at[first] - first)[found])
             if len(held[1]) >= BUFFER:
                 yield flush()
     if held[1]:
@@ -281,16 +285,16 @@ def _heads(anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _distinct_segments(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to rows (anchor, segment, least, most): the distinct segments of a buffer, with the smallest and largest id that have them."""
-    for anchor, segments, hashes, _, ids, _ in _cut_segments(_frequent(frequent.value), batches):
+    """Documents to rows (anchor, segment, least, most, place): the distinct segments of a buffer, with the smallest and largest id that have them and the place of the anchor."""
+    for anchor, segments, hashes, _, ids, _, place in _cut_segments(_frequent(frequent.value), batches):
         first = _heads(anchor, hashes)
         strings = pa.array([segments[i] for i in first.tolist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), strings, pa.array(np.minimum.reduceat(ids, first)), pa.array(np.maximum.reduceat(ids, first))], names=["anchor", "segment", "least", "most"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), strings, pa.array(np.minimum.reduceat(ids, first)), pa.array(np.maximum.reduceat(ids, first)), pa.array(place[first])], names=["anchor", "segment", "least", "most", "place"])
 
 
 def _segment_owners(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to rows (anchor, hash, docs, ids, starts): who has each distinct segment of a buffer, and where it starts there."""
-    for anchor, _, hashes, docs, ids, starts in _cut_segments(_frequent(frequent.value), batches):
+    for anchor, _, hashes, docs, ids, starts, _ in _cut_segments(_frequent(frequent.value), batches):
         first = _heads(anchor, hashes)
         bounds = np.r_[first, len(anchor)].tolist()
         packs = [[c[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for c in (docs, ids, starts.astype(np.int32))]
@@ -473,11 +477,34 @@ def least_owner(strings: list[bytes], owner: np.ndarray, folder: str, length: in
     yield told(*rest)
 
 
+def agreeing(group: np.ndarray, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a segment may have a window that another one of its group has: one of the AROUND stretches about its anchor is in both, by a hash.
+
+    ``raw`` has the segments' bytes; segments of a group differ. A chance agreement only lets a segment be looked at further.
+    """
+    out = np.zeros(len(group), bool)
+    with np.errstate(over="ignore"):
+        factors = np.cumprod(np.full(LENGTH, _ODD)) | np.uint64(1)
+        for before, behind in AROUND:
+            some = np.flatnonzero((place >= before) & (sizes - place - GRAM >= behind))
+            steps = np.r_[np.arange(-before, 0), np.arange(GRAM, GRAM + behind)]
+            h = group[some].view(np.uint64) * _ODD
+            at = begins[some] + place[some]
+            for step, factor in zip(steps.tolist(), factors, strict=False):
+                h += (raw[at + step] + np.uint64(1)) * factor
+            h ^= h >> np.uint64(29)
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            out[some[order[1:][same]]] = out[some[order[:-1][same]]] = True
+    return out
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, least, most) sorted by anchor and segment to rows (anchor, hash, runs): for segments of which something can go
+    """Rows (anchor, segment, least, most, place) sorted by anchor and segment to rows (anchor, hash, runs): for segments of which something can go
     the stretches (begin, stop) under the smaller id ``by``, eight bytes each.
 
-    A segment that is the only one of its anchor has none to be ordered among: all its windows start under its smallest id.
+    A segment that is the only one of its anchor, or agrees with none of it about the anchor, has none to be ordered among: all its windows start under its
+    smallest id. Without places only the former are told.
     """
     rest: pa.Table | None = None
 
@@ -489,6 +516,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = segment.take(pa.array(first)).to_pylist()
         sizes = np.array([len(s) for s in distinct], np.int64)
         alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
+        if "place" in table.column_names and not alone.all():
+            many = np.flatnonzero(~alone)
+            begins, place = (np.cumsum(sizes) - sizes)[many], table.column("place").to_numpy().astype(np.int64)[first][many]
+            alone[many] = ~agreeing(group[many], np.frombuffer(b"".join(distinct), np.uint8), begins, sizes[many], place)
         some = np.flatnonzero(alone & (owner < most))
         found = [(some, np.zeros(len(some), np.int64), sizes[some], owner[some])]
         others = np.flatnonzero(~alone)
@@ -617,7 +648,7 @@ def repeated_spans(docs: DataFrame, light: DataFrame, packed: DataFrame) -> Data
     leads = light.where(F.col("stop") >= LENGTH).groupBy("v1", "v2").agg(F.min("id").alias("id")).select(_doc(), F.lit(None).cast("long").alias("hash"))
     lists = leads.unionByName(shared.select(_doc(), "hash")).groupBy("doc").agg(F.collect_list("hash").alias("shared"))
     met = packed.join(lists, "doc").select("doc", "id", "packed", "shared")
-    segments = met.mapInArrow(functools.partial(_distinct_segments, frequent), "anchor long, segment binary, least long, most long")
+    segments = met.mapInArrow(functools.partial(_distinct_segments, frequent), "anchor long, segment binary, least long, most long, place byte")
     found = segments.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_repeats, "anchor long, hash long, runs binary")
     owners = met.mapInArrow(functools.partial(_segment_owners, frequent), "anchor long, hash long, docs binary, ids binary, starts binary")
     return owners.join(found, ["anchor", "hash"]).select("docs", "ids", "starts", "runs").mapInArrow(_spans, "doc long, id long, spans binary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as vocab
@@ -105,6 +106,41 @@ def test_collections_of_segments_equal_brute_force(monkeypatch, tmp_path):
     assert got == want
 
 
+def test_segments_that_share_no_window_skip_the_transform(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    sides = [[bytes(rng.choice(b"abcdef") for _ in range(30)) for _ in range(4)] for _ in range(2)]
+    rows = []
+    for anchor in range(200):  # left and right sides that agree in as many bytes as chance has it, most in too few
+        own, gram = {}, bytes(rng.choice(b"abcdef") for _ in range(substrings.GRAM))
+        for _ in range(6):
+            near, far = rng.randrange(31), rng.randrange(31)
+            left = bytes(rng.choice(b"abcdef") for _ in range(30 - near)) + rng.choice(sides[0])[30 - near :]
+            right = rng.choice(sides[1])[:far] + bytes(rng.choice(b"abcdef") for _ in range(30 - far))
+            place = rng.choice([30, 30, rng.randrange(31)])
+            segment = left[30 - place :] + gram + right[: max(30 - place, rng.choice([30, rng.randrange(31)]))]
+            own.setdefault(segment, (anchor, segment, rng.randint(1, 50), 55, place))
+        rows += sorted(own.values())
+    kinds = {"anchor": pa.int64(), "segment": pa.binary(), "least": pa.int64(), "most": pa.int64(), "place": pa.int8()}
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    plain, transformed = substrings.least_owner, []
+    monkeypatch.setattr(substrings, "least_owner", lambda strings, *a, **k: transformed.append(len(strings)) or plain(strings, *a, **k))
+
+    def windows(batch):
+        told = {}
+        for out in substrings._repeats(iter([batch])):
+            for r in out.to_pylist():
+                for begin, stop, by in np.frombuffer(r["runs"], np.int64).reshape(-1, 3).tolist():
+                    told |= {(r["anchor"], r["hash"], k): by for k in range(begin, stop - substrings.LENGTH + 1)}
+        return told
+
+    assert windows(table) == windows(table.select(list(kinds)[:4]))
+    shared = Counter((a, s[k : k + 50]) for a, s, *_ in rows for k in range(len(s) - 49))
+    least = sum(any(shared[a, s[k : k + 50]] > 1 for k in range(len(s) - 49)) for a, s, *_ in rows)
+    assert 0 < least <= transformed[0] < len(rows) / 2 and transformed[1] == len(rows)
+
+
 def test_a_passage_in_very_many_texts_is_removed_exactly(spark):
     """More documents than make a string frequent, so that the passage takes that way; borders differ from text to text."""
     passage = prose(77, 40)
