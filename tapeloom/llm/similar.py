@@ -29,6 +29,9 @@ from tapeloom.sources import written
 WORDS = 4
 TABLES, WEAK = 12, 3
 BLOCK_BITS = WORDS * 64 // TABLES
+#: Classes are dealt to buckets by their table and the leading bits of its block, 768 buckets in all, and not by each of their 96 keys; ties make the low bits the weak ones more often.
+DEAL_BITS = 6
+LOW_BITS = BLOCK_BITS - DEAL_BITS
 #: Two standard deviations of the distance at a similarity of 0.8; the shingle sets decide.
 SLACK_BITS = 12
 REFERENCES = 12
@@ -38,6 +41,8 @@ GROUP_ROWS = 16_384
 SHOWN_ONE_IN = 32
 #: Parts with more texts or shingles are split into chunks of about this size, and every two chunks meet in a task.
 PART_ROWS, PART_SHINGLES = 4_096, 1_000_000
+#: Bits of the bitmap that tells which texts may have a similar one (4 MB); beyond some 10^7 of these it lets most texts through.
+FILTER_BITS = 1 << 25
 #: Level at which texts are compressed.
 PACK_LEVEL = 1
 #: Groups from this size first compare all rows with a few leading rows.
@@ -133,20 +138,82 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
     return spanning_forest(found, n) if found else (at[:0], at[:0])
 
 
-def _filed(classes: DataFrame, shown: bool = False) -> DataFrame:
-    """A row for each key of each class: ``key``, ``fp``, ``node``; the key alone where groups are only to be ``shown``."""
+def _block_of(fp: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The block number ``table`` of each of the fingerprints [n, bytes] as a number: its bits are in four bytes."""
+    at = table * BLOCK_BITS
+    four = np.ascontiguousarray(fp[np.arange(len(fp))[:, None], (at >> 3)[:, None] + np.arange(4)]).view("<u4")[:, 0].astype(np.int64)
+    return four >> (at & 7) & (1 << BLOCK_BITS) - 1
+
+
+def _keys_shown(classes: DataFrame) -> DataFrame:
+    """A row for each ``key`` of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                fp, weak = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (0, 1)]
-                keys = block_keys(fp, weak)
-                row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                more = [] if shown else [part.column(i).take(row) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *more], names=["key", "fp", "node"][: 1 + len(more)])
+                fp, weak = [_bytes_of(batch.slice(at, 1000).column(i)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(block_keys(fp, weak).ravel().astype(np.int32))], names=["key"])
+
+    return classes.select("fp", "weak").mapInArrow(run, "key int")
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one size as [n, bytes]."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def dealt(fp: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, and the bucket (the leading bits of a key) with the weak places below it (5 bits each): a class once for each bucket that its keys are in.
+
+    By bucket, so that what a shuffle of them takes does not depend on how many buckets of a class happen to share a partition.
+    """
+    weak = weak.reshape(len(fp), TABLES, WEAK).astype(np.int64)
+    keys = np.stack([_block_of(fp, np.full(len(fp), t)) + (t << BLOCK_BITS) for t in range(TABLES)], axis=1)
+    packed = (weak << 5 * np.arange(WEAK)).sum(axis=2)
+    rows, places = [], []
+    for setting in range(1 << WEAK):
+        turned = weak[:, :, [k for k in range(WEAK) if setting >> k & 1]]
+        row, table = np.nonzero((turned >= LOW_BITS).all(axis=2))  # other settings stay in the bucket of one of these
+        rows.append(row)
+        places.append((keys[row, table] ^ (np.int64(1) << turned[row, table]).sum(axis=1)) >> LOW_BITS << 5 * WEAK | packed[row, table])
+    row, place = np.concatenate(rows), np.concatenate(places)
+    order = np.argsort(place >> 5 * WEAK, kind="stable")
+    return row[order], place[order].astype(np.int32)
+
+
+def dealt_keys(place: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of rows that :func:`dealt` gave out: of each its keys in its bucket."""
+    place = place.astype(np.int64)
+    table = place >> 5 * WEAK + DEAL_BITS
+    keys = (_block_of(fp, table) + (table << BLOCK_BITS))[:, None]
+    for k in range(WEAK):
+        keys = np.concatenate([keys, keys ^ (np.int64(1) << (place >> 5 * k & 31))[:, None]], axis=1)
+    row, setting = np.nonzero(keys >> LOW_BITS == (place >> 5 * WEAK)[:, None])
+    return row, keys[row, setting].astype(np.int32)
 
-    return classes.select("fp", "weak", "node").mapInArrow(run, "key int" if shown else "key int, fp binary, node long")
+
+def _filed(classes: DataFrame) -> DataFrame:
+    """A row for each key of each class: ``key``, ``fp``, ``node``, all of a key in one partition.
+
+    A class is shuffled once for each bucket of keys, not for each key; there its keys are told from its fingerprint.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                row, place = dealt(_bytes_of(part.column(0)), _bytes_of(part.column(1)))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(place), part.column(0).take(row), part.column(2).take(row)], names=["place", "fp", "node"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = dealt_keys(batch.column(0).to_numpy(), _bytes_of(batch.column(1)))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(row), batch.column(2).take(row)], names=["key", "fp", "node"])
+
+    rows = classes.select("fp", "weak", "node").mapInArrow(deal, "place int, fp binary, node long")
+    return rows.repartition(F.shiftright("place", 5 * WEAK)).mapInArrow(told, "key int, fp binary, node long")
 
 
 def _meeting(own, chunks):
@@ -156,11 +223,13 @@ def _meeting(own, chunks):
 
 def similar_links(classes: DataFrame, distance: int) -> DataFrame:
     """Edges (``a``, ``b``) of ``node`` between classes (``fp``, ``weak``, ``node``) within ``distance`` bits that span the components."""
-    some = _filed(classes.where(F.pmod(F.xxhash64("node"), F.lit(SHOWN_ONE_IN)) == 0), shown=True)
+    some = _keys_shown(classes.where(F.pmod(F.xxhash64("node"), F.lit(SHOWN_ONE_IN)) == 0))
     chunks = F.ceil(F.col("count") * SHOWN_ONE_IN / GROUP_ROWS).cast("int")
-    large = some.groupBy("key").count().select("key", chunks.alias("chunks")).where("chunks > 1")
+    large = written(some.groupBy("key").count().select("key", chunks.alias("chunks")).where("chunks > 1"), "large")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
-    split = _filed(classes).join(F.broadcast(large), "key", "left").select("key", F.explode(F.when(F.col("chunks").isNotNull(), _meeting(own, F.col("chunks"))).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "node")
+    filed = _filed(classes)
+    whole = filed.join(F.broadcast(large), "key", "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp", "node")
+    split = filed.join(F.broadcast(large), "key").select("key", F.explode(_meeting(own, F.col("chunks"))).alias("sub"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -183,7 +252,9 @@ def similar_links(classes: DataFrame, distance: int) -> DataFrame:
                 pairs = np.unique(np.stack([cols[3][a], cols[3][b]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    found = split.repartition("key", "sub").sortWithinPartitions("key", "sub", "node").mapInArrow(run, "a long, b long")
+    found = whole.sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    if not large.isEmpty():
+        found = found.unionByName(split.repartition("key", "sub").sortWithinPartitions("key", "sub", "node").mapInArrow(run, "a long, b long"))
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -255,6 +326,16 @@ def verified(parts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return parts.repartition("component", "sub").sortWithinPartitions("component", "sub").mapInArrow(run, "a long, b long")
 
 
+def _perhaps(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``node`` may be one of ``members``, by a bitmap of FILTER_BITS bits: only these are worth a shuffle of their texts."""
+    bit = F.pmod(F.col("node"), F.lit(FILTER_BITS))
+    seen = members.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(seen), "bucket")
+    return held.where(F.call_function("getbit", byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*texts.columns)
+
+
 def _components_of(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``node`` and ``component`` over verified links between classes."""
     loose = components(written(similar_links(classes, distance_bound(similarity)), "links"))
@@ -264,7 +345,7 @@ def _components_of(docs: DataFrame, classes: DataFrame, similarity: float, shing
     large = members.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1")
     chunked = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunked = chunked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col("__id").alias("rep"), "node", "packed").join(chunked, ["rep", "node"])
+    texts = _perhaps(docs.select(F.col("__id").alias("rep"), "node", "packed"), members).join(chunked, ["rep", "node"])
     parts = texts.select("component", F.explode(_meeting(F.col("own"), F.col("chunks"))).alias("sub"), "own", "node", "packed")
     return components(verified(parts, similarity, shingle))
 

@@ -614,3 +614,32 @@ def test_a_large_part_just_below_the_similarity_gives_out_no_pairs(spark, monkey
 def test_ibans_before_further_capitals_are_found():
     text = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF or DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 END"
     assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"] * 2 + ["GB82 WEST 1234 5698 7654 32"]
+
+
+def test_a_class_is_dealt_once_for_each_bucket_and_gets_all_its_keys_there():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 256, (300, similar.WORDS * 8), dtype=np.uint8)
+    weak = rng.permuted(np.tile(np.arange(similar.BLOCK_BITS, dtype=np.uint8), (300 * similar.TABLES, 1)), axis=1)[:, : similar.WEAK].reshape(300, -1)
+    row, place = similar.dealt(fp, weak)
+    again, key = similar.dealt_keys(place, fp[row])
+    want = [(i, k) for i, keys in enumerate(similar.block_keys(fp, weak).tolist()) for k in keys]
+    assert sorted(zip(row[again].tolist(), key.tolist(), strict=True)) == sorted(want)
+    buckets = place >> 5 * similar.WEAK
+    assert len(row) < len(want) / 3 and len(set(zip(row.tolist(), buckets.tolist(), strict=True))) == len(row)
+    assert len(set(zip(key.tolist(), buckets[again].tolist(), strict=True))) == len(set(key.tolist()))
+
+
+def test_texts_that_nothing_is_similar_to_are_not_shuffled(spark):
+    texts = spark.range(2000).selectExpr("id AS rep", "xxhash64(id) AS node", "encode(cast(id AS string), 'UTF-8') AS packed")
+    members = texts.where("rep % 50 = 0").select("node")
+    kept = {r.rep for r in similar._perhaps(texts, members).collect()}
+    assert kept >= set(range(0, 2000, 50)) and len(kept) < 60
+    assert similar._perhaps(texts, members.where("false")).count() == 0
+
+
+def test_keys_of_large_groups_meet_in_chunks(spark, monkeypatch):
+    texts = [" ".join(f"w{i // 40}x{k}" for k in range(60)) + f" tail{i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(similar, "SHOWN_ONE_IN", 1)
+    monkeypatch.setattr(similar, "GROUP_ROWS", 10)
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == {i: i // 40 * 40 for i in range(400)}
