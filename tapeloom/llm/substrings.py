@@ -120,6 +120,21 @@ def anchors(raw: np.ndarray, frequent: Frequent = NONE_FREQUENT, length: int = L
     return (least & _PLACE).astype(np.int64), h, often
 
 
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values (of all columns together) begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        np.not_equal(columns[0][1:], columns[0][:-1], out=new[1:])
+        for c in columns[1:]:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _packs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the stretches of ``values`` between ``bounds`` (of all of them) as binary values, without a copy for each."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _middle(h: np.ndarray) -> np.ndarray:
     """The bits of hashes that are told: 40 behind the leading byte, which the bucket tells; a chance agreement only lets a text be looked at further."""
     return h >> np.uint64(16) & np.uint64((1 << 40) - 1)
@@ -167,8 +182,10 @@ def _pack_anchors(buckets: int, frequent, batches: Iterator[pa.RecordBatch]) ->
             for n, text in enumerate(part.column(3)):
                 at, h, often = anchors(np.frombuffer(text.as_py().encode(), np.uint8), known)
                 if len(at):
-                    at = at[np.r_[True, at[1:] != at[:-1]]]
-                    hashes.append(np.unique(h[at[~often[at]]]))
+                    at = at[_begins(at)]
+                    names = h[at[~often[at]]]
+                    names.sort()
+                    hashes.append(names[_begins(names)])
                     owners.append(np.full(len(hashes[-1]), n, np.int32))
             if not hashes or not sum(map(len, hashes)):
                 continue
@@ -238,41 +255,46 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Documents (doc, id, packed text, lists of shared hashes) to buffers (anchors, segments, their hashes, docs, ids, starts, places of the anchors in them), sorted by anchor and hash."""
+    """Documents (doc, id, packed text, lists of shared hashes) to buffers (anchors, segments, their order, their hashes, docs, ids, starts, places of the anchors in them); all but the segments are sorted by anchor and hash."""
     unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
-    held: list[list] = [[], [], [], [], [], []]
+    held: list[list] = [[], [], [], [], [], [], []]
 
     def flush() -> tuple:
         segments = held[1]
-        anchor, doc, id_, start, place = (np.concatenate([np.asarray(x, t) for x in held[k]]) for k, t in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int64), (5, np.int8)))
+        anchor, doc, id_, start, place, counts = (np.concatenate([np.asarray(x, t) for x in held[k]]) for k, t in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int32), (5, np.int8), (6, np.int64)))
         hashes = np.fromiter(map(digest, segments), np.uint64, len(segments))
         order = np.lexsort((hashes, anchor))
-        out = anchor[order].view(np.int64), [segments[i] for i in order.tolist()], hashes[order].view(np.int64), doc[order], id_[order], start[order], place[order]
+        owner = np.repeat(np.arange(len(counts)), counts)[order]
+        out = anchor[order].view(np.int64), list(segments), order, hashes[order].view(np.int64), doc[owner], id_[owner], start[order], place[order]
         for x in held:
             x.clear()
         return out
 
     for batch in batches:
-        for doc, id_, packed, shared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        lists = batch.column(3)
+        bounds, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().view(np.uint64)
+        for doc, id_, packed, x, y in zip(*[c.to_pylist() for c in batch.columns[:3]], bounds[:-1], bounds[1:], strict=True):
             raw = unpack(packed)
             at, h, often = anchors(np.frombuffer(raw, np.uint8), frequent)
             if not len(at):
                 continue
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            last = np.r_[first[1:], len(at)] - 1
-            names, found = h[at[first]], often[at[first]]
-            known = np.sort(np.array(shared, np.uint64))
-            if len(known):
-                short = _middle(names)
-                found = found | (known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
-            n = int(found.sum())
-            if n:
-                held[0].append(names[found])
-                held[1] += [raw[a : b + LENGTH] for a, b in zip(first[found].tolist(), last[found].tolist(), strict=True)]
-                for k, value in ((2, doc), (3, id_)):
-                    held[k].append(np.full(n, value, np.int64))
-                held[4].append(first[found])
-                held[5].append((at[first] - first)[found])
+            first = _begins(at)
+            chosen = at[first]
+            names, found = h[chosen], often[chosen]
+            if y > x:
+                known, short = np.sort(values[x:y]), _middle(names)
+                found = found | (known[np.minimum(np.searchsorted(known, short), y - x - 1)] == short)
+            some = np.flatnonzero(found)
+            if len(some):
+                stops = np.append(first[1:], len(at))[some] + (LENGTH - 1)
+                starts = first[some]
+                held[0].append(names[some])
+                held[1] += [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                held[2].append([doc])
+                held[3].append([id_])
+                held[4].append(starts)
+                held[5].append(chosen[some] - starts)
+                held[6].append([len(some)])
             if len(held[1]) >= BUFFER:
                 yield flush()
     if held[1]:
@@ -281,24 +303,23 @@ def _cut_segments(frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def _heads(anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Where a run of equal anchors and hashes begins."""
-    return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])])
+    return _begins(anchor, hashes)
 
 
 def _distinct_segments(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to rows (anchor, segment, least, most, place): the distinct segments of a buffer, with the smallest and largest id that have them and the place of the anchor."""
-    for anchor, segments, hashes, _, ids, _, place in _cut_segments(_frequent(frequent.value), batches):
+    for anchor, segments, order, hashes, _, ids, _, place in _cut_segments(_frequent(frequent.value), batches):
         first = _heads(anchor, hashes)
-        strings = pa.array([segments[i] for i in first.tolist()], pa.binary())
+        strings = pa.array([segments[i] for i in order[first].tolist()], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), strings, pa.array(np.minimum.reduceat(ids, first)), pa.array(np.maximum.reduceat(ids, first)), pa.array(place[first])], names=["anchor", "segment", "least", "most", "place"])
 
 
 def _segment_owners(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to rows (anchor, hash, docs, ids, starts): who has each distinct segment of a buffer, and where it starts there."""
-    for anchor, _, hashes, docs, ids, starts, _ in _cut_segments(_frequent(frequent.value), batches):
+    for anchor, _, _, hashes, docs, ids, starts, _ in _cut_segments(_frequent(frequent.value), batches):
         first = _heads(anchor, hashes)
-        bounds = np.r_[first, len(anchor)].tolist()
-        packs = [[c[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for c in (docs, ids, starts.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(hashes[first]), *[pa.array(p, pa.binary()) for p in packs]], names=["anchor", "hash", "docs", "ids", "starts"])
+        bounds = np.append(first, len(anchor))
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(hashes[first]), *[_packs(c, bounds) for c in (docs, ids, starts)]], names=["anchor", "hash", "docs", "ids", "starts"])
 
 
 class Columns:
@@ -513,19 +534,19 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = table.column("segment").combine_chunks()
         first = np.flatnonzero(np.r_[True, pc.not_equal(segment[1:], segment[:-1]).to_numpy(zero_copy_only=False) | (anchor[1:] != anchor[:-1])])
         owner, most, group = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), anchor[first]
-        distinct = segment.take(pa.array(first)).to_pylist()
-        sizes = np.array([len(s) for s in distinct], np.int64)
+        distinct = segment.take(pa.array(first))
+        sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
         alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
         if "place" in table.column_names and not alone.all():
             many = np.flatnonzero(~alone)
             begins, place = (np.cumsum(sizes) - sizes)[many], table.column("place").to_numpy().astype(np.int64)[first][many]
-            alone[many] = ~agreeing(group[many], np.frombuffer(b"".join(distinct), np.uint8), begins, sizes[many], place)
+            alone[many] = ~agreeing(group[many], np.frombuffer(distinct.buffers()[2], np.uint8), begins, sizes[many], place)
         some = np.flatnonzero(alone & (owner < most))
         found = [(some, np.zeros(len(some), np.int64), sizes[some], owner[some])]
         others = np.flatnonzero(~alone)
         if len(others):
             with tempfile.TemporaryDirectory() as folder:
-                string, offset, by = (np.concatenate(x) for x in zip(*least_owner([distinct[i] for i in others.tolist()], owner[others], folder), strict=True))
+                string, offset, by = (np.concatenate(x) for x in zip(*least_owner(distinct.take(pa.array(others)).to_pylist(), owner[others], folder), strict=True))
             string = others[string]
             gone = by < most[string]
             string, offset, by = string[gone], offset[gone], by[gone]
@@ -538,10 +559,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(string):
             return
         cuts = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(distinct[i]) for i in string[cuts].tolist()), np.uint64, len(cuts)).view(np.int64)
-        flat, bounds = np.stack([begin, stop, by], axis=1).tobytes(), (np.r_[cuts, len(string)] * 24).tolist()
-        runs = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(group[string[cuts]]), pa.array(hashes), pa.array(runs, pa.binary())], names=["anchor", "hash", "runs"])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.take(pa.array(string[cuts])).to_pylist()), np.uint64, len(cuts)).view(np.int64)
+        runs = _packs(np.stack([begin, stop, by], axis=1).ravel(), np.append(cuts, len(string)) * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(group[string[cuts]]), pa.array(hashes), runs], names=["anchor", "hash", "runs"])
 
     for batch in batches:
         pa.default_memory_pool().release_unused()

@@ -643,3 +643,37 @@ def test_keys_of_large_groups_meet_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(similar, "SHOWN_ONE_IN", 1)
     monkeypatch.setattr(similar, "GROUP_ROWS", 10)
     assert {r.doc_id: r.component_id for r in similar.similar_documents(df).collect()} == {i: i // 40 * 40 for i in range(400)}
+
+
+def test_owners_of_segments_are_packed_as_their_slices_say():
+    import pyarrow as pa
+    import zstandard
+
+    class Known:
+        value = b""
+
+    rng = np.random.default_rng(8)
+    passage = bytes(rng.choice(list(b"abcdefgh"), 120).tolist())
+    texts = [passage[: 60 + 10 * i] + bytes(rng.choice(list(b"klmnop"), 40).tolist()) for i in range(5)] + [b"short"]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    shared = [sorted(set(substrings._middle(substrings.gram_hashes(np.frombuffer(t, np.uint8))).tolist())) if len(t) >= substrings.LENGTH else [] for t in texts]
+    shared[1] = []
+    cols = [pa.array(range(100, 106), pa.int64()), pa.array(range(6), pa.int64()), pa.array(map(pack, texts), pa.binary()), pa.array(shared, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(cols, names=["doc", "id", "packed", "shared"])
+    met = {}
+    for part in (batch.slice(0, 2), batch.slice(2)):  # lists of a slice begin behind those of others
+        for out in substrings._segment_owners(Known, iter([part])):
+            for r in out.to_pylist():
+                docs, ids, starts = (np.frombuffer(r[c], t).tolist() for c, t in (("docs", np.int64), ("ids", np.int64), ("starts", np.int32)))
+                assert len(docs) == len(ids) == len(starts) > 0 and [d - 100 for d in docs] == ids
+                for i, start in zip(ids, starts, strict=True):
+                    met.setdefault(i, []).append((start, r["hash"]))
+    for i, text in enumerate(texts):
+        at = substrings.anchors(np.frombuffer(text, np.uint8))[0]
+        first = substrings._begins(at).tolist() if i not in (1, 5) else []
+        stops = [*first[1:], len(at)]
+        want = [(a, int(np.uint64(xxhash.xxh3_64_intdigest(text[a : b - 1 + substrings.LENGTH])).view(np.int64))) for a, b in zip(first, stops, strict=False)]
+        assert sorted(met.get(i, [])) == want
+    values = np.arange(5, dtype=np.int64)
+    assert substrings._packs(values, np.array([0, 2, 2, 5])).to_pylist() == [values[:2].tobytes(), b"", values[2:].tobytes()]
+    assert substrings._begins(values[:0]).tolist() == []
