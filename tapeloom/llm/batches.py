@@ -26,12 +26,13 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, key_cols: list, text: str, fn: Callable[[list], dict], out: str, most: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, key_cols: list, text: str, fn: Callable[[list], dict], out: str, most: int = SLICE_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
     """One output row per input row: the key columns, then what ``fn`` gives for the texts.
 
     ``fn`` takes a list of texts (None where null) and returns lists or arrays by the column names of
     the DDL string ``out``. Only the key columns and the text leave the scan, so further columns of
-    ``df``, whatever their names, are not read.
+    ``df``, whatever their names, are not read. ``done`` is called at the end of each task: Spark keeps Python workers
+    for later stages, so what ``fn`` remembers would stay in them.
     """
     named = [c if not isinstance(c, str) else F.col(f"`{c}`") for c in key_cols]
     keys = df.select(*named).schema.fields
@@ -41,11 +42,15 @@ def map_texts(df: DataFrame, key_cols: list, text: str, fn: Callable[[list], dic
     arrow, names, last = to_arrow_schema(schema), T._parse_datatype_string(out).names, len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, last, most):
-                made = fn(part.column(last).to_pylist())
-                columns = [part.column(i).cast(arrow.field(i).type) for i in range(last)]
-                columns += [pa.array(made[n], type=arrow.field(last + k).type) for k, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        try:
+            for batch in batches:
+                for part in slices(batch, last, most):
+                    made = fn(part.column(last).to_pylist())
+                    columns = [part.column(i).cast(arrow.field(i).type) for i in range(last)]
+                    columns += [pa.array(made[n], type=arrow.field(last + k).type) for k, n in enumerate(names)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        finally:
+            if done:
+                done()
 
     return picked.mapInArrow(run, schema)

@@ -152,7 +152,7 @@ def mask_texts(df: DataFrame, text_col: str = "text", least_score: float = 0.0)
     """``df`` with every span in ``text_col`` replaced by its kind in angle brackets; other columns stay.
 
     Spans below ``least_score`` stay as they are. Overlapping spans are replaced together under the kind that starts
-    first. Null texts stay null.
+    first. Null texts stay null. Texts are masked in slices of bounded size, so a worker never holds all texts of a batch twice.
     """
 
     def masked(text: str | None) -> str | None:
@@ -165,11 +165,13 @@ def mask_texts(df: DataFrame, text_col: str = "text", least_score: float = 0.0)
             at = max(at, b)
         return text if text is None or not out else "".join(out) + text[at:]
 
-    @F.pandas_udf("string")
-    def udf(texts):
-        return texts.map(masked, na_action="ignore")
+    def fn(texts: list) -> dict:
+        return {"masked": [masked(t) for t in texts]}
 
-    return df.withColumn(text_col, udf(F.col(f"`{text_col}`")))
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    own = [f"c{i}" for i in range(len(df.columns))]  # columns of any name are kept, by place
+    got = map_texts(df.toDF(*own), [c for c in own if c != own[at]], own[at], fn, "masked string")
+    return got.select(*own[:at], "masked", *own[at + 1 :]).toDF(*df.columns)
 
 
 def digest_spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -396,11 +396,16 @@ class Scorer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _scorer(blob: bytes, digest: str) -> Scorer:
     return Scorer(pickle.loads(blob))
 
 
+def forget_scorer() -> None:
+    """Let go of the scorer and its words (about 100 MB), which a worker would hold through all later stages."""
+    _scorer.cache_clear()
+
+
 def train_on(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Network:
     """Fit on at most SAMPLE_ROWS rows of each label, those with the smallest text hashes.
 
@@ -426,7 +431,7 @@ def score_texts(df: DataFrame, net: Network, key_cols: list | None = None, text_
         score = _scorer(shared.value, digest)(texts)
         return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
-    return map_texts(df, key_cols or ["doc_id"], text_col, fn, "score double, predicted int")
+    return map_texts(df, key_cols or ["doc_id"], text_col, fn, "score double, predicted int", done=forget_scorer)
 
 
 def held_out_rows(key: str = "doc_id"):

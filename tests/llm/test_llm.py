@@ -247,6 +247,37 @@ def test_pii_validators_and_base_spans(spark):
     assert pii.digest_spans(pii.find_pii(empty(spark))).count() == 0
 
 
+def test_masking_goes_by_slices_and_keeps_columns_of_any_name(spark):
+    text = "write to a.b@c-d.org or call +49 (30) 1234567 now"
+    rows = [(i, None if i % 7 == 0 else f"{text} {prose(i, 2000)}", "x", None if i % 5 == 0 else [i]) for i in range(400)]
+    df = spark.createDataFrame(rows, "`a.b` long, text string, `masked` string, `c``0` array<int>").coalesce(1)
+    out = pii.mask_texts(df)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    want = [(i, t and t.replace("a.b@c-d.org", "<email>").replace("+49 (30) 1234567", "<phone>"), m, c) for i, t, m, c in rows]
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # a pandas UDF holds each text of a batch (10,000 rows) three times over
+
+
+def test_workers_let_go_of_the_scorer(spark):
+    """Workers outlive a stage; what they remember counts in the memory of every later one."""
+    net = toxicity.train(["good words here " * 9, "bad words there " * 9] * 20, [0, 1] * 20)
+    df = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    assert toxicity.score_texts(df.repartition(8), net).count() == 64 and toxicity.score_texts(df.repartition(8), net).agg(F.max("score")).first()[0] <= 1
+
+    def held(batches):
+        import time
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        time.sleep(0.3)  # so that tasks at one time are in different workers
+        yield pa.RecordBatch.from_pydict({"held": pa.array([toxicity._scorer.cache_info().currsize], pa.int64())})
+
+    assert [r.held for r in spark.range(0, 16, 1, 16).mapInArrow(held, "held long").collect()] == [0] * 16
+
+
 def test_context_words_decide_on_secrets():
     drawn = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     kinds = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.find_spans(t)]
