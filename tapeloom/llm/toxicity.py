@@ -417,11 +417,12 @@ def train_on(labelled: DataFrame, text_col: str = "text", label_col: str = "toxi
     return train([r["text"] for r in taken], [r["y"] for r in taken])
 
 
-def score_texts(df: DataFrame, net: Network, key_cols: list | None = None, text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, net: Network, key_cols: list | None = None, text_col: str = "text", keep: bool = False) -> DataFrame:
     """Key columns, then ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more).
 
     Null and empty texts, and texts of white space only, score 0. Repeated rows are kept, further columns
-    are left out, an empty table gives an empty result.
+    are left out, an empty table gives an empty result. With ``keep`` a worker keeps the scorer and its words from task to
+    task, for jobs that have no later stages.
     """
     blob = pickle.dumps(net)
     digest = hashlib.sha256(blob).hexdigest()
@@ -431,7 +432,7 @@ def score_texts(df: DataFrame, net: Network, key_cols: list | None = None, text_
         score = _scorer(shared.value, digest)(texts)
         return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
-    return map_texts(df, key_cols or ["doc_id"], text_col, fn, "score double, predicted int", done=forget_scorer)
+    return map_texts(df, key_cols or ["doc_id"], text_col, fn, "score double, predicted int", done=None if keep else forget_scorer)
 
 
 def held_out_rows(key: str = "doc_id"):
@@ -448,4 +449,4 @@ def trained_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Netw
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every row of ``documents``, learned from rows that are not held out; see :func:`score_texts` for nulls."""
     docs = read_table(spark, sf_dir, "documents")
-    return score_texts(docs, trained_on_labels(spark, docs, sf_dir), ["doc_id", held_out_rows().alias("held_out")])
+    return score_texts(docs, trained_on_labels(spark, docs, sf_dir), ["doc_id", held_out_rows().alias("held_out")], keep=True)
