@@ -229,15 +229,15 @@ _RETURNS = "WITH d AS (SELECT user_id, t // 86400000000 AS day, avg(c) AS p FROM
 def _returns(spark, sf):
     days = tape(spark, sf).groupBy("user_id", fn.bucket(F.col("t"), DAY).alias("day")).agg(F.avg("c").alias("p"))
     for n in (1, 3):
-        days = joins.offset_join(days, "day", n, ["p"], ["user_id"]).withColumn(f"r{n}", fn.log_ratio(F.col("p"), F.col("prior_p"))).drop("prior_p")
-    return days
+        days = joins.offset_join(days, "day", n, ["p"], ["user_id"]).withColumnRenamed("prior_p", f"p{n}")
+    return days.select("user_id", "day", "p", *[fn.log_ratio(F.col("p"), F.col(f"p{n}")).alias(f"r{n}") for n in (1, 3)])  # after both joins, so that Python runs in no stage of its own
 
 
 @query(f"{_RETURNS} SELECT user_id, day, round(r1, 9) AS r1, round(r3, 9) AS r3, (CASE WHEN r1 > 0 THEN 1.0 WHEN r1 < 0 THEN -1.0 ELSE 0.0 END + CASE WHEN r3 > 0 THEN 1.0 WHEN r3 < 0 THEN -1.0 ELSE 0.0 END) / 2 AS trend FROM r WHERE r1 IS NOT NULL AND r3 IS NOT NULL")
 def w9_w10_lookback_returns(spark, sf):
     """Log returns over exact lookbacks, and the mean of their signs; a hole gives none, a price of zero an infinite one."""
     r = _returns(spark, sf).where("r1 is not null and r3 is not null")
-    return r.select("user_id", "day", F.round("r1", 9).alias("r1"), F.round("r3", 9).alias("r3"), ((fn.sign_of(F.col("r1")) + fn.sign_of(F.col("r3"))) / 2).alias("trend"))
+    return r.select("user_id", "day", fn.rounded(F.col("r1"), 9).alias("r1"), fn.rounded(F.col("r3"), 9).alias("r3"), ((fn.sign_of(F.col("r1")) + fn.sign_of(F.col("r3"))) / 2).alias("trend"))
 
 
 @query(f"{_RETURNS} SELECT user_id, day, round(CASE WHEN count(r1) OVER w = 5 THEN stddev_samp(r1) OVER w END, 9) AS vol, round(CASE WHEN count(r1) OVER w = 5 AND sum(r1 * r1) OVER w > 0 THEN sum(r1) OVER w / sqrt(sum(r1 * r1) OVER w) END, 9) AS score FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING)")
@@ -249,7 +249,7 @@ def w11_w18_w19_w20_volatility_and_momentum(spark, sf):
         full, squares = F.count("r1").over(w) == 5, F.sum(F.col("r1") * F.col("r1")).over(w)
         return {"vol": F.when(full, F.stddev_samp("r1").over(w)), "score": F.when(full & (squares > 0), F.sum("r1").over(w) / F.sqrt(squares))}
 
-    return ordered.rolling_rows(r, "user_id", ["day"], -4, 0, 100, made).select("user_id", "day", F.round("vol", 9).alias("vol"), F.round("score", 9).alias("score"))
+    return ordered.rolling_rows(r, "user_id", ["day"], -4, 0, 100, made).select("user_id", "day", fn.rounded(F.col("vol"), 9).alias("vol"), fn.rounded(F.col("score"), 9).alias("score"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, t, avg(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS 2 PRECEDING) AS m FROM e WHERE event_type = 'signup')
@@ -269,7 +269,7 @@ def w15_whole_window_features(spark, sf):
         whole = (F.count("*").over(w) == 4) & (F.col("day") - F.min("day").over(w) == 3) & (F.count("r1").over(w) == 4)
         return {"held": F.when(whole, F.sum("r1").over(w))}
 
-    return ordered.rolling_rows(_returns(spark, sf), "user_id", ["day"], -3, 0, 100, made).select("user_id", "day", F.round("held", 9).alias("held"))
+    return ordered.rolling_rows(_returns(spark, sf), "user_id", ["day"], -3, 0, 100, made).select("user_id", "day", fn.rounded(F.col("held"), 9).alias("held"))
 
 
 @query("SELECT a.hour, a.n, a.n >= 2 * b.n AS shock FROM (SELECT t // 3600000000 AS hour, count(*) AS n FROM e GROUP BY 1) a LEFT JOIN (SELECT t // 3600000000 AS hour, count(*) AS n FROM e GROUP BY 1) b ON b.hour = a.hour - 1")

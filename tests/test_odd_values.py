@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables of odd values."""
 
 from functools import reduce
+from math import log
 from operator import add
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_catalog import rows
 
+from tapeloom.functions import scalars as fn
 from tapeloom.operators import audits
 from tapeloom.plans import ORACLE_SQL, QUERIES, record_views
 from tapeloom.sources import work_dir
@@ -36,6 +38,25 @@ def test_days_without_a_price_give_infinite_returns(spark, tmp_path, name):
     assert same(spark, tmp_path, name, events)
 
 
+@pytest.mark.parametrize("name", RETURNS[1:])
+def test_windows_that_come_to_nothing_have_the_sign_of_zero_of_the_sql(spark, tmp_path, name):
+    lanes = [(55, 49, 58, 52, 55, 49, 58), (46, 38, 6, 58, 46, 38, 6), (34, 54, 20, 46, 34), (5, 51, 18, 31, 5, 5), (35, 60, 20, 29, 35, 35), (7, 7, 7, 7, 7, 7)]
+    events = [(10 * u + d, f"2024-01-{d + 1:02d} 05:00:00", u, "view", cents / 100, d) for u, prices in enumerate(lanes) for d, cents in enumerate(prices)]
+    assert same(spark, tmp_path, name, events)
+
+
+def test_logs_and_rounding_agree_with_the_sql_in_every_bit(spark):
+    pairs = pd.DataFrame([(a / 7, b / 3) for a in range(1, 90) for b in range(1, 60)], columns=["a", "b"])
+    odd = [(k + 0.5) / 1e9 for k in range(-300, 300)] + [(k + 0.5) / 512 for k in range(-300, 300)] + [-4e-10, 4e-10, 0.0, -0.0, 1e300, float("inf"), float("-inf")]
+    vals = pd.DataFrame({"v": [log(a / b) for a, b in pairs.itertuples(index=False)] + odd})
+    frame = duckdb.sql("select a, b, ln(a / b) as r from pairs").df()
+    found = spark.createDataFrame(pairs).select("a", "b", fn.log_ratio(F.col("a"), F.col("b")).alias("r")).toPandas()
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(frame.itertuples(index=False, name=None))
+    want = duckdb.sql("select v, round(v, 9) as nine, round(v, 4) as four from vals").df()
+    found = spark.createDataFrame(vals).select("v", fn.rounded(F.col("v"), 9).alias("nine"), fn.rounded(F.col("v"), 4).alias("four")).toPandas()
+    assert sorted(map(repr, found.itertuples(index=False, name=None))) == sorted(map(repr, want.itertuples(index=False, name=None)))
+
+
 def test_weights_at_the_cap_are_added_in_order_of_events(spark, tmp_path):
     legs = [(10, 20, 60), (60, 20, 10), (20, 30, 40), (40, 30, 20), (20, 10, 60), (90,), (91,), (45, 45), (0, 90), (60, 30, 0)]
     events = []
