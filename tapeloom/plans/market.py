@@ -303,7 +303,7 @@ def w26_m23_forward_returns(spark, sf):
     asks = views.select("event_id", "user_id", (F.col("t") + HOUR).alias("t"), F.col("c").alias("c0"))
     allv = kind(tape(spark, sf), "view")
     found = joins.asof_forward(asks, allv, "user_id", "t", DAY, "c")
-    return found.select("event_id", F.round(F.col("c") / F.col("c0") - 1, 9).alias("forward"))
+    return found.select("event_id", fn.rounded(F.col("c") / F.col("c0") - 1, 9).alias("forward"))
 
 
 @query("""SELECT user_id, hole_from, t AS hole_to FROM (SELECT user_id, t, max(t + k * 600000000) OVER (PARTITION BY user_id ORDER BY t, t + k * 600000000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hole_from FROM e) WHERE t > hole_from""")

@@ -57,6 +57,14 @@ def test_logs_and_rounding_agree_with_the_sql_in_every_bit(spark):
     assert sorted(map(repr, found.itertuples(index=False, name=None))) == sorted(map(repr, want.itertuples(index=False, name=None)))
 
 
+def test_returns_between_two_digits_are_rounded_as_the_sql_does(spark, tmp_path):
+    name, prices = "w26_m23_forward_returns", [(5120, 2431), (5120, 2433), (5120, 7679), (1024, 1), (2048, 3), (900, 900)]
+    events = [(2 * u + i, f"2024-01-01 {5 + 2 * i:02d}:00:00", u, "view", cents / 100, u) for u, pair in enumerate(prices) for i, cents in enumerate(pair)]
+    assert same(spark, tmp_path, name, events)
+    want = duckdb.sql(ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
+
+
 def test_weights_at_the_cap_are_added_in_order_of_events(spark, tmp_path):
     legs = [(10, 20, 60), (60, 20, 10), (20, 30, 40), (40, 30, 20), (20, 10, 60), (90,), (91,), (45, 45), (0, 90), (60, 30, 0)]
     events = []
